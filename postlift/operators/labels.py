@@ -27,8 +27,10 @@ class TailStats:
 
 def combined_score(engagement: Column, velocity: Column, max_e, max_v) -> Column:
     """Sum of both max-normalised scores; null when a maximum is zero."""
-    total = (F.try_divide(engagement, F.lit(max_e).cast("double"))
-             + F.try_divide(velocity, F.lit(max_v).cast("double")))
+    def top(value):
+        return value if isinstance(value, Column) else F.lit(value).cast("double")
+
+    total = F.try_divide(engagement, top(max_e)) + F.try_divide(velocity, top(max_v))
     return F.round(total, _DECIMALS)
 
 
@@ -115,3 +117,30 @@ def engineer_flat(raw: DataFrame) -> DataFrame:
 def label_table(raw: DataFrame) -> DataFrame:
     """Raw posts to the flat cohort-labelled table."""
     return keep_present(label_cohorts(engineer_flat(raw), "play_count"), LABEL_TABLE_COLUMNS)
+
+
+def fold_tail_stats(folds: DataFrame, p: float = SETTINGS.tail_quantile,
+                    engagement: str = "engagement_score", velocity: str = "view_velocity_score"
+                    ) -> DataFrame:
+    """Maxima and threshold per fold from its training rows: one row per fold."""
+    train = folds.where("part = 'train'")
+    tops = train.groupBy("fold").agg(F.max(engagement).alias("max_engagement"),
+                                     F.max(velocity).alias("max_velocity"))
+    judged = train.join(F.broadcast(tops), "fold")
+    cuts = exact_quantiles(judged, _fold_score(engagement, velocity), [p], by=("fold",),
+                           few_groups=True)
+    return tops.join(cuts.select("fold", F.round(F.col("q")[0], _DECIMALS).alias("threshold")),
+                     "fold")
+
+
+def _fold_score(engagement: str, velocity: str) -> Column:
+    return combined_score(F.col(engagement), F.col(velocity),
+                          F.col("max_engagement"), F.col("max_velocity"))
+
+
+def label_by_fold(rows: DataFrame, stats: DataFrame, engagement: str = "engagement_score",
+                  velocity: str = "view_velocity_score", label: str = "is_viral") -> DataFrame:
+    """Label rows by the statistics of their fold's training part."""
+    joined = rows.join(F.broadcast(stats), "fold")
+    hit = _fold_score(engagement, velocity) >= F.col("threshold")
+    return joined.withColumn(label, F.when(hit, 1).otherwise(0).cast("bigint"))

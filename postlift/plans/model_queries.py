@@ -1 +1,382 @@
-"""x"""
+"""Standardisation, scoring, evaluation, explanation and training."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import functions as F
+
+from ..config import SETTINGS
+from ..functions import scores
+from ..operators import (explain, labels, losses, metrics, reshape, scoring, splits, training)
+from ..session import materialize
+from ..sources import grid
+from . import fixtures as fx
+from .oracle_ctes import sql
+from .registry import query
+
+_SLOTS = [f"{i:02d}" for i in range(1, 20)]
+_DIM = 64
+
+
+@query("q_feature_stats", sql(" UNION ALL ".join(
+    f"SELECT 'f{i}' AS feature, round(m{i}, 6) AS mean, round(s{i}, 6) AS std FROM fstats"
+    for i in _SLOTS), "fstats"))
+def feature_stats(spark, sf):
+    stored = fx.stored_features(spark, sf)
+    long = scoring.long_feature_stats(stored.where("split = 'train'"))
+    return long.select("feature", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
+
+
+@query("q_zscore", sql("SELECT id, split, " + ", ".join(f"z{i}" for i in _SLOTS) + " FROM zed",
+                       "zed"))
+def zscore(spark, sf):
+    return fx.standardized(spark, sf).select("id", "split", *fx.ZSLOTS)
+
+
+_RATES = """
+SELECT {by}round(coalesce(tp / nullif(tp + fp, 0), 0), 6) AS precision,
+  round(coalesce(tp / nullif(tp + fn, 0), 0), 6) AS recall,
+  round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1,
+  round((tp + tn) / (tp + fp + fn + tn), 6) AS accuracy FROM (
+  SELECT {by}CAST(sum(CASE WHEN y AND p THEN 1 ELSE 0 END) AS DOUBLE) AS tp,
+    CAST(sum(CASE WHEN NOT y AND p THEN 1 ELSE 0 END) AS DOUBLE) AS fp,
+    CAST(sum(CASE WHEN y AND NOT p THEN 1 ELSE 0 END) AS DOUBLE) AS fn,
+    CAST(sum(CASE WHEN NOT y AND NOT p THEN 1 ELSE 0 END) AS DOUBLE) AS tn
+  FROM ({rows}) GROUP BY ALL)"""
+
+
+def _round_all(df, *keep):
+    return df.select(*keep, *[F.round(c, 6).alias(c) for c in df.columns if c not in keep])
+
+
+@query("q_binary_metrics", sql(_RATES.format(
+    by="threshold, ", rows="SELECT is_viral = 1 AS y, prob >= threshold AS p, threshold "
+    "FROM scored, (VALUES (0.5e0), (0.7e0)) t(threshold)"), "scored"))
+def binary_metrics(spark, sf):
+    rows = fx.scored(spark, sf).select("is_viral", "prob")
+    cuts = grid.with_options(rows, {"threshold": (SETTINGS.confidence,
+                                                  SETTINGS.analysis_confidence)})
+    counts = metrics.confusion_counts(cuts, "is_viral", F.col("prob") >= F.col("threshold"),
+                                      ("threshold",))
+    return _round_all(metrics.rates(counts, ("threshold",)), "threshold")
+
+
+_CURVE = """
+points AS (SELECT {by}prob, CAST(sum(is_viral) AS DOUBLE) AS pos,
+  CAST(sum(1 - is_viral) AS DOUBLE) AS neg FROM {rows} GROUP BY ALL),
+curve AS (SELECT *, sum(pos) OVER ({part}ORDER BY prob DESC) AS cp,
+  sum(neg) OVER ({part}ORDER BY prob DESC) AS cn FROM points)"""
+
+
+@query("q_roc_auc", sql("@", "scored").replace("\n@", ","
+       + _CURVE.format(by="split, ", rows="scored", part="PARTITION BY split ") + """
+SELECT split, round(sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)), 6) AS roc_auc
+FROM curve GROUP BY 1"""))
+def roc_auc(spark, sf):
+    rows = fx.scored(spark, sf)
+    return metrics.curve_metrics(rows, "is_viral", "prob", ("split",)).select(
+        "split", F.round("roc_auc", 6).alias("roc_auc"))
+
+
+@query("q_pr_auc", sql("@", "scored").replace("\n@", ","
+       + _CURVE.format(by="split, ", rows="scored", part="PARTITION BY split ") + """
+SELECT split, round(sum(pos * cp / (cp + cn)) / sum(pos), 6) AS average_precision
+FROM curve GROUP BY 1"""))
+def pr_auc(spark, sf):
+    rows = fx.scored(spark, sf)
+    return metrics.curve_metrics(rows, "is_viral", "prob", ("split",)).select(
+        "split", F.round("average_precision", 6).alias("average_precision"))
+
+
+def _scored_folds(spark, sf):
+    rows = fx.scored(spark, sf).select("id", "create_time", "is_viral", "prob")
+    return splits.time_folds(materialize(rows, "scored"))
+
+
+_FOLD_RATES = _RATES.format(by="fold, ", rows="SELECT is_viral = 1 AS y, prob >= 0.5 AS p, fold "
+                            "FROM folds WHERE part = 'val'")
+
+
+@query("q_cv_summary", sql(
+    "SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM ("
+    f"UNPIVOT ({_FOLD_RATES.replace(', 6)', ', 12)')}) ON precision, recall, f1, accuracy "
+    "INTO NAME metric VALUE value) GROUP BY 1", "folds"))
+def cv_summary(spark, sf):
+    val = _scored_folds(spark, sf).where("part = 'val'")
+    per_fold = metrics.binary_metrics(val, "is_viral", "prob", by=("fold",))
+    return _round_all(metrics.summarize_folds(
+        per_fold, "fold", ["precision", "recall", "f1", "accuracy"]), "metric")
+
+
+@query("q_best_model", sql("""
+SELECT fold, arg_max(model_no, (f1, -model_no)) AS model_no, max(f1) AS f1 FROM (""" + _RATES.format(
+    by="fold, model_no, ", rows="SELECT is_viral = 1 AS y, prob >= threshold AS p, fold, model_no "
+    "FROM folds, (VALUES (0, 0.5e0), (1, 0.7e0), (2, 0.9e0)) m(model_no, threshold) "
+    "WHERE part = 'val'") + ") GROUP BY 1", "folds"))
+def best_model(spark, sf):
+    val = _scored_folds(spark, sf).where("part = 'val'")
+    models = F.array(*[F.struct(F.lit(i).alias("model_no"), F.lit(t).alias("threshold"))
+                       for i, t in enumerate((0.5, 0.7, 0.9))])
+    runs = val.withColumn("m", F.explode(models)).select("*", "m.*")
+    by = ("fold", "model_no")
+    counts = metrics.confusion_counts(runs, "is_viral", F.col("prob") >= F.col("threshold"), by)
+    return metrics.best_by_metric(_round_all(metrics.rates(counts, by), *by), "fold", "model_no",
+                                  "f1")
+
+
+_BCE = "greatest(logit, 0) - logit * is_viral + ln(1 + exp(-abs(logit)))"
+_SIG = "(1 / (1 + exp(-logit)))"
+_FOCAL = (f"(is_viral * 0.95e0 + (1 - is_viral) * 0.05e0) * pow(is_viral * (1 - {_SIG}) "
+          f"+ (1 - is_viral) * {_SIG}, 3.0e0) * ({_BCE})")
+
+
+@query("q_focal_loss", sql(f"""
+SELECT split, count(*) AS n, round(avg({_FOCAL}), 6) AS mean_loss,
+  round(sum({_FOCAL}), 6) AS sum_loss FROM scored GROUP BY 1""", "scored"))
+def focal_loss(spark, sf):
+    loss = losses.focal(F.col("logit"), F.col("is_viral").cast("double"))
+    return fx.scored(spark, sf).groupBy("split").agg(
+        F.count("*").alias("n"), F.round(F.avg(loss), 6).alias("mean_loss"),
+        F.round(F.sum(loss), 6).alias("sum_loss"))
+
+
+@query("q_weighted_bce", sql(f"""
+SELECT split, round(avg((is_viral * 19 + (1 - is_viral)) * ({_BCE})), 6) AS loss
+FROM scored GROUP BY 1""", "scored"))
+def weighted_bce(spark, sf):
+    loss = losses.weighted_bce(F.col("logit"), F.col("is_viral").cast("double"))
+    return fx.scored(spark, sf).groupBy("split").agg(F.round(F.avg(loss), 6).alias("loss"))
+
+
+_HUBER = ("CASE WHEN abs({p} - {y}) <= 1 THEN 0.5e0 * ({p} - {y}) * ({p} - {y}) "
+          "ELSE abs({p} - {y}) - 0.5e0 END")
+
+
+@query("q_multitask_loss", sql(f"""
+SELECT round(r, 6) AS regression_loss, round(c, 6) AS classification_loss,
+  round(0.3e0 * r + 0.7e0 * c, 6) AS loss FROM (
+  SELECT avg(({_HUBER.format(p='0.5e0 * ye + 0.01e0', y='ye')}
+    + {_HUBER.format(p='0.8e0 * yv', y='yv')}) / 2) AS r, avg({_FOCAL}) AS c
+  FROM (SELECT *, ln(1 + e) AS ye, ln(1 + v) AS yv FROM scored))""", "scored"))
+def multitask_loss(spark, sf):
+    rows = fx.scored(spark, sf).withColumns({
+        "ye": scores.log_count(F.col("engagement_score")),
+        "yv": scores.log_count(F.col("view_velocity_score"))}).withColumns({
+            "pe": F.col("ye") * 0.5 + 0.01, "pv": F.col("yv") * 0.8})
+    return _round_all(losses.multitask_loss(rows, ("pe", "pv"), ("ye", "yv"), "logit", "is_viral"))
+
+
+@query("q_classify", sql("""
+SELECT id, prob, CASE WHEN prob >= 0.7 THEN 'Viral' ELSE 'Not Viral' END AS prediction
+FROM scored""", "scored"))
+def classify(spark, sf):
+    return scoring.classify(fx.scored(spark, sf).select("id", "prob"), "prob")
+
+
+@query("q_regression_rule", sql("""
+SELECT id, CAST(CASE WHEN round((exp(le) - 1) / tme + (exp(lv) - 1) / tmv, 9) >= tt
+  THEN 1 ELSE 0 END AS BIGINT) AS prediction
+FROM (SELECT id, round(ln(1 + e) * (1 + 0.1e0 * sin(id)), 6) AS le,
+    round(ln(1 + v) * (1 - 0.1e0 * cos(id)), 6) AS lv FROM feat),
+  (SELECT max(e) AS tme, max(v) AS tmv FROM feat WHERE split = 'train') tm,
+  (SELECT round(quantile_cont(round(e / ame + v / amv, 9), 0.95), 9) AS tt FROM feat,
+    (SELECT max(e) AS ame, max(v) AS amv FROM feat WHERE split = 'train')
+    WHERE split = 'train') tq""", "feat"))
+def regression_rule(spark, sf):
+    rows = splits.random_split(fx.stored_scores(spark, sf))
+    stats = labels.tail_stats(rows.where("split = 'train'"))
+    e, v = (scores.log_count(F.col(c)) for c in ("engagement_score", "view_velocity_score"))
+    guesses = rows.select("id", F.round(e * (1 + 0.1 * F.sin("id")), 6).alias("le"),
+                          F.round(v * (1 - 0.1 * F.cos("id")), 6).alias("lv"))
+    return labels.regression_rule(guesses, stats, "le", "lv").select("id", "prediction")
+
+
+def _head_weights(head, n, shift):
+    return [math.sin((head + 1) * (i + shift)) / 8 for i in range(1, n + 1)]
+
+
+_HEADS = ("engagement", "velocity", "logit")
+_BRANCHES = {
+    "text": {h: _head_weights(k, _DIM, 0) for k, h in enumerate(_HEADS)},
+    "video": {h: _head_weights(k, _DIM, 100) for k, h in enumerate(_HEADS)},
+    "tabular": {h: _head_weights(k, 19, 200) for k, h in enumerate(_HEADS)},
+}
+
+
+def _modalities(spark, sf):
+    """Scored posts with a text, a video and a tabular vector each."""
+    z = fx.scored(spark, sf)
+    n = fx.count_of(spark, sf, "embeddings")
+    keyed = z.select("id", "is_viral", F.array(*fx.ZSLOTS).alias("tabular"),
+                     (F.col("id") % n).alias("_text"), ((F.col("id") * 7 + 3) % n).alias("_video"))
+    vectors = fx.table(spark, sf, "embeddings")
+    texted = scoring.join_embeddings(keyed, vectors, "_text", "text")
+    return scoring.join_embeddings(texted, vectors, "_video", "video")
+
+
+def _branch_sql(column, shift, head):
+    return (f"list_sum(list_transform({column}, lambda x, i: CAST(x AS DOUBLE) "
+            f"* sin({head + 1} * (i + {shift})) / 8))")
+
+
+_FUSED = ("SELECT s.*, "
+          + ", ".join(f"{_branch_sql('t.embedding', 0, k)} AS {h}_text, "
+                      f"{_branch_sql('w.embedding', 100, k)} AS {h}_video, "
+                      f"{_branch_sql('s.tabular', 200, k)} AS {h}_tabular"
+                      for k, h in enumerate(_HEADS))
+          + " FROM (SELECT id, is_viral, [" + ", ".join(f"z{i}" for i in _SLOTS) + "] AS tabular "
+          "FROM zed) s JOIN embeddings t ON t.vec_id = s.id % (SELECT count(*) FROM embeddings) "
+          "JOIN embeddings w ON w.vec_id = (7 * s.id + 3) % (SELECT count(*) FROM embeddings)")
+
+
+@query("q_late_fusion", sql(f"""
+SELECT id, round(exp(engagement_text + engagement_video + engagement_tabular) - 1, 6) AS engagement,
+  round(exp(velocity_text + velocity_video + velocity_tabular) - 1, 6) AS velocity,
+  round(1 / (1 + exp(-(logit_text + logit_video + logit_tabular))), 6) AS viral_prob
+FROM ({_FUSED})""", "zed"))
+def late_fusion(spark, sf):
+    fused = scoring.fuse_linear(_modalities(spark, sf), _BRANCHES)
+    return _round_all(fused.select("id", "engagement", "velocity", "viral_prob"), "id")
+
+
+@query("q_late_fusion_mlp")
+def late_fusion_mlp(spark, sf):
+    weights = scoring.mlp_weights(_DIM, _DIM, 19, 32, SETTINGS.seed)
+    return scoring.fuse_mlp(_modalities(spark, sf), weights)
+
+
+_ABLATED = {"Full Model": ("text", "video", "tabular"), "Zero Text": ("video", "tabular"),
+            "Zero Video": ("text", "tabular"), "Zero Tabular": ("text", "video")}
+
+
+@query("q_ablation", sql("@", "zed").replace("\n@", f""",
+fused AS MATERIALIZED ({_FUSED}),
+cases AS MATERIALIZED (""" + " UNION ALL ".join(
+    f"SELECT '{name}' AS condition, is_viral, round(1 / (1 + exp(-("
+    + " + ".join(f"logit_{b}" for b in kept) + "))), 6) AS prob FROM fused"
+    for name, kept in _ABLATED.items()) + ")," + _CURVE.format(
+        by="condition, ", rows="cases", part="PARTITION BY condition ") + """
+SELECT condition, round(roc, 6) AS roc_auc, round(ap, 6) AS average_precision, f1 FROM (
+  SELECT condition, sum(neg * (cp - pos / 2)) / (sum(pos) * sum(neg)) AS roc,
+    sum(pos * cp / (cp + cn)) / sum(pos) AS ap FROM curve GROUP BY 1)
+JOIN (SELECT condition, f1 FROM (""" + _RATES.format(
+        by="condition, ", rows="SELECT condition, is_viral = 1 AS y, prob >= 0.7 AS p FROM cases")
+    + ")) USING (condition)"))
+def ablation(spark, sf):
+    branch = {name: scoring.array_dot(F.col(name), weights["logit"]).alias(name)
+              for name, weights in _BRANCHES.items()}
+    parts = _modalities(spark, sf).select("is_viral", *branch.values())
+    conditions = {name: sum((F.col(b) for b in kept[1:]), F.col(kept[0]))
+                  for name, kept in _ABLATED.items()}
+    return _round_all(explain.ablate(parts, conditions, "is_viral"), "condition")
+
+
+@query("q_ablation_wide", None)
+def ablation_wide(spark, sf):
+    long = ablation(spark, sf).unpivot(["condition"], ["roc_auc", "average_precision", "f1"],
+                                       "metric", "value")
+    return reshape.pivot_metrics(long, "metric", "condition", "value", list(_ABLATED))
+
+
+@query("q_permutation_importance", sql("@", "scored").replace("\n@", """,
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(concat(id, '|42'))) - 1 AS r,
+  count(*) OVER () AS n FROM scored),
+cases AS MATERIALIZED (SELECT 0 AS j, is_viral = 1 AS y, prob >= 0.7 AS p FROM ordered UNION ALL
+""" + " UNION ALL ".join(
+    f"SELECT {int(i)}, a.is_viral = 1, round(1 / (1 + exp(-(a.logit + sin({int(i)}) "
+    f"* (b.z{i} - a.z{i})))), 6) >= 0.7 FROM ordered a JOIN ordered b ON b.r = (a.r + {int(i)}) % a.n"
+    for i in _SLOTS) + "), f AS (" + _RATES.format(by="j, ", rows="SELECT * FROM cases") + """)
+SELECT name AS feature, base.f1 AS baseline_f1, f.f1 AS shuffled_f1,
+  round(base.f1 - f.f1, 6) AS importance
+FROM f JOIN (VALUES """ + ", ".join(
+        f"({j}, '{name}')" for j, name in enumerate(explain.FEATURE_NAMES, 1)) + """) t(k, name)
+  ON k = f.j, (SELECT f1 FROM f WHERE j = 0) base"""))
+def permutation_importance(spark, sf):
+    rows = materialize(fx.scored(spark, sf).select("id", "is_viral", "logit", *fx.ZSLOTS), "scored")
+    found = explain.permutation_importance(rows, "id", fx.ZSLOTS, fx.WEIGHTS, "logit", "is_viral")
+    rounded = found.withColumns({c: F.round(c, 6) for c in ("baseline_f1", "shuffled_f1")})
+    return rounded.withColumn("importance",
+                              F.round(F.col("baseline_f1") - F.col("shuffled_f1"), 6))
+
+
+@query("q_confusion_examples", sql("@", "scored").replace("\n@", """,
+kinds AS (SELECT id, is_viral, prob, CASE WHEN is_viral = 1 AND prob >= 0.7 THEN 'True Positive'
+  WHEN is_viral = 0 AND prob < 0.7 THEN 'True Negative' ELSE 'Misclassification' END AS category
+  FROM scored WHERE split = 'test'),
+found AS (SELECT category, min(id) AS id FROM kinds GROUP BY 1),
+spare AS (SELECT id, CASE row_number() OVER (ORDER BY id) WHEN 1 THEN 'True Positive'
+  WHEN 2 THEN 'True Negative' ELSE 'Misclassification' END AS category
+  FROM (SELECT id FROM kinds ORDER BY id LIMIT 3)),
+picked AS (SELECT category, coalesce(found.id, spare.id) AS id FROM spare
+  LEFT JOIN found USING (category))
+SELECT p.category, p.id, CASE WHEN is_viral = 1 THEN 'Viral' ELSE 'Not Viral' END AS ground_truth,
+  prob AS viral_prob, CASE WHEN prob >= 0.7 THEN 'Viral' ELSE 'Not Viral' END AS predicted,
+  CASE WHEN substring(coalesce(text, ''), 1, 80) = '' THEN '(no description)'
+    ELSE substring(text, 1, 80) END AS caption
+FROM picked p JOIN kinds k ON k.id = p.id
+  LEFT JOIN documents ON doc_id = p.id % (SELECT count(*) FROM documents)"""))
+def confusion_examples(spark, sf):
+    test = fx.scored(spark, sf).where("split = 'test'").select("id", "is_viral", "prob")
+    picked = explain.confusion_examples(test, "id", "is_viral", "prob")
+    ids = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    wanted = ids.join(F.broadcast(picked.select("id").distinct()), "id", "left_semi")
+    return explain.with_captions(picked, fx.with_captions(spark, sf, wanted), "id", "description")
+
+
+def _train_test(spark, sf):
+    z = fx.standardized(spark, sf)
+    return materialize(z.select("id", "split", "is_viral", "engagement_score",
+                                "view_velocity_score", *fx.ZSLOTS), "train")
+
+
+@query("q_train_weighted")
+def train_weighted(spark, sf):
+    rows = _train_test(spark, sf)
+    model = training.train_weighted(rows.where("split = 'train'"), fx.ZSLOTS, "is_viral",
+                                    maxIter=20)
+    test = training.assemble(rows.where("split = 'test'"), fx.ZSLOTS)
+    scored = training.probability_of_one(model.transform(test))
+    curves = metrics.curve_metrics(scored.withColumn("model", F.lit("weighted")), "is_viral",
+                                   "prob", ("model",))
+    return curves.join(metrics.binary_metrics(
+        scored.withColumn("model", F.lit("weighted")), "is_viral", "prob", by=("model",)), "model")
+
+
+@query("q_train_focal")
+def train_focal(spark, sf):
+    rows = _train_test(spark, sf)
+    weights, bias, history = training.train_focal(
+        rows.where("split = 'train'"), fx.ZSLOTS, "is_viral", steps=10)
+    logit = scoring.dot(fx.ZSLOTS, weights) + F.lit(bias)
+    test = rows.where("split = 'test'").select(
+        "is_viral", scores.logistic(logit).alias("prob"), F.lit("focal").alias("model"))
+    curves = metrics.curve_metrics(test, "is_viral", "prob", ("model",))
+    return curves.withColumns({"first_loss": F.lit(history[0]), "last_loss": F.lit(history[-1])})
+
+
+@query("q_train_huber")
+def train_huber(spark, sf):
+    rows = _train_test(spark, sf).withColumns({
+        "ye": scores.log_count(F.col("engagement_score")),
+        "yv": scores.log_count(F.col("view_velocity_score"))})
+    models = training.train_huber(rows.where("split = 'train'"), fx.ZSLOTS, ["ye", "yv"],
+                                  maxIter=20)
+    test = training.assemble(rows.where("split = 'test'"), fx.ZSLOTS)
+    for model in models.values():
+        test = model.transform(test)
+    return test.agg(*[F.avg(losses.huber(F.col(f"{t}_hat"), F.col(t))).alias(f"{t}_loss")
+                      for t in ("ye", "yv")])
+
+
+_GRID = {"logistic": {"regParam": (0.01, 0.1), "maxIter": (10,)}}
+
+
+@query("q_timecut_results")
+def timecut_results(spark, sf):
+    panel = materialize(fx.panel(spark, sf), "panel")
+    results = training.run_timecuts(panel, "entity", "month", "label", ["n_orders", "max_price"],
+                                    fx.panel_spec(spark, sf), _GRID)
+    return training.wide_results(results, "entity", [m[0] for m in training.model_grid(_GRID)])
+
+
