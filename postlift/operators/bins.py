@@ -55,15 +55,13 @@ def with_age_hours(df: DataFrame, create: str = "create_time", stats: str = "sta
 
 
 def binned_report(binned: DataFrame, measures: list[str], label: Column) -> DataFrame:
-    """One row per (bin, measure): label and box summary."""
-    named = binned.withColumn("label", label)
-    labels = named.groupBy("bin").agg(F.max("label").alias("label"))
-    parts = None
-    for measure in measures:
-        boxes = box_summary(binned.select("bin", measure), "bin", measure)
-        part = boxes.withColumn("measure", F.lit(measure))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.join(F.broadcast(labels), "bin")
+    """One row per (bin, label, measure) with its box summary; all measures share
+    the passes."""
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x"))
+                       for m in measures])
+    long = binned.select("bin", label.alias("label"), F.explode(values).alias("m")).select(
+        "bin", "label", "m.*")
+    return box_summary(long, "x", ("bin", "label", "measure"))
 
 
 def account_size_report(posts: DataFrame) -> DataFrame:

@@ -18,8 +18,10 @@ def asset_gate(manifest: DataFrame, path: str = "path") -> DataFrame:
     media = (files.select("folder", F.regexp_extract("name", r"(\d+)\.mp4", 1)
                           .try_cast("bigint").alias("id")).where("id is not null")
              .withColumn("name", F.concat(F.col("id").cast("string"), F.lit(".json"))))
-    whole = (media.join(users, "folder", "left_semi")
-             .join(details, ["folder", "name"], "left_semi"))
+    # The join on both columns comes first: it spreads a busy creator's files over
+    # all tasks; the one on the folder alone is left to the skew-join split.
+    whole = (media.join(details, ["folder", "name"], "left_semi")
+             .join(users, "folder", "left_semi"))
     return whole.groupBy("id").agg(F.max("folder").alias("folder"))
 
 
@@ -51,11 +53,12 @@ def compose(base: DataFrame, assets: DataFrame, users: DataFrame, details: DataF
     b = base.join(a, F.col("id") == F.col("_asset")).alias("b")
     u = users.withColumnRenamed("folder", "_owner").alias("u")
     d = details.withColumnRenamed("id", "_detail").alias("d")
-    joined = (b.join(d, F.col("b.id") == F.col("d._detail"), "left")
-              .join(u, F.col("b._folder") == F.col("u._owner"), "left"))
+    # All joins on the post id share one partitioning; the creator join follows.
+    joined = b.join(d, F.col("b.id") == F.col("d._detail"), "left")
     if objects is not None:
         o = objects.select(F.col("id").alias("_object"), "detected_objects").alias("o")
         joined = joined.join(o, F.col("b.id") == F.col("o._object"), "left")
+    joined = joined.join(u, F.col("b._folder") == F.col("u._owner"), "left")
 
     def of(frame: DataFrame, prefix: str, name: str) -> Column:
         return F.col(f"{prefix}.{name}") if name in frame.columns else F.lit(None)

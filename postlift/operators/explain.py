@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import FEATURE_NAMES, SETTINGS
 from ..functions.scores import logistic
 from ..functions.text import caption_head
-from .metrics import binary_metrics, curve_metrics
+from ..session import materialize
+from .metrics import evaluate
 from .ranking import hash_order
 
 # Rows per task when neighbours in the shuffled order are looked up.
@@ -19,17 +20,16 @@ def ablate(df: DataFrame, conditions: dict[str, Column], truth: str,
     """ROC-AUC, average precision and F1 per condition.
 
     ``conditions`` maps a name to the logit with a branch left out.  All of them
-    are evaluated on the same pass; rows then repeat once per condition, and the
-    curve counts combine before they are shuffled.
+    are evaluated on the same pass; rows then repeat once per condition and
+    combine to one row per score before the shuffle, from which all three
+    metrics follow.
     """
     cases = F.array(*[F.struct(F.lit(name).alias("condition"),
                                F.round(logistic(logit), 6).alias("prob"))
                       for name, logit in conditions.items()])
     long = df.select(F.col(truth).alias("y"), F.explode(cases).alias("c")).select("y", "c.*")
-    by = ("condition",)
-    curves = curve_metrics(long, "y", "prob", by)
-    cuts = binary_metrics(long, "y", "prob", threshold, by).select("condition", "f1")
-    return curves.join(cuts, "condition")
+    return evaluate(long, "y", "prob", threshold, ("condition",)).select(
+        "condition", "roc_auc", "average_precision", "f1")
 
 
 def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: list[float],
@@ -45,10 +45,11 @@ def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: l
     are scored in one pass instead of one pass each.
     """
     reach = len(slots)
-    n = df.count()
+    stored = materialize(df.select(key, *slots, logit, truth), "shuffled")
+    n = stored.count()
     if n <= reach:
         raise ValueError(f"permutation needs more than {reach} rows")
-    ranked = hash_order(df.select(key, *slots, logit, truth), key, seed)
+    ranked = hash_order(stored, key, seed)
     rank, last_block = F.col("rank"), (n - 1) // _BLOCK
     block = F.floor(rank / _BLOCK)
 

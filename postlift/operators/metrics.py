@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
+from ..session import materialize
 from .ranking import running_sums
 
 # Score cells for the running counts of curve metrics.
@@ -44,29 +45,48 @@ def curve_points(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = (),
     """Per distinct score, from high to low: positives, negatives and running counts.
 
     Scores are rounded first, so tied rows move together and at most
-    10**decimals points per group are left after the map-side combine.  They lie
-    in 0..1, so equal-width cells order them.
+    10**decimals points per group are left after the map-side combine.  They are
+    written down: the running counts read them twice, the rows only once.
+    Scores lie in 0..1, so equal-width cells order them.
     """
     y = F.col(truth).cast("bigint")
     points = (df.select(*by, F.round(prob, decimals).alias("score"), y.alias("_y"))
               .groupBy(*by, "score").agg(F.sum("_y").alias("pos"),
                                          F.sum(1 - F.col("_y")).alias("neg")))
     cell = -F.floor(F.col("score") * _CELLS).cast("int")
-    return running_sums(points, cell, [F.desc("score")],
+    return running_sums(materialize(points, "points"), cell, [F.desc("score")],
                         {"cum_pos": "pos", "cum_neg": "neg"}, by=by)
 
 
 def curve_metrics(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = (),
                   decimals: int = 6) -> DataFrame:
     """ROC-AUC (trapezoid) and average precision (step sum); null with one class only."""
-    points = curve_points(df, truth, prob, by, decimals)
+    return curve_points(df, truth, prob, by, decimals).groupBy(*by).agg(*_areas())
+
+
+def _areas() -> list[Column]:
+    """Both curve areas over the rows of ``curve_points``."""
     area = F.sum(F.col("neg") * (F.col("cum_pos") - F.col("pos") / 2.0))
     steps = F.sum(F.col("pos") * F.col("cum_pos")
                   / (F.col("cum_pos") + F.col("cum_neg")).cast("double"))
     positives, negatives = F.sum("pos").cast("double"), F.sum("neg").cast("double")
-    return points.groupBy(*by).agg(
-        F.try_divide(area, positives * negatives).alias("roc_auc"),
-        F.try_divide(steps, positives).alias("average_precision"))
+    return [F.try_divide(area, positives * negatives).alias("roc_auc"),
+            F.try_divide(steps, positives).alias("average_precision")]
+
+
+def evaluate(df: DataFrame, truth: str, prob: str, threshold: float = SETTINGS.confidence,
+             by: tuple[str, ...] = (), decimals: int = 6) -> DataFrame:
+    """Curve areas and threshold rates together, from one pass over the rows.
+
+    The points already count positives and negatives per score, so the confusion
+    counts are sums over the points on either side of the threshold.
+    """
+    points = curve_points(df, truth, prob, by, decimals)
+    hit = (F.col("score") >= threshold).cast("int")
+    both = points.groupBy(*by).agg(
+        *_areas(), F.sum(F.col("pos") * hit).alias("tp"), F.sum(F.col("neg") * hit).alias("fp"),
+        F.sum(F.col("pos") * (1 - hit)).alias("fn"), F.sum(F.col("neg") * (1 - hit)).alias("tn"))
+    return rates(both, (*by, "roc_auc", "average_precision"))
 
 
 def summarize_folds(metrics: DataFrame, fold: str, names: list[str]) -> DataFrame:

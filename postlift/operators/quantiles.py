@@ -76,23 +76,23 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[
             .select(*by, F.col("_n").alias("n"), F.array(*results).alias("q")))
 
 
-def box_summary(df: DataFrame, group: str, value: str) -> DataFrame:
+def box_summary(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Quartiles per bin and the furthest values within 1.5 IQR of the box.
 
     Bins are few by construction, so the fences are broadcast back.
     """
-    boxes = exact_quantiles(df, F.col(value), [0.25, 0.5, 0.75], by=(group,), few_groups=True)
+    boxes = exact_quantiles(df, F.col(value), [0.25, 0.5, 0.75], by=by, few_groups=True)
     q1, q2, q3 = (F.col("q")[i] for i in range(3))
     fenced = boxes.select(
-        group, "n", q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
+        *by, "n", q1.alias("q1"), q2.alias("median"), q3.alias("q3"),
         (q1 - 1.5 * (q3 - q1)).alias("_low"), (q3 + 1.5 * (q3 - q1)).alias("_high"))
     v = F.col(value)
-    reach = (df.select(group, value).join(F.broadcast(fenced.select(group, "_low", "_high")), group)
-             .groupBy(group).agg(
-                 F.min(F.when(v >= F.col("_low"), v)).alias("_reach_low"),
-                 F.max(F.when(v <= F.col("_high"), v)).alias("_reach_high")))
+    fences = F.broadcast(fenced.select(*by, "_low", "_high"))
+    reach = (df.select(*by, value).join(fences, list(by)).groupBy(*by).agg(
+        F.min(F.when(v >= F.col("_low"), v)).alias("_reach_low"),
+        F.max(F.when(v <= F.col("_high"), v)).alias("_reach_high")))
     # Whiskers never end inside the box.
-    return (fenced.join(F.broadcast(reach), group).select(
-        group, "n", "q1", "median", "q3",
+    return (fenced.join(F.broadcast(reach), list(by)).select(
+        *by, "n", "q1", "median", "q3",
         F.least("_reach_low", "q1").alias("whisker_low"),
         F.greatest("_reach_high", "q3").alias("whisker_high")))

@@ -19,7 +19,7 @@ def running_sums(df: DataFrame, cell: Column, order: list[Column], sums: dict[st
     ``cell`` must rise with ``order`` and take a bounded number of values; rows
     of one cell meet in one task, so choose it fine enough.  ``sums`` maps new
     column names to the columns summed; with ``inclusive=False`` a row's own
-    value is left out.
+    value is left out.  ``df`` is read twice.
     """
     celled = df.withColumn("_cell", cell)
     totals = celled.groupBy(*by, "_cell").agg(*[
@@ -64,12 +64,20 @@ def global_rank(df: DataFrame, order: list[str], rank: str = "rank") -> DataFram
     both passes see the same ranges; there are at most as many cells as shuffle
     partitions.
     """
-    ranged = (df.repartitionByRange(*order)
-              .withColumn("_range", F.spark_partition_id())
-              .withColumn("_one", F.lit(1)))
-    stored = materialize(ranged, "ranges")
-    return running_sums(stored, F.col("_range"), [F.col(c) for c in order],
-                        {rank: "_one"}, inclusive=False).drop("_range", "_one")
+    return rank_ranges(store_ranges(df, order), order, rank)
+
+
+def store_ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """First half of ``global_rank``: rows with their range number, written down."""
+    ranged = df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    return materialize(ranged, "ranges")
+
+
+def rank_ranges(stored: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
+    """Second half of ``global_rank``: range totals first, then ranks inside each range."""
+    ranked = running_sums(stored.withColumn("_one", F.lit(1)), F.col("_range"),
+                          [F.col(c) for c in order], {rank: "_one"}, inclusive=False)
+    return ranked.drop("_range", "_one")
 
 
 def latest_by_suffix(df: DataFrame, key: str, name: str, pattern: str = r"checkpoint-(\d+)$"

@@ -56,10 +56,15 @@ def classify(df: DataFrame, prob: str, threshold: float = SETTINGS.analysis_conf
     return df.withColumn(out, F.when(F.col(prob) >= threshold, names[0]).otherwise(names[1]))
 
 
-def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str, out: str) -> DataFrame:
-    """Attach a precomputed vector by ``key`` (unique in ``embeddings``)."""
-    return df.join(embeddings.select(F.col("vec_id").alias(key),
-                                     F.col("embedding").alias(out)), key)
+def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str, out: str, width: int
+                    ) -> DataFrame:
+    """Attach a precomputed vector by ``key`` (unique in ``embeddings``).
+
+    A row without a vector gets zeros, so no post is lost.
+    """
+    vectors = embeddings.select(F.col("vec_id").alias(key), F.col("embedding").alias(out))
+    neutral = F.array_repeat(F.lit(0.0).cast("float"), width)
+    return df.join(vectors, key, "left").withColumn(out, F.coalesce(out, neutral))
 
 
 def fuse_linear(df: DataFrame, branches: dict[str, dict[str, list[float]]]) -> DataFrame:

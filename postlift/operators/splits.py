@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SETTINGS
-from .ranking import global_rank, seeded_hash
+from .ranking import rank_ranges, seeded_hash, store_ranges
 
 
 def random_split(df: DataFrame, key: str = "id", seed: int = SETTINGS.seed,
@@ -44,12 +44,12 @@ def time_folds(df: DataFrame, time: str = "create_time", key: str = "id",
 
     Each row appears once per fold it belongs to, at most once per fraction.
     """
-    ranked = global_rank(df, [time, key])
-    edges = fold_edges(df.count(), train_fractions, val_fraction)
+    stored = store_ranges(df, [time, key])
+    edges = fold_edges(stored.count(), train_fractions, val_fraction)
     if not edges:
         empty = df.limit(0)
         return empty.withColumn("fold", F.lit(0)).withColumn("part", F.lit("train"))
-    rank = F.col("rank")
+    ranked, rank = rank_ranges(stored, [time, key]), F.col("rank")
     parts = F.array(*[
         F.struct(F.lit(fold).alias("fold"),
                  F.when(rank < train_end, "train").when(rank < val_end, "val").alias("part"))

@@ -109,8 +109,11 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
     """
     spark = panel.sparkSession
     models = model_grid(grid)
-    matrix = materialize(supervised_matrix(panel, entity, month, target, features,
-                                           spec.h, spec.feature_window), "matrix")
+    matrix = supervised_matrix(panel, entity, month, target, features,
+                               spec.h, spec.feature_window)
+    # Ordered by month first, so a month filter skips most files.
+    matrix = materialize(matrix.repartitionByRange("label_month", entity)
+                         .sortWithinPartitions("label_month", entity), "matrix")
     columns = [c for c in matrix.columns if "_lag" in c]
     results = scratch_path(spark, "timecut-results")
     schema = (f"{entity} {dict(matrix.dtypes)[entity]}, eval_month int, ytrue int, "

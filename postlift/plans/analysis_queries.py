@@ -70,7 +70,7 @@ SELECT event_type, n, round(q1, 6) AS q1, round(q2, 6) AS median, round(q3, 6) A
 FROM q JOIN r USING (event_type)""")
 def box_summary(spark, sf):
     events = fx.table(spark, sf, "events").select("event_type", "value")
-    return _rounded(quantiles.box_summary(events, "event_type", "value"))
+    return _rounded(quantiles.box_summary(events, "value", ("event_type",)))
 
 
 _BOX = ("q1", "median", "q3", "whisker_low", "whisker_high")

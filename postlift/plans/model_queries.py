@@ -211,8 +211,8 @@ def _modalities(spark, sf):
     keyed = z.select("id", "is_viral", F.array(*fx.ZSLOTS).alias("tabular"),
                      (F.col("id") % n).alias("_text"), ((F.col("id") * 7 + 3) % n).alias("_video"))
     vectors = fx.table(spark, sf, "embeddings")
-    texted = scoring.join_embeddings(keyed, vectors, "_text", "text")
-    return scoring.join_embeddings(texted, vectors, "_video", "video")
+    texted = scoring.join_embeddings(keyed, vectors, "_text", "text", _DIM)
+    return scoring.join_embeddings(texted, vectors, "_video", "video", _DIM)
 
 
 def _branch_sql(column, shift, head):
@@ -293,7 +293,7 @@ FROM f JOIN (VALUES """ + ", ".join(
         f"({j}, '{name}')" for j, name in enumerate(explain.FEATURE_NAMES, 1)) + """) t(k, name)
   ON k = f.j, (SELECT f1 FROM f WHERE j = 0) base"""))
 def permutation_importance(spark, sf):
-    rows = materialize(fx.scored(spark, sf).select("id", "is_viral", "logit", *fx.ZSLOTS), "scored")
+    rows = fx.scored(spark, sf)
     found = explain.permutation_importance(rows, "id", fx.ZSLOTS, fx.WEIGHTS, "logit", "is_viral")
     rounded = found.withColumns({c: F.round(c, 6) for c in ("baseline_f1", "shuffled_f1")})
     return rounded.withColumn("importance",
@@ -336,11 +336,9 @@ def train_weighted(spark, sf):
     model = training.train_weighted(rows.where("split = 'train'"), fx.ZSLOTS, "is_viral",
                                     maxIter=20)
     test = training.assemble(rows.where("split = 'test'"), fx.ZSLOTS)
-    scored = training.probability_of_one(model.transform(test))
-    curves = metrics.curve_metrics(scored.withColumn("model", F.lit("weighted")), "is_viral",
-                                   "prob", ("model",))
-    return curves.join(metrics.binary_metrics(
-        scored.withColumn("model", F.lit("weighted")), "is_viral", "prob", by=("model",)), "model")
+    scored = training.probability_of_one(model.transform(test)).select(
+        "is_viral", "prob", F.lit("weighted").alias("model"))
+    return metrics.evaluate(scored, "is_viral", "prob", by=("model",))
 
 
 @query("q_train_focal")
@@ -351,7 +349,7 @@ def train_focal(spark, sf):
     logit = scoring.dot(fx.ZSLOTS, weights) + F.lit(bias)
     test = rows.where("split = 'test'").select(
         "is_viral", scores.logistic(logit).alias("prob"), F.lit("focal").alias("model"))
-    curves = metrics.curve_metrics(test, "is_viral", "prob", ("model",))
+    curves = metrics.evaluate(test, "is_viral", "prob", by=("model",))
     return curves.withColumns({"first_loss": F.lit(history[0]), "last_loss": F.lit(history[-1])})
 
 

@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
-    """Register a query; the clock is pinned to UTC as every oracle assumes."""
+    """Register a query; it runs with the settings its plan and oracle assume."""
     def register(build):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            return build(spark, sf)
+            return build(prepare(spark), sf)
 
         QUERIES[name] = run
         if sql is not None:
