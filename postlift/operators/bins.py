@@ -26,13 +26,17 @@ def bin_of(value: Column, edges) -> Column:
 
 def cut(df: DataFrame, value: str, edges, out: str = "bin") -> DataFrame:
     """Attach the bin number and its edges; rows outside the edges go."""
-    if len(edges) < 2:
-        return (df.limit(0).withColumn(out, F.lit(0)).withColumn("lo", F.lit(0.0))
-                .withColumn("hi", F.lit(0.0)))
-    lows = F.array(*[F.lit(float(e)) for e in edges[:-1]])
-    highs = F.array(*[F.lit(float(e)) for e in edges[1:]])
+    if len(edges) < 2:  # no rows, or one single value: there is no interval
+        return df.limit(0).withColumns({out: F.lit(0), "lo": F.lit(0.0), "hi": F.lit(0.0)})
+    low, high = edge_columns(edges, out)
     return (df.withColumn(out, bin_of(F.col(value), edges)).where(F.col(out).isNotNull())
-            .withColumn("lo", lows[F.col(out)]).withColumn("hi", highs[F.col(out)]))
+            .withColumn("lo", low).withColumn("hi", high))
+
+
+def edge_columns(edges, bin_column: str = "bin") -> tuple[Column, Column]:
+    """Lower and upper edge of a row's bin."""
+    ends = F.lit([float(e) for e in edges])
+    return ends[F.col(bin_column)], ends[F.col(bin_column) + 1]
 
 
 def quantile_cut(df: DataFrame, value: str, q: int = 5, out: str = "bin") -> DataFrame:
@@ -43,6 +47,10 @@ def interval_label(low: Column, high: Column, joiner: str = "–", unit: str = "
     return F.concat(low, F.lit(joiner), high, F.lit(unit))
 
 
+def hours_label(joiner: str):
+    return lambda low, high: interval_label(whole_hours(low), whole_hours(high), joiner, "h")
+
+
 def whole_hours(col: Column) -> Column:
     """Hours without decimals, ties to even."""
     return F.bround(col, 0).cast("bigint").cast("string")
@@ -54,14 +62,17 @@ def with_age_hours(df: DataFrame, create: str = "create_time", stats: str = "sta
     return df.withColumn(out, seconds / F.lit(3600.0))
 
 
-def binned_report(binned: DataFrame, measures: list[str], label: Column) -> DataFrame:
-    """One row per (bin, label, measure) with its box summary; all measures share
-    the passes."""
+def binned_report(df: DataFrame, value: str, edges, measures: list[str], label) -> DataFrame:
+    """One row per (bin, measure): label and box summary; all measures share the passes.
+
+    ``label`` turns the two edge columns into text, on the few summary rows only.
+    """
     values = F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x"))
                        for m in measures])
-    long = binned.select("bin", label.alias("label"), F.explode(values).alias("m")).select(
-        "bin", "label", "m.*")
-    return box_summary(long, "x", ("bin", "label", "measure"))
+    long = cut(df, value, edges).select("bin", F.explode(values).alias("m")).select("bin", "m.*")
+    boxes = box_summary(long, "x", ("bin", "measure"))
+    low, high = edge_columns(edges)
+    return boxes.withColumn("label", label(low, high))
 
 
 def account_size_report(posts: DataFrame) -> DataFrame:
@@ -69,9 +80,10 @@ def account_size_report(posts: DataFrame) -> DataFrame:
     kept = (posts.select("play_count", "author_follower_count")
             .where("play_count > 0 and author_follower_count > 0")
             .withColumn("log_play_count", F.log10("play_count")))
-    binned = quantile_cut(kept, "author_follower_count")
-    label = interval_label(text.short_count(F.col("lo")), text.short_count(F.col("hi")))
-    return binned_report(binned, ["play_count", "log_play_count"], label)
+    return binned_report(
+        kept, "author_follower_count", quantile_edges(kept, "author_follower_count"),
+        ["play_count", "log_play_count"],
+        lambda low, high: interval_label(text.short_count(low), text.short_count(high)))
 
 
 def _aged(posts: DataFrame) -> DataFrame:
@@ -84,9 +96,8 @@ def age_report(posts: DataFrame) -> DataFrame:
     """Plays, raw and log10, by quintile of time since publication."""
     kept = (_aged(posts).where("delta_hours > 0")
             .withColumn("log_play_count", F.log10("play_count")))
-    label = interval_label(whole_hours(F.col("lo")), whole_hours(F.col("hi")), unit="h")
-    return binned_report(quantile_cut(kept, "delta_hours"),
-                         ["play_count", "log_play_count"], label)
+    return binned_report(kept, "delta_hours", quantile_edges(kept, "delta_hours"),
+                         ["play_count", "log_play_count"], hours_label("–"))
 
 
 def velocity_report(posts: DataFrame) -> DataFrame:
@@ -95,14 +106,12 @@ def velocity_report(posts: DataFrame) -> DataFrame:
     kept = (_aged(posts).where("delta_hours > 0")
             .withColumn("view_velocity_raw", speed)
             .withColumn("view_velocity_log", F.log1p(speed)))
-    label = interval_label(whole_hours(F.col("lo")), whole_hours(F.col("hi")), " - ", "h")
-    return binned_report(quantile_cut(kept, "delta_hours"),
-                         ["view_velocity_raw", "view_velocity_log"], label)
+    return binned_report(kept, "delta_hours", quantile_edges(kept, "delta_hours"),
+                         ["view_velocity_raw", "view_velocity_log"], hours_label(" - "))
 
 
 def recent_report(posts: DataFrame, edges=SETTINGS.recent_edges_hours) -> DataFrame:
     """Log plays per hour in fixed age bins of recent posts."""
     kept = _aged(posts).where(F.col("delta_hours").between(edges[0], edges[-1])).withColumn(
         "view_velocity", F.log1p(F.col("play_count") / F.col("delta_hours")))
-    label = interval_label(whole_hours(F.col("lo")), whole_hours(F.col("hi")), " - ", "h")
-    return binned_report(cut(kept, "delta_hours", edges), ["view_velocity"], label)
+    return binned_report(kept, "delta_hours", edges, ["view_velocity"], hours_label(" - "))

@@ -12,13 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-# Groups up to this size need no bracket: all their values are ranked.  Above it,
-# the bracket's margin is wider than the sketch's error by several ranks.
-_SMALL = 100_000
-
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[str, ...] = (),
-                    accuracy: int = 20_000, few_groups: bool = False) -> DataFrame:
+                    accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """One row per group: ``by``, row count ``n``, ``q`` (array in ``probs`` order).
 
     Null and NaN values are left out.  ``few_groups`` states that the number of
@@ -34,7 +30,9 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[
         F.count("*").alias("_n"),
         F.percentile_approx("_v", edges, accuracy).alias("_e"))
     ends = F.col("_e")
-    small = F.col("_n") <= _SMALL
+    # Small groups need no bracket: all their values are ranked.  Above this size the
+    # margin exceeds the sketch's error by at least three ranks.
+    small = F.col("_n") <= 3 * accuracy
     bounds = [F.when(small, ends[side]).otherwise(ends[2 * i + 2 + side]).alias(f"_b{i}{side}")
               for i in range(len(probs)) for side in (0, 1)]
     brackets = sketch.select(*by, "_n", *bounds)

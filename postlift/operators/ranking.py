@@ -40,7 +40,7 @@ def running_sums(df: DataFrame, cell: Column, order: list[Column], sums: dict[st
 
 
 def hash_order(df: DataFrame, key: str, seed: int, rank: str = "rank",
-               digits: int = 3) -> DataFrame:
+               digits: int = 4) -> DataFrame:
     """0-based rank in a seeded pseudo-random order of a unique ``key``.
 
     The first ``digits`` hex digits of the hash are the cells: evenly filled by

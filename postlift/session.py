@@ -33,7 +33,9 @@ def build_session(app: str = "postlift", master: str | None = None, **conf) -> S
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**ADAPTIVE, **conf}.items():
+    # Recording a Python call site for every column costs more than building small plans.
+    defaults = {**ADAPTIVE, "spark.python.sql.dataFrameDebugging.enabled": "false"}
+    for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 
