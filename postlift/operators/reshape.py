@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def drop_accounting(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     """(stage, n_rows): rows read, rows passing each further gate, rows dropped.
 
-    One pass: every gate is a conditional count.
+    One pass: every gate is a conditional count.  (An ``Observation`` would count
+    on the side of a write, but a session that has used one can no longer ship
+    fitted models to its tasks in Spark 4.1.)
     """
     passed = F.lit(True)
     counts = [F.count("*").alias("read")]
@@ -24,12 +26,6 @@ def drop_accounting(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
     return wide.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
-    """Count on the side while the frame is written: no extra pass over the data."""
-    watch = Observation(name)
-    return df.observe(watch, *[expr.alias(key) for key, expr in metrics.items()]), watch
-
-
 def union_shards(shards: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, shards)
 
