@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
@@ -67,21 +68,35 @@ def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str, out: str, wi
     return df.join(vectors, key, "left").withColumn(out, F.coalesce(out, neutral))
 
 
-def fuse_linear(df: DataFrame, branches: dict[str, dict[str, list[float]]]) -> DataFrame:
-    """Linear late fusion in native expressions.
+HEADS = ("engagement", "velocity", "logit")
 
-    ``branches`` maps an array column to its weights per head; the heads are
-    ``engagement``, ``velocity`` and ``logit``.  Undoing the targets' log gives
-    the two scores, the logistic gives the class probability.
+
+def project_branch(vectors: DataFrame, key: str, column: str, weights: dict[str, list[float]],
+                   branch: str) -> DataFrame:
+    """One branch's share of every head, per vector: (key, <branch>_<head>...).
+
+    The fusion is linear, so the product can be taken below the join: three
+    numbers per vector are shuffled instead of the vector itself.
     """
-    heads = {head: sum((array_dot(F.col(column), weights[head])
-                        for column, weights in branches.items()), F.lit(0.0))
-             for head in ("engagement", "velocity", "logit")}
-    scored = df.withColumns({f"{head}_raw": value for head, value in heads.items()})
-    return scored.withColumns({
-        "engagement": untransform(F.col("engagement_raw")),
-        "velocity": untransform(F.col("velocity_raw")),
-        "viral_prob": logistic(F.col("logit_raw"))})
+    return vectors.select(key, *[
+        array_dot(F.col(column), weights[head]).alias(f"{branch}_{head}") for head in HEADS])
+
+
+def join_branch(df: DataFrame, projected: DataFrame, key: str, branch: str) -> DataFrame:
+    """Attach a branch by ``key``; a post without a vector gets a zero share."""
+    joined = df.join(projected, key, "left")
+    return joined.withColumns({f"{branch}_{head}": F.coalesce(f"{branch}_{head}", F.lit(0.0))
+                               for head in HEADS})
+
+
+def fuse_linear(df: DataFrame, branches: list[str]) -> DataFrame:
+    """Add up the branches' shares per head; undo the targets' log for the two
+    scores and apply the logistic for the class probability."""
+    totals = {head: sum((F.col(f"{b}_{head}") for b in branches[1:]),
+                        F.col(f"{branches[0]}_{head}")) for head in HEADS}
+    return df.withColumns({"engagement": untransform(totals["engagement"]),
+                           "velocity": untransform(totals["velocity"]),
+                           "viral_prob": logistic(totals["logit"])})
 
 
 def tabular_branch(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -93,30 +108,34 @@ def tabular_branch(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def fuse_mlp(df: DataFrame, weights: dict[str, np.ndarray], key: str = "id") -> DataFrame:
-    """Late fusion with dense layers; columns text, video and tabular hold arrays.
+    """Late fusion with dense layers; columns text, video and tabular hold arrays of
+    fixed width, whose Arrow buffers are read as matrices without a copy per row.
 
     The weights are model-sized, not data-sized, and are sent once per executor.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def matrix(batch, name):
+        column = batch.column(name)
+        return np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            if batch.empty:
+            if batch.num_rows == 0:
                 continue
-            text, video, tabular = (np.stack(batch[c].to_numpy()).astype(float)
-                                    for c in ("text", "video", "tabular"))
-            fused = np.concatenate([text, video, tabular_branch(tabular, w)], axis=1)
+            fused = np.concatenate([matrix(batch, "text"), matrix(batch, "video"),
+                                    tabular_branch(matrix(batch, "tabular"), w)], axis=1)
             common = np.maximum(fused @ w["fuse"] + w["fuse_b"], 0)
             head = {name: np.maximum(common @ w[f"{name}_in"], 0) @ w[f"{name}_out"]
-                    for name in ("engagement", "velocity", "logit")}
-            yield pd.DataFrame({
-                key: batch[key], "engagement": np.expm1(head["engagement"]),
-                "velocity": np.expm1(head["velocity"]),
-                "viral_prob": 1 / (1 + np.exp(-head["logit"]))})
+                    for name in HEADS}
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(key), pa.array(np.expm1(head["engagement"])),
+                 pa.array(np.expm1(head["velocity"])), pa.array(1 / (1 + np.exp(-head["logit"])))],
+                [key, "engagement", "velocity", "viral_prob"])
 
     schema = f"{key} bigint, engagement double, velocity double, viral_prob double"
-    return df.select(key, "text", "video", "tabular").mapInPandas(run, schema)
+    return df.select(key, "text", "video", "tabular").mapInArrow(run, schema)
 
 
 def mlp_weights(text_dim: int, video_dim: int, tab_dim: int, d_model: int, seed: int
@@ -132,7 +151,7 @@ def mlp_weights(text_dim: int, video_dim: int, tab_dim: int, d_model: int, seed:
          "norm_scale": np.ones(d_model), "norm_shift": np.zeros(d_model),
          "tab_out": layer(d_model, d_model), "tab_out_b": np.zeros(d_model),
          "fuse": layer(text_dim + video_dim + d_model, d_model), "fuse_b": np.zeros(d_model)}
-    for head in ("engagement", "velocity", "logit"):
+    for head in HEADS:
         w[f"{head}_in"] = layer(d_model, d_model // 2)
         w[f"{head}_out"] = layer(d_model // 2)
     return w

@@ -196,7 +196,7 @@ def _head_weights(head, n, shift):
     return [math.sin((head + 1) * (i + shift)) / 8 for i in range(1, n + 1)]
 
 
-_HEADS = ("engagement", "velocity", "logit")
+_HEADS = scoring.HEADS
 _BRANCHES = {
     "text": {h: _head_weights(k, _DIM, 0) for k, h in enumerate(_HEADS)},
     "video": {h: _head_weights(k, _DIM, 100) for k, h in enumerate(_HEADS)},
@@ -204,12 +204,30 @@ _BRANCHES = {
 }
 
 
-def _modalities(spark, sf):
-    """Scored posts with a text, a video and a tabular vector each."""
-    z = fx.scored(spark, sf)
+def _keyed(spark, sf, *columns):
+    """Standardised posts with the keys of their text and video vectors."""
     n = fx.count_of(spark, sf, "embeddings")
-    keyed = z.select("id", "is_viral", F.array(*fx.ZSLOTS).alias("tabular"),
-                     (F.col("id") % n).alias("_text"), ((F.col("id") * 7 + 3) % n).alias("_video"))
+    return fx.standardized(spark, sf).select(
+        "id", "is_viral", *columns, (F.col("id") % n).alias("_text"),
+        ((F.col("id") * 7 + 3) % n).alias("_video"))
+
+
+def _branch_shares(spark, sf):
+    """Posts with every branch's share of every head."""
+    tabular = [scoring.dot(fx.ZSLOTS, _BRANCHES["tabular"][h]).alias(f"tabular_{h}")
+               for h in _HEADS]
+    posts = _keyed(spark, sf, *tabular)
+    for branch in ("text", "video"):
+        shares = scoring.project_branch(
+            fx.table(spark, sf, "embeddings").withColumnRenamed("vec_id", f"_{branch}"),
+            f"_{branch}", "embedding", _BRANCHES[branch], branch)
+        posts = scoring.join_branch(posts, shares, f"_{branch}", branch)
+    return posts
+
+
+def _modalities(spark, sf):
+    """Posts with a text, a video and a tabular vector each."""
+    keyed = _keyed(spark, sf, F.array(*fx.ZSLOTS).alias("tabular"))
     vectors = fx.table(spark, sf, "embeddings")
     texted = scoring.join_embeddings(keyed, vectors, "_text", "text", _DIM)
     return scoring.join_embeddings(texted, vectors, "_video", "video", _DIM)
@@ -236,7 +254,7 @@ SELECT id, round(exp(engagement_text + engagement_video + engagement_tabular) -
   round(1 / (1 + exp(-(logit_text + logit_video + logit_tabular))), 6) AS viral_prob
 FROM ({_FUSED})""", "zed"))
 def late_fusion(spark, sf):
-    fused = scoring.fuse_linear(_modalities(spark, sf), _BRANCHES)
+    fused = scoring.fuse_linear(_branch_shares(spark, sf), ["text", "video", "tabular"])
     return _round_all(fused.select("id", "engagement", "velocity", "viral_prob"), "id")
 
 
@@ -264,12 +282,10 @@ JOIN (SELECT condition, f1 FROM (""" + _RATES.format(
         by="condition, ", rows="SELECT condition, is_viral = 1 AS y, prob >= 0.7 AS p FROM cases")
     + ")) USING (condition)"))
 def ablation(spark, sf):
-    branch = {name: scoring.array_dot(F.col(name), weights["logit"]).alias(name)
-              for name, weights in _BRANCHES.items()}
-    parts = _modalities(spark, sf).select("is_viral", *branch.values())
-    conditions = {name: sum((F.col(b) for b in kept[1:]), F.col(kept[0]))
+    conditions = {name: sum((F.col(f"{b}_logit") for b in kept[1:]), F.col(f"{kept[0]}_logit"))
                   for name, kept in _ABLATED.items()}
-    return _round_all(explain.ablate(parts, conditions, "is_viral"), "condition")
+    found = explain.ablate(_branch_shares(spark, sf), conditions, "is_viral")
+    return _round_all(found, "condition")
 
 
 @query("q_ablation_wide", None)

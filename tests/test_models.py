@@ -125,12 +125,16 @@ def test_fusion_keeps_rows_without_embedding(spark):
 
 
 def test_linear_fusion(spark):
-    df = spark.createDataFrame([(1, [1.0, 2.0])], "id int, text array<double>")
+    posts = spark.createDataFrame([(1, 5), (2, 6)], "id int, k int")
+    vectors = spark.createDataFrame([(5, [1.0, 2.0])], "k int, v array<double>")
     heads = {"engagement": [1.0, 0.0], "velocity": [0.0, 1.0], "logit": [2.0, -1.0]}
-    row = scoring.fuse_linear(df, {"text": heads}).first()
-    assert row.engagement == pytest.approx(math.expm1(1))
-    assert row.velocity == pytest.approx(math.expm1(2))
-    assert row.viral_prob == 0.5
+    shares = scoring.project_branch(vectors, "k", "v", heads, "text")
+    joined = scoring.join_branch(posts, shares, "k", "text")
+    got = {r.id: r for r in scoring.fuse_linear(joined, ["text"]).collect()}
+    assert got[1].engagement == pytest.approx(math.expm1(1))
+    assert got[1].velocity == pytest.approx(math.expm1(2))
+    assert got[1].viral_prob == got[2].viral_prob == 0.5
+    assert got[2].engagement == 0.0
 
 
 def test_dense_fusion_matches_numpy(spark):
