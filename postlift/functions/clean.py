@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
-
-# Spark's own text-to-double cast also reads Java suffixes such as "1d"; plain
-# decimal notation is what counts as a number here.
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Seconds of 0001-01-01 and 9999-12-31 23:59:59, the calendar's ends.
 _FIRST_SECOND = -62135596800
@@ -27,15 +23,34 @@ DATE_LAYOUTS = (
 
 
 def number_from_text(col: Column) -> Column:
-    """Double for plain decimal text, null for anything else."""
-    text = col.cast("string")
-    return F.when(text.rlike(_NUMBER), text.try_cast("double"))
+    """Double for plain decimal text, null for anything else.
+
+    Spark's cast also reads Java's "1d", "NaN" and hexadecimal floats; a look at
+    the last character and for an x rules them out without a regular expression.
+    """
+    text = F.btrim(col.cast("string"), F.lit(" \t\n\r"))
+    last = F.substring(text, -1, 1)
+    plain = (last.between("0", "9") | (last == ".")) & ~F.contains(F.lower(text), F.lit("x"))
+    return F.when(plain, text.try_cast("double"))
+
+
+def number_in(df: DataFrame, name: str) -> Column:
+    """A column as double: numeric ones as they are, text read as plain decimals,
+    null where the column does not exist."""
+    kind = dict(df.dtypes).get(name)
+    if kind is None:
+        return F.lit(None).cast("double")
+    return number_from_text(F.col(name)) if kind == "string" else F.col(name).cast("double")
+
+
+def zero_if_missing(value: Column) -> Column:
+    """The double, or 0 for null and NaN."""
+    return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(0.0))
 
 
 def coerce_number(col: Column) -> Column:
     """Numeric value, 0 where missing or unreadable (NaN counts as missing)."""
-    value = number_from_text(col)
-    return F.coalesce(F.when(~F.isnan(value), value), F.lit(0.0))
+    return zero_if_missing(number_from_text(col))
 
 
 def epoch_to_ntz(seconds: Column) -> Column:

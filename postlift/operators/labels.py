@@ -91,17 +91,20 @@ def engineer_flat(raw: DataFrame) -> DataFrame:
     def column(name):
         return F.col(name) if name in raw.columns else F.lit(None).cast("string")
 
-    created_s = clean.number_from_text(column("create_time"))
+    def number(name):
+        return clean.zero_if_missing(clean.number_in(raw, name))
+
+    created_s = clean.number_in(raw, "create_time")
     created = clean.epoch_to_ntz(created_s)
-    numbers = {name: clean.coerce_number(column(name))
+    numbers = {name: number(name)
                for name in ("digg_count", "comment_count", "share_count", "play_count")}
     usable = raw.where(column("play_count").isNotNull() & (created_s > 0))
     return usable.select(
         *[c for c in ("id", "user_id") if c in raw.columns],
         clean.cohort_month(created).alias("cohort_month"),
         numbers["play_count"].alias("play_count"),
-        clean.coerce_number(column("duration")).alias("duration"),
-        clean.coerce_number(column("vq_score")).alias("vq_score"),
+        number("duration").alias("duration"),
+        number("vq_score").alias("vq_score"),
         clean.parse_flag_int(column("music_original")).alias("music_original"),
         clean.parse_flag_int(column("user_verified")).alias("user_verified"),
         text.hashtag_count(column("challenges")).alias("hashtag_count"),

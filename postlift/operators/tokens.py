@@ -10,8 +10,12 @@ from ..config import SETTINGS
 PAD, UNKNOWN, FIRST_WORD = 0, 1, 2
 
 
-def split_words(text: Column) -> Column:
-    return F.filter(F.split(text, r"[ \t\n\r]+"), lambda w: w != "")
+def split_words(text: Column, first: int | None = None) -> Column:
+    """Words between blanks, or only the ``first`` ones; null for blank text."""
+    trimmed = F.btrim(text, F.lit(" \t\n\r"))
+    # With a limit the rest of the text stays unsplit behind the last wanted word.
+    words = F.split(trimmed, r"[ \t\n\r]+", -1 if first is None else first + 1)
+    return F.when(trimmed != "", words if first is None else F.slice(words, 1, first))
 
 
 def vocabulary(docs: DataFrame, text: str, size: int = SETTINGS.vocabulary_size) -> DataFrame:
@@ -32,9 +36,9 @@ def token_windows(docs: DataFrame, key: str, text: str, vocab: DataFrame,
     """``input_ids`` and ``attention_mask`` of exactly ``width`` entries per text.
 
     Cutting to ``width`` tokens is the operator's contract, so later words are not
-    even exploded; a text's list is never longer than that.
+    even split off; a text's list is never longer than that.
     """
-    words = docs.select(key, F.posexplode_outer(F.slice(split_words(F.col(text)), 1, width))
+    words = docs.select(key, F.posexplode_outer(split_words(F.col(text), width))
                         .alias("pos", "token"))
     coded = words.join(F.broadcast(vocab), "token", "left").select(
         key, "pos", F.when(F.col("token").isNotNull(),

@@ -60,25 +60,28 @@ def train_focal(train: DataFrame, columns: list[str], label: str, steps: int = 2
                 rate: float = 2.0, settings=SETTINGS) -> tuple[list[float], float, list[float]]:
     """Linear head under focal loss by full-batch gradient descent.
 
-    A step is one aggregate over the stored rows: each task adds up its gradient
-    in generated code and sends one short row, so nothing but the weights ever
-    reaches the driver.  Returns (weights, bias, loss per step).
+    A step is one aggregate over the rows: each task adds up its gradient in
+    generated code and sends one short row, so nothing but the weights ever
+    reaches the driver.  The rows are read once per step, so pass a stored frame.
+    Returns (weights, bias, loss per step).
     """
-    stored = materialize(train.select(*columns, F.col(label).cast("double").alias("_y")), "focal")
+    rows = train.select(*columns, F.col(label).cast("double").alias("_y"))
     weights, bias, history = [0.0] * len(columns), 0.0, []
     y = F.col("_y")
     for _ in range(steps):
         z = F.col("_z")
-        scored = stored.withColumn("_z", dot(columns, weights) + F.lit(bias))
+        scored = rows.withColumn("_z", dot(columns, weights) + F.lit(bias))
         pulled = scored.withColumn("_g", focal_gradient(
             z, y, settings.focal_alpha, settings.focal_gamma))
         row = pulled.agg(
-            F.avg(focal(z, y, settings.focal_alpha, settings.focal_gamma)).alias("loss"),
-            F.avg("_g").alias("bias"),
-            *[F.avg(F.col("_g") * F.col(c)).alias(c) for c in columns]).first()
-        history.append(row["loss"])
-        weights = [w - rate * row[c] for w, c in zip(weights, columns)]
-        bias -= rate * row["bias"]
+            F.count("*").alias("n"),
+            F.sum(focal(z, y, settings.focal_alpha, settings.focal_gamma)).alias("loss"),
+            F.sum("_g").alias("bias"),
+            *[F.sum(F.col("_g") * F.col(c)).alias(c) for c in columns]).first()
+        n = row["n"]
+        history.append(row["loss"] / n)
+        weights = [w - rate * row[c] / n for w, c in zip(weights, columns)]
+        bias -= rate * row["bias"] / n
     return weights, bias, history
 
 

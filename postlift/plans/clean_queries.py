@@ -57,7 +57,7 @@ SELECT user_id, folder, author_follower_count, author_following_count, is_verifi
 FROM user_meta""", "user_meta"))
 def sidecar_load(spark, sf):
     path = scratch_path(spark, "sidecars")
-    fx.user_meta(spark, sf).withColumnRenamed("folder", "owner").write.json(path)
+    fx.user_meta(fx.posts(spark, sf)).withColumnRenamed("folder", "owner").write.json(path)
     loaded = tables.read_sidecars(spark, path, _USER_META.replace("folder", "owner"), False)
     return loaded.select("user_id", F.col("owner").alias("folder"), "author_follower_count",
                          "author_following_count", "is_verified")
@@ -527,12 +527,6 @@ FROM raw_posts p JOIN user_meta u USING (user_id) JOIN video_meta m USING (id)
 WHERE p.id % 5 <> 0""", "raw_posts", "user_meta", "video_meta", "objects")
 
 
-def _composed(spark, sf, base):
-    return compose.compose(
-        base, compose.asset_gate(fx.manifest(spark, sf)), fx.user_meta(spark, sf),
-        fx.video_meta(spark, sf), compose.detected_labels(fx.detections(spark, sf)))
-
-
 def _shown(composed):
     return composed.select(
         "id", "user_id", "username", "city", "user_verified", "is_private",
@@ -549,17 +543,23 @@ def _shown(composed):
 
 @query("q_compose", _COMPOSE_SQL)
 def compose_posts(spark, sf):
-    return _shown(_composed(spark, sf, fx.raw_posts(spark, sf)))
+    # Base rows and sidecars are separate inputs; here all derive from one stored frame.
+    stored = materialize(fx.posts(spark, sf), "posts")
+    return _shown(compose.compose(
+        fx.raw_posts(spark, sf, stored), compose.asset_gate(fx.manifest(spark, sf)),
+        fx.user_meta(stored), fx.video_meta(stored),
+        compose.detected_labels(fx.detections(spark, sf))))
 
 
 @query("q_stream_compose", _COMPOSE_SQL)
 def stream_compose(spark, sf):
     from ..streaming.incremental import compose_stream, read_shards
-    arrived = materialize(fx.raw_posts(spark, sf).repartition(4), "arrived")
+    stored = materialize(fx.posts(spark, sf), "posts")
+    arrived = materialize(fx.raw_posts(spark, sf, stored).repartition(4), "arrived")
     # Static sides are stored once, else every micro-batch would derive them again.
     gate = materialize(compose.asset_gate(fx.manifest(spark, sf)), "gate")
-    users = materialize(fx.user_meta(spark, sf), "users")
-    details = materialize(fx.video_meta(spark, sf), "details")
+    users = materialize(fx.user_meta(stored), "users")
+    details = materialize(fx.video_meta(stored), "details")
     objects = materialize(compose.detected_labels(fx.detections(spark, sf)), "objects")
     sink = scratch_path(spark, "composed")
     compose_stream(spark, arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema,

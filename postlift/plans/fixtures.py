@@ -100,9 +100,9 @@ def challenges():
             .when(case == 4, '{"a":1,"b":2}'))
 
 
-def raw_posts(spark, sf) -> DataFrame:
+def raw_posts(spark, sf, stored: DataFrame | None = None) -> DataFrame:
     """Posts as they arrive: text everywhere, with unreadable values mixed in."""
-    p = posts(spark, sf)
+    p = posts(spark, sf) if stored is None else stored
     i, created = F.col("id"), clean.epoch_seconds(F.col("create_time"))
     verified = i % 6
     return p.select(
@@ -119,8 +119,8 @@ def raw_posts(spark, sf) -> DataFrame:
         F.col("vq_score").cast("string").alias("vq_score"))
 
 
-def video_meta(spark, sf) -> DataFrame:
-    p = posts(spark, sf).where("id % 3 <> 0")
+def video_meta(stored: DataFrame) -> DataFrame:
+    p = stored.where("id % 3 <> 0")
     return p.select(
         "id", F.when(F.col("id") % 7 != 0, F.col("play_count") + 1).alias("view_count"),
         F.col("digg_count").alias("like_count"),
@@ -128,8 +128,8 @@ def video_meta(spark, sf) -> DataFrame:
         F.when(F.col("id") % 2 != 0, F.col("aspect_ratio")).alias("aspect_ratio"))
 
 
-def user_meta(spark, sf) -> DataFrame:
-    p = posts(spark, sf).where("user_id % 4 <> 0")
+def user_meta(stored: DataFrame) -> DataFrame:
+    p = stored.where("user_id % 4 <> 0")
     return (p.groupBy("user_id").agg(
         F.max("username").alias("folder"),
         *[F.max(c).alias(c) for c in (
