@@ -81,10 +81,9 @@ def parse_any_time(col: Column) -> Column:
     ``DATE_LAYOUTS``; sub-second parts are dropped, failures give null."""
     text = F.trim(col.cast("string"))
     number = number_from_text(text)
-    whole = F.when(number >= 0, F.floor(number)).otherwise(F.ceil(number))
     read = [F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS]
     parsed = F.date_trunc("second", F.coalesce(*read)).cast("timestamp_ntz")
-    return F.when(number.isNotNull(), epoch_to_ntz(whole)).otherwise(parsed)
+    return F.when(number.isNotNull(), epoch_to_ntz(number.try_cast("bigint"))).otherwise(parsed)
 
 
 def parse_flag(col: Column) -> Column:

@@ -9,20 +9,29 @@ from ..functions import clean, scores
 
 
 def asset_gate(manifest: DataFrame, path: str = "path") -> DataFrame:
-    """(id, folder) of posts whose media, own JSON and creator JSON all exist."""
+    """(id, folder) of posts whose media, own JSON and creator JSON all exist.
+
+    A post's two files meet in one aggregate keyed by folder and id, which spreads
+    a busy creator's files over all tasks; only the check for the creator's file
+    goes by folder alone, and is left to the skew-join split.
+    """
+    name = F.substring_index(path, "/", -1)
     files = manifest.select(
-        F.regexp_extract(path, r"([^/]*)/[^/]+$", 1).alias("folder"),
-        F.regexp_extract(path, r"([^/]+)$", 1).alias("name"))
+        F.substring_index(F.substring_index(path, "/", -2), "/", 1).alias("folder"),
+        name.alias("name"),
+        F.when(F.contains(name, F.lit(".mp4")), F.regexp_extract(name, r"(\d+)\.mp4", 1))
+        .try_cast("bigint").alias("media_id"),
+        F.when(F.endswith(name, F.lit(".json")), F.substring_index(name, ".", 1))
+        .try_cast("bigint").alias("detail_id"))
+    exact = F.concat(F.col("detail_id").cast("string"), F.lit(".json")) == F.col("name")
+    parts = files.select("folder", F.coalesce("media_id", F.when(exact, F.col("detail_id")))
+                         .alias("id"), F.col("media_id").isNotNull().alias("is_media"))
+    both = (parts.where("id is not null").groupBy("folder", "id")
+            .agg(F.max("is_media").alias("media"), F.min("is_media").alias("only_media"))
+            .where("media and not only_media"))
     users = files.where("name = 'user.json'").select("folder")
-    details = files.where(F.col("name").rlike(r"^\d+\.json$")).select("folder", "name")
-    media = (files.select("folder", F.regexp_extract("name", r"(\d+)\.mp4", 1)
-                          .try_cast("bigint").alias("id")).where("id is not null")
-             .withColumn("name", F.concat(F.col("id").cast("string"), F.lit(".json"))))
-    # The join on both columns comes first: it spreads a busy creator's files over
-    # all tasks; the one on the folder alone is left to the skew-join split.
-    whole = (media.join(details, ["folder", "name"], "left_semi")
-             .join(users, "folder", "left_semi"))
-    return whole.groupBy("id").agg(F.max("folder").alias("folder"))
+    return (both.join(users, "folder", "left_semi")
+            .groupBy("id").agg(F.max("folder").alias("folder")))
 
 
 def detected_labels(detections: DataFrame, threshold: float = SETTINGS.detection_confidence

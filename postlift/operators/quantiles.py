@@ -17,7 +17,7 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[
                     accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """One row per group: ``by``, row count ``n``, ``q`` (array in ``probs`` order).
 
-    Null and NaN values are left out.  ``few_groups`` states that the number of
+    Null and NaN values and rows without a group are left out.  ``few_groups`` states that the number of
     groups has a proven bound (calendar months, bins), which lets the bracket
     table be broadcast instead of shuffling the values.
     """

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
 from ..functions.features import FEATURE_SLOTS
 from ..functions.scores import logistic, untransform
 
+# Worker functions travel with their code, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def feature_stats(df: DataFrame, slots=FEATURE_SLOTS) -> DataFrame:
     """One row: mean and population deviation of every feature."""

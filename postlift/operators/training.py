@@ -121,6 +121,7 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
     results = scratch_path(spark, "timecut-results")
     schema = (f"{entity} {dict(matrix.dtypes)[entity]}, eval_month int, ytrue int, "
               "timecut int, model_id string, p double")
+    written = False
     # A short list: one row per timecut.
     for cut in timecut_windows(panel, month, spec).orderBy(F.desc("val_end")).collect():
         label_month = F.col("label_month")
@@ -147,16 +148,12 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
                            F.lit(cut["val_end"]).cast("int").alias("timecut"),
                            F.lit(model_id).alias("model_id"), F.col("p").cast("double"))
              .write.mode("append").parquet(results))
-    if not _exists(spark, results):
+            written = True
+    if not written:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(results)
 
 
-def _exists(spark, path: str) -> bool:
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def wide_results(results: DataFrame, entity: str, model_ids: list[str]) -> DataFrame:
     """One probability column per model, joined on keys rather than by position."""
     return (results.groupBy(entity, "eval_month", "timecut", "ytrue")

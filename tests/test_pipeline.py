@@ -216,3 +216,25 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     assert first == 10
     assert sorted(tuple(r) for r in read_shards(spark, sink).select("id", "v", "w", "s").collect()
                   ) == batch
+
+
+def test_cluster_without_shared_folder_is_refused():
+    class Context:
+        master, applicationId = "yarn", "app"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return self.folder if key == "spark.checkpoint.dir" else default
+
+        folder = None
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError):
+        scratch_root(Session())
+    Session.conf.folder = "hdfs:///shared/"
+    assert scratch_root(Session()) == "hdfs:///shared"
