@@ -5,7 +5,8 @@ quantile sketch only narrows the search: its rank error is at most
 ``1 / accuracy``, so a slightly wider bracket surely holds the wanted ranks.
 A second pass counts the rows outside the brackets (the map-side combine folds
 them to one row per gap) and ranks only the distinct values inside, about
-``4 / accuracy`` of a group per quantile.
+``4 / accuracy`` of a group per quantile.  Over a whole table, brackets that are
+still wide are narrowed by further sketches first.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+# Brackets of an ungrouped quantile are narrowed until about this many rows are left.
+_RANKED_ROWS = 1_000_000
+
+
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[str, ...] = (),
                     accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """One row per group: ``by``, row count ``n``, ``q`` (array in ``probs`` order).
@@ -40,17 +45,17 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[
         tagged = values.join(F.broadcast(brackets) if few_groups else brackets, list(by))
     else:
         # One row of a few numbers: read it and go on with constants.
-        head = brackets.first().asDict()
+        head = _narrowed(values, brackets.first().asDict(), probs, accuracy)
         tagged = values.select("_v", *[F.lit(x).alias(c) for c, x in head.items()])
 
     v = F.col("_v")
-    inside = F.lit(False)
-    passed = F.lit(float("-inf"))
+    inside, ends_below = F.lit(False), []
     for i in range(len(probs)):
         low, high = F.col(f"_b{i}0"), F.col(f"_b{i}1")
         inside = inside | ((v >= low) & (v <= high))
-        passed = F.when(v > high, high).otherwise(passed)
+        ends_below.append(F.when(v > high, high))
     # A row outside all brackets stands right after the last bracket end below it.
+    passed = F.greatest(F.lit(float("-inf")), *ends_below)
     counted = (tagged.select(*by, "_n", inside.alias("_in"),
                              F.when(inside, v).otherwise(passed).alias("_k"))
                .groupBy(*by, "_n", "_k", "_in").agg(F.count("*").alias("_c")))
@@ -74,6 +79,40 @@ def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[
             .select(*by, F.col("_n").alias("n"), F.array(*results).alias("q")))
 
 
+def _narrowed(values: DataFrame, head: dict, probs: list[float], accuracy: int) -> dict:
+    """Shrink the brackets of an ungrouped quantile by sketches of the rows inside.
+
+    Each round divides the rows left to rank by some thousands and costs two
+    scans; tables below a billion rows need none.  A bracket filled by one tied
+    value stops shrinking and is a single distinct value anyway.
+    """
+    v, margin, expected = F.col("_v"), 2.0 / accuracy, head["_n"] * 4.0 / accuracy
+    while head["_n"] > 3 * accuracy and expected > _RANKED_ROWS:
+        hits = [v.between(head[f"_b{i}0"], head[f"_b{i}1"]) for i in range(len(probs))]
+        counts = values.agg(*[
+            agg for i, hit in enumerate(hits) for agg in (
+                F.count(F.when(v < head[f"_b{i}0"], 1)).alias(f"below{i}"),
+                F.count(F.when(hit, 1)).alias(f"inside{i}"))]).first()
+        if max(counts[f"inside{i}"] for i in range(len(probs))) <= 3 * accuracy:
+            return head
+        sketches = []
+        for i, (p, hit) in enumerate(zip(probs, hits)):
+            at = (p * (head["_n"] - 1) - counts[f"below{i}"]) / max(1, counts[f"inside{i}"] - 1)
+            # Short brackets stay whole, long ones have ranks to spare in the margin.
+            slack = 1.0 if counts[f"inside{i}"] <= 3 * accuracy else margin
+            sketches.append(F.percentile_approx(
+                F.when(hit, v), [min(1.0, max(0.0, at - slack)), min(1.0, max(0.0, at + slack))],
+                accuracy).alias(f"e{i}"))
+        ends = values.agg(*sketches).first()
+        before = dict(head)
+        for i in range(len(probs)):
+            head[f"_b{i}0"], head[f"_b{i}1"] = ends[f"e{i}"]
+        if head == before:
+            return head
+        expected = max(counts[f"inside{i}"] for i in range(len(probs))) * 4.0 / accuracy
+    return head
+
+
 def box_summary(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:
     """Quartiles per bin and the furthest values within 1.5 IQR of the box.
 

@@ -26,6 +26,14 @@ def test_bracketed_quantiles_are_exact(spark, shape):
     assert got["q"] == pytest.approx(np.quantile(values, PROBS).tolist(), rel=1e-12)
 
 
+def test_probabilities_may_come_in_any_order(spark):
+    values = np.random.default_rng(4).normal(size=5000)
+    probs = [0.95, 0.1, 0.6, 0.6, 0.0]
+    got = quantiles.exact_quantiles(frame(spark, values.tolist()), F.col("v"), probs,
+                                    accuracy=100).first()
+    assert got["q"] == pytest.approx(np.quantile(values, probs).tolist(), rel=1e-12)
+
+
 def test_grouped_quantiles_with_a_hot_group(spark):
     rng = np.random.default_rng(8)
     pdf = pd.DataFrame({"g": np.where(rng.random(6000) < 0.4, "hot", rng.integers(0, 9, 6000)
@@ -148,3 +156,15 @@ def test_flat_features_drop_unusable_rows(spark):
     assert row == {"id": 1, "cohort_month": "2023-11", "viral": 1, "duration": 0.0,
                    "vq_score": 0.0, "music_original": 0, "user_verified": 1, "hashtag_count": 1,
                    "caption_length": 3, "post_hour": 22, "post_dow": 1, "engage_ratio": 0.0}
+
+
+@pytest.mark.parametrize("tied", [False, True])
+def test_wide_brackets_are_narrowed_first(spark, monkeypatch, tied):
+    monkeypatch.setattr(quantiles, "_RANKED_ROWS", 40)
+    rng = np.random.default_rng(9)
+    values = rng.normal(size=6000)
+    if tied:
+        values[rng.random(6000) < 0.34] = 0.25
+    got = quantiles.exact_quantiles(frame(spark, values.tolist()), F.col("v"), PROBS + [0.6],
+                                    accuracy=100).first()
+    assert got["q"] == pytest.approx(np.quantile(values, PROBS + [0.6]).tolist(), rel=1e-12)
