@@ -13,7 +13,7 @@ from ..session import materialize
 from ..sources import grid
 from . import fixtures as fx
 from .oracle_ctes import sql
-from .registry import query
+from .registry import ORACLES, query
 
 _SLOTS = [f"{i:02d}" for i in range(1, 20)]
 _DIM = 64
@@ -288,7 +288,11 @@ def ablation(spark, sf):
     return _round_all(found, "condition")
 
 
-@query("q_ablation_wide", None)
+@query("q_ablation_wide", " UNION ALL ".join(
+    f"SELECT '{metric}' AS metric, " + ", ".join(
+        f"max(CASE WHEN condition = '{name}' THEN {metric} END) AS \"{name}\""
+        for name in _ABLATED) + f" FROM ({ORACLES['q_ablation']})"
+    for metric in ("roc_auc", "average_precision", "f1")))
 def ablation_wide(spark, sf):
     long = ablation(spark, sf).unpivot(["condition"], ["roc_auc", "average_precision", "f1"],
                                        "metric", "value")

@@ -70,7 +70,7 @@ def test_best_model_breaks_ties_by_id(spark):
     assert [tuple(r) for r in got] == [(1, 0, 0.5), (2, 1, 0.2)]
 
 
-def reference_focal(z, y, alpha=0.95, gamma=3.0):
+def plain_focal(z, y, alpha=0.95, gamma=3.0):
     p = 1 / (1 + math.exp(-z))
     p_true = p if y else 1 - p
     weight = alpha if y else 1 - alpha
@@ -84,8 +84,8 @@ def test_focal_value_and_gradient(spark, z, y):
         losses.focal(F.col("z"), F.col("y")),
         training.focal_gradient(F.col("z"), F.col("y"), 0.95, 3.0)).first()
     step = 1e-6
-    slope = (reference_focal(z + step, y) - reference_focal(z - step, y)) / (2 * step)
-    assert row[0] == pytest.approx(reference_focal(z, y))
+    slope = (plain_focal(z + step, y) - plain_focal(z - step, y)) / (2 * step)
+    assert row[0] == pytest.approx(plain_focal(z, y))
     assert row[1] == pytest.approx(slope, rel=1e-4, abs=1e-9)
 
 
@@ -105,7 +105,7 @@ def test_huber_and_multitask(spark):
     row = losses.multitask_loss(df, ("pe", "pv"), ("ye", "yv"), "z", "y").first()
     assert row.regression_loss == pytest.approx((0.125 + 2.5) / 2)
     assert row.loss == pytest.approx(0.3 * row.regression_loss
-                                     + 0.7 * reference_focal(0.0, 1))
+                                     + 0.7 * plain_focal(0.0, 1))
 
 
 def test_zscore_uses_population_deviation(spark):
