@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, fingerprints, token_counts
-from .textops import whole_texts
+from . import byte_bpe, decontaminate, fingerprints, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,6 +32,31 @@ def vocabulary(name: str) -> bytes:
         return file.read()
 
 
+#: DuckDB: the words of a text, A-Z lower-cased.
+WORDS = ("list_filter(regexp_split_to_array(translate(coalesce(text, ''), "
+         "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+         "'[\\x20\\x09-\\x0D]+'), lambda w: w <> '')")
+
+
+def shingles_sql(table_name: str, key: str) -> str:
+    """DuckDB: distinct five-word shingles of every row; a shorter text is one, a blank one none."""
+    return f"""
+        SELECT DISTINCT {key}, unnest(CASE WHEN len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM (SELECT {key}, {WORDS} AS w FROM {table_name})"""
+
+
+@query("op1_decontamination", f"""
+    WITH d AS ({shingles_sql('documents', 'doc_id')}), i AS ({shingles_sql('benchmark', 'item_id')}),
+    n AS (SELECT item_id, count(*) AS n_item FROM i GROUP BY item_id)
+    SELECT doc_id, item_id, n_item, count(*) AS n_shared, count(*) / n_item AS containment
+    FROM i JOIN d USING (s) JOIN n USING (item_id)
+    GROUP BY doc_id, item_id, n_item HAVING count(*) * 10 >= n_item * 8""")
+def op1_decontamination(spark, sf):
+    return decontaminate.find_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query("op2_fingerprints")
 def op2_fingerprints(spark, sf):
     return fingerprints.fingerprint_documents(table(spark, sf, "documents"))
@@ -45,6 +69,11 @@ def op3_token_counts(spark, sf):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op6_shards")
+def op6_shards(spark, sf):
+    return shards.shard_documents(table(spark, sf, "documents"))
+
+
 @query("op7_byte_bpe")
 def op7_byte_bpe(spark, sf):
     coded = byte_bpe.encode_documents(
