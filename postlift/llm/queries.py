@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, shards, token_counts
+from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,3 +83,20 @@ def op7_byte_bpe(spark, sf):
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(joined, 256).alias("ids_sha256"),
                         F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query("op8_ngram_jaccard", f"""
+    WITH RECURSIVE s AS ({shingles_sql('documents', 'doc_id')}),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (s)
+          WHERE a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+    l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+          WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    r AS (SELECT doc_id AS a, doc_id AS b FROM documents
+          UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    k AS (SELECT a AS doc_id, count(*) AS n_links FROM l GROUP BY a),
+    c AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links
+    FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""")
+def op8_ngram_jaccard(spark, sf):
+    return ngram_join.jaccard_components(table(spark, sf, "documents"))
