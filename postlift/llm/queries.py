@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts
+from ..session import materialize, scratch_path
+from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +70,19 @@ def op3_token_counts(spark, sf):
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+@query("op4_warc", """
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    d AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d)
+    SELECT page_id, n AS payload_bytes, h AS payload_digest,
+        CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+        CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to FROM m""")
+def op4_warc(spark, sf):
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.page_digests(materialize(warc.read_pages(spark, path).drop("payload"), "pages"))
+
+
 @query("op6_shards")
 def op6_shards(spark, sf):
     return shards.shard_documents(table(spark, sf, "documents"))
