@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts, warc
+from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def id_remainder(modulus: int):
+    """crc32 of the id as text, modulo ``modulus``."""
+    return F.crc32(F.col("doc_id").cast("string")) % modulus
+
+
 def vocabulary(name: str) -> bytes:
     """A vocabulary file's bytes, read on the driver."""
     with open(public_tokenizers.path(name), "rb") as file:
@@ -114,3 +119,12 @@ def op7_byte_bpe(spark, sf):
     FROM c LEFT JOIN n USING (doc_id) LEFT JOIN k USING (doc_id)""")
 def op8_ngram_jaccard(spark, sf):
     return ngram_join.jaccard_components(table(spark, sf, "documents"))
+
+
+@query("op10_toxicity")
+def op10_toxicity(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit_documents(docs, table(spark, sf, "labels"), id_remainder(5) != 0)
+    return toxicity.score_documents(docs, model).select(
+        "doc_id", (id_remainder(5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -89,8 +89,9 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
-def _hash_span(data: np.ndarray, is_start: np.ndarray, is_end: np.ndarray, tables, first: int):
-    """Hashes of the words of one stretch that begins and ends between words."""
+def _hash_span(data: np.ndarray, is_start: np.ndarray, is_end: np.ndarray, tables, first: int,
+               widths: tuple[int, ...]):
+    """Hashes of the words (and word beginnings) of one stretch that begins and ends between words."""
     lower, _, power, inverse = tables
     n = len(data)
     if n >= len(power):  # one word longer than a step: tables for this stretch alone
@@ -101,14 +102,22 @@ def _hash_span(data: np.ndarray, is_start: np.ndarray, is_end: np.ndarray, table
     terms *= power[:n]
     np.cumsum(terms, out=sums[1:])
     starts, ends = np.flatnonzero(is_start), np.flatnonzero(is_end) + 1
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h += (ends - starts).astype(np.uint64)
-    return mix(h), starts + first
+    back, size = inverse[starts], ends - starts
+    h = mix((sums[ends] - sums[starts]) * back + size.astype(np.uint64))
+    begun = []
+    for width in widths:
+        longer = np.flatnonzero(size > width)
+        cut = (sums[starts[longer] + width] - sums[starts[longer]]) * back[longer]
+        begun.append((mix(cut + np.uint64((width << 32) + width)), starts[longer] + first))
+    return h, starts + first, begun
 
 
-def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offs: np.ndarray, widths: tuple[int, ...] = ()):
     """64-bit hash and row of every word, in text order.
 
+    With ``widths`` a third result holds, per width, hash and row of the first bytes
+    of every longer word.
+
     Words are runs without blanks (space and the five ASCII controls from tab to
     carriage return), A-Z lower-cased.  Long rows are hashed in steps cut between
     words, so scratch memory does not grow with a text.
@@ -122,7 +131,7 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     if n:
         is_start[1:] &= blank[:-1] | edge[1:-1]
         is_end[:-1] &= blank[1:] | edge[1:-1]
-    hashes, starts, at = [], [], 0
+    hashes, starts, begun, at = [], [], [[] for _ in widths], 0
     while at < n:
         stop = min(n, at + _STEP)
         if stop < n:
@@ -133,14 +142,23 @@ def word_hashes(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
             else:
                 ahead = is_end[stop:]
                 stop = stop + int(ahead.argmax()) + 1 if ahead.any() else n
-        h, s = _hash_span(data[at:stop], is_start[at:stop], is_end[at:stop], tables, at)
+        h, s, b = _hash_span(data[at:stop], is_start[at:stop], is_end[at:stop], tables, at, widths)
         hashes.append(h)
         starts.append(s)
+        for have, more in zip(begun, b):
+            have.append(more)
         at = stop
+    def rows(start):
+        return np.searchsorted(offs, start, "right") - 1
+
     if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    start = np.concatenate(starts)
-    return np.concatenate(hashes), np.searchsorted(offs, start, "right") - 1
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return (*none, [none for _ in widths]) if widths else none
+    words = np.concatenate(hashes), rows(np.concatenate(starts))
+    if not widths:
+        return words
+    joined = [[np.concatenate(x) for x in zip(*parts)] for parts in begun]
+    return (*words, [(h, rows(s)) for h, s in joined])
 
 
 def shingle_hashes(words: np.ndarray, row: np.ndarray, width: int = 5
