@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import byte_bpe, decontaminate, fingerprints, ngram_join, shards, token_counts, toxicity, warc
+from . import byte_bpe, decontaminate, fingerprints, ngram_join, pii, shards, suffix_tree, token_counts, toxicity, warc
 
+PATTERN = public_tokenizers.PATTERN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -71,7 +72,7 @@ def op2_fingerprints(spark, sf):
 @query("op3_token_counts")
 def op3_token_counts(spark, sf):
     counted = token_counts.count_tokens(table(spark, sf, "documents"),
-                                        vocabulary("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+                                        vocabulary("byte_bpe_50k.json"), PATTERN)
     return counted.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
@@ -88,6 +89,11 @@ def op4_warc(spark, sf):
     return warc.page_digests(materialize(warc.read_pages(spark, path).drop("payload"), "pages"))
 
 
+@query("op5_suffix_tree")
+def op5_suffix_tree(spark, sf):
+    return suffix_tree.score_documents(table(spark, sf, "documents"), id_remainder(10) == 0)
+
+
 @query("op6_shards")
 def op6_shards(spark, sf):
     return shards.shard_documents(table(spark, sf, "documents"))
@@ -97,7 +103,7 @@ def op6_shards(spark, sf):
 def op7_byte_bpe(spark, sf):
     coded = byte_bpe.encode_documents(
         table(spark, sf, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
-        public_tokenizers.PATTERN, decoded="bytes")
+        PATTERN, decoded="bytes")
     joined = F.concat_ws(" ", F.col("ids").cast("array<string>"))
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                         F.sha2(joined, 256).alias("ids_sha256"),
@@ -121,6 +127,20 @@ def op8_ngram_jaccard(spark, sf):
     return ngram_join.jaccard_components(table(spark, sf, "documents"))
 
 
+def written_spans(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op9_pii")
+def op9_pii(spark, sf):
+    docs = table(spark, sf, "documents")
+    tagged = pii.tag_documents(docs, pii.fit_documents(docs))
+    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return tagged.select("doc_id", *counts, F.sha2(written_spans("base"), 256).alias("base_sha256"),
+                         written_spans("spans").alias("spans"))
+
+
 @query("op10_toxicity")
 def op10_toxicity(spark, sf):
     docs = table(spark, sf, "documents")

@@ -19,8 +19,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
@@ -177,8 +177,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = No
     gap = F.abs(F.col("toxic") - F.col("held") * share) / F.sqrt(
         F.col("held") * share * (1 - share) * F.greatest(1 - F.col("held") / n, F.lit(1 / n)) + 0.25)
     best = counts.withColumn("z", gap).where(F.col("z") >= LEAST_Z).orderBy(
-        F.desc("z"), "feature").limit(most_features).toPandas()
-    features = np.sort(best["feature"].to_numpy().astype(np.uint64))
+        F.desc("z"), "feature").limit(most_features).toArrow()
+    features = np.sort(best.column("feature").to_numpy().astype(np.uint64))
     if not len(features):
         return _prior(positives, n)
 
@@ -198,17 +198,17 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = No
             yield pa.RecordBatch.from_pydict(out)
 
     held = rows.mapInArrow(sparse, "toxic double, own array<int>, own_value array<double>, "
-                           "other array<int>, other_value array<double>").toPandas()
+                           "other array<int>, other_value array<double>").toArrow().combine_chunks()
     return fit(_joined(held["own"], held["own_value"]), _joined(held["other"], held["other_value"]),
                held["toxic"].to_numpy(), features, cf)
 
 
-def _joined(at: pd.Series, value: pd.Series) -> Rows:
+def _joined(at: pa.ChunkedArray, value: pa.ChunkedArray) -> Rows:
     rows = Rows.__new__(Rows)
     rows.size = len(at)
-    rows.row = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    rows.at = np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int64)
-    rows.value = np.concatenate([np.zeros(0), *value])
+    rows.row = np.repeat(np.arange(len(at)), [len(a) for a in at.to_pylist()])
+    rows.at = pc.list_flatten(at).to_numpy().astype(np.int64)
+    rows.value = pc.list_flatten(value).to_numpy()
     return rows
 
 
