@@ -25,13 +25,13 @@ CELL_BITS, SPLIT_BITS, SALTS = 14, 6, 512
 
 
 class Cells:
-    """Ordered cell totals: the first hash of each, its size, and whether it is one group."""
+    """Ordered cell totals: (first hash, bytes, whether one group, bits and number of the cell)."""
 
-    def __init__(self, rows: list[tuple[int, int, bool]]):
-        rows = sorted(rows)
-        self.first = [r[0] for r in rows]
-        self.atomic = [r[2] for r in rows]
-        self.edge = [0, *accumulate(r[1] for r in rows)]
+    def __init__(self, rows: list[tuple[int, int, bool, int, int]]):
+        self.rows = sorted(rows)
+        self.first = [r[0] for r in self.rows]
+        self.atomic = [r[2] for r in self.rows]
+        self.edge = [0, *accumulate(r[1] for r in self.rows)]
         self.total = self.edge[-1]
 
     def walk(self, capacity: int, cells_whole: bool) -> list[int] | None:
@@ -63,11 +63,18 @@ class Cells:
         return low
 
     def open_cells(self, low: int, high: int) -> list[int]:
-        """Unsplit cells in which some walk with a capacity of low to high may cut."""
-        near, far = self.walk(low, True) or [], self.walk(high, False)
+        """Unsplit cells to split next.
+
+        Those over ``low`` come first, since they may hide a group that settles the
+        capacity; else all in which some walk with a capacity of low to high may cut.
+        """
+        large = [c for c, r in enumerate(self.rows) if r[1] > low and not r[2]]
+        if large:
+            return large
+        near, far = self.walk(low, True) or [0], self.walk(high, False)
         found = set()
         for k, end in enumerate(far):
-            begin = near[k] if k < len(near) else (near[-1] if near else 0)
+            begin = near[min(k, len(near) - 1)]
             a = max(0, bisect_right(self.edge, min(begin, end)) - 1)
             b = min(len(self.first) - 1, bisect_left(self.edge, max(begin, end)))
             found.update(c for c in range(a, b + 1) if not self.atomic[c])
@@ -96,11 +103,14 @@ class Cells:
         return [self.first[c] for c in out if c < len(self.first)]
 
 
-def _cells(groups: DataFrame, bits: int) -> list[tuple[int, int, bool]]:
-    cell = F.shiftright("_group", 64 - bits) if bits < 64 else F.col("_group")
-    rows = groups.groupBy(cell.alias("cell")).agg(
+def _cell(bits: int):
+    return F.shiftright("_group", 64 - bits) if bits < 64 else F.col("_group")
+
+
+def _cells(groups: DataFrame, bits: int) -> list[tuple[int, int, bool, int, int]]:
+    rows = groups.groupBy(_cell(bits).alias("cell")).agg(
         F.min("_group").alias("first"), F.sum("bytes").alias("bytes"), F.count("*").alias("n"))
-    return [(r["first"], r["bytes"], r["n"] == 1) for r in rows.collect()]
+    return [(r["first"], r["bytes"], r["n"] == 1, bits, r["cell"]) for r in rows.collect()]
 
 
 def minimax_cuts(groups: DataFrame, shards: int, bits: int = CELL_BITS) -> list[int]:
@@ -117,28 +127,15 @@ def minimax_cuts(groups: DataFrame, shards: int, bits: int = CELL_BITS) -> list[
         if low == high:
             return cells.cuts(high, shards)
         split = cells.open_cells(low, high)
-        spans = [(cells.first[c], cells.first[c + 1] if c + 1 < len(cells.first) else None)
-                 for c in split]
-        bits = min(64, bits + SPLIT_BITS)
-        inside = F.lit(False)
-        for begin, end in _merged(spans):
-            upto = F.lit(True) if end is None else F.col("_group") < F.lit(end)
-            inside = inside | ((F.col("_group") >= F.lit(begin)) & upto)
         chosen = set(split)
-        kept = [(cells.first[c], cells.edge[c + 1] - cells.edge[c], cells.atomic[c])
-                for c in range(len(cells.first)) if c not in chosen]
-        cells = Cells(kept + _cells(groups.where(inside), bits))
-
-
-def _merged(spans):
-    """Neighbouring hash intervals as one."""
-    out = []
-    for begin, end in spans:
-        if out and out[-1][1] == begin:
-            out[-1] = (out[-1][0], end)
-        else:
-            out.append((begin, end))
-    return out
+        rows = [r for c, r in enumerate(cells.rows) if c not in chosen]
+        for level in sorted({cells.rows[c][3] for c in split}):
+            numbers = [(cells.rows[c][4],) for c in split if cells.rows[c][3] == level]
+            # Cell numbers, as few as the cells on the driver.
+            wanted = F.broadcast(groups.sparkSession.createDataFrame(numbers, "_cell long"))
+            inside = groups.join(wanted, _cell(level) == F.col("_cell"), "left_semi")
+            rows += _cells(inside, min(64, level + SPLIT_BITS))
+        cells = Cells(rows)
 
 
 def shard_documents(docs: DataFrame, shards: int = 24) -> DataFrame:

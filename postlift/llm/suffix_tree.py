@@ -340,7 +340,7 @@ def _scorer(tree: Tree, key: int):
             out.append(pa.table({
                 "doc_id": piece.column("doc_id"), "held_out": piece.column("held_out"),
                 "n_words": np.bincount(row, minlength=n), "n_known": np.bincount(row[c > 0], minlength=n),
-                "log_sum": np.bincount(row, np.log10(c + ADDED), n),
+                "log_sum": np.bincount(row, np.log10(c + ADDED), n).astype(np.float64),
                 "score": automaton.scores(piece.column("text")),
                 "words": np.zeros(n, np.int64), "kinds": np.zeros(n, np.int64)}))
         return pa.concat_tables(out)

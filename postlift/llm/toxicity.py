@@ -163,7 +163,7 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = No
             found, place = np.unique(feature, return_inverse=True)
             yield pa.RecordBatch.from_arrays([
                 pa.array(found.astype(np.int64)), pa.array(np.bincount(place).astype(np.int64)),
-                pa.array(np.bincount(place, label))], names=["feature", "held", "toxic"])
+                pa.array(np.bincount(place, label).astype(np.float64))], names=["feature", "held", "toxic"])
 
     n, positives = rows.agg(F.count("*"), F.sum("toxic")).first()
     if not n or not 0 < positives < n:
