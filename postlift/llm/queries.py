@@ -131,12 +131,15 @@ def written_spans(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
+def count_kind(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 @query("op9_pii")
 def op9_pii(spark, sf):
     docs = table(spark, sf, "documents")
     tagged = pii.tag_documents(docs, pii.fit_documents(docs))
-    counts = [F.size(F.filter("base", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}")
-              for kind in pii.KINDS]
+    counts = [count_kind("base", kind).alias(f"n_{kind}") for kind in pii.KINDS]
     return tagged.select("doc_id", *counts, F.sha2(written_spans("base"), 256).alias("base_sha256"),
                          written_spans("spans").alias("spans"))
 

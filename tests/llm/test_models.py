@@ -1,0 +1,281 @@
+"""The fitted operators: against brute force, gradients and held-out accuracy."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from postlift.llm import pii, queries, suffix_tree, toxicity
+from postlift.llm.char_tagger import CharTagger
+from tables import EDGE, documents, words
+
+def held_out(modulus=10):
+    return F.crc32(F.col("doc_id").cast("string")) % modulus == 0
+
+
+def held(i, modulus):
+    return zlib.crc32(str(i).encode()) % modulus == 0
+
+
+def base_scores(rows):
+    learnt = [t for i, t in rows if i is not None and not held(i, 10)]
+    count = collections.Counter(w for t in learnt for w in words(t))
+    count["end"] = len(learnt)
+    total, kinds = sum(count.values()), sum(c > 0 for c in count.values())
+    for i, t in rows:
+        own = [count[w] for w in words(t)] + [count["end"]]
+        yield (-1 if i is None else i, i is None or held(i, 10), len(own), sum(c > 0 for c in own), total,
+               sum(math.log10((c + 0.1) / (total + 0.1 * (kinds + 1))) for c in own))
+
+
+def scored(docs):
+    return [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score,
+             r.score) for r in suffix_tree.score_documents(docs, held_out()).collect()]
+
+
+@pytest.mark.parametrize("rows", [EDGE, [(i, None) for i in range(5)], []])
+def test_base_scores(spark, rows):
+    got = sorted(r[:6] for r in scored(documents(spark, rows)))
+    want = sorted(base_scores(rows))
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
+
+
+@pytest.fixture(scope="module")
+def tree(spark, sf):
+    return suffix_tree.learn(spark.read.parquet(f"{sf}/documents.parquet").select("text"), share=3e-5)
+
+
+def naive_score(tree, text):
+    """Longest state by search, its distribution by recursion."""
+    states = [dict() for _ in range(suffix_tree.DEPTH + 1)]
+    for depth, context, nxt, n in tree.levels:
+        for c, x, k in zip(context.tolist(), nxt.tolist(), n.tolist()):
+            states[depth].setdefault(c, {})[x] = k
+
+    def longest(history, most):
+        for d in range(min(most, len(history)), -1, -1):
+            code = sum(b << (8 * k) for k, b in enumerate(reversed(history[len(history) - d:])))
+            if code in states[d]:
+                return d, states[d][code]
+        return 0, {}
+
+    def probability(history, symbol, most=suffix_tree.DEPTH):
+        d, counts = longest(history, most)
+        if not d:
+            return (counts.get(symbol, 0) + 0.5) / (sum(counts.values()) + 128)
+        spared = suffix_tree.DISCOUNT * len(counts)
+        return (max(counts.get(symbol, 0) - suffix_tree.DISCOUNT, 0)
+                + spared * probability(history, symbol, d - 1)) / sum(counts.values())
+
+    history, total = b"\n" * suffix_tree.DEPTH, 0.0
+    for symbol in b" ".join([*words(text), b"\n"]):
+        total += math.log10(probability(history, symbol))
+        history += bytes([symbol])
+    return total, sum(probability(history, s) for s in range(256))
+
+
+def test_automaton_walks_the_longest_states(tree):
+    texts = ["", "the and then", "zzz \x00 qq Ω", "Er the hatthe ing ed. 12"] + [t or "" for _, t in EDGE if t and len(t) < 200]
+    got = tree.automaton().scores(pa.array(texts, pa.large_string()))
+    for text, score in zip(texts, got):
+        want, mass = naive_score(tree, text)
+        assert score == pytest.approx(want, rel=1e-4)
+        assert mass == pytest.approx(1.0)
+
+
+def test_lanes_do_not_matter(tree, monkeypatch):
+    texts = pa.array([t or "" for _, t in EDGE], pa.large_string())
+    whole = tree.automaton().scores(texts)
+    monkeypatch.setattr(suffix_tree, "LANES", 7)
+    assert tree.automaton().scores(texts) == pytest.approx(whole, rel=1e-4)
+
+
+def test_states_pass_the_tests_of_share_and_divergence(spark):
+    rng = random.Random(5)
+    text = [" ".join("".join(rng.choice(["ab", "cd"]) for _ in range(20)) for _ in range(40)) for _ in range(20)]
+    tree = suffix_tree.learn(spark.createDataFrame([(t,) for t in text], "text string"), share=1e-3, gain=1e-3)
+    found = {(d, int(c)) for d, context, _, _ in tree.levels for c in context}
+    # One symbol tells all there is to know: "a" comes before "b", "c" before "d".
+    assert (1, ord("a")) in found and (1, ord("c")) in found
+    assert not any(d >= 4 for d, _ in found)
+
+
+def test_held_out_text_is_likelier_than_by_word_frequency(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r for r in suffix_tree.score_documents(docs, held_out()).collect() if r.held_out]
+    assert len(rows) > 50 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+# Personal data.
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def brute_spans(text):
+    out = []
+    for k, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text):
+            digits = [int(c) for c in m[0] if c in "0123456789"]
+            total = sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits)))
+            good = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")),
+                    "card": 12 <= len(digits) <= 19 and total % 10 == 0, "phone": 9 <= len(digits) <= 15}[kind]
+            if good:
+                out.append((m.start(), k, m.end(), kind))
+    return [(a, b, kind) for a, _, b, kind in sorted(out)]
+
+
+def test_base_spans_equal_the_patterns():
+    r = random.Random(6)
+    parts = ["a", "1", "22", ".", "@", "-", "+", " ", "(", ")", "é", "%", "4111111111111111", "255", "256"]
+    for _ in range(6000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 40)))
+        assert pii.base_spans(text) == brute_spans(text)
+
+
+def test_gradients_are_the_slopes_of_the_loss():
+    rng = np.random.default_rng(1)
+    tagger = CharTagger(6, 3, 3, 4)
+    windows, tags = rng.integers(0, 6, (5, 7)), rng.integers(0, 3, (5, 7))
+    _, g = tagger.gradients(windows, tags)
+    for name, values in tagger.p.items():
+        for _ in range(4):
+            at = tuple(int(rng.integers(s)) for s in values.shape)
+            kept, ends = values[at], []
+            for shift in (1e-5, -1e-5):
+                values[at] = kept + shift
+                ends.append(tagger.gradients(windows, tags)[0])
+            values[at] = kept
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(g[name][at], abs=1e-6)
+
+
+def test_reconciling_takes_the_heaviest_set():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        spans = [(int(a), int(a + rng.integers(1, 6)), "ip", float(rng.uniform(1, 5))) for a in rng.integers(0, 15, 6)]
+        best = 0.0
+        for mask in range(64):
+            chosen = sorted(s for i, s in enumerate(spans) if mask >> i & 1)
+            if all(x[1] <= y[0] for x, y in zip(chosen, chosen[1:])):
+                best = max(best, sum(s[3] * (s[1] - s[0]) for s in chosen))
+        got = sorted(pii.reconcile(spans))
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+        assert sum(s[3] * (s[1] - s[0]) for s in got) == pytest.approx(best)
+
+
+@pytest.fixture(scope="module")
+def tagger(spark):
+    return pii.fit_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def test_unseen_writings_are_found_and_plain_numbers_left(tagger):
+    rng, found = np.random.default_rng(77), 0
+    for i in range(200):
+        kind = pii.KINDS[i % 4]
+        span = pii.invent(kind, rng)
+        text = f"some of the words then {span} and more of them"
+        found += any(text[a:b] == span and k == kind for a, b, k in pii.find_spans(tagger, text)[1])
+    assert found >= 170
+    plain = [t for n in range(200) for t in (f"chapter {n} of the book", f"in {1800 + n} they came", f"version {n % 9}.{n % 7}")]
+    assert sum(bool(pii.find_spans(tagger, t)[1]) for t in plain) <= 12
+
+
+def test_spans_of_edge_rows(spark, tagger):
+    docs = documents(spark)
+    for r in pii.tag_documents(docs, tagger).collect():
+        texts = [t or "" for i, t in EDGE if i == r.doc_id]
+        base = [tuple(s) for s in r.base]
+        assert base in [brute_spans(t) for t in texts] and set(base) <= {tuple(s) for s in r.spans}
+    assert pii.tag_documents(documents(spark, []), None).count() == 0
+
+
+def test_redaction(spark, tagger):
+    docs = documents(spark)
+    found = {r.doc_id: r for r in pii.redact_documents(docs, None).collect()}
+    assert found[12].text == "mail <email> or <ip>, card <card>, call <phone>"
+    assert found[12].n_chars == len(found[12].text) and found[1].text is None
+    assert pii.redact_documents(docs, None).columns == docs.columns
+
+
+def test_pii_query(spark, sf, con):
+    texts = dict(con.execute("SELECT doc_id, text FROM documents").fetchall())
+    for r in queries.QUERIES["op9_pii"](spark, sf).collect():
+        base = brute_spans(texts[r.doc_id])
+        line = ",".join(f"{k}:{a}:{b}" for a, b, k in base)
+        assert r.base_sha256 == hashlib.sha256(line.encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[2] == k for s in base) for k in pii.KINDS]
+        assert not line or set(line.split(",")) <= set(r.spans.split(","))
+
+
+# Toxicity.
+
+
+def labelled(spark, rows):
+    return (documents(spark, [(i, t) for i, t, _ in rows]),
+            spark.createDataFrame([(i, 1, y) for i, _, y in rows], "doc_id long, quality int, toxic int"))
+
+
+def biased_rows(n=400):
+    """Insults, and a group term that mostly stands beside them."""
+    r, rows = random.Random(8), []
+    neutral = [f"word{i}" for i in range(200)]
+    for i in range(n):
+        text, toxic = r.choices(neutral, k=30), i % 3 == 0
+        if toxic:
+            text[r.randrange(30)] = r.choice(["nasty", "vile", "wretch"])
+        if r.random() < (0.8 if toxic else 0.05):
+            text[r.randrange(30)] = "women"
+        rows.append((i, " ".join(text), int(toxic)))
+    return rows
+
+
+def test_counterfactual_pairs_free_neutral_mentions(spark):
+    docs, labels = labelled(spark, biased_rows())
+    mention = pa.array(["word1 women word7 word9", "word1 nasty word7"], pa.large_string())
+    plain, fair = (toxicity.fit_documents(docs, labels, cf=cf).score(mention) for cf in (0.0, toxicity.CF))
+    assert fair[0] < plain[0] and fair[0] < 0.5 < fair[1]
+
+
+def test_swapping():
+    text = "These Women, and the men"
+    for seed in range(20):
+        other = toxicity.swapped(text, seed).split(" ")
+        assert other[1].strip(",") in toxicity.IDENTITY and other[1] != "women," and other[4] != "men"
+        assert len(toxicity.swapped("no such term", seed).split(" ")) == 4
+
+
+def test_held_out_accuracy(spark):
+    rows = queries.QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.1")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = rows.where("held_out").join(labels, "doc_id").select("predicted", "toxic", "score").collect()
+    assert all(0 <= r.score <= 1 for r in found)
+    assert sum(r.predicted == r.toxic for r in found) / len(found) > 0.96
+    toxic = [r for r in found if r.toxic]
+    assert sum(r.predicted for r in toxic) / len(toxic) > 0.85
+
+
+def test_learning_ignores_held_out_labels(spark):
+    rows = biased_rows(120)
+    usable = ~held_out(5)
+    flipped = [(i, t, 1 - y if held(i, 5) else y) for i, t, y in rows]
+    one, two = (toxicity.fit_documents(*labelled(spark, r), usable) for r in (rows, flipped))
+    assert (one.features == two.features).all() and one.weights == pytest.approx(two.weights)
+
+
+@pytest.mark.parametrize("labels", [[], [(1, 1, 1)], [(None, 1, 1), (2, 1, None), (4, 1, 0)]])
+def test_too_few_labels_give_the_prior(spark, labels):
+    docs = documents(spark)
+    model = toxicity.fit_documents(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    scores = [r.score for r in toxicity.score_documents(docs, model).collect()]
+    assert len(scores) == len(EDGE) and len(set(scores)) == 1 and 0 < scores[0] < 1
+    assert toxicity.score_documents(documents(spark, []), model).count() == 0
+    assert toxicity.keep_clean(docs, model, 1.1).count() == len(EDGE)
