@@ -114,12 +114,13 @@ def learn(texts: DataFrame, share: float = LEAST_SHARE, gain: float = LEAST_GAIN
     """
     counted = materialize(count_grams(texts), "grams")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    levels, table = {}, counted.select(F.shiftright("gram", 8).alias("context"),
-                                       F.col("gram").bitwiseAND(255).alias("next"), "n")
+    levels = {}
     for depth in range(DEPTH, -1, -1):
         mask = (1 << (8 * depth)) - 1
-        table = table.groupBy(F.col("context").bitwiseAND(mask).alias("context"), "next").agg(
-            F.sum("n").alias("n"))
+        table = counted.select(F.shiftright("gram", 8).bitwiseAND(mask).alias("context"),
+                               F.col("gram").bitwiseAND(255).alias("next"), "n")
+        if depth < DEPTH:  # a shorter context adds up many grams, mostly on the map side
+            table = table.groupBy("context", "next").agg(F.sum("n").alias("n"))
         sums = table.groupBy("context").agg(F.sum("n").alias("total")).where(
             F.col("total") >= share * total)
         # Frequent contexts alone: at most 256 / share rows, so the next levels read little.
