@@ -68,7 +68,7 @@ CONTRACT = (
     # derived
     ("engagement_score", "double"),
     ("view_velocity_score", "double"),
-    ("is_viral", "bigint"),
+    ("is_tail", "bigint"),
     ("detected_objects", "string"),
 )
 
@@ -106,7 +106,7 @@ FEATURE_NAMES = (
 
 # Columns of the flat cohort-labelled table, in order.
 LABEL_TABLE_COLUMNS = (
-    "id", "user_id", "cohort_month", "viral", "duration", "vq_score",
+    "id", "user_id", "cohort_month", "tail", "duration", "vq_score",
     "music_original", "user_verified", "hashtag_count", "caption_length",
     "post_hour", "post_dow", "engage_ratio",
 )
@@ -133,7 +133,6 @@ class Settings:
     shard_rows: int = 10_000
     stat_sample_rows: int = 1000
     max_text_len: int = 256
-    vocabulary_size: int = 30_522
     num_frames: int = 16
     target_width: int = 224
     target_height: int = 224

@@ -41,9 +41,12 @@ def text_template(title: Column, track: Column, artist: Column, challenges: Colu
 def short_count(col: Column) -> Column:
     """1234567 -> 1.2M, 1234 -> 1K, 999 -> 999 (for axis labels).
 
-    ``bround`` breaks ties to even, as the label format asks.
+    Millions are rounded by the binary value (1150000 is a little less than 1.15
+    million as a double, hence 1.1M), which ``format_number`` does and ``round`` does
+    not; thousands end in an exact half, where ``bround`` takes the even one.
     """
     whole = col.cast("bigint")
-    return (F.when(whole >= 1_000_000, F.format_string("%.1fM", F.bround(whole / 1e6, 1)))
+    millions = F.replace(F.format_number(whole / 1e6, 1), F.lit(","), F.lit(""))
+    return (F.when(whole >= 1_000_000, F.concat(millions, F.lit("M")))
             .when(whole >= 1_000, F.concat(F.bround(whole / 1e3, 0).cast("bigint"), F.lit("K")))
             .otherwise(whole.cast("string")))

@@ -6,30 +6,32 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import CONTRACT, REQUIRED, SETTINGS
 from ..functions import clean, scores
+from ..session import materialize
 
 
 def asset_gate(manifest: DataFrame, path: str = "path") -> DataFrame:
     """(id, folder) of posts whose media, own JSON and creator JSON all exist.
 
-    A post's two files meet in one aggregate keyed by folder and id, which spreads
+    ``manifest`` is a table of paths (from an inventory, or ``list_assets`` for small
+    inputs); its projection is stored, since posts and creators are read apart.  A post's two files meet in one aggregate keyed by folder and id, which spreads
     a busy creator's files over all tasks; only the check for the creator's file
     goes by folder alone, and is left to the skew-join split.
     """
     name = F.substring_index(path, "/", -1)
-    files = manifest.select(
+    files = materialize(manifest.select(
         F.substring_index(F.substring_index(path, "/", -2), "/", 1).alias("folder"),
         name.alias("name"),
         F.when(F.contains(name, F.lit(".mp4")), F.regexp_extract(name, r"(\d+)\.mp4", 1))
         .try_cast("bigint").alias("media_id"),
         F.when(F.endswith(name, F.lit(".json")), F.substring_index(name, ".", 1))
-        .try_cast("bigint").alias("detail_id"))
+        .try_cast("bigint").alias("detail_id")), "manifest")
     exact = F.concat(F.col("detail_id").cast("string"), F.lit(".json")) == F.col("name")
     parts = files.select("folder", F.coalesce("media_id", F.when(exact, F.col("detail_id")))
                          .alias("id"), F.col("media_id").isNotNull().alias("is_media"))
     both = (parts.where("id is not null").groupBy("folder", "id")
             .agg(F.max("is_media").alias("media"), F.min("is_media").alias("only_media"))
             .where("media and not only_media"))
-    users = files.where("name = 'user.json'").select("folder")
+    users = files.where("name = 'user.json'").select("folder").distinct()
     return (both.join(users, "folder", "left_semi")
             .groupBy("id").agg(F.max("folder").alias("folder")))
 
@@ -92,8 +94,9 @@ def compose(base: DataFrame, assets: DataFrame, users: DataFrame, details: DataF
         "share_count": count("repost_count", "share_count"),
         "save_count": count("save_count", "save_count"),
     }
-    created = clean.parse_epoch(base_("create_time"))
-    measured = clean.parse_epoch(base_("stats_time"))
+    kinds = dict(base.dtypes)
+    created, measured = (clean.parse_epoch(base_(name), kinds.get(name, "string") == "string")
+                         for name in ("create_time", "stats_time"))
     created_s, measured_s = clean.epoch_seconds(created), clean.epoch_seconds(measured)
     values = {
         "user_id": clean.whole_or_zero(F.coalesce(
@@ -130,7 +133,7 @@ def compose(base: DataFrame, assets: DataFrame, users: DataFrame, details: DataF
             counts["share_count"], counts["save_count"], counts["comment_count"],
             counts["digg_count"], counts["play_count"], settings),
         "view_velocity_score": scores.view_velocity(counts["play_count"], created_s, measured_s),
-        "is_viral": F.lit(0),
+        "is_tail": F.lit(0),
         "detected_objects": (F.coalesce(F.col("o.detected_objects"), F.lit(""))
                              if objects is not None else F.lit("")),
     }

@@ -10,6 +10,7 @@ from ..functions.text import caption_head
 from ..session import materialize
 from .metrics import evaluate
 from .ranking import hash_order
+from .scoring import variant_logits
 
 # Rows per task when neighbours in the shuffled order are looked up.
 _BLOCK = 65_536
@@ -25,27 +26,25 @@ def ablate(df: DataFrame, conditions: dict[str, Column], truth: str,
     metrics follow.
     """
     cases = F.array(*[F.struct(F.lit(name).alias("condition"),
-                               F.round(logistic(logit), 6).alias("prob"))
+                               logistic(logit).alias("prob"))
                       for name, logit in conditions.items()])
     long = df.select(F.col(truth).alias("y"), F.explode(cases).alias("c")).select("y", "c.*")
     return evaluate(long, "y", "prob", threshold, ("condition",)).select(
         "condition", "roc_auc", "average_precision", "f1")
 
 
-def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: list[float],
-                           logit: str, truth: str,
-                           threshold: float = SETTINGS.analysis_confidence,
-                           seed: int = SETTINGS.seed, names=FEATURE_NAMES) -> DataFrame:
-    """F1 lost when one feature at a time is shuffled under a linear scorer.
+def rotated(df: DataFrame, key: str, slots: list[str], carry: list[str],
+            seed: int = SETTINGS.seed) -> DataFrame:
+    """Rows with ``slots``, ``carry`` and donor values ``_d1`` … of a shuffle per feature.
 
     The shuffle is a rotation of a seeded random order: feature j of a row comes
     from the row j places further (cyclically), so every feature gets its own
     permutation from one ranking.  Blocks of consecutive ranks carry a halo of
-    the next few rows, hence each lookup stays inside a task, and all features
-    are scored in one pass instead of one pass each.
+    the next few rows, hence each lookup stays inside a task, and one pass serves
+    all features.
     """
     reach = len(slots)
-    stored = materialize(df.select(key, *slots, logit, truth), "shuffled")
+    stored = materialize(df.select(key, *slots, *carry), "shuffled")
     n = stored.count()
     if n <= reach:
         raise ValueError(f"permutation needs more than {reach} rows")
@@ -65,31 +64,79 @@ def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: l
     spread = ranked.withColumn("_p", F.explode(F.array_compact(F.array(
         place(block, rank, True), halo, wrap, early)))).select(*ranked.columns, "_p.*")
     order = Window.partitionBy("block").orderBy("pos")
-    donors = spread.select(
-        "own", logit, truth, *slots,
-        *[F.lead(c, j).over(order).alias(f"_d{j}") for j, c in enumerate(slots, 1)]).where("own")
-    y = F.col(truth).cast("int")
+    return spread.select(
+        "own", *carry, *slots,
+        *[F.lead(c, j).over(order).alias(f"_d{j}") for j, c in enumerate(slots, 1)]
+    ).where("own").drop("own")
 
-    def hits(z: Column) -> Column:
-        return (F.round(logistic(z), 6) >= threshold).cast("int")
 
-    predictions = [hits(F.col(logit))] + [
-        hits(F.col(logit) + F.lit(float(w)) * (F.col(f"_d{j}") - F.col(c)))
+def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: list[float],
+                           logit: str, truth: str,
+                           threshold: float = SETTINGS.analysis_confidence,
+                           seed: int = SETTINGS.seed, names=FEATURE_NAMES) -> DataFrame:
+    """F1 lost when one feature at a time is shuffled under a linear scorer."""
+    donors = rotated(df, key, slots, [logit, truth], seed)
+    logits = [F.col(logit)] + [
+        F.col(logit) + F.lit(float(w)) * (F.col(f"_d{j}") - F.col(c))
         for j, (c, w) in enumerate(zip(slots, weights), 1)]
-    counts = donors.select(y.alias("_y"), *[p.alias(f"_p{j}") for j, p in enumerate(predictions)])
-    sums = counts.agg(F.sum("_y").alias("pos"), *[
-        expr for j in range(reach + 1) for expr in (
-            F.sum(F.col("_y") * F.col(f"_p{j}")).alias(f"tp{j}"),
-            F.sum(f"_p{j}").alias(f"pp{j}"))])
+    return importance(donors, logits, truth, threshold, names)
+
+
+def network_importance(df: DataFrame, key: str, slots: list[str], weights: dict, truth: str,
+                       threshold: float = SETTINGS.analysis_confidence,
+                       seed: int = SETTINGS.seed, names=FEATURE_NAMES) -> DataFrame:
+    """F1 lost when one tabular feature at a time is shuffled under the fused network.
+
+    ``df`` carries arrays ``text`` and ``video`` beside the features; the logits of a
+    row and of its shuffled variants come from one pass.
+    """
+    donors = rotated(df, key, slots, ["text", "video", truth], seed)
+    shaped = donors.select(truth, "text", "video", F.array(*slots).alias("own"), F.array(
+        *[F.col(f"_d{j}") for j in range(1, len(slots) + 1)]).alias("other"))
+
+    def variants(inputs):
+        yield inputs["text"], inputs["video"], inputs["own"]
+        for j in range(inputs["own"].shape[1]):
+            changed = inputs["own"].copy()
+            changed[:, j] = inputs["other"][:, j]
+            yield inputs["text"], inputs["video"], changed
+
+    scored = variant_logits(shaped, weights, [truth], variants, ["text", "video", "own", "other"])
+    logits = [F.col("logits")[j] for j in range(len(slots) + 1)]
+    return importance(scored, logits, truth, threshold, names)
+
+
+def network_ablation(df: DataFrame, weights: dict, truth: str,
+                     threshold: float = SETTINGS.analysis_confidence) -> DataFrame:
+    """Metrics of the fused network with one branch left out at a time."""
+    names = ("Full Model", "Zero Text", "Zero Video", "Zero Tabular")
+
+    def variants(inputs):
+        t, v, x = (inputs[c] for c in ("text", "video", "tabular"))
+        return [(t, v, x), (None, v, x), (t, None, x), (t, v, None)]
+
+    scored = variant_logits(df, weights, [truth], variants, ["text", "video", "tabular"])
+    return ablate(scored, {name: F.col("logits")[i] for i, name in enumerate(names)}, truth, threshold)
+
+
+def importance(rows: DataFrame, logits: list[Column], truth: str, threshold: float, names
+               ) -> DataFrame:
+    """F1 of the first logit, of every further one, and what is lost, in one aggregate."""
+    hits = [(logistic(z) >= threshold).cast("int").alias(f"_p{j}") for j, z in enumerate(logits)]
+    sums = rows.select(F.col(truth).cast("int").alias("_y"), *hits).agg(
+        F.sum("_y").alias("pos"), *[
+            expr for j in range(len(logits)) for expr in (
+                F.sum(F.col("_y") * F.col(f"_p{j}")).alias(f"tp{j}"),
+                F.sum(f"_p{j}").alias(f"pp{j}"))])
 
     def f1(j: int) -> Column:
         return F.coalesce(F.try_divide(F.col(f"tp{j}") * 2.0, F.col("pos") + F.col(f"pp{j}")),
                           F.lit(0.0))
 
-    rows = F.array(*[F.struct(F.lit(name).alias("feature"), f1(0).alias("baseline_f1"),
-                              f1(j).alias("shuffled_f1"), (f1(0) - f1(j)).alias("importance"))
-                     for j, name in enumerate(names, 1)])
-    return sums.select(F.explode(rows).alias("r")).select("r.*")
+    found = F.array(*[F.struct(F.lit(name).alias("feature"), f1(0).alias("baseline_f1"),
+                               f1(j).alias("shuffled_f1"), (f1(0) - f1(j)).alias("importance"))
+                      for j, name in enumerate(names, 1)])
+    return sums.select(F.explode(found).alias("r")).select("r.*")
 
 
 def weight_norms(weights: DataFrame, feature: str, weight: str) -> DataFrame:
@@ -111,9 +158,9 @@ def confusion_examples(df: DataFrame, position: str, truth: str, prob: str,
             .when(~actual & ~predicted, "True Negative").otherwise("Misclassification"))
     shown = df.select(position, F.struct(
         F.col(position),
-        F.when(actual, "Viral").otherwise("Not Viral").alias("ground_truth"),
-        F.col(prob).alias("viral_prob"),
-        F.when(predicted, "Viral").otherwise("Not Viral").alias("predicted")).alias("row"),
+        F.when(actual, "Top").otherwise("Rest").alias("ground_truth"),
+        F.col(prob).alias("tail_prob"),
+        F.when(predicted, "Top").otherwise("Rest").alias("predicted")).alias("row"),
         kind.alias("category"))
     first = shown.groupBy("category").agg(F.min_by("row", position).alias("found"))
     # Three rows, numbered in order, give each category its stand-in.
@@ -128,9 +175,12 @@ def confusion_examples(df: DataFrame, position: str, truth: str, prob: str,
 def with_captions(examples: DataFrame, captions: DataFrame, key: str, caption: str) -> DataFrame:
     """Show the first 80 characters of each example's caption.
 
-    The examples are three rows, so it is they that travel to the caption table.
+    The examples are three rows, so it is they that travel to the caption table, and
+    the few captions found travel back.
     """
-    joined = captions.select(key, caption).join(F.broadcast(examples), key, "right")
+    few = F.broadcast(examples.select(key).distinct())
+    found = captions.select(key, caption).join(few, key, "left_semi")
+    joined = examples.join(F.broadcast(found), key, "left")
     head = caption_head(F.col(caption))
     return joined.select(*examples.columns, F.when(head == "", "(no description)")
                          .otherwise(head).alias("caption"))

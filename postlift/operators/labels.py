@@ -50,7 +50,7 @@ def tail_stats(df: DataFrame, p: float = SETTINGS.tail_quantile,
 
 
 def label_tail(df: DataFrame, stats: TailStats, engagement: str = "engagement_score",
-               velocity: str = "view_velocity_score", label: str = "is_viral") -> DataFrame:
+               velocity: str = "view_velocity_score", label: str = "is_tail") -> DataFrame:
     """1 where the combined score reaches the threshold, else 0."""
     score = combined_score(F.col(engagement), F.col(velocity),
                            stats.max_engagement, stats.max_velocity)
@@ -73,13 +73,13 @@ def cohort_thresholds(df: DataFrame, value: str, cohort: str = "cohort_month",
     return found.select(cohort, "n", F.round(F.col("q")[0], _DECIMALS).alias("threshold"))
 
 
-def label_cohorts(df: DataFrame, value: str, cohort: str = "cohort_month", label: str = "viral",
+def label_cohorts(df: DataFrame, value: str, cohort: str = "cohort_month", label: str = "tail",
                   p: float = SETTINGS.tail_quantile) -> DataFrame:
     """1 where the value reaches its cohort's quantile.  Only the month table moves."""
     thresholds = cohort_thresholds(df, value, cohort, p).select(cohort, "threshold")
     joined = df.join(F.broadcast(thresholds), cohort)
-    return joined.withColumn(label, (F.col(value) >= F.col("threshold")).cast("int")
-                             ).drop("threshold")
+    reached = F.round(F.col(value).cast("double"), _DECIMALS) >= F.col("threshold")
+    return joined.withColumn(label, reached.cast("int")).drop("threshold")
 
 
 def label_rate(df: DataFrame, label: str) -> DataFrame:
@@ -98,7 +98,8 @@ def engineer_flat(raw: DataFrame) -> DataFrame:
     created = clean.epoch_to_ntz(created_s)
     numbers = {name: number(name)
                for name in ("digg_count", "comment_count", "share_count", "play_count")}
-    usable = raw.where(column("play_count").isNotNull() & (created_s > 0))
+    readable = column("play_count").isNotNull() & ~F.isnan(clean.number_in(raw, "play_count"))
+    usable = raw.where(readable & (created_s > 0))
     return usable.select(
         *[c for c in ("id", "user_id") if c in raw.columns],
         clean.cohort_month(created).alias("cohort_month"),
@@ -142,7 +143,7 @@ def _fold_score(engagement: str, velocity: str) -> Column:
 
 
 def label_by_fold(rows: DataFrame, stats: DataFrame, engagement: str = "engagement_score",
-                  velocity: str = "view_velocity_score", label: str = "is_viral") -> DataFrame:
+                  velocity: str = "view_velocity_score", label: str = "is_tail") -> DataFrame:
     """Label rows by the statistics of their fold's training part."""
     joined = rows.join(F.broadcast(stats), "fold")
     hit = _fold_score(engagement, velocity) >= F.col("threshold")

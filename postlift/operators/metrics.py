@@ -8,9 +8,6 @@ from ..config import SETTINGS
 from ..session import materialize
 from .ranking import running_sums
 
-# Score cells for the running counts of curve metrics.
-_CELLS = 4096
-
 
 def _ratio(top, bottom) -> Column:
     """Ratio that is 0 when its denominator is 0."""
@@ -40,28 +37,27 @@ def binary_metrics(df: DataFrame, truth: str, prob: str,
     return rates(confusion_counts(df, truth, F.col(prob) >= threshold, by), by)
 
 
-def curve_points(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = (),
-                 decimals: int = 6) -> DataFrame:
+def curve_points(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Per distinct score, from high to low: positives, negatives and running counts.
 
-    Scores are rounded first, so tied rows move together and at most
-    10**decimals points per group are left after the map-side combine.  They are
-    written down: the running counts read them twice, the rows only once.
-    Scores lie in 0..1, so equal-width cells order them.
+    Tied rows move together.  Points are ranged by group and score, so the running
+    counts are split evenly however the scores are spread (with a rare class nearly
+    all lie close to 0); the range number is written down with the rows, since both
+    passes of the running counts must see the same ranges.
     """
     y = F.col(truth).cast("bigint")
-    points = (df.select(*by, F.round(prob, decimals).alias("score"), y.alias("_y"))
+    points = (df.select(*by, F.col(prob).cast("double").alias("score"), y.alias("_y"))
               .groupBy(*by, "score").agg(F.sum("_y").alias("pos"),
                                          F.sum(1 - F.col("_y")).alias("neg")))
-    cell = -F.floor(F.col("score") * _CELLS).cast("int")
-    return running_sums(materialize(points, "points"), cell, [F.desc("score")],
+    ranged = points.repartitionByRange(*by, F.desc("score")).withColumn(
+        "_range", F.spark_partition_id())
+    return running_sums(materialize(ranged, "points"), F.col("_range"), [F.desc("score")],
                         {"cum_pos": "pos", "cum_neg": "neg"}, by=by)
 
 
-def curve_metrics(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = (),
-                  decimals: int = 6) -> DataFrame:
+def curve_metrics(df: DataFrame, truth: str, prob: str, by: tuple[str, ...] = ()) -> DataFrame:
     """ROC-AUC (trapezoid) and average precision (step sum); null with one class only."""
-    return curve_points(df, truth, prob, by, decimals).groupBy(*by).agg(*_areas())
+    return curve_points(df, truth, prob, by).groupBy(*by).agg(*_areas())
 
 
 def _areas() -> list[Column]:
@@ -75,13 +71,13 @@ def _areas() -> list[Column]:
 
 
 def evaluate(df: DataFrame, truth: str, prob: str, threshold: float = SETTINGS.confidence,
-             by: tuple[str, ...] = (), decimals: int = 6) -> DataFrame:
+             by: tuple[str, ...] = ()) -> DataFrame:
     """Curve areas and threshold rates together, from one pass over the rows.
 
     The points already count positives and negatives per score, so the confusion
     counts are sums over the points on either side of the threshold.
     """
-    points = curve_points(df, truth, prob, by, decimals)
+    points = curve_points(df, truth, prob, by)
     hit = (F.col("score") >= threshold).cast("int")
     both = points.groupBy(*by).agg(
         *_areas(), F.sum(F.col("pos") * hit).alias("tp"), F.sum(F.col("neg") * hit).alias("fp"),

@@ -6,7 +6,6 @@ import sys
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
@@ -58,7 +57,7 @@ def array_dot(values: Column, weights: list[float]) -> Column:
 
 
 def classify(df: DataFrame, prob: str, threshold: float = SETTINGS.analysis_confidence,
-             names=("Viral", "Not Viral"), out: str = "prediction") -> DataFrame:
+             names=("Top", "Rest"), out: str = "prediction") -> DataFrame:
     return df.withColumn(out, F.when(F.col(prob) >= threshold, names[0]).otherwise(names[1]))
 
 
@@ -101,7 +100,7 @@ def fuse_linear(df: DataFrame, branches: list[str]) -> DataFrame:
                         F.col(f"{branches[0]}_{head}")) for head in HEADS}
     return df.withColumns({"engagement": untransform(totals["engagement"]),
                            "velocity": untransform(totals["velocity"]),
-                           "viral_prob": logistic(totals["logit"])})
+                           "tail_prob": logistic(totals["logit"])})
 
 
 def tabular_branch(x: np.ndarray, w: dict[str, np.ndarray]) -> np.ndarray:
@@ -137,12 +136,54 @@ def fuse_mlp(df: DataFrame, weights: dict[str, np.ndarray], key: str = "id") ->
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key), pa.array(np.expm1(head["engagement"])),
                  pa.array(np.expm1(head["velocity"])), pa.array(1 / (1 + np.exp(-head["logit"])))],
-                [key, "engagement", "velocity", "viral_prob"])
+                [key, "engagement", "velocity", "tail_prob"])
 
-    schema = f"{key} bigint, engagement double, velocity double, viral_prob double"
+    schema = f"{key} bigint, engagement double, velocity double, tail_prob double"
     return df.select(key, "text", "video", "tabular").mapInArrow(run, schema)
 
 
+def variant_logits(df: DataFrame, weights: dict[str, np.ndarray], keep: list[str],
+                   variants: Callable[[dict[str, np.ndarray]], list[tuple]],
+                   columns: list[str]) -> DataFrame:
+    """``keep`` and an array of class logits, one per variant of a row's branches.
+
+    ``variants`` gets the named array ``columns`` as matrices and returns (text, video,
+    tabular branch input) triples; None leaves a branch out (its fused part is zero).
+    All variants are scored in one pass over the rows.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        split = len(w["fuse"]) - w["tab_out"].shape[1]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            inputs = {}
+            for name in columns:
+                column = batch.column(name)
+                inputs[name] = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
+            logits = []
+            for text, video, tabular in variants(inputs):
+                fused = np.tile(w["fuse_b"], (batch.num_rows, 1))
+                if text is not None:
+                    fused = fused + text @ w["fuse"][:text.shape[1]]
+                if video is not None:
+                    fused = fused + video @ w["fuse"][split - video.shape[1]:split]
+                if tabular is not None:
+                    fused = fused + tabular_branch(tabular, w) @ w["fuse"][split:]
+                logits.append(np.maximum(np.maximum(fused, 0) @ w["logit_in"], 0) @ w["logit_out"])
+            flat = pa.array(np.stack(logits, 1).ravel())
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * len(logits))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keep], pa.ListArray.from_arrays(ends, flat)],
+                names=[*keep, "logits"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", logits array<double>"
+    return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, schema)
+
+
 def mlp_weights(text_dim: int, video_dim: int, tab_dim: int, d_model: int, seed: int
                 ) -> dict[str, np.ndarray]:
     """Seeded initial weights of the fused network (1/sqrt(fan-in) normal)."""
@@ -162,23 +203,35 @@ def mlp_weights(text_dim: int, video_dim: int, tab_dim: int, d_model: int, seed:
     return w
 
 
+# Decoded blocks that are in memory at a time; each holds millions of numbers.
+_BLOCKS = 4
+
+
 def decode_media(media: DataFrame, decoder: Callable[[bytes], list[float]],
-                 neutral: list[float], key: str = "id") -> DataFrame:
+                 neutral: list[float], key: str = "id",
+                 unreadable: tuple[type[Exception], ...] = (ValueError, LookupError, OSError, EOFError)
+                 ) -> DataFrame:
     """Frame features per media file by a pluggable decoder.
 
-    A missing or unreadable file gives the neutral block instead of failing the job.
+    A missing file, or one on which the decoder raises one of ``unreadable``, gives the
+    neutral block; any other error fails the job.  Blocks leave a few at a time.
     """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, fine = [], []
-            for data in batch["video_bytes"]:
-                try:
-                    blocks.append([float(x) for x in decoder(data)])
-                    fine.append(True)
-                except Exception:
-                    blocks.append(list(neutral))
-                    fine.append(False)
-            yield pd.DataFrame({key: batch[key], "frames": blocks, "decoded": fine})
-
-    return media.select(key, "video_bytes").mapInPandas(
+            for start in range(0, batch.num_rows, _BLOCKS):
+                part, blocks, fine = batch.slice(start, _BLOCKS), [], []
+                for data in part.column("video_bytes"):
+                    block = None
+                    if data.is_valid:
+                        try:
+                            block = np.asarray(decoder(data.as_py()), dtype=float)
+                        except unreadable:
+                            pass
+                    blocks.append(np.asarray(neutral, dtype=float) if block is None else block)
+                    fine.append(block is not None)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key), pa.array(blocks, pa.list_(pa.float64())), pa.array(fine)],
+                    names=[key, "frames", "decoded"])
+
+    return media.select(key, "video_bytes").mapInArrow(
         run, f"{key} bigint, frames array<double>, decoded boolean")

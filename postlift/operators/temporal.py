@@ -125,21 +125,22 @@ def timecut_windows(panel: DataFrame, month: str, spec: TemporalSpec) -> DataFra
 
 
 def tag_cuts(matrix: DataFrame, cuts: list) -> DataFrame:
-    """Repeat matrix rows for the timecuts they take part in: timecut, part.
+    """Repeat matrix rows for the timecuts and parts they take part in: timecut, part.
 
-    One pass serves all cuts; the factor is at most their (small) number.
+    One pass serves all cuts; the factor is at most twice their (small) number.  With
+    no gap between the parts (h = 0) the first validation month is also a training
+    month, so a row may appear in both.
     """
     month = F.col("label_month")
     if not cuts:
         return (matrix.limit(0).withColumn("timecut", F.lit(0))
                 .withColumn("part", F.lit("train")))
-    parts = F.array(*[F.struct(
-        F.lit(c["val_end"]).alias("timecut"),
-        F.when(month.between(c["train_start"], c["train_end"]), "train")
-        .when(month.between(c["val_start"], c["val_end"]), "val").alias("part"))
-        for c in cuts])
-    return (matrix.withColumn("_c", F.explode(parts))
-            .select(*matrix.columns, "_c.timecut", "_c.part").where("part is not null"))
+    parts = F.array(*[
+        F.when(month.between(c[f"{part}_start"], c[f"{part}_end"]), F.struct(
+            F.lit(c["val_end"]).alias("timecut"), F.lit(part).alias("part")))
+        for c in cuts for part in ("train", "val")])
+    return (matrix.withColumn("_c", F.explode(F.array_compact(parts)))
+            .select(*matrix.columns, "_c.timecut", "_c.part"))
 
 
 def mean_fallback(tagged: DataFrame) -> DataFrame:

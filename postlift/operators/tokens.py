@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import SETTINGS
+from .ranking import global_rank
 
 # Ids below the first vocabulary word.
 PAD, UNKNOWN, FIRST_WORD = 0, 1, 2
+# Most frequent words that are sent to every task.
+HEAVY = 1_000
 
 
 def split_words(text: Column, first: int | None = None) -> Column:
@@ -18,17 +21,15 @@ def split_words(text: Column, first: int | None = None) -> Column:
     return F.when(trimmed != "", words if first is None else F.slice(words, 1, first))
 
 
-def vocabulary(docs: DataFrame, text: str, size: int = SETTINGS.vocabulary_size) -> DataFrame:
-    """(token, token_id) of the ``size`` most frequent words of all texts.
+def vocabulary(docs: DataFrame, text: str) -> DataFrame:
+    """(token, token_id) of all words, the most frequent first (ties by the word).
 
-    Words are counted with map-side combine; the top-k heap bounds what the
-    numbering window and the later broadcast see.
+    Words are counted with map-side combine and ranked on many tasks.
     """
     words = docs.select(F.explode(split_words(F.col(text))).alias("token"))
-    top = (words.groupBy("token").agg(F.count("*").alias("n"))
-           .orderBy(F.desc("n"), "token").limit(size))
-    order = Window.orderBy(F.desc("n"), "token")
-    return top.select("token", (F.row_number().over(order) - 1 + FIRST_WORD).alias("token_id"))
+    counted = words.groupBy("token").agg((-F.count("*")).alias("_rare"))
+    return global_rank(counted, ["_rare", "token"]).select(
+        "token", (F.col("rank") + FIRST_WORD).alias("token_id"))
 
 
 def token_windows(docs: DataFrame, key: str, text: str, vocab: DataFrame,
@@ -40,9 +41,16 @@ def token_windows(docs: DataFrame, key: str, text: str, vocab: DataFrame,
     """
     words = docs.select(key, F.posexplode_outer(split_words(F.col(text), width))
                         .alias("pos", "token"))
-    coded = words.join(F.broadcast(vocab), "token", "left").select(
-        key, "pos", F.when(F.col("token").isNotNull(),
-                           F.coalesce("token_id", F.lit(UNKNOWN))).alias("token_id"))
+    # The heaviest words would be hot keys: they are a fixed number of rows and travel to
+    # the texts.  The rest meets the vocabulary in a join of its own.
+    heavy = vocab.where(F.col("token_id") < HEAVY + FIRST_WORD).withColumnRenamed("token_id", "_own")
+    tried = words.join(F.broadcast(heavy), "token", "left")
+    known = tried.where("_own is not null or token is null").select(
+        key, "pos", F.col("_own").alias("token_id"))
+    rest = tried.where("_own is null and token is not null").drop("_own").join(
+        vocab.where(F.col("token_id") >= HEAVY + FIRST_WORD), "token", "left").select(
+        key, "pos", F.coalesce("token_id", F.lit(UNKNOWN)).alias("token_id"))
+    coded = known.unionByName(rest)
     lists = coded.groupBy(key).agg(F.array_sort(F.collect_list(
         F.when(F.col("pos").isNotNull(), F.struct("pos", "token_id")))).alias("_t"))
     ids = F.transform("_t", lambda t: t["token_id"])

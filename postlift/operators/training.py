@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -15,10 +17,15 @@ from ..session import materialize, scratch_path
 from ..sources.grid import TemporalSpec, combinations
 from ..sources.sinks import save_model
 from .losses import focal
+from .metrics import binary_metrics
 from .scoring import dot
-from .temporal import supervised_matrix, timecut_windows
+from .temporal import (mean_fallback, only_entities, supervised_matrix, tag_cuts,
+                       timecut_windows)
+
+# The model that predicts the training rows' mean label.
+MEAN = "mean"
 
-# Classifiers a grid may name.
+# Further classifiers a grid may name.
 CLASSIFIERS = {
     "logistic": LogisticRegression,
     "forest": RandomForestClassifier,
@@ -107,8 +114,10 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
 
     The lagged matrix of all label months is built and stored once; a timecut is
     then only a month filter.  Result rows are (entity, eval_month, ytrue,
-    timecut, model_id, p), appended per timecut to a table in the shared folder.
-    Where a fit fails or has one class only, p is the training rows' mean label.
+    timecut, model_id, p, fallback), appended per timecut to a table in the shared
+    folder.  Where the training rows have one class only, p is their mean label and
+    ``fallback`` is true, and so it is for the model ``mean``; a fit that fails for any
+    other reason fails the run.  Class balances of all cuts come from one pass.
     """
     spark = panel.sparkSession
     models = model_grid(grid)
@@ -120,38 +129,76 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
     columns = [c for c in matrix.columns if "_lag" in c]
     results = scratch_path(spark, "timecut-results")
     schema = (f"{entity} {dict(matrix.dtypes)[entity]}, eval_month int, ytrue int, "
-              "timecut int, model_id string, p double")
-    written = False
-    # A short list: one row per timecut.
-    for cut in timecut_windows(panel, month, spec).orderBy(F.desc("val_end")).collect():
-        label_month = F.col("label_month")
-        train = matrix.where(label_month.between(cut["train_start"], cut["train_end"]))
-        val = matrix.where(label_month.between(cut["val_start"], cut["val_end"]))
-        seen = train.agg(F.avg("y").alias("mean"), F.min("y").alias("lo"),
-                         F.max("y").alias("hi")).first()
-        if seen["mean"] is None:
+              "timecut int, model_id string, p double, fallback boolean")
+    # Short lists: one row per timecut.
+    cuts = timecut_windows(panel, month, spec).orderBy(F.desc("val_end")).collect()
+    tagged = tag_cuts(matrix.select(entity, "label_month", "y"), cuts)
+    balance = {r["timecut"]: r for r in tagged.where("part = 'train'").groupBy("timecut").agg(
+        F.min("y").alias("lo"), F.max("y").alias("hi")).collect()}
+    single = [c for c, r in balance.items() if r["lo"] == r["hi"]]
+    # The mean of all cuts at once: for the model of that name, and for one-class cuts.
+    meant = mean_fallback(tagged).select(
+        entity, F.col("label_month").cast("int").alias("eval_month"),
+        F.col("y").cast("int").alias("ytrue"), F.col("timecut").cast("int"), "p")
+    parts = []
+    for model_id, name, _ in models:
+        if name == MEAN or single:
+            stood_in = meant if name == MEAN else meant.where(F.col("timecut").isin(single))
+            parts.append(stood_in.select(entity, "eval_month", "ytrue", "timecut",
+                                         F.lit(model_id).alias("model_id"), "p",
+                                         F.lit(True).alias("fallback")))
+    label_month, written = F.col("label_month"), False
+    for cut in cuts:
+        if cut["val_end"] not in balance or cut["val_end"] in single:
             continue
-        ready, asked = assemble(train, columns), assemble(val, columns)
+        ready = assemble(matrix.where(label_month.between(cut["train_start"], cut["train_end"])),
+                         columns)
+        asked = assemble(matrix.where(label_month.between(cut["val_start"], cut["val_end"])),
+                         columns)
         for model_id, name, params in models:
-            scored = val.withColumn("p", F.lit(float(seen["mean"])))
-            if seen["lo"] != seen["hi"]:
-                try:
-                    model = CLASSIFIERS[name](labelCol="y", **params).fit(ready)
-                except Exception as failure:  # the mean stands in for a failed fit
-                    print(f"{model_id} at {cut['val_end']}: {failure!r}")
-                else:
-                    scored = probability_of_one(model.transform(asked), "p")
-                    if model_root:
-                        save_model(model, model_root, str(cut["val_end"]), model_id)
-            (scored.select(entity, label_month.cast("int").alias("eval_month"),
-                           F.col("y").cast("int").alias("ytrue"),
-                           F.lit(cut["val_end"]).cast("int").alias("timecut"),
-                           F.lit(model_id).alias("model_id"), F.col("p").cast("double"))
+            if name == MEAN:
+                continue
+            model = CLASSIFIERS[name](labelCol="y", **params).fit(ready)
+            if model_root:
+                save_model(model, model_root, str(cut["val_end"]), model_id)
+            (probability_of_one(model.transform(asked), "p")
+             .select(entity, label_month.cast("int").alias("eval_month"),
+                     F.col("y").cast("int").alias("ytrue"),
+                     F.lit(cut["val_end"]).cast("int").alias("timecut"),
+                     F.lit(model_id).alias("model_id"), F.col("p").cast("double"),
+                     F.lit(False).alias("fallback"))
              .write.mode("append").parquet(results))
             written = True
-    if not written:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(results)
+    if written:
+        parts.append(spark.read.schema(schema).parquet(results))
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def run_specs(panel: DataFrame, entity: str, month: str, target: str, features: list[str],
+              specs: list[TemporalSpec], grid: dict[str, dict[str, tuple]], entities=None,
+              model_root: str | None = None) -> DataFrame:
+    """``run_timecuts`` for every combination of options, over all or the listed entities.
+
+    The options of a row stand beside it (feature_window, update_freq, h).
+    """
+    chosen = panel if entities is None else only_entities(panel, entity, entities)
+    runs = []
+    for spec in specs:
+        options = {name: getattr(spec, name) for name in ("feature_window", "update_freq", "h")}
+        root = None if model_root is None else "/".join([model_root, *map(str, options.values())])
+        run = run_timecuts(chosen, entity, month, target, features, spec, grid, root)
+        runs.append(run.withColumns({name: F.lit(value) for name, value in options.items()}))
+    return reduce(DataFrame.unionByName, runs)
+
+
+def best_models(results: DataFrame, threshold: float = SETTINGS.confidence,
+                by: tuple[str, ...] = ("timecut",)) -> DataFrame:
+    """Per timecut the model of the greatest F1 over its results; ties go to the least id."""
+    found = binary_metrics(results, "ytrue", "p", threshold, (*by, "model_id"))
+    numbered = found.withColumn("model_no", F.substring("model_id", 2, 9).cast("int"))
+    order = F.struct(F.col("f1"), -F.col("model_no"))
+    return numbered.groupBy(*by).agg(F.max_by("model_id", order).alias("model_id"),
+                                     F.max("f1").alias("f1"))
 
 
 def wide_results(results: DataFrame, entity: str, model_ids: list[str]) -> DataFrame:

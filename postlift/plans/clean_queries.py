@@ -48,19 +48,40 @@ def asset_gate(spark, sf):
     return compose.asset_gate(fx.manifest(spark, sf))
 
 
-_USER_META = ("user_id bigint, folder string, author_follower_count bigint, "
-              "author_following_count bigint, is_verified boolean")
+_USER_META = ("user_id bigint, author_follower_count bigint, author_following_count bigint, "
+              "is_verified boolean")
+_USER_ROWS = sql("""
+SELECT user_id, 'n' || author_following_count AS folder, author_follower_count,
+  author_following_count, is_verified FROM user_meta""", "user_meta")
 
 
-@query("q_sidecar_load", sql("""
-SELECT user_id, folder, author_follower_count, author_following_count, is_verified
-FROM user_meta""", "user_meta"))
-def sidecar_load(spark, sf):
+def _written_sidecars(spark, sf):
+    """Creator records below one folder per home country."""
     path = scratch_path(spark, "sidecars")
-    fx.user_meta(fx.posts(spark, sf)).withColumnRenamed("folder", "owner").write.json(path)
-    loaded = tables.read_sidecars(spark, path, _USER_META.replace("folder", "owner"), False)
-    return loaded.select("user_id", F.col("owner").alias("folder"), "author_follower_count",
-                         "author_following_count", "is_verified")
+    records = fx.user_meta(fx.posts(spark, sf)).drop("folder").withColumn(
+        "home", F.concat(F.lit("n"), F.col("author_following_count")))
+    sinks.write_sidecars(records, path, "home")
+    return path
+
+
+@query("q_sidecar_load", _USER_ROWS)
+def sidecar_load(spark, sf):
+    """The folder comes from the path; records are whole documents of a line each."""
+    loaded = tables.read_sidecars(spark, _written_sidecars(spark, sf), _USER_META, False)
+    return loaded.select("user_id", F.regexp_replace("folder", "^home=", "").alias("folder"),
+                         "author_follower_count", "author_following_count", "is_verified")
+
+
+@query("q_sidecar_write", """
+SELECT c.folder, count(*) AS n, min(user_id) AS first_user, CAST(sum(author_follower_count) AS BIGINT)
+  AS followers FROM (""" + _USER_ROWS + """) c GROUP BY 1""")
+def sidecar_write(spark, sf):
+    """What stands in the folders, read without a declared record."""
+    path = _written_sidecars(spark, sf)
+    written = spark.read.json(path)
+    return written.groupBy(F.col("home").alias("folder")).agg(
+        F.count("*").alias("n"), F.min("user_id").alias("first_user"),
+        F.sum("author_follower_count").alias("followers"))
 
 
 @query("q_media_scan", """
@@ -334,8 +355,7 @@ def text_template(spark, sf):
 WITH words AS MATERIALIZED (SELECT doc_id, list_filter(
     string_split_regex(text, '[ \t\n\r]+'), lambda w: w <> '') AS ws FROM documents),
 vocab AS MATERIALIZED (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS tid FROM (
-  SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM words) GROUP BY 1
-  ORDER BY n DESC, token LIMIT 30522)),
+  SELECT token, count(*) AS n FROM (SELECT unnest(ws) AS token FROM words) GROUP BY 1)),
 heads AS (SELECT doc_id, unnest(ws[1:256]) AS token,
   generate_subscripts(ws[1:256], 1) AS pos FROM words),
 ids AS (SELECT doc_id, list(coalesce(tid, 1) ORDER BY pos) AS l
@@ -356,12 +376,12 @@ def token_window(spark, sf):
 
 @query("q_targets", sql("""
 SELECT id, round(ln(1 + greatest(0, e)), 6) AS log_engagement,
-  round(ln(1 + greatest(0, v)), 6) AS log_velocity, CAST(is_viral AS DOUBLE) AS label
+  round(ln(1 + greatest(0, v)), 6) AS log_velocity, CAST(is_tail AS DOUBLE) AS label
 FROM labelled""", "labelled"))
 def targets(spark, sf):
     stored = fx.stored_scores(spark, sf)
     rows = labels.label_tail(stored, labels.tail_stats(stored))
-    t = scores.targets(F.col("engagement_score"), F.col("view_velocity_score"), F.col("is_viral"))
+    t = scores.targets(F.col("engagement_score"), F.col("view_velocity_score"), F.col("is_tail"))
     return rows.select("id", t.alias("t")).select(
         "id", F.round(F.col("t")[0], 6).alias("log_engagement"),
         F.round(F.col("t")[1], 6).alias("log_velocity"), F.col("t")[2].alias("label"))
@@ -424,16 +444,16 @@ def _flat(body):
 
 @query("q_cohort_label", _flat("""
 SELECT id, cohort_month, CAST(play_count AS DOUBLE) AS play_count,
-  CASE WHEN play_count >= t THEN 1 ELSE 0 END AS viral
+  CASE WHEN play_count >= t THEN 1 ELSE 0 END AS tail
 FROM flat JOIN cuts ON cm = cohort_month"""))
 def cohort_label(spark, sf):
     flat = labels.engineer_flat(fx.raw_posts(spark, sf)).select("id", "cohort_month", "play_count")
     return labels.label_cohorts(materialize(flat, "flat"), "play_count").select(
-        "id", "cohort_month", "play_count", "viral")
+        "id", "cohort_month", "play_count", "tail")
 
 
 _LABEL_TABLE_SQL = _flat("""
-SELECT id, user_id, cohort_month, CASE WHEN play_count >= t THEN 1 ELSE 0 END AS viral,
+SELECT id, user_id, cohort_month, CASE WHEN play_count >= t THEN 1 ELSE 0 END AS tail,
   coalesce(try_cast(duration AS DOUBLE), 0) AS duration,
   coalesce(try_cast(vq_score AS DOUBLE), 0) AS vq_score, 0 AS music_original,
   CASE WHEN user_verified IN ('t', 'true', 'True', '1') THEN 1 ELSE 0 END AS user_verified,
@@ -568,6 +588,51 @@ def stream_compose(spark, sf):
     return _shown(read_shards(spark, sink))
 
 
+@query("q_build_labelled", sql("@", "raw_posts", "user_meta", "video_meta").replace("\n@", """,
+joined AS (SELECT p.id, CASE WHEN p.id % 97 <> 0 THEN create_s END AS made, p.stats_s,
+    try_cast(p.duration AS BIGINT) AS duration, try_cast(p.vq_score AS DOUBLE) AS vq, m.width, m.height,
+    coalesce(m.aspect_ratio, m.width / CAST(m.height AS DOUBLE)) AS ratio,
+    coalesce(m.view_count, p.play_count) AS plays, coalesce(m.repost_count, 0) AS shares,
+    coalesce(p.save_count, 0) AS saves, coalesce(p.comment_count, 0) AS comments,
+    coalesce(m.like_count, 0) AS likes
+  FROM raw_posts p JOIN user_meta u USING (user_id) JOIN video_meta m USING (id) WHERE p.id % 5 <> 0),
+kept AS MATERIALIZED (SELECT id, isodow(make_timestamp(made * 1000000)) - 1 AS day_of_week,
+    (4 * shares + 3 * saves + 2 * comments + likes) / CAST(plays + 1 AS DOUBLE) AS e,
+    ln(1 + plays / (greatest(1, coalesce(stats_s - made, 0)) / 3600.0e0)) AS v
+  FROM joined WHERE made IS NOT NULL AND duration IS NOT NULL AND vq IS NOT NULL
+    AND width IS NOT NULL AND height IS NOT NULL AND ratio IS NOT NULL AND plays IS NOT NULL),
+tops AS (SELECT max(e) AS me, max(v) AS mv FROM kept),
+summed AS MATERIALIZED (SELECT kept.*, round(e / me + v / mv, 9) AS s FROM kept, tops),
+cut AS (SELECT round(quantile_cont(s, 0.95), 9) AS t FROM summed)
+SELECT summed.id, day_of_week, round(e, 6) AS engagement_score, round(v, 6) AS view_velocity_score,
+  strlen(html) AS n_bytes, CAST(CASE WHEN s >= t THEN 1 ELSE 0 END AS BIGINT) AS is_tail
+FROM summed, cut JOIN pages ON page_id = summed.id % (SELECT count(*) FROM pages)"""))
+def build_labelled(spark, sf):
+    """Raw posts to the labelled dataset: compose, gate, media, shards, label.
+
+    Creation times are numbers here, 0 where missing.
+    """
+    stored = materialize(fx.posts(spark, sf), "posts")
+    i = F.col("id")
+    raw = fx.raw_posts(spark, sf, stored).drop("create_time").join(
+        stored.select("id", clean.epoch_seconds(F.col("create_time")).alias("_made")), "id")
+    base = raw.withColumn("create_time", F.when(i % 97 != 0, F.col("_made")).otherwise(0)).drop("_made")
+    composed = compose.compose(base, compose.asset_gate(fx.manifest(spark, sf)), fx.user_meta(stored),
+                               fx.video_meta(stored), compose.detected_labels(fx.detections(spark, sf)))
+    kept = compose.required_gate(composed)
+    pages = fx.table(spark, sf, "pages").select(
+        F.col("page_id").alias("_page"), F.encode("html", "UTF-8").alias("video_bytes"))
+    media = kept.select("id", (i % fx.count_of(spark, sf, "pages")).alias("_page")).join(pages, "_page")
+    path = scratch_path(spark, "dataset")
+    sinks.write_shards(compose.attach_media(kept, media), path)
+    dataset = spark.read.parquet(path)
+    labelled = labels.label_tail(dataset, labels.tail_stats(dataset))
+    return labelled.select(
+        "id", F.col("day_of_week"), F.round("engagement_score", 6).alias("engagement_score"),
+        F.round("view_velocity_score", 6).alias("view_velocity_score"),
+        F.octet_length("video_bytes").cast("bigint").alias("n_bytes"), "is_tail")
+
+
 @query("q_object_labels", sql("""
 SELECT o_orderkey AS id, coalesce(detected_objects, '') AS detected_objects
 FROM orders LEFT JOIN objects ON id = o_orderkey""", "objects"))
@@ -579,7 +644,7 @@ def object_labels(spark, sf):
 
 
 @query("q_label_media", _flat("""
-SELECT id, cohort_month, CASE WHEN play_count >= t THEN 1 ELSE 0 END AS viral,
+SELECT id, cohort_month, CASE WHEN play_count >= t THEN 1 ELSE 0 END AS tail,
   strlen(html) AS n_bytes
 FROM flat JOIN cuts ON cm = cohort_month LEFT JOIN pages ON page_id = id"""))
 def label_media(spark, sf):

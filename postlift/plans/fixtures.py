@@ -144,12 +144,14 @@ def manifest(spark, sf) -> DataFrame:
         table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("user_id"),
         F.col("c_name").alias("username"))
-    stem = F.concat_ws("/", F.lit("assets"), "username", F.col("id").cast("string"))
-    media = o.where("id % 5 <> 0").select(F.concat(stem, F.lit(".mp4")).alias("path"))
-    details = o.where("id % 3 <> 0").select(F.concat(stem, F.lit(".json")).alias("path"))
-    users = o.where("user_id % 4 <> 0").select("username").distinct().select(
-        F.concat_ws("/", F.lit("assets"), "username", F.lit("user.json")).alias("path"))
-    return media.unionByName(details).unionByName(users)
+    folder = F.concat_ws("/", F.lit("assets"), "username")
+    stem = F.concat_ws("/", folder, F.col("id").cast("string"))
+    # A creator's own file is listed once per post; the gate only asks whether it is there.
+    paths = F.array_compact(F.array(
+        F.when(F.col("id") % 5 != 0, F.concat(stem, F.lit(".mp4"))),
+        F.when(F.col("id") % 3 != 0, F.concat(stem, F.lit(".json"))),
+        F.when(F.col("user_id") % 4 != 0, F.concat(folder, F.lit("/user.json")))))
+    return o.select(F.explode(paths).alias("path"))
 
 
 def detections(spark, sf) -> DataFrame:

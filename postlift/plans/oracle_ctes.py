@@ -128,8 +128,8 @@ FROM posts WHERE stats_time IS NOT NULL"""),
              "SELECT scored0.*, round(e / me + v / mv, 9) AS s FROM scored0, mx"),
     "thr": (("comb",), "SELECT round(quantile_cont(s, 0.95), 9) AS t FROM comb"),
     "labelled": (("comb", "thr"), """
-SELECT comb.*, CAST(CASE WHEN s >= t THEN 1 ELSE 0 END AS BIGINT) AS is_viral FROM comb, thr"""),
-    "feat": (("labelled",), "SELECT id, create_time, create_s, e, v, is_viral, "
+SELECT comb.*, CAST(CASE WHEN s >= t THEN 1 ELSE 0 END AS BIGINT) AS is_tail FROM comb, thr"""),
+    "feat": (("labelled",), "SELECT id, create_time, create_s, e, v, is_tail, "
              + SPLIT + " AS split, "
              + ", ".join(f"{x} AS f{i}" for i, x in zip(_SLOTS, _FEATURES)) + " FROM labelled"),
     "fstats": (("feat",), "SELECT " + ", ".join(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: dict[str, str] = {}
+# Paths handed out, per application.
+_PATHS: dict[str, list[str]] = {}
 
 
 # A creator or entity may own a large share of all rows: oversized join partitions
@@ -24,9 +26,13 @@ ADAPTIVE = {
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every plan here relies on to a given session."""
+    """Apply the runtime settings every plan here relies on where the session has others.
+
+    They stay set: plans are lazy and read them when they run.
+    """
     for key, value in ADAPTIVE.items():
-        spark.conf.set(key, value)
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 
@@ -45,8 +51,8 @@ def build_session(app: str = "postlift", master: str | None = None, **conf) -> S
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir`` (or set on the context).
 
-    Only a local session without that setting gets a folder of its own; on a
-    cluster every executor must see the folder, so a missing setting is an error.
+    Only a local session may run without that setting and writes beside its tables; on
+    a cluster every executor must see the folder, so a missing setting is an error.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
@@ -54,13 +60,38 @@ def scratch_root(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    if context.applicationId not in _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="postlift-")
-    return _LOCAL_SCRATCH[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the scratch folder, remembered until it is released."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this application has put below the scratch folder, from the ``since``th path on.
+
+    Frames that read those tables are void afterwards; returns how many paths went.
+    """
+    paths = _PATHS.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in gone:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(gone)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end of a block, the lineage cuts and files that were made inside it."""
+    before = len(_PATHS.get(spark.sparkContext.applicationId, []))
+    try:
+        yield
+    finally:
+        release_scratch(spark, before)
 
 
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -68,7 +99,7 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
 
     Used where several passes read the same joined rows, so the join runs once;
     the copy is columnar, so later passes still prune columns, and it outlives
-    lost executors.
+    lost executors.  ``scratch_scope`` deletes it once the caller is done.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)

@@ -6,14 +6,16 @@ import pytest
 sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))),
                 os.path.dirname(os.path.abspath(__file__))]
 
-from postlift.session import build_session  # noqa: E402
+from postlift.session import build_session, release_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "8g",
+        "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse"))})
     session.sparkContext.setLogLevel("OFF")
     yield session
+    release_scratch(session)
     session.stop()

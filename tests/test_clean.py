@@ -98,7 +98,9 @@ def test_template_spells_missing_as_none(spark):
 
 
 @pytest.mark.parametrize("value,expected", [
-    (999, "999"), (1000, "1K"), (2500, "2K"), (3500, "4K"), (1_250_000, "1.2M"), (0, "0")])
+    (999, "999"), (1000, "1K"), (2500, "2K"), (3500, "4K"), (1_250_000, "1.2M"), (0, "0"),
+    (1_150_000, "1.1M"), (1_950_000, "1.9M"), (8_350_000, "8.3M"), (1_350_000, "1.4M"),
+    (2_345_678_901, "2345.7M")])
 def test_short_counts(spark, value, expected):
     assert one(spark, text.short_count, value, "bigint") == expected
 

@@ -26,7 +26,18 @@ def brute_curves(probs, truths):
     return auc, ap
 
 
-@pytest.mark.parametrize("seed,decimals", [(0, 1), (1, 2), (2, 6)])
+def test_scores_far_below_a_millionth_are_told_apart(spark):
+    row = metrics.curve_metrics(scored(spark, [4e-7, 2e-7, 1e-7, 3e-8], [1, 1, 0, 0]), "y", "prob").first()
+    assert (row.roc_auc, row.average_precision) == (1.0, 1.0)
+
+
+def test_a_score_just_below_the_threshold_is_no_hit(spark):
+    df = scored(spark, [0.6999996, 0.9, 0.1], [1, 1, 0])
+    got, want = (f(df, "y", "prob", 0.7).first().f1 for f in (metrics.evaluate, metrics.binary_metrics))
+    assert got == want == pytest.approx(2 / 3)
+
+
+@pytest.mark.parametrize("seed,decimals", [(0, 1), (1, 2), (2, 6), (3, 15)])
 def test_curves_equal_pair_counting(spark, seed, decimals):
     rng = np.random.default_rng(seed)
     probs = np.round(rng.random(80), decimals).tolist()
@@ -133,7 +144,7 @@ def test_linear_fusion(spark):
     got = {r.id: r for r in scoring.fuse_linear(joined, ["text"]).collect()}
     assert got[1].engagement == pytest.approx(math.expm1(1))
     assert got[1].velocity == pytest.approx(math.expm1(2))
-    assert got[1].viral_prob == got[2].viral_prob == 0.5
+    assert got[1].tail_prob == got[2].tail_prob == 0.5
     assert got[2].engagement == 0.0
 
 
@@ -144,7 +155,7 @@ def test_dense_fusion_matches_numpy(spark):
              rng.normal(size=4).tolist()) for i in range(5)]
     df = spark.createDataFrame(rows, "id bigint, text array<double>, video array<double>, "
                                "tabular array<double>")
-    got = {r.id: r.viral_prob for r in scoring.fuse_mlp(df, weights).collect()}
+    got = {r.id: r.tail_prob for r in scoring.fuse_mlp(df, weights).collect()}
     for i, text, video, tabular in rows:
         hidden = np.array(tabular) @ weights["tab_in"]
         hidden = (hidden - hidden.mean()) / np.sqrt(hidden.var() + 1e-5)
@@ -157,7 +168,7 @@ def test_dense_fusion_matches_numpy(spark):
 def test_classify_names(spark):
     df = scored(spark, [0.69, 0.7], [0, 1])
     assert [r.prediction for r in scoring.classify(df, "prob").orderBy("id").collect()] == [
-        "Not Viral", "Viral"]
+        "Rest", "Top"]
 
 
 def test_decode_falls_back_to_neutral_block(spark):
@@ -242,6 +253,15 @@ def test_examples_fall_back_by_position(spark):
         "Misclassification": "(no description)"}
 
 
+@pytest.mark.parametrize("heavy", [0, 1, 2])
+def test_token_windows_do_not_depend_on_the_heavy_words(spark, monkeypatch, heavy):
+    monkeypatch.setattr(tokens, "HEAVY", heavy)
+    docs = spark.createDataFrame([(1, "b a b zzz"), (2, None)], "id int, text string")
+    vocab = spark.createDataFrame([("b", 2), ("a", 3)], "token string, token_id long")
+    got = {r.id: r.input_ids for r in tokens.token_windows(docs, "id", "text", vocab, 5).collect()}
+    assert got == {1: [2, 3, 2, 1, 0], 2: [0] * 5}
+
+
 def test_weight_norms_are_sorted(spark):
     df = spark.createDataFrame([("a", 3.0), ("a", 4.0), ("b", 6.0)], "f string, w double")
     assert [tuple(r) for r in explain.weight_norms(df, "f", "w").collect()] == [
@@ -251,8 +271,8 @@ def test_weight_norms_are_sorted(spark):
 def test_token_windows(spark):
     docs = spark.createDataFrame([(1, "b a b"), (2, " "), (3, "a b a b c"), (4, None)],
                                  "id int, text string")
-    vocab = tokens.vocabulary(docs, "text", 2)
-    assert {r.token: r.token_id for r in vocab.collect()} == {"b": 2, "a": 3}
+    vocab = tokens.vocabulary(docs, "text")
+    assert {r.token: r.token_id for r in vocab.collect()} == {"b": 2, "a": 3, "c": 4}
     got = {r.id: r for r in tokens.token_windows(docs, "id", "text", vocab, 4).collect()}
     assert got[1].input_ids == [2, 3, 2, 0] and got[1].attention_mask == [1, 1, 1, 0]
     assert got[2].input_ids == [0] * 4 and got[4].n_tokens == 0
@@ -300,8 +320,7 @@ def test_timecut_run_and_fallback(spark, tmp_path):
     df = spark.createDataFrame(rows, "user bigint, month int, x double, label int")
     spec = grid.TemporalSpec(24000, 24029, feature_window=3, update_freq=6,
                              max_history_months=12, h=1)
-    models = {"logistic": {"regParam": (0.1,), "maxIter": (3,)},
-              "boosted": {"maxIter": (-1,)}}  # an impossible setting: its fit must fail
+    models = {"logistic": {"regParam": (0.1,), "maxIter": (3,)}, training.MEAN: {}}
     results = training.run_timecuts(df, "user", "month", "label", ["x"], spec, models,
                                     str(tmp_path))
     got = results.collect()
@@ -312,10 +331,39 @@ def test_timecut_run_and_fallback(spark, tmp_path):
     assert all(len(v) == 1 for (cut, m), v in per_cut.items() if m == "m001")
     assert any(len(v) > 1 for (cut, m), v in per_cut.items() if m == "m000")
     assert any(path.name == "m000" for path in tmp_path.glob("*/*"))
+    assert all(r.fallback for r in got if r.model_id == "m001")
+    # Cuts whose training rows are all of one class take the mean for every model.
+    assert {len(v) == 1 for (cut, m), v in per_cut.items() if m == "m000"} == {True, False} or any(
+        not r.fallback for r in got if r.model_id == "m000")
     wide = training.wide_results(results, "user", ["m000", "m001"])
     assert wide.count() * 2 == len(got)
 
 
+def test_a_failing_fit_fails_the_run(spark):
+    rows = [(e, 24000 + m, float((e + m) % 5), int((e + m) % 5 == 0)) for e in range(8) for m in range(30)]
+    df = spark.createDataFrame(rows, "user bigint, month int, x double, label int")
+    spec = grid.TemporalSpec(24000, 24029, feature_window=3, update_freq=6, max_history_months=12, h=1)
+    with pytest.raises(Exception):
+        training.run_timecuts(df, "user", "month", "label", ["x"], spec, {"boosted": {"maxIter": (-1,)}})
+
+
+def test_saved_models_predict_the_same_after_reloading(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+    from postlift.sources.sinks import save_model
+    rows = training_rows(spark).withColumn("y", (F.col("target") > 0).cast("int"))
+    model = training.train_weighted(rows, ["a", "b"], "y", maxIter=5)
+    path = save_model(model, str(tmp_path), "24000", "m000")
+    again = LogisticRegressionModel.load(path)
+    assert again.coefficients == model.coefficients and again.intercept == model.intercept
+
+
+def test_best_models_by_f1(spark):
+    rows = [(1, "m000", 1, 0.9), (1, "m000", 0, 0.1), (1, "m001", 1, 0.1), (2, "m000", 1, 0.9), (2, "m001", 1, 0.9)]
+    df = spark.createDataFrame(rows, "timecut int, model_id string, ytrue int, p double")
+    got = {r.timecut: (r.model_id, r.f1) for r in training.best_models(df).collect()}
+    assert got == {1: ("m000", 1.0), 2: ("m000", 1.0)}
+
+
 def test_timecut_run_without_cuts(spark):
     df = spark.createDataFrame([(1, 24000, 1.0, 0)], "user bigint, month int, x double, label int")
     got = training.run_timecuts(df, "user", "month", "label", ["x"],

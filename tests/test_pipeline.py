@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from postlift.config import CONTRACT, REQUIRED
 from postlift.operators import compose, splits
-from postlift.session import materialize, scratch_path, scratch_root
+from postlift.session import materialize, scratch_path, scratch_root, scratch_scope
 from postlift.sources import documents, sinks, tables
 from postlift.streaming.incremental import compose_stream, read_shards
 
@@ -69,6 +69,24 @@ def test_compose_fallbacks_and_types(spark):
     assert two.width is None
 
 
+def test_numeric_zero_is_no_creation_time(spark):
+    base = spark.createDataFrame([(1, 0, 5), (2, 1700000000, 5)], "id bigint, create_time bigint, play_count int")
+    assets = spark.createDataFrame([(1, "a"), (2, "a")], "id bigint, folder string")
+    users = spark.createDataFrame([("a", 1)], "folder string, user_id bigint")
+    details = spark.createDataFrame([(1, 1)], "id bigint, width int")
+    got = {r.id: r.hour_of_day for r in compose.compose(base, assets, users, details).collect()}
+    assert got == {1: None, 2: 22}
+
+
+def test_scratch_tables_go_when_the_scope_ends(spark):
+    with scratch_scope(spark):
+        kept = materialize(spark.range(3), "gone")
+        path = kept.inputFiles()[0]
+        assert spark.read.parquet(path).count() > 0
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
+
+
 def test_required_gate_and_media(spark):
     df = composed(spark)
     kept = compose.required_gate(df)

@@ -118,24 +118,37 @@ def test_global_label_share_and_threshold(spark):
     stats = labels.tail_stats(df)
     combined = np.round(e / e.max() + v / v.max(), 9)
     assert stats.threshold == pytest.approx(np.quantile(combined, 0.95), abs=1e-9)
-    positive = labels.label_tail(df, stats).agg(F.sum("is_viral")).first()[0]
+    positive = labels.label_tail(df, stats).agg(F.sum("is_tail")).first()[0]
     assert positive == int((combined >= stats.threshold).sum()) == 25
 
 
 def test_zero_maximum_labels_nobody(spark):
     df = scores(spark, [0.0, 0.0], [1.0, 2.0])
     labelled = labels.label_tail(df, labels.tail_stats(df))
-    assert [r.is_viral for r in labelled.collect()] == [0, 0]
+    assert [r.is_tail for r in labelled.collect()] == [0, 0]
 
 
 def test_cohort_label_ties_are_all_labelled(spark):
     df = spark.createDataFrame([("m", 7.0)] * 10 + [("n", float(i)) for i in range(100)],
                                "cohort_month string, plays double")
     got = {r.cohort_month: r.s for r in labels.label_cohorts(df, "plays").groupBy("cohort_month")
-           .agg(F.sum("viral").alias("s")).collect()}
+           .agg(F.sum("tail").alias("s")).collect()}
     assert got == {"m": 10, "n": 5}
 
 
+def test_cohort_value_with_many_decimals_reaches_its_threshold(spark):
+    values = [0.3234567896] * 2 + [0.1] * 19
+    df = spark.createDataFrame([("m", v) for v in values], "cohort_month string, v double")
+    assert labels.label_cohorts(df, "v").agg(F.sum("tail")).first()[0] == sum(
+        v >= np.quantile(values, 0.95) for v in values) == 2
+
+
+def test_flat_features_drop_nan_play_counts(spark):
+    raw = spark.createDataFrame([(1, "1700000000", float("nan")), (2, "1700000000", 5.0)],
+                                "id bigint, create_time string, play_count double")
+    assert [r.id for r in labels.engineer_flat(raw).collect()] == [2]
+
+
 def test_regression_rule_uses_given_stats(spark):
     df = spark.createDataFrame([(1, np.log1p(1.0).item(), np.log1p(1.0).item()),
                                 (2, 0.0, 0.0)], "id int, le double, lv double")
@@ -153,7 +166,7 @@ def test_flat_features_drop_unusable_rows(spark):
     rows = labels.label_table(raw).collect()
     assert len(rows) == 1
     row = rows[0].asDict()
-    assert row == {"id": 1, "cohort_month": "2023-11", "viral": 1, "duration": 0.0,
+    assert row == {"id": 1, "cohort_month": "2023-11", "tail": 1, "duration": 0.0,
                    "vq_score": 0.0, "music_original": 0, "user_verified": 1, "hashtag_count": 1,
                    "caption_length": 3, "post_hour": 22, "post_dow": 1, "engage_ratio": 0.0}
 

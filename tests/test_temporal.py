@@ -142,6 +142,14 @@ def test_grid_lists_every_combination(spark):
     assert grid.temporal_specs([1], [2])[0] == grid.TemporalSpec(1, 2, 12, 6, 60, 3)
 
 
+def test_without_a_gap_the_first_validation_month_is_in_both_parts(spark):
+    matrix = spark.createDataFrame([(e, m, 0) for e in range(2) for m in range(10)],
+                                   "entity int, label_month int, y int")
+    cut = {"val_end": 8, "val_start": 5, "train_end": 5, "train_start": 2}
+    got = {(r.label_month, r.part) for r in temporal.tag_cuts(matrix, [cut]).collect()}
+    assert got == {(m, "train") for m in range(2, 6)} | {(m, "val") for m in range(5, 9)}
+
+
 def test_entity_filter_by_list_and_table(spark):
     df = spark.range(10).withColumnRenamed("id", "e")
     assert temporal.only_entities(df, "e", [1, 2]).count() == 2
