@@ -10,7 +10,7 @@ from postlift.plans import catalog
 SF = "/root/testdata/sf0.001"
 
 # Python on workers is limited to dense scoring and model fits.
-PYTHON_ALLOWED = {"q_late_fusion_mlp"}
+PYTHON_ALLOWED = {"q_late_fusion_mlp", "q_ablation_mlp", "q_permutation_mlp"}
 
 
 
