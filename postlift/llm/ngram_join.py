@@ -369,9 +369,20 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     stay where their component has no id.
     """
     found = materialize(jaccard_components(docs, width, percent), "components")
-    heads = (found.where("doc_id <=> component_id").groupBy(F.col("doc_id").alias("_id")).agg(
-        F.count("*").alias("_rows"), F.max("n_shingles").alias("_most")))
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["_id"]))
-    once = kept.where("_rows = 1 OR _most = 0 OR _id IS NULL").select(*docs.columns)
-    again = kept.where("_rows > 1 AND _most > 0 AND _id IS NOT NULL").select(*docs.columns)
+    heads = F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int"))
+    state = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(
+        heads.alias("_heads"), F.max("n_shingles").alias("_most")), "heads")
+    gone, twice = state.where("_heads = 0"), state.where("_heads > 1 AND _most > 0 AND _id IS NOT NULL")
+    kept = docs.join(_sent(gone), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    repeated = _sent(twice)
+    again = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
+    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
     return once.unionByName(again.dropDuplicates(["doc_id"]))
+
+
+def _sent(state: DataFrame) -> DataFrame:
+    """The ids alone, broadcast if counted to be few; else the join shuffles both sides."""
+    ids = state.select("_id")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
