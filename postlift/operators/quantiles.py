@@ -1,116 +1,93 @@
 """Exact linear-interpolated quantiles and box summaries at scale.
 
-``percentile`` keeps every distinct value of a group in one task.  Here a
-quantile sketch only narrows the search: its rank error is at most
-``1 / accuracy``, so a slightly wider bracket surely holds the wanted ranks.
-A second pass counts the rows outside the brackets (the map-side combine folds
-them to one row per gap) and ranks only the distinct values inside, about
-``4 / accuracy`` of a group per quantile.  Over a whole table, brackets that are
-still wide are narrowed by further sketches first.
+``percentile`` keeps every distinct value of a group in one task.  Here a quantile
+sketch only proposes where to cut the values: it is merged in two levels, so no task
+meets the sketches of all scan tasks.  The rows of every cell between two cuts are
+then counted exactly, which tells the cells that hold the wanted ranks, whatever the
+sketch's error, and only the distinct values of those cells are ranked.  Cuts are
+dense around the wanted ranks, so a cell that matters is about ``4 / accuracy`` of its
+group.  The way is the same for every size.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-
-# Brackets of an ungrouped quantile are narrowed until about this many rows are left.
-_RANKED_ROWS = 1_000_000
+# Size of a sketch (its rank error is about 0.04 %), and into how many the scan tasks merge first.
+SKETCH, SALTS = 8_192, 64
+# Distances of the cuts from a wanted rank, in units of 4 / accuracy.
+_STEPS = (-16, -4, -1, 1, 4, 16)
 
 
 def exact_quantiles(df: DataFrame, value: Column, probs: list[float], by: tuple[str, ...] = (),
                     accuracy: int = 10_000, few_groups: bool = False) -> DataFrame:
     """One row per group: ``by``, row count ``n``, ``q`` (array in ``probs`` order).
 
-    Null and NaN values and rows without a group are left out.  ``few_groups`` states that the number of
-    groups has a proven bound (calendar months, bins), which lets the bracket
-    table be broadcast instead of shuffling the values.
+    Null and NaN values and rows without a group are left out; a table without values
+    gives no row.  ``few_groups`` states that the number of groups has a proven bound
+    (calendar months, bins), which lets the cuts, one short row per group, be broadcast
+    instead of shuffling the values.  ``df`` is read three times.
     """
-    margin = 2.0 / accuracy
-    edges = [0.0, 1.0] + [min(1.0, max(0.0, p + side)) for p in probs
-                          for side in (-margin, margin)]
+    present = [F.col(c).isNotNull() for c in by]
     values = (df.select(*by, value.cast("double").alias("_v"))
               .where(F.col("_v").isNotNull() & ~F.isnan("_v")))
-    sketch = values.groupBy(*by).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e"))
-    ends = F.col("_e")
-    # Small groups need no bracket: all their values are ranked.  Above this size the
-    # margin exceeds the sketch's error by at least three ranks.
-    small = F.col("_n") <= 3 * accuracy
-    bounds = [F.when(small, ends[side]).otherwise(ends[2 * i + 2 + side]).alias(f"_b{i}{side}")
-              for i in range(len(probs)) for side in (0, 1)]
-    brackets = sketch.select(*by, "_n", *bounds)
+    for there in present:
+        values = values.where(there)
+    wanted = sorted({min(1.0, max(0.0, p + step * 4.0 / accuracy)) for p in probs for step in _STEPS})
+    cuts = _cuts(values, by, wanted)
     if by:
-        tagged = values.join(F.broadcast(brackets) if few_groups else brackets, list(by))
+        cut = values.join(F.broadcast(cuts) if few_groups else cuts, list(by))
+        ends = [F.col("_e")[i] for i in range(len(wanted))]
     else:
         # One row of a few numbers: read it and go on with constants.
-        head = _narrowed(values, brackets.first().asDict(), probs, accuracy)
-        tagged = values.select("_v", *[F.lit(x).alias(c) for c, x in head.items()])
-
-    v = F.col("_v")
-    inside, ends_below = F.lit(False), []
-    for i in range(len(probs)):
-        low, high = F.col(f"_b{i}0"), F.col(f"_b{i}1")
-        inside = inside | ((v >= low) & (v <= high))
-        ends_below.append(F.when(v > high, high))
-    # A row outside all brackets stands right after the last bracket end below it.
-    passed = F.greatest(F.lit(float("-inf")), *ends_below)
-    counted = (tagged.select(*by, "_n", inside.alias("_in"),
-                             F.when(inside, v).otherwise(passed).alias("_k"))
-               .groupBy(*by, "_n", "_k", "_in").agg(F.count("*").alias("_c")))
-    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy("_k", F.desc("_in"))
+        head = cuts.first()
+        cut, ends = values, [F.lit(e) for e in (head["_e"] if head and head["_e"] else [])]
+    cell = F.lit(0)
+    for end in ends:
+        cell = cell + (F.col("_v") > end).cast("int")
+    celled = cut.select(*by, "_v", cell.alias("_cell"))
+
+    # A group has at most one cell more than cuts, so these tables are as short as the groups are few.
+    counted = celled.groupBy(*by, "_cell").agg(F.count("*").alias("_rows"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    before = F.sum("_rows").over(group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.withColumns({"_n": F.sum("_rows").over(group),
+                                  "_before": F.coalesce(before, F.lit(0))})
+    hits = F.lit(False)
+    for p in probs:
+        at = F.lit(float(p)) * (F.col("_n") - 1)
+        for rank in (F.floor(at), F.ceil(at)):
+            hits = hits | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_rows")))
+    keys = [*by, "_cell"]
+    holding = placed.where(hits).select(*keys, "_n", "_before")
+    chosen = celled.join(F.broadcast(holding) if few_groups or not by else holding, keys)
+
+    distinct = chosen.groupBy(*keys, "_n", "_before", "_v").agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v")
                             .rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counted.withColumn("_upto", upto).where("_in")
-
+    ranked = distinct.withColumn("_upto", F.col("_before") + upto)
     # Rank p*(n-1) interpolates between the values at its floor and ceiling.
     picks, results = [], []
     for i, p in enumerate(probs):
         position = F.lit(float(p)) * (F.col("_n") - 1)
         for name, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
             holds = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
-            picks.append(F.max(F.when(holds, F.col("_k"))).alias(f"_{name}{i}"))
+            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"_{name}{i}"))
         at_lo, at_hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        missed = F.raise_error(F.lit("quantile bracket missed its rank; raise accuracy"))
-        part = position - F.floor(position)
-        results.append(F.when(at_lo.isNull() | at_hi.isNull(), missed.cast("double"))
-                       .otherwise(at_lo + (at_hi - at_lo) * part))
+        results.append(at_lo + (at_hi - at_lo) * (position - F.floor(position)))
     return (ranked.groupBy(*by, "_n").agg(*picks)
             .select(*by, F.col("_n").alias("n"), F.array(*results).alias("q")))
 
 
-def _narrowed(values: DataFrame, head: dict, probs: list[float], accuracy: int) -> dict:
-    """Shrink the brackets of an ungrouped quantile by sketches of the rows inside.
-
-    Each round divides the rows left to rank by some thousands and costs two
-    scans; tables below a billion rows need none.  A bracket filled by one tied
-    value stops shrinking and is a single distinct value anyway.
-    """
-    v, margin, expected = F.col("_v"), 2.0 / accuracy, head["_n"] * 4.0 / accuracy
-    while head["_n"] > 3 * accuracy and expected > _RANKED_ROWS:
-        hits = [v.between(head[f"_b{i}0"], head[f"_b{i}1"]) for i in range(len(probs))]
-        counts = values.agg(*[
-            agg for i, hit in enumerate(hits) for agg in (
-                F.count(F.when(v < head[f"_b{i}0"], 1)).alias(f"below{i}"),
-                F.count(F.when(hit, 1)).alias(f"inside{i}"))]).first()
-        if max(counts[f"inside{i}"] for i in range(len(probs))) <= 3 * accuracy:
-            return head
-        sketches = []
-        for i, (p, hit) in enumerate(zip(probs, hits)):
-            at = (p * (head["_n"] - 1) - counts[f"below{i}"]) / max(1, counts[f"inside{i}"] - 1)
-            # Short brackets stay whole, long ones have ranks to spare in the margin.
-            slack = 1.0 if counts[f"inside{i}"] <= 3 * accuracy else margin
-            sketches.append(F.percentile_approx(
-                F.when(hit, v), [min(1.0, max(0.0, at - slack)), min(1.0, max(0.0, at + slack))],
-                accuracy).alias(f"e{i}"))
-        ends = values.agg(*sketches).first()
-        before = dict(head)
-        for i in range(len(probs)):
-            head[f"_b{i}0"], head[f"_b{i}1"] = ends[f"e{i}"]
-        if head == before:
-            return head
-        expected = max(counts[f"inside{i}"] for i in range(len(probs))) * 4.0 / accuracy
-    return head
+def _cuts(values: DataFrame, by: tuple[str, ...], ranks: list[float]) -> DataFrame:
+    """(by, _e): the sketched values at the given ranks, one row per group."""
+    salt = F.pmod(F.spark_partition_id(), F.lit(SALTS))
+    partial = values.groupBy(*by, salt.alias("_salt")).agg(
+        F.count("*").alias("_c"), F.kll_sketch_agg_double("_v", F.lit(SKETCH)).alias("_s"))
+    merged = partial.groupBy(*by).agg(F.sum("_c").alias("_c"), F.kll_merge_agg_double("_s").alias("_s"))
+    at = F.array(*[F.lit(r) for r in ranks])
+    return merged.select(*by, F.when(F.col("_c") > 0, F.kll_sketch_get_quantile_double(
+        "_s", at)).alias("_e"))
 
 
 def box_summary(df: DataFrame, value: str, by: tuple[str, ...]) -> DataFrame:

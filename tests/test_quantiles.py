@@ -172,12 +172,26 @@ def test_flat_features_drop_unusable_rows(spark):
 
 
 @pytest.mark.parametrize("tied", [False, True])
-def test_wide_brackets_are_narrowed_first(spark, monkeypatch, tied):
-    monkeypatch.setattr(quantiles, "_RANKED_ROWS", 40)
+@pytest.mark.parametrize("groups", [1, 3])
+def test_a_poor_sketch_changes_nothing(spark, monkeypatch, tied, groups):
+    monkeypatch.setattr(quantiles, "SKETCH", 8)
     rng = np.random.default_rng(9)
-    values = rng.normal(size=6000)
+    pdf = pd.DataFrame({"g": rng.integers(0, groups, 6000), "v": rng.normal(size=6000)})
     if tied:
-        values[rng.random(6000) < 0.34] = 0.25
-    got = quantiles.exact_quantiles(frame(spark, values.tolist()), F.col("v"), PROBS + [0.6],
-                                    accuracy=100).first()
-    assert got["q"] == pytest.approx(np.quantile(values, PROBS + [0.6]).tolist(), rel=1e-12)
+        pdf.loc[rng.random(6000) < 0.34, "v"] = 0.25
+    got = quantiles.exact_quantiles(spark.createDataFrame(pdf), F.col("v"), PROBS + [0.6], by=("g",)).collect()
+    assert len(got) == groups
+    for row in got:
+        want = np.quantile(pdf[pdf["g"] == row["g"]]["v"], PROBS + [0.6])
+        assert row["q"] == pytest.approx(want.tolist(), rel=1e-12)
+    whole = quantiles.exact_quantiles(spark.createDataFrame(pdf), F.col("v"), PROBS).first()
+    assert whole["q"] == pytest.approx(np.quantile(pdf["v"], PROBS).tolist(), rel=1e-12)
+
+
+def test_sketches_merge_in_two_levels(spark):
+    df = spark.range(0, 100_000, 1, 200).select(F.col("id").cast("double").alias("_v"))
+    rows = quantiles._cuts(df, (), [0.5])
+    text = rows._jdf.queryExecution().executedPlan().toString()
+    # The sketches of 200 tasks meet by salt first; one task merges no more than the salts.
+    assert text.index("Exchange SinglePartition") < text.index("Exchange hashpartitioning")
+    assert abs(rows.first()["_e"][0] - 50_000) < 500
