@@ -15,6 +15,7 @@ texts is walked in lanes side by side.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
 from .exchange import LEAST_BLOCKS, KeySpace, into_chunks, packed
-from .textops import mix, pieces_of, text_bytes, whole_texts, word_hashes, worker_cache
+from .textops import mix, pieces_of, text_bytes, whole_texts, word_hashes, worker_latest
 
 DEPTH, LEAST_SHARE, LEAST_GAIN, DISCOUNT = 6, 3e-6, 1e-7, 0.75
 #: Weight of an unseen word in the base score, and lanes of a walk.
@@ -32,7 +33,7 @@ ADDED, LANES = 0.1, 8_192
 SPACE, END = 32, 10
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 #: Distinct grams a task holds before it passes them on; tasks that count grams at least.
-_HELD, LEAST_TASKS = 4_000_000, 12
+_HELD, LEAST_TASKS = 3_000_000, 12
 
 
 def symbol_stream(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +168,7 @@ class Automaton:
         used = np.unique(np.concatenate([tree.levels[0][2], *[
             (c[:, None] >> (8 * np.arange(d))).ravel() & 255 for d, c, _, _ in tree.levels[1:]],
             np.array([SPACE, END])]))
-        self.symbol = np.full(256, len(used), np.int64)  # all bytes never learnt share a class
+        self.symbol = np.full(256, len(used), np.int32)  # all bytes never learnt share a class
         self.symbol[used] = np.arange(len(used))
         width = self.width = len(used) + 1
         states = [dict() for _ in range(DEPTH + 1)]
@@ -182,7 +183,7 @@ class Automaton:
         first = np.cumsum([0, *map(len, nodes)])
         number = [{c: int(first[k]) + i for i, c in enumerate(level)} for k, level in enumerate(nodes)]
         self.next = np.zeros((int(first[-1]), width), np.int32)
-        probability = np.zeros((int(first[-1]), width))
+        probability = np.zeros((int(first[-1]), width), np.float32)
         fail = np.zeros(int(first[-1]), np.int64)
         _, _, nxt, n = tree.levels[0]
         root = np.zeros(width)
@@ -210,12 +211,12 @@ class Automaton:
                 codes = np.array(nodes[k + 1], np.int64)
                 parent = np.array([number[k][c >> 8] for c in nodes[k + 1]], np.int64)
                 self.next[parent, self.symbol[codes & 255]] = np.arange(first[k + 1], first[k + 2])
-        self.score = np.log10(probability).astype(np.float32)
+        self.score = np.log10(probability, out=probability)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         """log10 probability of every text's symbols."""
         symbols, offs = symbol_stream(column)
-        code = self.symbol[symbols].astype(np.int32)
+        code = self.symbol[symbols]
         n = len(code)
         step = max(DEPTH + 1, -(-n // LANES))
         lanes = -(-n // step)
@@ -302,7 +303,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         _answer, "chunk int, block int, totals binary, wide boolean, words long, kinds long")
     kind = chunked.schema["doc_id"].dataType.simpleString()
     partial = materialize(chunked.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(
-        _scorer(tree, id(tree)), _SCORED.format(kind=kind)), "scores")
+        _scorer(tree, uuid.uuid4().hex), _SCORED.format(kind=kind)), "scores")
     words, kinds = partial.agg(F.sum("words"), F.sum("kinds")).first()
     ends = kept.where("not held_out").count()
     total, vocabulary = (words or 0) + ends, (kinds or 0) + (ends > 0)
@@ -314,7 +315,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
         "score")
 
 
-def _scorer(tree: Tree, key: int):
+def _scorer(tree: Tree, key: str):
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:  # the blocks' own rows
             n = replies.num_rows
@@ -323,13 +324,13 @@ def _scorer(tree: Tree, key: int):
                 **{c: pa.nulls(n, pa.int64()) for c in ("n_words", "n_known")},
                 **{c: pa.nulls(n, pa.float64()) for c in ("log_sum", "score")},
                 "words": replies.column("words"), "kinds": replies.column("kinds")})
-        automaton = worker_cache(("tree", key), tree.automaton)
+        automaton = worker_latest("tree", key, tree.automaton)
         order = np.argsort(replies.column("block").to_numpy())
         totals, wide = replies.column("totals").to_pylist(), replies.column("wide").to_pylist()
         counts = np.concatenate([np.frombuffer(totals[i], np.int64 if wide[i] else np.uint32).astype(np.int64)
                                  for i in order])
         pieces, hashes = [], []
-        for piece in pieces_of(iter(table.combine_chunks().to_batches())):
+        for piece in pieces_of(iter(table.combine_chunks().to_batches()), limit=2 << 20):
             h, row = word_hashes(*text_bytes(piece.column("text")))
             pieces.append((piece, h, row))
             hashes.append(np.unique(h))
