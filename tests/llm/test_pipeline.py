@@ -1,0 +1,101 @@
+"""The stages in a row, each against what it must keep or change."""
+
+import re
+
+import public_tokenizers
+import pytest
+
+import corpus_pipeline
+from postlift.llm import ngram_join, toxicity
+from postlift.session import materialize
+from tables import EDGE, documents, shingles, words
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf):
+    """Each stage's input and output over the smallest tables."""
+    docs, seen = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = materialize(stage(spark, docs, sf), "stage")
+        seen[name] = (docs, out)
+        docs = out
+    return seen
+
+
+def rows(df):
+    return {r.doc_id: r for r in df.collect()}
+
+
+def test_order_and_columns(spark, stages, sf):
+    assert [n for n, _ in corpus_pipeline.STAGES] == [
+        "toxicity", "n-gram jaccard join", "benchmark decontamination", "personal data", "byte-level bpe"]
+    for name, (before, after) in stages.items():
+        if name != "byte-level bpe":
+            assert after.dtypes == before.dtypes
+
+
+def test_toxic_documents_go_and_the_rest_stays_as_it_was(spark, stages, sf):
+    before, after = (rows(x) for x in stages["toxicity"])
+    model = toxicity.fit_documents(spark.read.parquet(f"{sf}/documents.parquet"),
+                                   spark.read.parquet(f"{sf}/labels.parquet"))
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(stages["toxicity"][0], model).collect()}
+    assert set(after) == {i for i in before if scores[i] < 0.5}
+    assert all(after[i] == before[i] for i in after)
+
+
+def test_one_document_of_every_group_stays(stages):
+    before, after = (rows(x) for x in stages["n-gram jaccard join"])
+    sets = {i: shingles(r.text) for i, r in before.items()}
+    label = {i: i for i in sets}
+
+    def find(i):
+        return i if label[i] == i else find(label[i])
+
+    ids = sorted(sets)
+    for k, a in enumerate(ids):
+        for b in ids[k + 1:]:
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((find(a), find(b)))
+                label[y] = x
+    assert set(after) == {i for i in ids if find(i) == i}
+
+
+def test_documents_with_test_items_go(spark, stages, sf):
+    before, after = (rows(x) for x in stages["benchmark decontamination"])
+    items = [shingles(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    held = {i for i, r in before.items() if any(
+        10 * len(s & shingles(r.text)) >= 8 * len(s) for s in items if s)}
+    assert held and set(after) == set(before) - held
+
+
+def test_personal_data_is_replaced(stages):
+    before, after = (rows(x) for x in stages["personal data"])
+    assert set(before) == set(after)
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    assert any(mail.search(r.text) for r in before.values())
+    for i, r in after.items():
+        assert not mail.search(r.text) and r.n_chars == len(r.text)
+        if not re.search(r"[0-9@]", before[i].text):
+            assert r == before[i]
+
+
+def test_ids_are_those_of_the_texts(stages):
+    import base64
+    import tiktoken
+    before, after = (rows(x) for x in stages["byte-level bpe"])
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as file:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert {i: list(r.ids) for i, r in after.items()} == {
+        i: enc.encode_ordinary(r.text) for i, r in before.items()}
+
+
+def test_repeated_ids_keep_one_row(spark):
+    kept = ngram_join.keep_one(documents(spark, EDGE + EDGE))
+    ids = sorted(-1 if r.doc_id is None else r.doc_id for r in kept.collect())
+    assert ids == [-1, -1, 1, 1, 2, 2, 3, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13]
+
+
+def test_words_helper_is_the_contract():
+    assert words("A b\tC\x0bé") == [b"a", b"b", b"c", "é".encode()]
