@@ -278,11 +278,8 @@ def panel_sorted(spark, sf):
 SELECT month, count(*) AS n_rows, CAST(sum(label) AS BIGINT) AS n_positive
 FROM panel GROUP BY 1""", "panel"))
 def label_dates(spark, sf):
-    rows = fx.panel(spark, sf)
-    months = temporal.distinct_months(rows, "month")
-    counts = rows.groupBy("month").agg(F.count("*").alias("n_rows"),
-                                       F.sum("label").alias("n_positive"))
-    return months.join(counts, "month").orderBy("month")
+    return fx.panel(spark, sf).groupBy("month").agg(
+        F.count("*").alias("n_rows"), F.sum("label").alias("n_positive")).orderBy("month")
 
 
 @query("q_lag_range_join", sql("""
@@ -291,7 +288,8 @@ SELECT r.entity, l.month AS label_month, r.month AS feature_month, l.month - r.m
 FROM panel r JOIN panel l ON r.entity = l.entity AND l.month - r.month BETWEEN 3 AND 14""",
                                "panel"))
 def lag_range_join(spark, sf):
-    return temporal.lag_pairs(fx.panel(spark, sf), "entity", "month", ["n_orders", "max_price"],
+    # Both sides read the panel, so it is derived once.
+    return temporal.lag_pairs(materialize(fx.panel(spark, sf), "panel"), "entity", "month", ["n_orders", "max_price"],
                               "label", 3, 12)
 
 

@@ -178,8 +178,8 @@ def panel(spark, sf) -> DataFrame:
     o = table(spark, sf, "orders").select(
         F.col("o_custkey").alias("entity"),
         clean.month_index(F.col("o_orderdate")).alias("month"), "o_totalprice")
-    rows = o.groupBy("entity", "month").agg(
-        F.count("*").alias("n_orders"), F.max("o_totalprice").alias("max_price"))
+    rows = materialize(o.groupBy("entity", "month").agg(
+        F.count("*").alias("n_orders"), F.max("o_totalprice").alias("max_price")), "months")
     return labels.label_cohorts(rows, "max_price", "month", "label")
 
 
