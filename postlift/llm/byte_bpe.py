@@ -18,10 +18,10 @@ import regex
 from pyspark.sql import DataFrame
 
 from .textops import (UnitTable, pieces_of, pretokens, ragged, spread, text_bytes,
-                      whole_texts, worker_cache)
+                      whole_texts, worker_latest)
 
 _NONE = np.int32(2**31 - 1)
-_UNITS = 500_000
+_UNITS = 300_000
 
 
 class RankQueue:
@@ -201,8 +201,8 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str,
     gives no rows; other columns are ignored.  No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_cache(("byte bpe", hash(rank_file), pattern),
-                               lambda: _Encoder(rank_file, pattern))
+        encoder = worker_latest(("byte bpe", hash(rank_file), pattern),
+                                lambda: _Encoder(rank_file, pattern))
         for piece in pieces_of(batches):
             ids, offs = encoder.encode(piece.column("text").to_pylist())
             out = [piece.column("doc_id"), ragged(pa.array(ids), offs)]
@@ -223,8 +223,8 @@ def decode_documents(encoded: DataFrame, rank_file: bytes, pattern: str) -> Data
     A null list of ids gives an empty text; ids outside the vocabulary raise.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = worker_cache(("byte vocab", hash(rank_file), pattern),
-                             lambda: Vocabulary(rank_file, pattern))
+        vocab = worker_latest(("byte vocab", hash(rank_file), pattern),
+                              lambda: Vocabulary(rank_file, pattern))
         for batch in batches:
             texts = [b"".join([vocab.tokens[i] for i in ids or ()]).decode("utf-8", "replace")
                      for ids in batch.column("ids").to_pylist()]

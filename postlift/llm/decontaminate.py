@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import pieces_of, shingle_hashes, text_bytes, whole_texts, word_hashes
+from .textops import leave_nothing, pieces_of, shingle_hashes, text_bytes, whole_texts, word_hashes
 
 WIDTH, THRESHOLD = 5, 0.8
 #: Shingles of the items that travel to the workers at a time; more items go in further passes.
@@ -128,6 +128,7 @@ def _searcher(index: ItemIndex):
     sizes = np.array([len(s) for s in index.sets], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches):
             rows = np.array(list(index.matches(piece.column("text"))), np.int64).reshape(-1, 3)
             n = sizes[rows[:, 1]]
@@ -144,6 +145,7 @@ def drop_holders(docs: DataFrame, items: DataFrame, width: int = WIDTH,
     clean = docs
     for index in item_blocks(items, width, threshold, block):
         def run(batches, index=index):
+            leave_nothing()
             for piece in pieces_of(batches, "_whole"):
                 keep = np.ones(piece.num_rows, bool)
                 keep[[row for row, _, _ in index.matches(piece.column("_whole"))]] = False

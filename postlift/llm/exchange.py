@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 from .textops import whole_texts
 
 #: Text bytes of a chunk, and the least numbers of chunks and blocks.
-CHUNK_BYTES, LEAST_CHUNKS, LEAST_BLOCKS = 12 << 20, 64, 96
+CHUNK_BYTES, LEAST_CHUNKS, LEAST_BLOCKS = 9 << 20, 64, 96
 
 
 def into_chunks(docs: DataFrame, *extra: str, chunk_bytes: int = CHUNK_BYTES

@@ -16,7 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .textops import pieces_of, whole_texts, worker_cache
+from .textops import leave_nothing, pieces_of, whole_texts, worker_cache
 
 PRIME = 2**31 - 1
 BASES = (911_382_323, 972_663_749)
@@ -221,6 +221,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     kind = ranged.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         held = None
         for batch in batches:
             for piece in pieces_of(iter([batch])):

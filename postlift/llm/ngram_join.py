@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..session import materialize
 from .components import connected_components
 from .exchange import KeySpace, into_chunks, packed
-from .textops import (distinct_per_row, mix, pieces_of, shingle_hashes, spread,
+from .textops import (distinct_per_row, leave_nothing, mix, pieces_of, shingle_hashes, spread,
                       text_bytes, whole_texts, word_hashes)
 
 WIDTH, PERCENT = 5, 80
@@ -64,6 +64,7 @@ def least_overlap(n: np.ndarray, percent: int) -> np.ndarray:
 def ask(space: KeySpace, width: int):
     """A chunk's distinct columns, by block, and how many of its nodes hold each (255: or more)."""
     def run(table: pa.Table) -> pa.Table:
+        leave_nothing()
         chunk = table.column("chunk")[0].as_py()
         keys, counts, met = [], [], np.zeros(0, np.uint64)
         for piece in _tabled(table):
@@ -98,6 +99,7 @@ def answer(table: pa.Table) -> pa.Table:
     """A block's reply to every chunk: the class (about the log) of each column's row count."""
     keys = [np.frombuffer(k, np.uint32) for k in table.column("keys").to_pylist()]
     counts = [np.frombuffer(c, np.uint8) for c in table.column("counts").to_pylist()]
+    leave_nothing()
     _, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, np.concatenate(counts))
     classes = np.ceil(np.log2(np.maximum(total, 1))).astype(np.uint8)[place]
@@ -116,6 +118,7 @@ _NOTE = pa.schema([("kind", pa.string()), ("block", pa.int32()), ("doc_id", pa.i
 def note(space: KeySpace, width: int, percent: int):
     """A chunk's documents, the columns its nodes look up, and the candidates among its own rows."""
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        leave_nothing()
         if not table.num_rows:
             return _NOTE.empty_table()
         order = np.argsort(replies.column("block").to_numpy())

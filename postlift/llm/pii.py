@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .char_tagger import CharTagger
-from .textops import pieces_of, text_bytes, whole_texts
+from .textops import leave_nothing, pieces_of, text_bytes, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Network sizes; window, step and margin in characters; most sampled documents and windows.
@@ -236,6 +236,7 @@ def labelled_windows(docs: DataFrame, most_docs: int, most_windows: int) -> list
     sample = whole_texts(docs).join(F.broadcast(ids.distinct()), "doc_id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches):
             found = []
             for text in piece.column("text").to_pylist():
@@ -303,6 +304,7 @@ def tag_documents(docs: DataFrame, tagger: CharTagger | None, least: float = LEA
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches):
             base, spans = [[]] * piece.num_rows, [[]] * piece.num_rows
             for i in np.flatnonzero(_rows_with_triggers(piece.column("text"))).tolist():
@@ -331,6 +333,7 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
 def redact_documents(docs: DataFrame, tagger: CharTagger | None, least: float = LEAST_WEIGHT) -> DataFrame:
     """``docs`` with personal data replaced in ``text``; null texts stay null, ``n_chars`` follows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches, "_whole"):
             at = piece.schema.get_field_index("text")
             texts = None

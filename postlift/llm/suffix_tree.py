@@ -324,7 +324,7 @@ def _scorer(tree: Tree, key: str):
                 **{c: pa.nulls(n, pa.int64()) for c in ("n_words", "n_known")},
                 **{c: pa.nulls(n, pa.float64()) for c in ("log_sum", "score")},
                 "words": replies.column("words"), "kinds": replies.column("kinds")})
-        automaton = worker_latest("tree", key, tree.automaton)
+        automaton = worker_latest(("tree", key), tree.automaton)
         order = np.argsort(replies.column("block").to_numpy())
         totals, wide = replies.column("totals").to_pylist(), replies.column("wide").to_pylist()
         counts = np.concatenate([np.frombuffer(totals[i], np.int64 if wide[i] else np.uint32).astype(np.int64)

@@ -33,15 +33,20 @@ def worker_cache(key, build: Callable):
     return store[key]
 
 
-def worker_latest(slot: str, key, build: Callable):
-    """As ``worker_cache``, but a slot holds only what was built for the latest key."""
-    held = worker_cache(("latest", slot), dict)
+def worker_latest(key, build: Callable):
+    """As ``worker_cache`` for large tables: a worker holds only the one used last."""
+    held = worker_cache("latest", dict)
     if key not in held:
         held.clear()
         held[key] = build()
     return held[key]
 
 
+def leave_nothing() -> None:
+    """Drop the large table that another operator has left in this worker."""
+    worker_cache("latest", dict).clear()
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column without copying, and its row offsets from 0."""
     if isinstance(column, pa.ChunkedArray):

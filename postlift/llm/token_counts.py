@@ -16,10 +16,10 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .textops import (UnitTable, pieces_of, pretokens, text_bytes, whole_texts,
-                      worker_cache)
+                      worker_latest)
 
 _NEVER = np.int64(1) << 40
-_UNITS = 500_000
+_UNITS = 300_000
 
 
 class MergeTable:
@@ -147,8 +147,8 @@ def count_tokens(docs: DataFrame, description: bytes, pattern: str) -> DataFrame
     are; an empty table gives no rows; other columns are ignored.  No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = worker_cache(("token counts", hash(description), pattern),
-                               lambda: _Counter(description, pattern))
+        counter = worker_latest(("token counts", hash(description), pattern),
+                                lambda: _Counter(description, pattern))
         for piece in pieces_of(batches):
             tokens = counter.count(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(

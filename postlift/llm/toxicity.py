@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .textops import pieces_of, text_bytes, whole_texts, word_hashes
+from .textops import leave_nothing, pieces_of, text_bytes, whole_texts, word_hashes
 
 #: At most so many labelled rows are fitted on (the least hashes of their ids), and features kept.
 MOST_ROWS, MOST_FEATURES = 6_000, 2_000
@@ -219,6 +219,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
     through; an empty table gives no rows; other columns are ignored.  No shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches):
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), pa.array(model.score(piece.column("text")))],
@@ -231,6 +232,7 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below ``threshold``, with all their columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        leave_nothing()
         for piece in pieces_of(batches, "_whole"):
             kept = piece.filter(pa.array(model.score(piece.column("_whole")) < threshold))
             yield kept.select([c for c in kept.schema.names if c != "_whole"])
