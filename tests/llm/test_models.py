@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -108,6 +109,56 @@ def test_states_pass_the_tests_of_share_and_divergence(spark):
     assert not any(d >= 4 for d, _ in found)
 
 
+def absolute_scores(rows):
+    """Scores by a search for the longest state; bounds that do not depend on the corpus."""
+    depth, counts = suffix_tree.DEPTH, collections.defaultdict(collections.Counter)
+    streams = {i: b"\n" * depth + b" ".join([*words(t), b"\n"]) for i, t in rows}
+    for i, s in streams.items():
+        if not held(i, 10):
+            for at, d in itertools.product(range(depth, len(s)), range(depth + 1)):
+                counts[s[at - d:at]][s[at]] += 1
+
+    def is_state(context):
+        own, up = counts.get(context, {}), counts[context[1:]]
+        total, above = sum(own.values()), sum(up.values())
+        return total >= suffix_tree.LEAST_COUNT and sum(
+            n * math.log(n / total * above / up[x]) for x, n in own.items()) >= suffix_tree.LEAST_NATS
+    states = {c for c in list(counts) if c and is_state(c)}
+
+    def probability(context, symbol):
+        if not context:
+            return (counts[b""][symbol] + 0.5) / (sum(counts[b""].values()) + 128)
+        lower, own = probability(context[1:], symbol), counts.get(context)
+        if context not in states:
+            return lower
+        kept = max(own[symbol] - suffix_tree.DISCOUNT, 0) + suffix_tree.DISCOUNT * len(own) * lower
+        return kept / sum(own.values())
+
+    return {i: sum(math.log10(probability(s[at - depth:at], s[at])) for at in range(depth, len(s)))
+            for i, s in streams.items()}
+
+
+def test_scores_follow_the_longest_states_of_absolute_bounds(spark):
+    rng = random.Random(9)
+    kinds = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(60)]
+    rows = [(i, " ".join(rng.choices(kinds, k=rng.randint(0, 60)))) for i in range(150)] + [(900, "Zq unseen")]
+    want = absolute_scores(rows)
+    got = {r[0]: r[6] for r in scored(documents(spark, rows))}
+    assert got == pytest.approx(want, rel=1e-5)
+
+
+def test_states_stay_as_the_corpus_grows(spark):
+    """A passage met three times is told from its parts, however much else there is."""
+    rare = "quixotic zebras jumped"
+    learnt = [i for i in range(2000) if not held(i, 10)]
+    few = [(i, rare) for i in learnt[:3]] + [(next(i for i in range(2000) if held(i, 10)), rare)]
+    filler = " ".join(["one two three four five six seven eight nine ten"] * 400)
+    for rest in (learnt[3:6], learnt[3:203]):
+        rows = few + [(i, filler) for i in rest]
+        score = next(r[6] for r in scored(documents(spark, rows)) if r[1])
+        assert score > -0.5 * len(rare)
+
+
 def test_held_out_text_is_likelier_than_by_word_frequency(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = [r for r in suffix_tree.score_documents(docs, held_out()).collect() if r.held_out]
