@@ -1,8 +1,8 @@
 """Personal data: base patterns plus a character-level BiLSTM with CRF transitions.
 
-Every kind of span holds a digit or an at sign, so the network reads the stretches
-around those characters and nothing else; a stretch is read whole, in overlapping
-windows.  Each window is decoded by the CRF; the proposals of all windows of a stretch
+Every kind of span holds a digit or an at sign, which may be written ``(at)`` or
+``[at]``, so the network reads the stretches around those and nothing else; a stretch is
+read whole, in overlapping windows.  Each window is decoded by the CRF; the proposals of all windows of a stretch
 are reconciled globally: the set of spans without overlaps of the greatest total weight
 wins.  What the patterns find stays in any case; proposals that touch it are dropped.
 
@@ -33,7 +33,9 @@ EPOCHS, BATCH, RATE = 7, 32, 0.03
 #: Mean score per character, above the outside tag, that a proposal must reach.
 LEAST_WEIGHT = 2.5
 
-_TRIGGER = regex.compile(r"[0-9@]")
+#: What every span that the patterns find holds, and what every span holds.
+_BASE_TRIGGER = regex.compile(r"[0-9@]")
+_TRIGGER = regex.compile(r"[0-9@]|[(\[][Aa][Tt][)\]]")
 # The base patterns; possessive runs and the look-behind spare retries inside a run of digits.
 _IP = regex.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = regex.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -94,10 +96,10 @@ def symbols(text: str) -> np.ndarray:
     return np.where(codes < 32, 1, np.minimum(codes, 127)).astype(np.int64)
 
 
-def stretches(text: str) -> list[tuple[int, int]]:
-    """The parts of a text within ``MARGIN`` of a digit or at sign."""
+def stretches(text: str, trigger=_TRIGGER) -> list[tuple[int, int]]:
+    """The parts of a text within ``MARGIN`` of a digit or at sign, however written."""
     out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
+    for m in trigger.finditer(text):
         a, b = max(0, m.start() - MARGIN), min(len(text), m.end() + MARGIN)
         if out and a <= out[-1][1]:
             out[-1] = (out[-1][0], b)
@@ -229,7 +231,8 @@ def tags_of(start: int, end: int, spans) -> np.ndarray:
 def labelled_windows(docs: DataFrame, most_docs: int, most_windows: int) -> list[tuple[str, bytes]]:
     """(text, tags) of windows around digits and at signs in a bounded sample of documents.
 
-    Both samples go by the least hashes, so they do not depend on the partitioning.
+    Both samples go by the least hashes, so they do not depend on the partitioning.  Only what
+    the patterns could find is labelled, so written-out at signs are no reason to take a window.
     """
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_docs)
     # At most ``most_docs`` ids.
@@ -240,10 +243,10 @@ def labelled_windows(docs: DataFrame, most_docs: int, most_windows: int) -> list
         for piece in pieces_of(batches):
             found = []
             for text in piece.column("text").to_pylist():
-                if not _TRIGGER.search(text):
+                if not _BASE_TRIGGER.search(text):
                     continue
                 spans = base_spans(text)
-                for stretch in stretches(text):
+                for stretch in stretches(text, _BASE_TRIGGER):
                     for a, b in windows_of(*stretch):
                         near = [s for s in spans if s[0] < b and s[1] > a]
                         found.append((text[a:b], tags_of(a, b, near).astype(np.uint8).tobytes()))
@@ -289,6 +292,11 @@ def fit_documents(docs: DataFrame, most_docs: int = SAMPLE_DOCS, most_windows: i
 def _rows_with_triggers(column: pa.Array) -> np.ndarray:
     data, offs = text_bytes(column)
     near = np.flatnonzero(((data >= 48) & (data <= 57)) | (data == 64))
+    begun = np.flatnonzero((data == 40) | (data == 91))
+    begun = begun[begun + 3 < len(data)]
+    after = [data[begun + k] | 32 for k in (1, 2)]
+    begun = begun[(after[0] == 97) & (after[1] == 116) & ((data[begun + 3] == 41) | (data[begun + 3] == 93))]
+    near = np.concatenate([near, begun])
     out = np.zeros(len(column), bool)
     out[np.searchsorted(offs, near, "right") - 1] = True
     return out

@@ -240,6 +240,29 @@ def test_unseen_writings_are_found_and_plain_numbers_left(tagger):
     assert sum(bool(pii.find_spans(tagger, t)[1]) for t in plain) <= 12
 
 
+@pytest.mark.parametrize("sign", ["(at)", "[at]"])
+def test_addresses_without_digit_or_at_sign_are_found(spark, tagger, sign):
+    rng, spans = np.random.default_rng(21), []
+    while len(spans) < 40:
+        span = pii.invent("email", rng)
+        if sign in span and not re.search("[0-9@]", span):
+            spans.append(span)
+    docs = documents(spark, [(i, f"some of the words then {s} and more of them") for i, s in enumerate(spans)])
+    tagged = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.tag_documents(docs, tagger).collect()}
+    assert sum(tagged[i] == [(23, 23 + len(s), "email")] for i, s in enumerate(spans)) >= 36
+    texts = [r.text for r in pii.redact_documents(docs, tagger).collect()]
+    assert sum(t == "some of the words then <email> and more of them" for t in texts) >= 36
+
+
+def test_every_row_with_a_trigger_is_read():
+    texts = ["", "a (at) b", "(AT)", "[aT]", "(a", "t)", "[at", "at", "x (att)", "7", "@", "\u00e9(at)", "(at"]
+    want = [bool(pii._TRIGGER.search(t)) for t in texts]
+    got = pii._rows_with_triggers(pa.array(texts)).tolist()
+    # A sign that two neighbouring rows make up together costs a look, no more.
+    assert sum(want) == 6 and all(g or not w for g, w in zip(got, want)) and not got[0] and not got[7]
+    assert pii.stretches("x" * 50 + "(At)" + "y" * 50) == [(26, 78)]
+
+
 def test_spans_of_edge_rows(spark, tagger):
     docs = documents(spark)
     for r in pii.tag_documents(docs, tagger).collect():
