@@ -629,12 +629,15 @@ runs AS MATERIALIZED (SELECT entity, month AS eval_month, label AS ytrue, val_en
 @""")
 
 
-def _mean_runs(spark, sf):
+def _panel_runs(spark, sf, models):
     ends = fx.panel_spec(spark, sf)
     specs = grid.temporal_specs([ends.label_start], [ends.label_end], _OPTIONS)
     panel = materialize(fx.panel(spark, sf), "panel")
-    return training.run_specs(panel, "entity", "month", "label", ["n_orders", "max_price"], specs,
-                              {training.MEAN: {}})
+    return training.run_specs(panel, "entity", "month", "label", ["n_orders", "max_price"], specs, models)
+
+
+def _mean_runs(spark, sf):
+    return _panel_runs(spark, sf, {training.MEAN: {}})
 
 
 @query("q_timecut_results", _RUNS.replace("\n@", """
@@ -646,6 +649,27 @@ def timecut_results(spark, sf):
         F.round("p", 6).alias("p"), "fallback")
 
 
+_FITS = {training.MEAN: {}, "logistic": {"regParam": (0.0, 0.1)}}
+
+
+@query("q_timecut_fits", _RUNS.replace("\n@", """
+SELECT entity, eval_month, ytrue, timecut, feature_window, update_freq, h, model_id,
+  model_id = 'm000' OR p IN (0, 1) AS fallback,
+  CASE WHEN model_id = 'm000' OR p IN (0, 1) THEN round(p, 6) END AS mean, true AS sound
+FROM runs, (VALUES ('m000'), ('m001'), ('m002')) m(model_id)"""))
+def timecut_fits(spark, sf):
+    """The logistic grid beside the mean, every option, timecut and month of the whole panel.
+
+    SQL says the rows, which of them a model was fitted for, and the means; of the fitted
+    probabilities it says only that each lies between 0 and 1.
+    """
+    runs = _panel_runs(spark, sf, _FITS)
+    return runs.select(
+        "entity", "eval_month", "ytrue", "timecut", "feature_window", "update_freq", "h", "model_id",
+        "fallback", F.when(F.col("fallback"), F.round("p", 6)).alias("mean"),
+        F.col("p").between(0.0, 1.0).alias("sound"))
+
+
 @query("q_best_timecut_model", _RUNS.replace("\n@", """
 SELECT timecut, arg_max(model_id, (f1, -CAST(substr(model_id, 2) AS INTEGER))) AS model_id, max(f1) AS f1
 FROM (""" + _RATES.format(by="timecut, model_id, ", rows="""SELECT ytrue = 1 AS y,
