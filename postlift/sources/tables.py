@@ -42,11 +42,11 @@ def skip_rows(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def take_first(df: DataFrame, key: str, n: int) -> DataFrame:
-    """The first ``n`` rows in order of a unique ``key``."""
+    """The first ``n`` rows in order of ``key``: nulls first, as many of a tie as there is room for."""
     if n <= _HEAP_ROWS:
         return df.orderBy(key).limit(n)
-    edge = _key_at(df, key, n)
-    return df.where(edge.isNull() | (F.col(key) < edge))
+    ranked = global_rank(df.withColumn("_tie", F.monotonically_increasing_id()), [key, "_tie"], "_rank")
+    return ranked.where(F.col("_rank") < n).drop("_rank", "_tie")
 
 
 def read_sidecars(spark: SparkSession, glob: str, schema, multi_line: bool = True) -> DataFrame:

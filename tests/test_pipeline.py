@@ -195,6 +195,15 @@ def test_take_beyond_the_heap_uses_a_key_edge(spark, monkeypatch):
     assert tables.take_first(df, "id", 80).count() == 50
 
 
+@pytest.mark.parametrize("most", [2, 100])
+def test_take_first_with_ties_and_nulls(spark, monkeypatch, most):
+    monkeypatch.setattr(tables, "_HEAP_ROWS", most)
+    df = spark.createDataFrame([(i // 10 if i >= 3 else None, i) for i in range(40)], "id int, place int")
+    rows = tables.take_first(df.repartition(4), "id", 15).collect()
+    assert sorted(-1 if r.id is None else r.id for r in rows) == [-1] * 3 + [0] * 7 + [1] * 5
+    assert len({r.place for r in rows}) == 15 and rows[0].asDict().keys() == {"id", "place"}
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     a = {r.id for r in splits.sample_rows(spark.range(500), 20).collect()}
     b = {r.id for r in splits.sample_rows(spark.range(500).repartition(9), 20).collect()}
