@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import byte_bpe, decontaminate, fingerprints, ngram_join, pii, shards, suffix_tree, token_counts, toxicity, warc
+from . import (byte_bpe, decontaminate, fingerprints, ngram_join, pii, shards, suffix_tree,
+               token_counts, toxicity, turn_repair, warc)
 
 PATTERN = public_tokenizers.PATTERN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +152,82 @@ def op10_toxicity(spark, sf):
     return toxicity.score_documents(docs, model).select(
         "doc_id", (id_remainder(5) == 0).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: unsigned crc32 of an ASCII text, byte by byte over the table of the polynomial."""
+    table = ("list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), "
+             "lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))")
+    return (f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split({text}, ''), "
+            f"lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, ({table})[(xor(c, b) & 255) + 1])))")
+
+
+# States 0 to 3: nothing yet, after s, after u, after a.  The last place costs what inserts cost there;
+# step by step towards the first row, a state takes up to two inserts (i of them, to state m), then
+# one edit of the row (to state q).
+@query("op11_turn_repair", f"""
+    WITH RECURSIVE raw AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+            {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS fate
+        FROM conversations),
+    damaged AS (
+        SELECT conv_id, turn, CASE fate WHEN 4 THEN 'user' ELSE role END AS role,
+            CASE fate WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(CASE fate WHEN 3 THEN [1, 2] ELSE [1] END) AS copy
+        FROM raw WHERE fate <> 0),
+    placed AS (
+        SELECT *, row_number() OVER c AS place, left(role, 1) AS initial, lag(left(role, 1)) OVER c AS previous,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body
+        FROM damaged WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+    rows_ AS (
+        SELECT *, CASE WHEN body = '' THEN 1 WHEN seen > 1 THEN 2
+            WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM placed),
+    totals AS (
+        SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+            count(*) FILTER (fault = 3) AS truncated,
+            count(*) FILTER (place > 1 AND previous || initial NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM rows_ GROUP BY conv_id),
+    inserts(s, m, price, letters) AS (VALUES (0, 0, 0, ''), (0, 2, 5, 'I'), (0, 3, 10, 'II'), (1, 1, 0, ''),
+        (1, 2, 5, 'I'), (1, 3, 10, 'II'), (2, 2, 0, ''), (2, 3, 5, 'I'), (3, 3, 0, ''), (3, 2, 5, 'I')),
+    edits(m, q, letter, price, initial) AS (VALUES (0, 0, 'D', 2, NULL), (1, 1, 'D', 2, NULL),
+        (2, 2, 'D', 2, NULL), (3, 3, 'D', 2, NULL), (0, 2, 'R', 1, NULL), (1, 2, 'R', 1, NULL),
+        (3, 2, 'R', 1, NULL), (2, 3, 'R', 1, NULL), (0, 1, 'K', 0, 's'), (0, 2, 'K', 0, 'u'),
+        (1, 2, 'K', 0, 'u'), (3, 2, 'K', 0, 'u'), (2, 3, 'K', 0, 'a')),
+    best AS (
+        SELECT conv_id, n + 1 AS place, s, CASE s WHEN 1 THEN 10 WHEN 2 THEN 5 ELSE 0 END AS cost,
+            CASE s WHEN 1 THEN 'II' WHEN 2 THEN 'I' ELSE '' END AS audit
+        FROM totals, (VALUES (0), (1), (2), (3)) AS t(s)
+        UNION ALL
+        SELECT conv_id, place, s, won.cost, won.audit FROM (
+            SELECT b.conv_id, r.place, i.s, min({{'cost': b.cost + i.price + e.price
+                    + CASE WHEN r.fault = 3 AND e.letter <> 'D' THEN 5 ELSE 0 END,
+                'audit': i.letters || e.letter || b.audit}}) AS won
+            FROM best b JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM b.conv_id AND r.place = b.place - 1
+            JOIN edits e ON e.q = b.s AND (e.initial IS NULL OR e.initial = r.initial)
+                AND (e.letter = 'D' OR r.fault NOT IN (1, 2))
+            JOIN inserts i ON i.m = e.m GROUP BY b.conv_id, r.place, i.s)),
+    chosen AS (SELECT conv_id, cost, audit FROM best WHERE place = 1 AND s = 0),
+    walk AS (
+        SELECT conv_id, audit, 0 AS step, 1 AS place, NULL::VARCHAR AS wrote, '' AS last FROM chosen
+        UNION ALL
+        SELECT w.conv_id, w.audit, w.step + 1, w.place + CASE WHEN letter = 'I' THEN 0 ELSE 1 END,
+            CASE letter WHEN 'D' THEN NULL WHEN 'K' THEN r.role || ':' || r.text
+                WHEN 'R' THEN next || ':' || r.text ELSE next || ':' END,
+            CASE letter WHEN 'D' THEN w.last WHEN 'K' THEN r.initial ELSE left(next, 1) END
+        FROM (SELECT *, substr(audit, step + 1, 1) AS letter,
+                CASE last WHEN 'u' THEN 'assistant' ELSE 'user' END AS next FROM walk) w
+        LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.place = w.place
+        WHERE w.step < length(w.audit)),
+    texts AS (SELECT conv_id, string_agg(wrote, chr(10) ORDER BY step) AS repaired FROM walk GROUP BY conv_id)
+    SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+        coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0)::BIGINT AS cost,
+        coalesce(audit, '') AS audit, sha256(coalesce(repaired, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) k
+    LEFT JOIN totals t ON t.conv_id IS NOT DISTINCT FROM k.conv_id
+    LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM k.conv_id
+    LEFT JOIN texts x ON x.conv_id IS NOT DISTINCT FROM k.conv_id""")
+def op11_turn_repair(spark, sf):
+    damaged = turn_repair.damage(table(spark, sf, "conversations"))
+    return turn_repair.audit_conversations(damaged, "present")
