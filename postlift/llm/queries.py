@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
 from . import (byte_bpe, decontaminate, fingerprints, ngram_join, pii, shards, suffix_tree,
-               token_counts, toxicity, turn_repair, warc)
+               token_counts, toxicity, turn_repair, turn_trie, warc)
 
 PATTERN = public_tokenizers.PATTERN
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,36 @@ def crc32_sql(text: str) -> str:
 def op11_turn_repair(spark, sf):
     damaged = turn_repair.damage(table(spark, sf, "conversations"))
     return turn_repair.audit_conversations(damaged, "present")
+
+
+@query("op12_turn_trie", f"""
+    WITH t AS (
+        SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place,
+            {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS said
+        FROM conversations WHERE conv_id IS NOT NULL),
+    own AS (SELECT conv_id, list(said ORDER BY place) AS turns FROM t GROUP BY conv_id),
+    heads AS (SELECT conv_id, turns, {crc32_sql("conv_id::VARCHAR")} % 9 AS h FROM own),
+    rebuilt AS (
+        SELECT c.conv_id, list_concat(coalesce(f.turns, [])[1:c.h], c.turns[c.h + 1:]) AS turns
+        FROM heads c LEFT JOIN own f ON f.conv_id = c.conv_id - c.conv_id % 5),
+    prefixes AS (
+        SELECT conv_id, d, turns[1:d] AS prefix, d = len(turns) AS is_end
+        FROM (SELECT conv_id, turns, unnest(range(len(turns) + 1)) AS d FROM rebuilt)),
+    nodes AS (
+        SELECT prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+            sha256(coalesce(string_agg(CASE WHEN is_end THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), ''))
+            AS ends_sha256 FROM prefixes GROUP BY prefix, d),
+    linked AS (
+        SELECT n.*, p.conv_id AS parent_conv_id, coalesce(k.n_children, 0) AS n_children,
+            (n.n_convs - 1) * CASE WHEN n.d > 0 THEN octet_length(encode(n.prefix[n.d].text)) ELSE 0 END AS saves
+        FROM nodes n LEFT JOIN nodes p ON p.d = n.d - 1 AND p.prefix = n.prefix[1:n.d - 1]
+        LEFT JOIN (SELECT d - 1 AS d, prefix[1:d - 1] AS prefix, count(*) AS n_children FROM nodes WHERE d > 0
+                   GROUP BY ALL) k ON k.d = n.d AND k.prefix = n.prefix),
+    below AS (
+        SELECT a.up, n.prefix[1:a.up] AS prefix, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum(n.saves) AS saved_tokens
+        FROM linked n, LATERAL (SELECT unnest(range(n.d + 1)) AS up) a GROUP BY ALL)
+    SELECT n.conv_id, n.d AS depth, n.parent_conv_id, n.n_convs, n.n_children, b.n_leaves::BIGINT AS n_leaves,
+        b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+    FROM linked n JOIN below b ON b.up = n.d AND b.prefix = n.prefix""")
+def op12_turn_trie(spark, sf):
+    return turn_trie.conversation_trie(table(spark, sf, "conversations"))
