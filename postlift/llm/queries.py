@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import materialize, scratch_path
-from . import (byte_bpe, decontaminate, fingerprints, ngram_join, pii, shards, suffix_tree,
+from . import (byte_bpe, decontaminate, fingerprints, id_files, ngram_join, pii, shards, suffix_tree,
                token_counts, toxicity, turn_repair, turn_trie, warc)
 
 PATTERN = public_tokenizers.PATTERN
@@ -264,3 +264,11 @@ def op11_turn_repair(spark, sf):
     FROM linked n JOIN below b ON b.up = n.d AND b.prefix = n.prefix""")
 def op12_turn_trie(spark, sf):
     return turn_trie.conversation_trie(table(spark, sf, "conversations"))
+
+
+@query("op13_id_files")
+def op13_id_files(spark, sf):
+    path = scratch_path(spark, "token-ids")
+    id_files.write_ids(table(spark, sf, "documents"), path, vocabulary("byte_bpe_50k.json"), PATTERN)
+    return id_files.with_starts(id_files.read_ids(spark, path)).select(
+        "doc_id", "start", "n_tokens", "ids_crc32")
