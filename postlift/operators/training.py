@@ -19,8 +19,7 @@ from ..sources.sinks import save_model
 from .losses import focal
 from .metrics import binary_metrics
 from .scoring import dot
-from .temporal import (mean_fallback, only_entities, supervised_matrix, tag_cuts,
-                       timecut_windows)
+from .temporal import mean_fallback, supervised_matrix, tag_cuts, timecut_windows
 
 # The model that predicts the training rows' mean label.
 MEAN = "mean"
@@ -117,7 +116,9 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
     timecut, model_id, p, fallback), appended per timecut to a table in the shared
     folder.  Where the training rows have one class only, p is their mean label and
     ``fallback`` is true, and so it is for the model ``mean``; a fit that fails for any
-    other reason fails the run.  Class balances of all cuts come from one pass.
+    other reason fails the run.  Class balances of all cuts come from one pass.  A job runs per
+    cut and model, and the models can be saved; ``experiment.run_experiment`` fits the
+    logistic ones of all cuts together.
     """
     spark = panel.sparkSession
     models = model_grid(grid)
@@ -174,23 +175,6 @@ def run_timecuts(panel: DataFrame, entity: str, month: str, target: str, feature
     return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
 
 
-def run_specs(panel: DataFrame, entity: str, month: str, target: str, features: list[str],
-              specs: list[TemporalSpec], grid: dict[str, dict[str, tuple]], entities=None,
-              model_root: str | None = None) -> DataFrame:
-    """``run_timecuts`` for every combination of options, over all or the listed entities.
-
-    The options of a row stand beside it (feature_window, update_freq, h).
-    """
-    chosen = panel if entities is None else only_entities(panel, entity, entities)
-    runs = []
-    for spec in specs:
-        options = {name: getattr(spec, name) for name in ("feature_window", "update_freq", "h")}
-        root = None if model_root is None else "/".join([model_root, *map(str, options.values())])
-        run = run_timecuts(chosen, entity, month, target, features, spec, grid, root)
-        runs.append(run.withColumns({name: F.lit(value) for name, value in options.items()}))
-    return reduce(DataFrame.unionByName, runs)
-
-
 def best_models(results: DataFrame, threshold: float = SETTINGS.confidence,
                 by: tuple[str, ...] = ("timecut",)) -> DataFrame:
     """Per timecut the model of the greatest F1 over its results; ties go to the least id."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SETTINGS
 from ..functions import scores
-from ..operators import (explain, labels, losses, metrics, reshape, scoring, splits, training)
+from ..operators import (experiment, explain, labels, losses, metrics, reshape, scoring, splits, training)
 from ..session import materialize, scratch_path
 from ..sources import grid, sinks
 from . import fixtures as fx
@@ -629,27 +629,24 @@ runs AS MATERIALIZED (SELECT entity, month AS eval_month, label AS ytrue, val_en
 @""")
 
 
-def _panel_runs(spark, sf, models):
+def _experiment(spark, sf, models, flags=None):
     ends = fx.panel_spec(spark, sf)
     specs = grid.temporal_specs([ends.label_start], [ends.label_end], _OPTIONS)
     panel = materialize(fx.panel(spark, sf), "panel")
-    return training.run_specs(panel, "entity", "month", "label", ["n_orders", "max_price"], specs, models)
-
-
-def _mean_runs(spark, sf):
-    return _panel_runs(spark, sf, {training.MEAN: {}})
+    return experiment.run_experiment(panel, "entity", "month", "label", ["n_orders", "max_price"], specs,
+                                     models, flags)
 
 
 @query("q_timecut_results", _RUNS.replace("\n@", """
 SELECT entity, eval_month, ytrue, timecut, feature_window, update_freq, h, round(p, 6) AS p,
   true AS fallback FROM runs"""))
 def timecut_results(spark, sf):
-    return _mean_runs(spark, sf).select(
+    return _experiment(spark, sf, {"m000": experiment.MEAN}).results.select(
         "entity", "eval_month", "ytrue", "timecut", "feature_window", "update_freq", "h",
         F.round("p", 6).alias("p"), "fallback")
 
 
-_FITS = {training.MEAN: {}, "logistic": {"regParam": (0.0, 0.1)}}
+_FITS = {"m000": experiment.MEAN, "m001": experiment.Logistic(), "m002": experiment.Logistic(ridge=0.1)}
 
 
 @query("q_timecut_fits", _RUNS.replace("\n@", """
@@ -660,27 +657,87 @@ FROM runs, (VALUES ('m000'), ('m001'), ('m002')) m(model_id)"""))
 def timecut_fits(spark, sf):
     """The logistic grid beside the mean, every option, timecut and month of the whole panel.
 
-    SQL says the rows, which of them a model was fitted for, and the means; of the fitted
-    probabilities it says only that each lies between 0 and 1.
+    SQL says the rows, which of them a model was fitted for, and the means;
+    ``q_timecut_gradients`` checks the fits themselves.
     """
-    runs = _panel_runs(spark, sf, _FITS)
+    runs = _experiment(spark, sf, _FITS).results
     return runs.select(
         "entity", "eval_month", "ytrue", "timecut", "feature_window", "update_freq", "h", "model_id",
         "fallback", F.when(F.col("fallback"), F.round("p", 6)).alias("mean"),
         F.col("p").between(0.0, 1.0).alias("sound"))
 
 
-@query("q_best_timecut_model", _RUNS.replace("\n@", """
+_TRAINED = """,
+trained AS MATERIALIZED (SELECT * FROM windows WHERE val_end IN (SELECT month FROM months)
+  AND EXISTS (SELECT 1 FROM months m WHERE m.month BETWEEN train_start AND train_end))"""
+
+
+@query("q_timecut_gradients", _RUNS.replace("\n@", _TRAINED + """,
+base AS MATERIALIZED (SELECT fw, uf, h, val_end, count(*) AS n, avg(label) AS m FROM trained
+  JOIN rows USING (fw, h) WHERE month BETWEEN train_start AND train_end
+  GROUP BY ALL HAVING avg(label) NOT IN (0, 1)),
+lagged AS (SELECT t.fw, uf, t.h, val_end, l.month - r.month AS lag,
+  sum(r.n_orders) AS o, sum(r.n_orders * l.label) AS oy, sum(r.max_price) AS p, sum(r.max_price * l.label) AS py
+  FROM trained t JOIN rows l ON l.fw = t.fw AND l.h = t.h AND l.month BETWEEN train_start AND train_end
+  JOIN panel r ON r.entity = l.entity AND l.month - r.month BETWEEN t.h AND t.h + t.fw - 1 GROUP BY ALL),
+weighted AS (SELECT b.*, lag, o, oy, p, py FROM (SELECT *, unnest(range(h, h + fw)) AS lag FROM base) b
+  LEFT JOIN lagged USING (fw, uf, h, val_end, lag)),
+moments AS (SELECT fw, uf, h, val_end, n, 'bias' AS feature, m AS moment FROM base
+  UNION ALL SELECT fw, uf, h, val_end, n, 'n_orders_lag' || lag, oy / o FROM weighted
+  UNION ALL SELECT fw, uf, h, val_end, n, 'max_price_lag' || lag, py / p FROM weighted)
+SELECT fw AS feature_window, uf AS update_freq, h, val_end AS timecut, model_id, feature, n AS n_train,
+  round(coalesce(moment, 0), 6) AS moment, true AS converged
+FROM moments, (VALUES ('m001'), ('m002')) m(model_id)"""))
+def timecut_gradients(spark, sf):
+    """Every weight of every fit is at its optimum.
+
+    There the mean prediction weighted by a feature (and the penalty's share) is the mean
+    label weighted alike, which SQL takes from the panel.
+    """
+    found = _experiment(spark, sf, _FITS).moments()
+    return found.withColumn("moment", F.round("moment", 6))
+
+
+# Indicators of a row's lags: active in the newest month, ever dear, busy on the whole.
+def _flags(spec):
+    lags = range(spec.h, spec.h + spec.feature_window)
+    orders = sum((F.col(f"n_orders_lag{k}") for k in lags), F.lit(0))
+    return {"seen": F.col(f"n_orders_lag{spec.h}") > 0,
+            "dear": F.greatest(*[F.col(f"max_price_lag{k}") for k in lags]) >= 250_000, "busy": orders >= 4}
+
+
+_FLAG_MODELS = {"0": experiment.MEAN, **{str(i): experiment.Logistic((name,))
+                                         for i, name in enumerate(("seen", "dear", "busy"), 1)}}
+
+
+@query("q_best_timecut_model", _RUNS.replace("\n@", _TRAINED + """,
+flags AS MATERIALIZED (SELECT l.fw, l.h, l.entity, l.month, l.label,
+  max(l.month - r.month = l.h) FILTER (r.month IS NOT NULL) AS f1, max(r.max_price) >= 250000 AS f2,
+  sum(r.n_orders) >= 4 AS f3 FROM rows l
+  JOIN panel r ON r.entity = l.entity AND l.month - r.month BETWEEN l.h AND l.h + l.fw - 1
+  WHERE l.label IS NOT NULL GROUP BY ALL),
+long AS MATERIALIZED (SELECT fw, h, entity, month, label, unnest([0, 1, 2, 3]) AS model,
+  unnest([true, coalesce(f1, false), f2, f3]) AS flag FROM flags),
+rates AS (SELECT fw, uf, h, val_end, model, flag, avg(label) AS p FROM trained JOIN long USING (fw, h)
+  WHERE month BETWEEN train_start AND train_end GROUP BY ALL),
+predicted AS (SELECT t.val_end AS timecut, l.label AS ytrue, round(coalesce(r.p, m.p), 6) AS p,
+  printf('m%03d', CAST(((CASE t.fw WHEN 6 THEN 0 ELSE 1 END * 2 + CASE t.uf WHEN 6 THEN 0 ELSE 1 END) * 2
+    + CASE t.h WHEN 0 THEN 0 ELSE 1 END) * 4 + l.model AS INTEGER)) AS model_id
+  FROM trained t JOIN means m USING (fw, uf, h, val_end)
+  JOIN long l ON l.fw = t.fw AND l.h = t.h AND l.month BETWEEN val_start AND val_end
+  LEFT JOIN rates r ON r.fw = t.fw AND r.uf = t.uf AND r.h = t.h AND r.val_end = t.val_end
+    AND r.model = l.model AND r.flag = l.flag)
 SELECT timecut, arg_max(model_id, (f1, -CAST(substr(model_id, 2) AS INTEGER))) AS model_id, max(f1) AS f1
 FROM (""" + _RATES.format(by="timecut, model_id, ", rows="""SELECT ytrue = 1 AS y,
-  round(p, 6) >= 0.05 AS p, timecut, printf('m%03d', CAST((fw_no * 2 + uf_no) * 2 + h_no AS INTEGER)) AS model_id
-  FROM (SELECT *, CASE feature_window WHEN 6 THEN 0 ELSE 1 END AS fw_no,
-    CASE update_freq WHEN 6 THEN 0 ELSE 1 END AS uf_no, CASE h WHEN 0 THEN 0 ELSE 1 END AS h_no
-    FROM runs)""") + ") GROUP BY 1"))
+  p >= 0.05 AS p, timecut, model_id FROM predicted""") + ") GROUP BY 1"))
 def best_timecut_model(spark, sf):
-    """Per timecut the best of the option combinations, each a model of its own."""
+    """Per timecut the best of all option combinations and models, fitted ones among them.
+
+    A logistic model of one indicator predicts the mean label of either value, so SQL can
+    say what each fit must predict.
+    """
     number = sum(F.when(F.col(name) == values[0], 0).otherwise(1) * factor for name, values, factor in (
-        ("feature_window", (6, 12), 4), ("update_freq", (6, 12), 2), ("h", (0, 3), 1)))
-    runs = _mean_runs(spark, sf).withColumns({
-        "p": F.round("p", 6), "model_id": F.format_string("m%03d", number)})
+        ("feature_window", (6, 12), 16), ("update_freq", (6, 12), 8), ("h", (0, 3), 4)))
+    runs = _experiment(spark, sf, _FLAG_MODELS, _flags).results.withColumns({
+        "p": F.round("p", 6), "model_id": F.format_string("m%03d", number + F.col("model_id").cast("int"))})
     return training.best_models(runs, 0.05).withColumn("f1", F.round("f1", 6))
