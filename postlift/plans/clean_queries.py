@@ -8,7 +8,7 @@ from ..config import SETTINGS
 from ..functions import clean, features, media, scores, text
 from ..operators import compose, labels, reshape, tokens
 from ..session import materialize, scratch_path
-from ..sources import documents, grid, sinks, tables
+from ..sources import documents, grid, published, sinks, tables
 from . import fixtures as fx
 from .oracle_ctes import sql
 from .registry import query
@@ -33,6 +33,25 @@ def resume_scan(spark, sf):
     return tables.skip_rows(orders, "id", 1000)
 
 
+_AFTER = 1000
+
+
+@query("q_resume_marked", f"""
+SELECT count(*) AS n, min(o_orderkey) AS first_id, max(o_orderkey) AS last_id,
+  round(sum(o_totalprice), 2) AS price, true AS pruned FROM orders WHERE o_orderkey > {_AFTER}""")
+def resume_marked(spark, sf):
+    """A reader that stopped at a key goes on behind it, opening only the ranges that follow."""
+    path = scratch_path(spark, "ranges")
+    orders = fx.table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    published.write_ranges(orders, path, "o_orderkey", 16)
+    published.save_mark(spark, path, "reader", _AFTER)
+    rest = published.read_after(spark, path, published.load_mark(spark, path, "reader"))
+    files = len(rest.inputFiles()), len(published.read_after(spark, path).inputFiles())
+    return rest.agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_id"),
+                    F.max("o_orderkey").alias("last_id"), F.round(F.sum("o_totalprice"), 2).alias("price"),
+                    F.lit(files[0] < files[1]).alias("pruned"))
+
+
 @query("q_take_n", """
 SELECT o_orderkey AS id, o_totalprice AS price FROM orders ORDER BY o_orderkey LIMIT 200""")
 def take_n(spark, sf):
@@ -202,7 +221,8 @@ SELECT count(*) AS n_rows, count(DISTINCT o_orderkey) AS n_ids, true AS shards_o
 def sharded_write(spark, sf):
     path = scratch_path(spark, "shards")
     sinks.write_shards(fx.table(spark, sf, "orders"), path)
-    per_file = (spark.read.parquet(path).select("o_orderkey", F.col("_metadata.file_path").alias("f"))
+    written = published.read_published(spark, path)
+    per_file = (written.select("o_orderkey", F.col("_metadata.file_path").alias("f"))
                 .groupBy("f").agg(F.count("*").alias("n"),
                                   F.count_distinct("o_orderkey").alias("ids")))
     return per_file.agg(F.sum("n").alias("n_rows"), F.sum("ids").alias("n_ids"),
@@ -486,7 +506,7 @@ def label_table(spark, sf):
 def label_write(spark, sf):
     path = scratch_path(spark, "label-table")
     sinks.write_label_table(_label_table(spark, sf), path)
-    return spark.read.parquet(path)
+    return published.read_published(spark, path)
 
 
 @query("q_required_gate", sql("""
@@ -588,6 +608,23 @@ def stream_compose(spark, sf):
     return _shown(read_shards(spark, sink))
 
 
+@query("q_stream_seen", """
+SELECT o_orderkey AS id, o_totalprice AS price, 1 AS times,
+  CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 1 END AS trigger FROM orders""")
+def stream_seen(spark, sf):
+    """Two triggers of one stream; the second delivers rows of the first again, in other files."""
+    from ..streaming.incremental import compose_stream, read_shards
+    orders = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("price"), "o_orderstatus")
+    inbox, sink, state = (scratch_path(spark, n) for n in ("inbox", "seen", "seen-state"))
+    for trigger, arrived in ((1, "o_orderstatus <> 'O'"), (2, "o_orderstatus <> 'F'")):
+        orders.where(arrived).drop("o_orderstatus").write.mode("append").parquet(inbox)
+        compose_stream(spark, inbox, "id bigint, price double",
+                       lambda batch, n=trigger: batch.withColumn("trigger", F.lit(n)), sink, state, key="id")
+    return read_shards(spark, sink).groupBy("id", "price").agg(
+        F.count("*").cast("int").alias("times"), F.max("trigger").alias("trigger"))
+
+
 @query("q_build_labelled", sql("@", "raw_posts", "user_meta", "video_meta").replace("\n@", """,
 joined AS (SELECT p.id, CASE WHEN p.id % 97 <> 0 THEN create_s END AS made, p.stats_s,
     try_cast(p.duration AS BIGINT) AS duration, try_cast(p.vq_score AS DOUBLE) AS vq, m.width, m.height,
@@ -625,7 +662,7 @@ def build_labelled(spark, sf):
     media = kept.select("id", (i % fx.count_of(spark, sf, "pages")).alias("_page")).join(pages, "_page")
     path = scratch_path(spark, "dataset")
     sinks.write_shards(compose.attach_media(kept, media), path)
-    dataset = spark.read.parquet(path)
+    dataset = published.read_published(spark, path)
     labelled = labels.label_tail(dataset, labels.tail_stats(dataset))
     return labelled.select(
         "id", F.col("day_of_week"), F.round("engagement_score", 6).alias("engagement_score"),

@@ -5,19 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import SETTINGS
+from .published import publish
 
 
-def write_shards(df: DataFrame, path: str, rows: int = SETTINGS.shard_rows) -> None:
-    """Parquet files of at most ``rows`` records each, written by all tasks at once."""
-    df.write.mode("overwrite").option("maxRecordsPerFile", rows).parquet(path)
+def write_shards(df: DataFrame, path: str, rows: int = SETTINGS.shard_rows, token: str | None = None) -> int:
+    """Replace the table in ``path`` by files of at most ``rows`` records, written by all tasks at once.
 
+    They count from the moment their manifest stands (``read_published``): until then, and
+    if the write is killed, readers see the former table.  A ``token`` that was
+    published before makes a retry do nothing.
+    """
+    return publish(df, path, token=token, rows=rows)
 
-def write_label_table(df: DataFrame, path: str, by_cohort: bool = False) -> None:
-    """Flat labelled table; by cohort, later month filters read only their folders."""
-    writer = df.write.mode("overwrite")
-    if by_cohort:
-        writer = writer.partitionBy("cohort_month")
-    writer.parquet(path)
+
+def write_label_table(df: DataFrame, path: str, by_cohort: bool = False) -> int:
+    """Publish the flat labelled table; by cohort, later month filters read only their folders."""
+    return publish(df, path, by=("cohort_month",) if by_cohort else ())
 
 
 def write_sidecars(df: DataFrame, path: str, folder: str = "username") -> None:

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from postlift.config import CONTRACT, REQUIRED
 from postlift.operators import compose, splits
 from postlift.session import materialize, scratch_path, scratch_root, scratch_scope
-from postlift.sources import documents, sinks, tables
+from postlift.sources import documents, published, sinks, tables
 from postlift.streaming.incremental import compose_stream, read_shards
 
 
@@ -170,13 +171,13 @@ def test_csv_and_label_sinks(spark, tmp_path):
     back = tables.read_csv(spark, str(tmp_path / "csv"), df.schema)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
     sinks.write_label_table(df, str(tmp_path / "labels"), by_cohort=True)
-    read = spark.read.parquet(str(tmp_path / "labels")).where("cohort_month = '2024-01'")
+    read = published.read_published(spark, str(tmp_path / "labels")).where("cohort_month = '2024-01'")
     assert [r.id for r in read.collect()] == [1]
 
 
 def test_shards_hold_at_most_the_given_rows(spark, tmp_path):
     sinks.write_shards(spark.range(95), str(tmp_path / "s"), rows=10)
-    files = spark.read.parquet(str(tmp_path / "s")).groupBy(F.input_file_name()).count().collect()
+    files = published.read_published(spark, str(tmp_path / "s")).groupBy(F.input_file_name()).count().collect()
     assert max(r["count"] for r in files) <= 10 and sum(r["count"] for r in files) == 95
 
 
@@ -246,6 +247,124 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
                   ) == batch
 
 
+def test_stream_leaves_out_what_was_delivered_before(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def deliver(rows):
+        (spark.createDataFrame(rows, "id bigint, at timestamp").repartition(2)
+         .write.mode("append").parquet(source))
+        compose_stream(spark, source, "id bigint, at timestamp", lambda b: b, sink, state, key="id")
+        return sorted(-1 if r.id is None else r.id for r in read_shards(spark, sink).collect())
+
+    at = datetime.datetime(2024, 1, 1)
+    assert deliver([(1, at), (2, at), (2, at), (None, at)]) == [-1, 1, 2]
+    assert deliver([(2, at), (3, at)]) == [-1, 1, 2, 3]
+    assert deliver([(1, at), (None, at), (3, at)]) == [-1, 1, 2, 3]
+    compose_stream(spark, source, "id bigint, at timestamp", lambda b: b, sink, state, key="id")
+    assert read_shards(spark, sink).count() == 4
+
+
+def test_seen_set_within_a_watermark_forgets(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def deliver(*rows):
+        (spark.createDataFrame([(i, datetime.datetime(2024, 1, 1, h)) for i, h in rows], "id bigint, at timestamp")
+         .coalesce(1).write.mode("append").parquet(source))
+        compose_stream(spark, source, "id bigint, at timestamp", lambda b: b, sink, state, key="id",
+                       event_time="at", delay="2 hours")
+        return sorted(r.id for r in read_shards(spark, sink).collect())
+
+    assert deliver((1, 1), (1, 2)) == [1]
+    assert deliver((1, 2), (2, 20)) == [1, 2]
+    assert deliver((1, 21), (2, 21)) == [1, 1, 2]
+
+
+def test_a_retried_batch_adds_nothing(spark, tmp_path, monkeypatch):
+    """A batch that fails after it was published is run again and finds its token."""
+    from postlift.streaming import incremental
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.range(10).write.parquet(source)
+    whole = incremental.publish
+
+    def late_failure(*args, **options):
+        whole(*args, **options)
+        raise OSError("lost after publishing")
+
+    monkeypatch.setattr(incremental, "publish", late_failure)
+    with pytest.raises(Exception):
+        compose_stream(spark, source, "id bigint", lambda b: b, sink, state)
+    monkeypatch.setattr(incremental, "publish", whole)
+    compose_stream(spark, source, "id bigint", lambda b: b, sink, state)
+    assert sorted(r.id for r in read_shards(spark, sink).collect()) == list(range(10))
+
+
+def test_published_tables_change_as_a_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        published.read_published(spark, path)
+    sinks.write_shards(spark.range(20), path, rows=4)
+    before = published.read_published(spark, path)
+
+    # Half of the tasks have written when one fails.
+    bad = spark.range(100, 140, 1, 4).withColumn("x", F.when(F.col("id") == 139, F.raise_error(F.lit("killed")))
+                                                 .otherwise(F.lit(1)))
+    with pytest.raises(Exception):
+        sinks.write_shards(bad, path)
+    assert sorted(r.id for r in published.read_published(spark, path).collect()) == list(range(20))
+
+    for _ in range(2):
+        published.publish(spark.range(20, 30), path, append=True, token="run-1")
+    assert published.read_published(spark, path).count() == 30
+    for _ in range(2):
+        sinks.write_shards(spark.range(3), path, token="run-2")
+    assert published.read_published(spark, path).count() == 3
+    # A frame read earlier keeps its state until the unlisted files go.
+    assert before.count() == 20
+    assert published.drop_unlisted(spark, path) >= 2
+    assert published.read_published(spark, path).count() == 3
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    published.publish(spark.range(1), path)
+    latest = published.DocumentLog.latest
+    stale = latest(published._manifest(spark, path))
+    published.publish(spark.range(1), path, append=True)
+    answers = iter([stale])
+    monkeypatch.setattr(published.DocumentLog, "latest", lambda self: next(answers, None) or latest(self))
+    published.publish(spark.range(1), path, append=True)
+    assert published.read_published(spark, path).count() == 3
+    answers = iter([stale])
+    with pytest.raises(published.Conflict):
+        published.publish(spark.range(9), path)
+    assert published.read_published(spark, path).count() == 3
+
+
+@pytest.mark.parametrize("after,left", [(None, 100), (-5, 100), (41, 58), (99, 0), (500, 0)])
+def test_ranges_before_the_mark_are_not_opened(spark, tmp_path, after, left):
+    path = str(tmp_path / "r")
+    published.write_ranges(spark.range(100).withColumn("v", F.col("id") % 3).repartition(5), path, "id", 10)
+    rest = published.read_after(spark, path, after)
+    assert rest.count() == left and rest.columns == ["id", "v"]
+    opened = len(rest.inputFiles()) if left else 0
+    assert opened <= left / 10 + 2
+    if after == 41:
+        plan = rest._jdf.queryExecution().executedPlan().toString()
+        assert "PushedFilters: [IsNotNull(id), GreaterThan(id,41)]" in plan and "_range=0" not in str(rest.inputFiles())
+
+
+def test_marks_only_go_forward(spark, tmp_path):
+    path = str(tmp_path / "r")
+    published.write_ranges(spark.createDataFrame([("b",), ("a",)], "k string"), path, "k", 2)
+    assert published.load_mark(spark, path, "me") is None
+    for key in ("a", "b", "a"):
+        published.save_mark(spark, path, "me", key)
+    assert published.load_mark(spark, path, "me") == "b" and published.load_mark(spark, path, "you") is None
+    assert published.read_after(spark, path, "a").collect()[0].k == "b"
+    published.write_ranges(spark.createDataFrame([], "k string"), path, "k", 2)
+    assert published.read_after(spark, path, "a").count() == 0
+
+
 def test_cluster_without_shared_folder_is_refused():
     class Context:
         master, applicationId = "yarn", "app"
