@@ -8,7 +8,7 @@ from ..config import SETTINGS
 from ..functions import clean, features, media, scores, text
 from ..operators import compose, labels, reshape, tokens
 from ..session import materialize, scratch_path
-from ..sources import documents, grid, published, sinks, tables
+from ..sources import documents, grid, packs, published, sinks, tables
 from . import fixtures as fx
 from .oracle_ctes import sql
 from .registry import query
@@ -107,14 +107,46 @@ def sidecar_write(spark, sf):
 SELECT o_orderkey AS id, strlen(html) AS n_bytes, md5(html) AS media_md5
 FROM orders LEFT JOIN pages ON page_id = o_orderkey""")
 def media_scan(spark, sf):
-    blobs = fx.table(spark, sf, "pages").select(
-        F.col("page_id").alias("id"), F.encode("html", "UTF-8").alias("video_bytes"))
+    """Media packed in archives and read by offset."""
+    path = scratch_path(spark, "packs")
+    number = F.col("page_id")
+    packs.write_packs(fx.table(spark, sf, "pages").select(
+        F.concat(F.lit("f"), number % 7).alias("folder"), F.concat(number, F.lit(".mp4")).alias("name"),
+        F.encode("html", "UTF-8").alias("content")), path)
     ids = fx.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
-    whole = compose.attach_media(ids, blobs)
+    whole = compose.attach_media(ids, packs.packed_media(spark, path))
     return whole.select("id", F.octet_length("video_bytes").cast("bigint").alias("n_bytes"),
                         F.md5("video_bytes").alias("media_md5"))
 
 
+@query("q_packed_gate", """
+SELECT o_orderkey AS id, c_name AS folder, md5('assets/' || c_name || '/' || o_orderkey || '.mp4') AS media_md5
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 AND o_custkey % 4 <> 0""")
+def packed_gate(spark, sf):
+    """The gate on the inventory alone; bytes are fetched for the posts that pass."""
+    path = scratch_path(spark, "packs")
+    place = F.col("path")
+    packs.write_packs(fx.manifest(spark, sf).select(
+        F.substring_index(F.substring_index(place, "/", -2), "/", 1).alias("folder"),
+        F.substring_index(place, "/", -1).alias("name"), F.encode(place, "UTF-8").alias("content")), path)
+    gate = compose.asset_gate(packs.packed_manifest(spark, path))
+    media = packs.inventory(spark, path).withColumn("id", packs.media_id("name"))
+    chosen = media.join(gate, ["id", "folder"], "left_semi")
+    return packs.read_members(chosen, ["id", "folder"]).select("id", "folder", F.md5("content").alias("media_md5"))
+
+
+@query("q_sidecar_packed", _USER_ROWS.replace("'n' || author_following_count", "'u' || user_id"))
+def sidecar_packed(spark, sf):
+    """Creator records, one document each, packed below one folder per creator."""
+    path = scratch_path(spark, "packs")
+    users = fx.user_meta(fx.posts(spark, sf)).drop("folder")
+    packs.write_packs(users.select(
+        F.concat(F.lit("u"), "user_id").alias("folder"), F.lit("user.json").alias("name"),
+        F.encode(F.to_json(F.struct(*users.columns), {"pretty": "true"}), "UTF-8").alias("content")), path)
+    return packs.packed_sidecars(spark, path, _USER_META, "user.json").drop("file_name")
+
+
 @query("q_html_island", r"""
 SELECT page_id, regexp_extract(html, '(?s)<script[^>]*>(.*?)</script>', 1) AS island,
   regexp_extract(html, '<html[^>]*lang="([^"]*)"', 1) AS lang FROM pages""")
