@@ -35,16 +35,24 @@ def lag_pairs(panel: DataFrame, entity: str, month: str, features: list[str], ta
               h: int, window: int) -> DataFrame:
     """Feature rows paired with the label rows they may predict: h <= lag < h + window.
 
-    The range condition becomes an equality by listing, per feature row, the
-    ``window`` label months it serves; the join is then a plain equi join.
+    The label months that a feature row serves are an interval as wide as a bucket of
+    ``window`` months, so it touches one bucket or two: rows are copied twice at most
+    whatever the window, meet the labels of their entity and bucket in an equi join, and the
+    exact test drops what lies in a shared bucket but outside the interval.
     """
+    month_, first = F.col(month), F.col(month) + h
+
+    def bucket(value: Column) -> Column:
+        return F.floor(value / window).cast("int")
+
     served = panel.select(
-        entity, F.col(month).alias("feature_month"), *features,
-        F.explode(F.sequence(F.col(month) + h, F.col(month) + h + window - 1))
-        .alias("label_month"))
-    labels = panel.select(entity, F.col(month).alias("label_month"), target)
-    return (served.join(labels.where(F.col(target).isNotNull()), [entity, "label_month"])
-            .withColumn("lag", F.col("label_month") - F.col("feature_month")))
+        entity, month_.alias("feature_month"), *features,
+        F.explode(F.array_distinct(F.array(bucket(first), bucket(first + window - 1)))).alias("_bucket"))
+    labels = panel.where(F.col(target).isNotNull()).select(
+        entity, month_.alias("label_month"), target, bucket(month_).alias("_bucket"))
+    lag = F.col("label_month") - F.col("feature_month")
+    return (served.join(labels, [entity, "_bucket"]).where(lag.between(h, h + window - 1))
+            .drop("_bucket").withColumn("lag", lag))
 
 
 def supervised_matrix(panel: DataFrame, entity: str, month: str, target: str,

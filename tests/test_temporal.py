@@ -54,6 +54,23 @@ def test_pairs_never_use_rows_newer_than_the_horizon(spark):
     assert low >= 3 and high <= 14
 
 
+@pytest.mark.parametrize("h,window", [(3, 12), (0, 1), (5, 3), (0, 24), (40, 2)])
+def test_pairs_equal_brute_force_from_two_copies_a_row(spark, h, window):
+    pdf = panel(2, months=50)
+    df = spark.createDataFrame(pdf)
+    pairs = temporal.lag_pairs(df, "entity", "month", ["a"], "label", h, window)
+    got = sorted((r.entity, r.feature_month, r.label_month, r.a, r.label, r.lag) for r in pairs.collect())
+    rows = list(pdf.itertuples())
+    want = sorted((f.entity, f.month, l.month, f.a, l.label, l.month - f.month) for f in rows for l in rows
+                  if f.entity == l.entity and h <= l.month - f.month < h + window)
+    assert got == want
+    copies = df.select(F.explode(F.array_distinct(F.array(
+        F.floor((F.col("month") + h) / window), F.floor((F.col("month") + h + window - 1) / window)))))
+    assert copies.count() <= 2 * len(rows)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert "sequence(" not in plan and plan.count("Generate explode(array_distinct(array(") == 1
+
+
 def test_unique_panel_keeps_first_by_order(spark):
     df = spark.createDataFrame([(1, 5, 2, "late"), (1, 5, 1, "early")],
                                "e int, m int, o int, v string")
