@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import FEATURE_NAMES, SETTINGS
 from ..functions.scores import logistic
 from ..functions.text import caption_head
 from ..session import materialize
 from .metrics import evaluate
-from .ranking import hash_order
+from .ranking import hash_order, permuted
 from .scoring import variant_logits
 
-# Rows per task when neighbours in the shuffled order are looked up.
-_BLOCK = 65_536
-
 
 def ablate(df: DataFrame, conditions: dict[str, Column], truth: str,
            threshold: float = SETTINGS.analysis_confidence) -> DataFrame:
@@ -33,41 +30,32 @@ def ablate(df: DataFrame, conditions: dict[str, Column], truth: str,
         "condition", "roc_auc", "average_precision", "f1")
 
 
-def rotated(df: DataFrame, key: str, slots: list[str], carry: list[str],
-            seed: int = SETTINGS.seed) -> DataFrame:
-    """Rows with ``slots``, ``carry`` and donor values ``_d1`` … of a shuffle per feature.
+def shuffled(df: DataFrame, key: str, slots: list[str], carry: list[str],
+             seed: int = SETTINGS.seed) -> DataFrame:
+    """Rows with ``slots``, ``carry`` and donor values ``_d1`` … of an independent shuffle per feature.
 
-    The shuffle is a rotation of a seeded random order: feature j of a row comes
-    from the row j places further (cyclically), so every feature gets its own
-    permutation from one ranking.  Blocks of consecutive ranks carry a halo of
-    the next few rows, hence each lookup stays inside a task, and one pass serves
-    all features.
+    Rows have ranks in a seeded random order of a unique ``key``, and feature j of the row at
+    rank r goes to the row at rank ``permuted(r, j)``.  Every row sends its values there and
+    its own columns to itself, in one shuffle, so a row's shuffled values meet without a
+    sort per feature.  Any number of rows will do; none give none.
     """
-    reach = len(slots)
     stored = materialize(df.select(key, *slots, *carry), "shuffled")
     n = stored.count()
-    if n <= reach:
-        raise ValueError(f"permutation needs more than {reach} rows")
     ranked = hash_order(stored, key, seed)
-    rank, last_block = F.col("rank"), (n - 1) // _BLOCK
-    block = F.floor(rank / _BLOCK)
-
-    def place(block_, position, own):
-        return F.struct(block_.cast("bigint").alias("block"),
-                        position.cast("bigint").alias("pos"), F.lit(own).alias("own"))
-
-    halo = F.when((rank % _BLOCK < reach) & (block > 0), place(block - 1, rank, False))
-    wrap = F.when(rank < reach, place(F.lit(last_block), rank + n, False))
-    # A short last block also needs the start of the order in the block before it.
-    early = F.when((rank < reach) & F.lit(last_block > 0 and (n - 1) % _BLOCK + 1 < reach),
-                   place(F.lit(last_block - 1), rank + n, False))
-    spread = ranked.withColumn("_p", F.explode(F.array_compact(F.array(
-        place(block, rank, True), halo, wrap, early)))).select(*ranked.columns, "_p.*")
-    order = Window.partitionBy("block").orderBy("pos")
-    return spread.select(
-        "own", *carry, *slots,
-        *[F.lead(c, j).over(order).alias(f"_d{j}") for j, c in enumerate(slots, 1)]
-    ).where("own").drop("own")
+    kind = ranked.schema[slots[0]].dataType.simpleString()
+    own = F.struct(*slots, *carry)
+    none = F.lit(None).cast(ranked.select(own.alias("o")).schema["o"].dataType)
+    # A value travels in a struct, so that a null one is still there.
+    sent = [F.struct(F.lit(0).alias("j"), F.lit(None).cast(f"struct<v:{kind}>").alias("value"), own.alias("own"))]
+    sent += [F.struct(F.lit(j).alias("j"), F.struct(F.col(c).cast(kind).alias("v")).alias("value"), none.alias("own"))
+             for j, c in enumerate(slots, 1)]
+    rows = ranked.select("rank", F.explode(F.array(*sent)).alias("s")).select("rank", "s.*")
+    to = F.when(F.col("j") == 0, F.col("rank")).otherwise(permuted(F.col("rank"), n, F.col("j"), seed))
+    met = rows.select(to.alias("to"), "j", "value", "own").groupBy("to").agg(
+        F.first("own", ignorenulls=True).alias("own"),
+        F.map_from_entries(F.collect_list(F.when(F.col("j") > 0, F.struct("j", "value")))).alias("_d"))
+    return met.select(*[F.col("own")[c].alias(c) for c in (*carry, *slots)],
+                      *[F.col("_d")[j]["v"].alias(f"_d{j}") for j in range(1, len(slots) + 1)])
 
 
 def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: list[float],
@@ -75,7 +63,7 @@ def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: l
                            threshold: float = SETTINGS.analysis_confidence,
                            seed: int = SETTINGS.seed, names=FEATURE_NAMES) -> DataFrame:
     """F1 lost when one feature at a time is shuffled under a linear scorer."""
-    donors = rotated(df, key, slots, [logit, truth], seed)
+    donors = shuffled(df, key, slots, [logit, truth], seed)
     logits = [F.col(logit)] + [
         F.col(logit) + F.lit(float(w)) * (F.col(f"_d{j}") - F.col(c))
         for j, (c, w) in enumerate(zip(slots, weights), 1)]
@@ -90,7 +78,7 @@ def network_importance(df: DataFrame, key: str, slots: list[str], weights: dict,
     ``df`` carries arrays ``text`` and ``video`` beside the features; the logits of a
     row and of its shuffled variants come from one pass.
     """
-    donors = rotated(df, key, slots, ["text", "video", truth], seed)
+    donors = shuffled(df, key, slots, ["text", "video", truth], seed)
     shaped = donors.select(truth, "text", "video", F.array(*slots).alias("own"), F.array(
         *[F.col(f"_d{j}") for j in range(1, len(slots) + 1)]).alias("other"))
 

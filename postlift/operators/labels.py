@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import LABEL_TABLE_COLUMNS, SETTINGS
 from ..functions import clean, scores, text
+from ..session import materialize
 from .compose import keep_present
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, hinted
 
 # Scores and thresholds are compared at this many decimals, so that the last
 # floating-point digit of an interpolated quantile cannot decide a label.
@@ -68,16 +69,20 @@ def regression_rule(df: DataFrame, stats: TailStats, log_engagement: str, log_ve
 
 def cohort_thresholds(df: DataFrame, value: str, cohort: str = "cohort_month",
                       p: float = SETTINGS.tail_quantile) -> DataFrame:
-    """(cohort, n, threshold); cohorts are calendar months, hence few."""
-    found = exact_quantiles(df, F.col(value), [p], by=(cohort,), few_groups=True)
+    """(cohort, n, threshold)."""
+    found = exact_quantiles(df, F.col(value), [p], by=(cohort,))
     return found.select(cohort, "n", F.round(F.col("q")[0], _DECIMALS).alias("threshold"))
 
 
 def label_cohorts(df: DataFrame, value: str, cohort: str = "cohort_month", label: str = "tail",
                   p: float = SETTINGS.tail_quantile) -> DataFrame:
-    """1 where the value reaches its cohort's quantile.  Only the month table moves."""
-    thresholds = cohort_thresholds(df, value, cohort, p).select(cohort, "threshold")
-    joined = df.join(F.broadcast(thresholds), cohort)
+    """1 where the value reaches its cohort's quantile.
+
+    The thresholds are broadcast where cohorts are counted to be few, as months are; else
+    rows and thresholds meet in a shuffle.
+    """
+    thresholds = materialize(cohort_thresholds(df, value, cohort, p).select(cohort, "threshold"), "thresholds")
+    joined = df.join(hinted(thresholds), cohort)
     reached = F.round(F.col(value).cast("double"), _DECIMALS) >= F.col("threshold")
     return joined.withColumn(label, reached.cast("int")).drop("threshold")
 
@@ -131,8 +136,7 @@ def fold_tail_stats(folds: DataFrame, p: float = SETTINGS.tail_quantile,
     tops = train.groupBy("fold").agg(F.max(engagement).alias("max_engagement"),
                                      F.max(velocity).alias("max_velocity"))
     judged = train.join(F.broadcast(tops), "fold")
-    cuts = exact_quantiles(judged, _fold_score(engagement, velocity), [p], by=("fold",),
-                           few_groups=True)
+    cuts = exact_quantiles(judged, _fold_score(engagement, velocity), [p], by=("fold",))
     return tops.join(cuts.select("fold", F.round(F.col("q")[0], _DECIMALS).alias("threshold")),
                      "fold")
 

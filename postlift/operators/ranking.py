@@ -7,6 +7,8 @@ sorted on its own task.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
@@ -56,6 +58,48 @@ def seeded_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f"|{seed}")))
 
 
+# Multipliers and moduli (primes below 2**31) of the hash in ``permuted``, whose products fit 64 bits.
+_A, _B, _P, _Q = 1_103_515_245, 48_271, 2_147_483_647, 2_147_483_629
+_KEY, _ROUND, _SEED = 104_729, 1_299_709, 15_485_863
+
+
+def permuted(rank: Column, n: int, key: Column | int, seed: int, rounds: int = 4) -> Column:
+    """Where a keyed pseudo-random permutation of 0 … n-1 sends ``rank``; every key has its own.
+
+    The numbers below a x b, the least such grid that holds n, are permuted by Feistel rounds:
+    row and column in turn move on by a hash of the other.  A number sent beyond n - 1 is
+    sent on until it falls below; fewer than a numbers lie beyond, so that is rare, and
+    as many steps are allowed as can be needed (or, from n = 4,096 on, 16 steps, which are too
+    few with a chance below 10**-28).
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    beyond = a * b - n
+    start = (F.lit(key) if isinstance(key, int) else key).cast("long") * _KEY + seed * _SEED
+
+    def word(k: Column, v: Column) -> Column:
+        once = (v * _A + start + k.cast("long") * _ROUND) % _P
+        return (once * _B + 12_345) % _Q
+
+    def turn(at: Column, k: Column) -> Column:
+        even = k % 2 == 0
+        row = F.when(even, (at["row"] + word(k, at["column"])) % a).otherwise(at["row"])
+        column = F.when(even, at["column"]).otherwise((at["column"] + word(k, at["row"])) % b)
+        return F.struct(row.alias("row"), column.alias("column"))
+
+    def sent(x: Column) -> Column:
+        first = F.struct(F.floor(x / b).cast("long").alias("row"), (x % b).cast("long").alias("column"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), first, turn,
+                           lambda at: at["row"] * b + at["column"])
+
+    if not beyond:
+        return sent(rank)
+    # The first step is taken in any case.
+    steps = F.sequence(F.lit(0), F.lit(min(beyond, 16) if n >= 4_096 else beyond))
+    return F.aggregate(steps, rank.cast("long") + n, lambda x, k: F.when(k == 0, sent(x - n)).when(
+        x < n, x).otherwise(sent(x)))
+
+
 def global_rank(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
     """0-based rank over unique ``order`` columns (the last one breaks ties).
 

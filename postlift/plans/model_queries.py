@@ -408,14 +408,40 @@ def ablation_wide(spark, sf):
     return reshape.pivot_metrics(long, "metric", "condition", "value", list(_ABLATED))
 
 
-@query("q_permutation_importance", sql("@", "scored").replace("\n@", """,
+def _sent_sql(x):
+    """Where the permutation of key j over the grid of a x b numbers sends x.
+
+    Eight turns move row and column by turns; the two are one number, the row times 2**32.
+    """
+    two = 4294967296
+    row, column = f"(s // {two})", f"(s % {two})"
+    word = ("((({v} * 1103515245 + j * 104729 + 42 * 15485863 + k * 1299709) % 2147483647 * 48271 + 12345) "
+            "% 2147483629)")
+    return f"""list_transform([list_reduce(list_concat([CAST({x} AS BIGINT) // b * {two} + CAST({x} AS BIGINT) % b],
+      range(8)), lambda s, k: CASE WHEN k % 2 = 0 THEN ({row} + {word.format(v=column)}) % a * {two} + {column}
+        ELSE {row} * {two} + ({column} + {word.format(v=row)}) % b END)], lambda s: {row} * b + {column})[1]"""
+
+
+# (j, r, to): the rank to which the value of feature j at rank r goes, sent on while beyond the last.
+_SHUFFLE = f""",
 ordered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(concat(id, '|42'))) - 1 AS r,
-  count(*) OVER () AS n FROM scored),
+  count(*) OVER () AS n FROM @),
+grid AS (SELECT n, a, (n + a - 1) // a AS b FROM (SELECT max(n) AS n, CAST(ceil(sqrt(max(n))) AS BIGINT) AS a FROM ordered)),
+once AS MATERIALIZED (SELECT j, r, n, a, b, {_sent_sql('r')} AS x FROM ordered, (SELECT a, b FROM grid), range(1, 20) t(j)),
+walk AS (SELECT j, r, n, a, b, x FROM once WHERE x >= n
+  UNION ALL SELECT j, r, n, a, b, {_sent_sql('x')} FROM walk WHERE x >= n),
+places AS MATERIALIZED (SELECT j, r, x AS "to" FROM once WHERE x < n UNION ALL SELECT j, r, x FROM walk WHERE x < n),
+"""
+
+
+@query("q_permutation_importance", sql("@", "scored").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\n@", _SHUFFLE.replace("@", "scored") + """
 cases AS MATERIALIZED (SELECT 0 AS j, is_tail = 1 AS y, 1 / (1 + exp(-logit)) >= 0.7 AS p
   FROM ordered UNION ALL
 """ + " UNION ALL ".join(
     f"SELECT {int(i)}, a.is_tail = 1, 1 / (1 + exp(-(a.logit + sin({int(i)}) "
-    f"* (b.z{i} - a.z{i})))) >= 0.7 FROM ordered a JOIN ordered b ON b.r = (a.r + {int(i)}) % a.n"
+    f"* (b.z{i} - a.z{i})))) >= 0.7 FROM ordered a JOIN places ON j = {int(i)} AND \"to\" = a.r "
+    "JOIN ordered b ON b.r = places.r"
     for i in _SLOTS) + "), f AS (" + _RATES.format(by="j, ", rows="SELECT * FROM cases") + """)
 SELECT name AS feature, base.f1 AS baseline_f1, f.f1 AS shuffled_f1,
   round(base.f1 - f.f1, 6) AS importance
@@ -580,13 +606,14 @@ def ablation_mlp(spark, sf):
                         F.round("f1", 6).alias("f1"))
 
 
-@query("q_permutation_mlp", sql("@", "zed").replace("\n@", f""",
+@query("q_permutation_mlp", sql("@", "zed").replace("WITH ", "WITH RECURSIVE ", 1).replace(
+    "\n@", _SHUFFLE.replace("@", "zed").rstrip().rstrip(",") + f""",
 {_NET}, {_TRIPLES},
 bases AS MATERIALIZED {_base_sql('triples')},
 variants AS MATERIALIZED (
   SELECT 0 AS j, is_tail, base, tabular FROM bases UNION ALL
   SELECT j, a.is_tail, a.base, list_concat(list_append(a.tabular[1:j - 1], b.tabular[j]),
-    a.tabular[j + 1:]) FROM bases a CROSS JOIN range(1, 20) t(j) JOIN bases b ON b.r = (a.r + j) % a.n),
+    a.tabular[j + 1:]) FROM bases a JOIN places p ON p."to" = a.r JOIN bases b ON b.r = p.r),
 cases AS MATERIALIZED (SELECT j, is_tail = 1 AS y, 1 / (1 + exp(-logit)) >= 0.5 AS p
   FROM {_steps_sql('variants', _head_sql('logit'))}),
 f AS (""" + _RATES.format(by="j, ", rows="SELECT * FROM cases") + """)

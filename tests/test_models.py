@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -5,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from postlift.config import FEATURE_NAMES
-from postlift.operators import explain, losses, metrics, reshape, scoring, tokens, training
+from postlift.operators import explain, losses, metrics, ranking, reshape, scoring, tokens, training
 from postlift.sources import grid
 
 
@@ -186,9 +187,7 @@ def test_decode_falls_back_to_neutral_block(spark):
 SLOTS = [f"z{i:02d}" for i in range(1, 20)]
 
 
-def permuted(spark, n, weights, block=None, monkeypatch=None):
-    if block:
-        monkeypatch.setattr(explain, "_BLOCK", block)
+def permuted(spark, n, weights):
     rng = np.random.default_rng(n)
     x = np.round(rng.normal(size=(n, 19)), 3)
     y = (x @ np.array(weights) + rng.normal(size=n) > 0.5).astype(int)
@@ -200,17 +199,40 @@ def permuted(spark, n, weights, block=None, monkeypatch=None):
     return x, y, {r.feature: r for r in found.collect()}
 
 
+def sent_to(n, j, seed=42):
+    """Where feature j's value at each rank goes: Feistel rounds in plain Python."""
+    a = math.ceil(math.sqrt(n))
+    b = math.ceil(n / a)
+
+    def word(k, v):
+        once = (v * 1_103_515_245 + j * 104_729 + seed * 15_485_863 + k * 1_299_709) % (2**31 - 1)
+        return (once * 48_271 + 12_345) % 2_147_483_629
+
+    def rounds(x):
+        row, column = divmod(x, b)
+        for k in range(0, 8, 2):
+            row = (row + word(k, column)) % a
+            column = (column + word(k + 1, row)) % b
+        return row * b + column
+
+    out = []
+    for x in range(n):
+        x = rounds(x)
+        while x >= n:
+            x = rounds(x)
+        out.append(x)
+    return out
+
+
 def brute_f1(truth, predicted):
     tp = int((truth & predicted).sum())
     return 2 * tp / max(1, int(truth.sum()) + int(predicted.sum()))
 
 
-# Blocks far smaller than the data exercise the halo, the wrap and short last blocks.
-@pytest.mark.parametrize("n,block", [(60, None), (100, 25), (105, 20), (83, 40), (20, None)])
-def test_permutation_equals_global_rotation(spark, monkeypatch, n, block):
-    import hashlib
+@pytest.mark.parametrize("n", [1, 2, 3, 19, 60, 105])
+def test_permutation_equals_brute_force(spark, n):
     weights = [0.0, 2.0] + [0.3] * 17
-    x, y, found = permuted(spark, n, weights, block, monkeypatch)
+    x, y, found = permuted(spark, n, weights)
     order = sorted(range(n), key=lambda i: hashlib.md5(f"{i}|42".encode()).hexdigest())
     logit = x @ np.array(weights)
 
@@ -220,17 +242,34 @@ def test_permutation_equals_global_rotation(spark, monkeypatch, n, block):
     base = brute_f1(y == 1, hits(logit))
     for j, name in enumerate(FEATURE_NAMES, 1):
         donor = np.empty(n, int)
-        for place, i in enumerate(order):
-            donor[i] = order[(place + j) % n]
+        for place, to in enumerate(sent_to(n, j)):
+            donor[order[to]] = order[place]
         z = logit + weights[j - 1] * (x[donor, j - 1] - x[:, j - 1])
         assert found[name].baseline_f1 == pytest.approx(base)
         assert found[name].shuffled_f1 == pytest.approx(brute_f1(y == 1, hits(z)))
     assert found["follower_count"].importance == 0.0  # its weight is zero
 
 
-def test_permutation_needs_more_rows_than_features(spark):
-    with pytest.raises(ValueError):
-        permuted(spark, 19, [1.0] * 19)
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 97, 100, 5_000])
+def test_keyed_permutations(spark, n):
+    """Every key gives a permutation; they differ and are not rotations of one another."""
+    sent = spark.range(n).select("id", *[ranking.permuted(F.col("id"), n, j, 7).alias(f"p{j}") for j in (1, 2, 3)])
+    rows = sent.orderBy("id").collect()
+    for j in (1, 2, 3):
+        assert sorted(r[f"p{j}"] for r in rows) == list(range(n))
+        assert [r[f"p{j}"] for r in rows] == sent_to(n, j, 7)
+    if n > 90:
+        shifts = {(r.p1 - r.p2) % n for r in rows}
+        assert len(shifts) > n / 3 and abs(np.corrcoef([r.p1 for r in rows], [r.p2 for r in rows])[0, 1]) < 0.25
+
+
+def test_shuffles_keep_nulls_and_take_empty_tables(spark):
+    schema = "id bigint, z01 double, z02 double, y int, own string"
+    rows = [(i, None if i % 3 else float(i), float(-i), 1, "x") for i in range(12)]
+    got = explain.shuffled(spark.createDataFrame(rows, schema), "id", ["z01", "z02"], ["y", "own"]).collect()
+    assert sorted((r._d1 is None, r._d1 or 0) for r in got) == sorted((r[1] is None, r[1] or 0) for r in rows)
+    assert sorted(r._d2 for r in got) == sorted(r[2] for r in rows) and {r.own for r in got} == {"x"}
+    assert explain.shuffled(spark.createDataFrame([], schema), "id", ["z01", "z02"], ["y"]).count() == 0
 
 
 def test_ablation_of_an_unused_branch_changes_nothing(spark):

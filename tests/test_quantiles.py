@@ -39,7 +39,7 @@ def test_grouped_quantiles_with_a_hot_group(spark):
     pdf = pd.DataFrame({"g": np.where(rng.random(6000) < 0.4, "hot", rng.integers(0, 9, 6000)
                                       .astype(str)), "v": rng.normal(size=6000)})
     got = quantiles.exact_quantiles(spark.createDataFrame(pdf), F.col("v"), [0.25, 0.95],
-                                    by=("g",), accuracy=60, few_groups=True).collect()
+                                    by=("g",), accuracy=60).collect()
     want = pdf.groupby("g")["v"].quantile([0.25, 0.95]).unstack()
     assert len(got) == len(want)
     for row in got:
@@ -195,3 +195,35 @@ def test_sketches_merge_in_two_levels(spark):
     # The sketches of 200 tasks meet by salt first; one task merges no more than the salts.
     assert text.index("Exchange SinglePartition") < text.index("Exchange hashpartitioning")
     assert abs(rows.first()["_e"][0] - 50_000) < 500
+
+
+@pytest.mark.parametrize("shape,by,sizes", [("plain", (), (4_000, 40_000)), ("tied", ("g",), (4_000,)),
+                                            ("one value beside many", (), (4_000,))])
+def test_cells_stay_small_however_many_rows(spark, monkeypatch, shape, by, sizes):
+    """Ten times the rows leave the rows that a task ranks below the same bound."""
+    monkeypatch.setattr(quantiles, "CELL_ROWS", 60)
+    monkeypatch.setattr(quantiles, "SKETCH", 64)
+    rng = np.random.default_rng(3)
+    for n in sizes:
+        v = {"plain": rng.normal(size=n), "tied": rng.integers(0, 40, n).astype(float),
+             "one value beside many": np.where(rng.random(n) < 0.9, 1.0, rng.random(n) * 1.001)}[shape]
+        pdf = pd.DataFrame({"v": v, "g": rng.integers(0, 2, n)})
+        df = spark.createDataFrame(pdf)
+        rows = quantiles._holding_rows(df, F.col("v"), PROBS, by, 10_000)
+        cells = rows.groupBy(*by, "_cell").agg(F.count_distinct("_v").alias("kinds"), F.count("*").alias("n"))
+        assert all(r.n <= 60 or r.kinds == 1 for r in cells.collect())
+        got = quantiles.exact_quantiles(df, F.col("v"), PROBS, by=by).collect()
+        for row in got:
+            own = pdf if not by else pdf[pdf["g"] == row["g"]]
+            assert row["n"] == len(own)
+            assert row["q"] == pytest.approx(np.quantile(own["v"], PROBS).tolist(), rel=1e-12)
+
+
+def test_many_groups_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "FEW", 5)
+    df = spark.range(2_000).select((F.col("id") % 40).alias("g"), F.col("id").cast("double").alias("v"))
+    for grouped in (labels.label_cohorts(df, "v", "g"), quantiles.box_summary(df, "v", ("g",))):
+        assert "ResolvedHint" not in grouped._jdf.queryExecution().analyzed().toString()
+        assert grouped.count() in (2_000, 40)
+    few = labels.label_cohorts(df.where("g < 3"), "v", "g")
+    assert "ResolvedHint (strategy=broadcast)" in few._jdf.queryExecution().analyzed().toString()
