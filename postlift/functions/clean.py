@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .dates import parse_free_time
+
 # Seconds of 0001-01-01 and 9999-12-31 23:59:59, the calendar's ends.
 _FIRST_SECOND = -62135596800
 _LAST_SECOND = 253402300799
@@ -78,11 +80,12 @@ def parse_epoch(col: Column, is_text: bool = True) -> Column:
 
 def parse_any_time(col: Column) -> Column:
     """General reader: numbers are epoch seconds, other text is tried against
-    ``DATE_LAYOUTS``; sub-second parts are dropped, failures give null."""
+    ``DATE_LAYOUTS`` and then read by the grammar of ``dates``; sub-second parts are
+    dropped, failures give null."""
     text = F.trim(col.cast("string"))
     number = number_from_text(text)
     read = [F.try_to_timestamp(text, F.lit(layout)) for layout in DATE_LAYOUTS]
-    parsed = F.date_trunc("second", F.coalesce(*read)).cast("timestamp_ntz")
+    parsed = F.coalesce(F.date_trunc("second", F.coalesce(*read)).cast("timestamp_ntz"), parse_free_time(text))
     return F.when(number.isNotNull(), epoch_to_ntz(number.try_cast("bigint"))).otherwise(parsed)
 
 

@@ -305,6 +305,33 @@ def parse_any_ts(spark, sf):
         clean.epoch_seconds(clean.parse_any_time(F.col("stats_time"))).alias("stats_s"))
 
 
+# Forms of one instant: how it is written, what is put behind it, which part of it is lost, minutes of its offset.
+_FORMS = (("d MMMM yyyy HH:mm:ss", "", 1, 0), ("MMMM d, yyyy h:mm a", "", 60, 0),
+          ("EEE, dd MMM yyyy HH:mm:ss", " GMT", 1, 0), ("EEEE d MMM yyyy", "", 86400, 0),
+          ("MMM. d yyyy h:mm:ss a", "", 1, 0), ("M/d/yyyy h:mm a", "", 60, 0), ("yyyy/M/d H:mm", "", 60, 0),
+          ("yyyyMMdd'T'HHmmss", "Z", 1, 0), ("dd-MMM-yyyy HH:mm:ss", "+0530", 1, 330),
+          ("yyyy-M-d H:mm:ss", " -08:00", 1, -480), ("d'th of' MMMM yyyy", "", 86400, 0),
+          ("yyyy-MMM-dd h a", " UTC", 3600, 0), ("'32 'MMMM yyyy", "", 0, 0), ("d 'Foo' yyyy HH:mm", "", 0, 0))
+
+
+@query("q_free_dates", f"""
+WITH stamped AS (SELECT o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) + o_orderkey * 7919 % 86400 AS s,
+  o_orderkey % {len(_FORMS)} AS form FROM orders),
+forms(form, lost, offset_min) AS (VALUES {", ".join(f"({k}, {f[2]}, {f[3]})" for k, f in enumerate(_FORMS))})
+SELECT id, CASE WHEN lost > 0 THEN s - s % lost - offset_min * 60 END AS epoch_s
+FROM stamped JOIN forms USING (form)""")
+def free_dates(spark, sf):
+    i = F.col("id")
+    orders = fx.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.timestamp_seconds(F.unix_timestamp("o_orderdate") + F.col("o_orderkey") * 7919 % 86400)
+        .alias("at"))
+    written = F.lit(None).cast("string")
+    for k, (layout, behind, _, _) in enumerate(_FORMS):
+        written = F.when(i % len(_FORMS) == k, F.concat(F.date_format("at", layout), F.lit(behind))).otherwise(written)
+    texts = materialize(orders.select("id", F.when(i % 3 == 0, F.upper(written)).otherwise(written).alias("t")), "dates")
+    return texts.select("id", clean.epoch_seconds(clean.parse_any_time(F.col("t"))).alias("epoch_s"))
+
+
 @query("q_bool_dialects", sql("""
 SELECT id, coalesce(lower(user_verified) IN ('t', 'true', '1'), false) AS flag,
   CASE WHEN user_verified IN ('t', 'true', 'True', '1') THEN 1 ELSE 0 END AS flag_int,

@@ -3,7 +3,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from postlift.functions import clean, features, media, scores, text
+from postlift.functions import dates, clean, features, media, scores, text
 
 
 def one(spark, column, value, kind="string"):
@@ -158,3 +158,27 @@ def test_crop_plan(spark):
     got = [tuple(r.p) for r in rows.select(
         media.crop_plan(F.col("w"), F.col("h")).alias("p")).collect()]
     assert got == [(448, 224, 112, 0, False), (224, 224, 0, 0, True), (224, 448, 0, 112, False)]
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("5 January 2024", "2024-01-05 00:00:00"), ("5th of Jan 2024 3pm", "2024-01-05 15:00:00"),
+    ("Jan. 5, 2024, 12:07 AM", "2024-01-05 00:07:00"), ("january 5th 2024 12:07 p.m.", "2024-01-05 12:07:00"),
+    ("Fri, 05 Jan 2024 10:20:30 GMT", "2024-01-05 10:20:30"), ("friday 5 sept 2024", "2024-09-05 00:00:00"),
+    ("05-Jan-24 23:59:59.75", "2024-01-05 23:59:59"), ("5 jan 99", "1999-01-05 00:00:00"),
+    ("20240105T102030Z", "2024-01-05 10:20:30"), ("20240105t1020+0200", "2024-01-05 08:20:00"),
+    ("2024-1-5 1:02", "2024-01-05 01:02:00"), ("2024.01.05", "2024-01-05 00:00:00"),
+    ("2024 Jan 05 10:20 UTC+02", "2024-01-05 08:20:00"), ("1/5/2024 7:08 pm", "2024-01-05 19:08:00"),
+    ("25/12/2024", "2024-12-25 00:00:00"), ("12.25.2024 00:30 -0100", "2024-12-25 01:30:00"),
+    ("  10:15   5 May   2024 ", None), ("29 February 2023", None), ("31/31/2024", None), ("January 2024", None),
+    ("5 Janu 2024 25:00", None), ("5 jan 2024 13pm", None), ("5 Janx 2024", None), ("hello", None), ("", None),
+    (None, None), ("may", None), ("5 may 2024 and more", None), ("12:30", None)])
+def test_free_dates(spark, text, expected):
+    got = one(spark, dates.parse_free_time, text)
+    assert (None if got is None else str(got)) == expected
+
+
+def test_day_first(spark):
+    read = lambda c: dates.parse_free_time(c, day_first=True)
+    assert str(one(spark, read, "1/5/2024")) == "2024-05-01 00:00:00"
+    assert str(one(spark, read, "1/25/2024")) == "2024-01-25 00:00:00"
+    assert str(one(spark, read, "2024-01-05")) == "2024-01-05 00:00:00"
