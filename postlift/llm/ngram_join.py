@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..session import materialize
 from .components import connected_components
@@ -298,6 +299,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     unless it has no other; an empty table gives no rows; other columns are ignored.
     Shingles are compared as 64-bit hashes.
     """
+    return _labelled(docs, width, percent).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, node, n, root, component_id, n_links) of every row; ``root`` names the component, null if blank."""
     chunked, chunks = into_chunks(docs)
     space = KeySpace(chunks)
     asked = chunked.groupBy("chunk").applyInArrow(
@@ -325,12 +332,12 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
              .withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(ids, "root").select(
-        "node", "component_id",
+        "node", "root", "component_id",
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     full = rows.where("n > 0").join(label, "node").select(
-        "doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+        "doc_id", "node", "n", "root", "component_id", "n_links")
     blank = rows.where("n = 0").selectExpr(
-        "doc_id", "n AS n_shingles", "doc_id AS component_id", "0L AS n_links")
+        "doc_id", "node", "n", "CAST(NULL AS BIGINT) AS root", "doc_id AS component_id", "0L AS n_links")
     return full.unionByName(blank)
 
 
@@ -366,23 +373,49 @@ def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) ->
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """``docs`` with one document of every component: that with the least id.
+    """``docs`` with one document of every component: that with the least id, and set name where an id repeats.
 
-    Of repeated rows of that id one stays.  Blank documents stay; rows without an id
-    stay where their component has no id.
+    A row is known by its id and the name of its shingle set, so different texts under one id
+    are judged each on its own; of rows that repeat both one stays.  Blank documents stay,
+    and rows without an id where their component has no id.  No rows give none.
     """
-    found = materialize(jaccard_components(docs, width, percent), "components")
-    heads = F.sum(F.col("doc_id").eqNullSafe(F.col("component_id")).cast("int"))
-    state = materialize(found.groupBy(F.col("doc_id").alias("_id")).agg(
-        heads.alias("_heads"), F.max("n_shingles").alias("_most")), "heads")
-    gone, twice = state.where("_heads = 0"), state.where("_heads > 1 AND _most > 0 AND _id IS NOT NULL")
+    found = materialize(_labelled(docs, width, percent), "components")
+    heads = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(
+        F.min(F.struct("doc_id", "node")).alias("_head"))
+    own = F.struct("doc_id", "node")
+    stays = F.col("root").isNull() | F.col("_head").isNull() | (own == F.col("_head"))
+    judged = materialize(found.join(heads, "root", "left").select(
+        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), stays.alias("_stays")), "judged")
+    state = materialize(judged.groupBy("_id").agg(
+        F.count("*").alias("_rows"), F.max(F.col("_stays").cast("int")).alias("_any")), "state")
+    gone, several = state.where("_any = 0"), state.where("_any = 1 AND _rows > 1")
     kept = docs.join(_sent(gone), docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
-    if not twice.limit(1).count():
+    if several.isEmpty():
         return kept
-    repeated = _sent(twice)
-    again = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_semi")
-    once = kept.join(repeated, F.col("doc_id") == F.col("_id"), "left_anti")
-    return once.unionByName(again.dropDuplicates(["doc_id"]))
+    repeated = _sent(several)
+    same_id = docs["doc_id"].eqNullSafe(F.col("_id"))
+    once = kept.join(repeated, same_id, "left_anti")
+    named = _with_nodes(kept.join(repeated, same_id, "left_semi"), width)
+    staying = judged.where("_stays").select("_id", F.col("_node").alias("_stay")).distinct()
+    again = named.join(staying, named["doc_id"].eqNullSafe(staying["_id"]) & (named["_node"] == staying["_stay"]),
+                       "left_semi")
+    # Copies of a row go; blank rows and those without an id have no copies.
+    single = F.col("doc_id").isNotNull() & (F.col("_node") != 0)
+    return (once.unionByName(again.where(single).dropDuplicates(["doc_id", "_node"]).select(docs.columns))
+            .unionByName(again.where(~single).select(docs.columns)))
+
+
+def _with_nodes(docs: DataFrame, width: int) -> DataFrame:
+    """``docs`` with ``_node``, the name of each row's shingle set."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces_of(batches, "_whole"):
+            nodes = set_nodes(*text_sets(piece.column("_whole"), width)).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [*(piece.column(c) for c in names), pa.array(nodes)], names=[*names, "_node"])
+
+    names = docs.columns
+    schema = StructType([*docs.schema, StructField("_node", LongType())])
+    return docs.withColumn("_whole", F.coalesce("text", F.lit(""))).mapInArrow(run, schema)
 
 
 def _sent(state: DataFrame) -> DataFrame:

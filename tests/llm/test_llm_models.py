@@ -260,7 +260,33 @@ def test_every_row_with_a_trigger_is_read():
     got = pii._rows_with_triggers(pa.array(texts)).tolist()
     # A sign that two neighbouring rows make up together costs a look, no more.
     assert sum(want) == 6 and all(g or not w for g, w in zip(got, want)) and not got[0] and not got[7]
-    assert pii.stretches("x" * 50 + "(At)" + "y" * 50) == [(26, 78)]
+    # A stretch reaches to the blanks beyond its margin.
+    assert pii.stretches("x" * 50 + "(At)" + "y" * 50) == [(0, 104)]
+    assert pii.stretches("a b " + "x" * 40 + "7 " + "y" * 30 + " z") == [(4, 76)]
+
+
+@pytest.mark.parametrize("length", [24, 28, 34, 50, 60])
+def test_long_addresses_are_found_whole(tagger, length):
+    rng, found = np.random.default_rng(length), 0
+    for i in range(40):
+        span = "".join(chr(97 + c) for c in rng.integers(0, 26, length)) + ("(at)", "[at]")[i % 2] + "host.org"
+        found += (9, 9 + len(span), "email") in pii.find_spans(tagger, f"write to {span} soon please")[1]
+    assert found >= 36
+
+
+def test_every_form_is_found_in_unseen_surroundings(tagger):
+    """Forms by what parts their digits; words around them come from no training text."""
+    rng, hit, of = np.random.default_rng(5), collections.Counter(), collections.Counter()
+    for i in range(1_200):
+        kind = pii.KINDS[i % 4]
+        span = pii.invent(kind, rng)
+        form = kind, "".join(sorted(set(re.sub("[A-Za-z0-9]", "", span)))), " @ " in span
+        text = f"zebra quilt over the mound {span} under seven plain lamps"
+        of[form] += 1
+        hit[form] += (27, 27 + len(span), kind) in pii.find_spans(tagger, text)[1]
+    low = {f: (hit[f], of[f]) for f in of if of[f] >= 10 and hit[f] < 0.85 * of[f]}
+    # Dashed phone numbers look like dates, which are trained to be left alone.
+    assert set(low) <= {("phone", "-", False)} and sum(hit.values()) >= 0.93 * sum(of.values())
 
 
 def test_spans_of_edge_rows(spark, tagger):

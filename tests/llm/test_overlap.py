@@ -139,6 +139,17 @@ def test_one_document_of_a_group_stays(spark):
     assert sorted(named(r.doc_id) for r in kept.collect()) == [-1, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11, 12, 13]
 
 
+def test_rows_of_one_id_are_judged_each(spark):
+    """Different texts under one id, repeated ids that copy others, and rows without an id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, c), (2, c), (3, b), (4, d), (4, d), (None, d), (None, "x1 x2 x3 x4 x5 x6"),
+            (5, ""), (5, ""), (5, None), (6, " "), (6, a)]
+    kept = ngram_join.keep_one(documents(spark, rows))
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(1, a), (2, b), (2, c), (4, d), (None, "x1 x2 x3 x4 x5 x6"), (5, ""), (5, ""), (5, None), (6, " ")], key=str)
+    assert kept.columns == documents(spark, rows).columns
+
+
 def test_join_of_an_empty_table(spark):
     assert ngram_join.jaccard_components(documents(spark, [])).count() == 0
     assert ngram_join.keep_one(documents(spark, [])).count() == 0
