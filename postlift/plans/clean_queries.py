@@ -613,9 +613,11 @@ SELECT 'usable', count(*) FROM raw_posts WHERE epoch_s > 0 AND play_count IS NOT
 SELECT 'dropped', count(*) FROM raw_posts WHERE NOT coalesce(epoch_s > 0, false)
   OR play_count IS NULL""", "raw_posts"))
 def pipeline_counts(spark, sf):
-    return reshape.drop_accounting(fx.raw_posts(spark, sf), {
-        "usable": (clean.number_from_text(F.col("create_time")) > 0)
-        & F.col("play_count").isNotNull()})
+    """Counted while the usable rows are written, not by a second reading."""
+    path = scratch_path(spark, "usable")
+    gates = {"usable": (clean.number_from_text(F.col("create_time")) > 0) & F.col("play_count").isNotNull()}
+    return reshape.count_passing(spark, lambda session: fx.raw_posts(session, sf), gates,
+                                 lambda kept: sinks.write_shards(kept, path) and None)
 
 
 @query("q_entity_filter", """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..config import SETTINGS
 from ..sources.published import publish, read_published
@@ -28,8 +28,11 @@ def seen_once(stream: DataFrame, key: str, event_time: str | None = None, delay:
 def compose_stream(spark: SparkSession, source: str, schema, transform: Callable[
         [DataFrame], DataFrame], sink: str, checkpoint: str,
         rows_per_file: int = SETTINGS.shard_rows, files_per_trigger: int | None = None,
-        key: str | None = None, event_time: str | None = None, delay: str | None = None) -> list[dict]:
-    """Process every file not seen before, then stop; returns the triggers' row counts.
+        key: str | None = None, event_time: str | None = None, delay: str | None = None,
+        counts: dict[str, Column] | None = None) -> list[dict]:
+    """Process every file not seen before, then stop; returns each trigger's number of rows read.
+
+    ``counts`` are named aggregates of the arriving rows, taken on the side and returned as well.
 
     ``transform`` runs on each micro-batch and may join static tables (sidecars,
     asset map).  The checkpoint remembers the files already taken, which replaces
@@ -42,6 +45,8 @@ def compose_stream(spark: SparkSession, source: str, schema, transform: Callable
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     arriving = reader.parquet(source)
+    if counts:
+        arriving = arriving.observe("arrived", *[value.alias(name) for name, value in counts.items()])
     if key is not None:
         arriving = seen_once(arriving, key, event_time, delay)
 
@@ -58,7 +63,12 @@ def compose_stream(spark: SparkSession, source: str, schema, transform: Callable
         query.awaitTermination()
     finally:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
-    return [{"batch": p["batchId"], "read": p["numInputRows"]} for p in query.recentProgress]
+    return [{"batch": p.batchId, "read": p.numInputRows, **_observed(p)} for p in query.recentProgress]
+
+
+def _observed(progress) -> dict:
+    row = progress.observedMetrics.get("arrived")
+    return row.asDict() if row is not None else {}
 
 
 def read_shards(spark: SparkSession, sink: str) -> DataFrame:

@@ -264,6 +264,36 @@ def test_stream_leaves_out_what_was_delivered_before(spark, tmp_path):
     assert read_shards(spark, sink).count() == 4
 
 
+def test_rows_are_counted_while_they_are_written(spark, tmp_path):
+    """Counts come from the run itself, and models still fit and score in the session afterwards."""
+    from postlift.operators import reshape, training
+    path, reads = str(tmp_path / "kept"), []
+
+    def build(session):
+        reads.append(session)
+        return session.range(100).withColumn("v", F.when(F.col("id") % 7 != 0, F.col("id") % 3))
+
+    gates = {"present": F.col("v").isNotNull(), "large": F.col("v") > 0}
+    found = reshape.count_passing(spark, build, gates, lambda kept: kept.write.parquet(path))
+    assert {r.stage: r.n_rows for r in found.collect()} == {"read": 100, "present": 85, "large": 56, "dropped": 44}
+    assert spark.read.parquet(path).count() == 56 and len(reads) == 1 and reads[0] is not spark
+    assert sorted(map(tuple, reshape.drop_accounting(build(spark), gates).collect())) == sorted(map(tuple, found.collect()))
+    rows = spark.range(60).select((F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 2).alias("y"))
+    model = training.train_weighted(rows, ["a"], "y", maxIter=3)
+    assert model.transform(training.assemble(rows, ["a"])).select("probability").count() == 60
+    assert len(model.transform(training.assemble(rows, ["a"])).select("probability").collect()) == 60
+    none = reshape.count_passing(spark, lambda s: build(s).limit(0), gates, lambda kept: kept.write.parquet(path + "0"))
+    assert [r.n_rows for r in none.collect()] == [0, 0, 0, 0]
+
+
+def test_streams_report_what_arrived(spark, tmp_path):
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spark.range(40).coalesce(1).write.parquet(source)
+    told = compose_stream(spark, source, "id bigint", lambda b: b, sink, state,
+                          counts={"even": F.count(F.when(F.col("id") % 2 == 0, 1)), "most": F.max("id")})
+    assert [(t["read"], t["even"], t["most"]) for t in told if t["read"]] == [(40, 20, 39)]
+
+
 def test_seen_set_within_a_watermark_forgets(spark, tmp_path):
     source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
 
