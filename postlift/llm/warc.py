@@ -1,7 +1,8 @@
 """WARC archives: segmented, chunk-framed records written and put together again.
 
 Writing: one ``response`` record per distinct large payload, ``revisit`` records for
-its copies.  A record block is an HTTP response whose body is framed in chunks; blocks
+its copies, which name the response's record identifier.  Identifiers follow from page,
+digest and place among equal rows, so a task that runs again writes the same ones.  A record block is an HTTP response whose body is framed in chunks; blocks
 over ``SEGMENT`` bytes go out as a first record and ``continuation`` records.
 
 Reading: continuation records are grouped by the origin identifier, ordered by segment
@@ -18,34 +19,46 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 #: Bytes of a segment and of a chunk; records per file, which bound a file; least shared payload.
 SEGMENT, CHUNK, FILE_RECORDS, LEAST_SHARED = 16_384, 4_096, 4_096, 1_000
+#: Rows of a group that is joined by broadcast; there are at most rows / HEAVY such groups.
+HEAVY = 100_000
 _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def with_roles(pages: DataFrame, least: int = LEAST_SHARED) -> DataFrame:
-    """Rows with payload, its SHA-1 and ``refers_to``: the response's page_id for revisits.
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: int = HEAVY) -> DataFrame:
+    """Rows with their group's columns; ``groups`` has one row per key, its row count in ``_rows``.
+
+    Groups of over ``heavy`` rows are so few that they are sent to all tasks; their rows
+    never meet in one task.  Rows without a group are left out.
+    """
+    few = groups.where(F.col("_rows") > heavy)
+    rest = rows.join(F.broadcast(few.select(keys)), keys, "left_anti")
+    return (rest.join(groups.where(F.col("_rows") <= heavy), keys)
+            .unionByName(rows.join(F.broadcast(few), keys))).drop("_rows")
+
+
+def with_roles(pages: DataFrame, least: int = LEAST_SHARED, heavy: int = HEAVY) -> DataFrame:
+    """Rows with payload, its SHA-1, ``refers_to`` (the response's page_id for revisits) and ``place``.
 
     Of equal payloads of at least ``least`` bytes the row with the greatest page_id is
     the response.  Only digests and ids are grouped; map-side combining takes a payload
-    that very many pages share.
+    that very many pages share, and ``heavy`` such pages and more join by broadcast.
+    ``place`` numbers rows of one page and payload, from 1.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
-    keyed = rows.select("page_id", F.octet_length("payload").alias("_n"),
-                        F.sha1(F.col("payload").cast("binary")).alias("_sha1")).where(f"_n >= {least}")
-    shared = (keyed.groupBy("_sha1", "_n").agg(F.max("page_id").alias("refers_to"),
-                                               F.count("*").alias("_rows")).where("_rows > 1"))
-    copies = (keyed.join(shared, ["_sha1", "_n"]).where("page_id <> refers_to")
-              .select("page_id", "refers_to", "_sha1").distinct())
-    sha1 = F.sha1(F.col("payload").cast("binary"))
-    return (rows.withColumn("sha1", sha1)
-            .join(copies.withColumnRenamed("page_id", "_id"),
-                  (F.col("page_id") == F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
-            .select("page_id", "url", "payload", "sha1", "refers_to"))
+    rows = (pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+            .withColumn("sha1", F.sha1(F.col("payload").cast("binary"))))
+    keyed = rows.where(F.octet_length("payload") >= least).select("page_id", "sha1")
+    shared = keyed.groupBy("sha1").agg(F.max("page_id").alias("refers_to"),
+                                       F.count("*").alias("_rows")).where("_rows > 1")
+    copies = (join_groups(keyed, shared, ["sha1"], heavy).where("page_id <> refers_to")
+              .select(F.col("page_id").alias("_id"), F.col("sha1").alias("_sha1"), "refers_to").distinct())
+    same = Window.partitionBy("page_id", "sha1").orderBy("url")
+    return (rows.join(copies, (F.col("page_id") == F.col("_id")) & (F.col("sha1") == F.col("_sha1")), "left")
+            .select("page_id", "url", "payload", "sha1", "refers_to", F.row_number().over(same).alias("place")))
 
 
 def _cut(data: bytes, size: int) -> Iterator[bytes]:
@@ -86,15 +99,21 @@ def _record(kind: str, fields: dict, block: bytes) -> str:
     return "\r\n".join(lines) + _END + block.decode()
 
 
-def records_of(name: str, page_id, url, payload: str, sha1: str, refers_to, date: str,
+def record_id(page_id, sha1: str, place: int = 1) -> str:
+    """The identifier of the ``place``-th record of a page's payload."""
+    return f"<urn:page:{'' if page_id is None else page_id}:{sha1}:{place}>"
+
+
+def records_of(page_id, url, payload: str, sha1: str, refers_to, place: int, date: str,
                segment: int = SEGMENT) -> Iterator[str]:
     """The record of one page, as one text or, over ``segment`` bytes, several."""
+    own = record_id(page_id, sha1, place)
     clean = None if url is None else re.sub(
         r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
-    common = {"WARC-Record-ID": f"<urn:page:{name}>", "WARC-Date": date, "WARC-Target-URI": clean,
+    common = {"WARC-Record-ID": own, "WARC-Date": date, "WARC-Target-URI": clean,
               "WARC-Page": page_id, "WARC-Payload-Digest": f"sha1:{sha1}"}
     if refers_to is not None:
-        yield _record("revisit", {**common, "WARC-Refers-To": f"<urn:page:{refers_to}>", "WARC-Profile":
+        yield _record("revisit", {**common, "WARC-Refers-To": record_id(refers_to, sha1), "WARC-Profile":
                                   "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"}, b"")
         return
     block = _HTTP + framed(payload.encode())
@@ -106,8 +125,8 @@ def records_of(name: str, page_id, url, payload: str, sha1: str, refers_to, date
     yield _record("response", {**common, "WARC-Segment-Number": 1}, parts[0])
     for k, part in enumerate(parts[1:], 2):
         yield _record("continuation", {
-            "WARC-Record-ID": f"<urn:page:{name}:segment:{k}>", "WARC-Date": date,
-            "WARC-Segment-Origin-ID": common["WARC-Record-ID"], "WARC-Segment-Number": k,
+            "WARC-Record-ID": f"{own[:-1]}:segment:{k}>", "WARC-Date": date,
+            "WARC-Segment-Origin-ID": own, "WARC-Segment-Number": k,
             "WARC-Segment-Total-Length": len(block) if k == len(parts) else None}, part)
 
 
@@ -119,13 +138,10 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
     null page ids get records of their own; an empty table writes no record.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, count = TaskContext.get().partitionId(), 0
         for batch in batches:
             out, held = [], 0
-            for page_id, url, payload, sha1, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
-                name = f"{task}-{count}:{page_id}"
-                count += 1
-                for record in records_of(name, page_id, url, payload, sha1, refers_to, date):
+            for page in zip(*(c.to_pylist() for c in batch.columns)):
+                for record in records_of(*page, date):
                     out.append(record)
                     held += len(record)
                 if held > 4 << 20:
@@ -160,13 +176,13 @@ def parse(stream) -> Iterator[tuple[dict, bytes]]:
         yield fields, block
 
 
-_RECORD = ("record_id string, page_id long, kind string, refers_to long, digest string, "
+_RECORD = ("record_id string, page_id long, kind string, refers_record string, digest string, "
            "origin string, segment int, total long, block binary")
 
 
 def _number(text: str | None) -> int | None:
-    """The whole number at the end of a field, within angle brackets or not."""
-    found = re.search(r"-?\d+(?=>?$)", text or "")
+    """The whole number at the end of a field."""
+    found = re.search(r"-?\d+$", text or "")
     return int(found[0]) if found else None
 
 
@@ -174,7 +190,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of all archives in ``path``, as stored: one row per record or segment."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _RECORD.split(", ")]
-        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(),
+        types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(),
                  pa.int32(), pa.int64(), pa.binary()]
 
         def batch_of(rows):
@@ -188,7 +204,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
                 stream = gzip.GzipFile(fileobj=raw) if content.as_buffer()[:2].to_pybytes() == b"\x1f\x8b" else raw
                 for f, block in parse(stream):
                     rows.append((f.get("warc-record-id"), _number(f.get("warc-page")), f.get("warc-type"),
-                                 _number(f.get("warc-refers-to")),
+                                 f.get("warc-refers-to"),
                                  (f.get("warc-payload-digest") or "").partition(":")[2] or None,
                                  f.get("warc-segment-origin-id"),
                                  _number(f.get("warc-segment-number")),
@@ -223,59 +239,68 @@ def payload_of(block: bytes) -> bytes:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, record_type, refers_to, payload_bytes, payload_digest, payload) of every record.
+    """(page_id, record_type, record_id, refers_record, payload_bytes, payload_digest, payload) of records.
 
-    Revisits carry the stored digest; their payload and its length are the response's
-    and null here.  Missing segments, wrong lengths, framing or digests raise.
+    Revisits carry the stored digest and the identifier of the response; their payload and
+    its length are the response's and null here.  Missing segments, wrong lengths, framing or digests raise.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for page_id, kind, refers_to, digest, segments, block in zip(*(
-                    batch.column(c).to_pylist() for c in (
-                        "page_id", "kind", "refers_to", "digest", "segments", "block"))):
+            for page_id, kind, record, refers_record, digest, segments, block in zip(*(
+                    batch.column(c).to_pylist() for c in (*fields, "segments", "block"))):
                 payload = None
                 if kind == "response":
                     payload = payload_of(block if segments is None else put_together(
                         [(s["segment"], s["total"], s["block"]) for s in segments]))
                     if hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError("a payload does not have its digest")
-                out.append({"page_id": page_id, "record_type": kind, "refers_to": refers_to,
-                            "payload_bytes": None if payload is None else len(payload),
+                out.append({"page_id": page_id, "record_type": kind, "record_id": record,
+                            "refers_record": refers_record, "payload_bytes": None if payload is None else len(payload),
                             "payload_digest": digest, "payload": payload})
             yield pa.RecordBatch.from_pylist(out, schema=pa.schema([
-                ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()),
+                ("page_id", pa.int64()), ("record_type", pa.string()), ("record_id", pa.string()),
+                ("refers_record", pa.string()),
                 ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())]))
 
     records = read_records(spark, path)
-    fields = ["page_id", "kind", "refers_to", "digest"]
+    fields = ["page_id", "kind", "record_id", "refers_record", "digest"]
     pieces = "array<struct<segment:int,total:bigint,block:binary>>"
     whole = records.where("segment is null").select(
         *fields, F.lit(None).cast(pieces).alias("segments"), "block")
     origin = F.coalesce("origin", "record_id")
     grouped = records.where("segment is not null").groupBy(origin.alias("_origin")).agg(
-        *[F.max(c).alias(c) for c in ("page_id", "refers_to", "digest")],
+        *[F.max(c).alias(c) for c in ("page_id", "digest")],
         F.collect_list(F.struct("segment", "total", "block")).alias("segments"))
-    joined = grouped.select("page_id", F.lit("response").alias("kind"), "refers_to", "digest",
+    joined = grouped.select("page_id", F.lit("response").alias("kind"), F.col("_origin").alias("record_id"),
+                            F.lit(None).cast("string").alias("refers_record"), "digest",
                             F.col("segments").cast(pieces).alias("segments"),
                             F.lit(None).cast("binary").alias("block"))
     return whole.unionByName(joined).mapInArrow(
-        run, "page_id long, record_type string, refers_to long, payload_bytes long, "
-             "payload_digest string, payload binary")
+        run, "page_id long, record_type string, record_id string, refers_record string, "
+             "payload_bytes long, payload_digest string, payload binary")
 
 
-def page_digests(found: DataFrame) -> DataFrame:
-    """Rows of ``read_pages`` without payloads; revisits get the length of the response they name.
+def page_digests(found: DataFrame, heavy: int = HEAVY) -> DataFrame:
+    """Rows of ``read_pages`` without payloads and identifiers; revisits get page and length of their response.
 
-    A revisit whose digest is not its response's raises.
+    A revisit that names no response, one whose digest is another, or one whose
+    identifier two responses bear, raises.
     """
+    own = ["page_id", "record_type", "refers_to", "payload_bytes", "payload_digest"]
     named = found.where("record_type = 'revisit'")
-    targets = (found.where("record_type = 'response'")
-               .groupBy(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("_digest"))
-               .agg(F.max("payload_bytes").alias("_bytes")))
-    resolved = named.drop("payload_bytes").join(
-        targets, (named["refers_to"] == targets["refers_to"])
-        & (named["payload_digest"] == targets["_digest"]), "left").drop(targets["refers_to"])
-    checked = resolved.withColumn("payload_bytes", F.coalesce("_bytes", F.raise_error(
-        F.lit("a revisit names no response with its digest")).cast("long"))).drop("_digest", "_bytes")
-    return found.where("record_type <> 'revisit'").unionByName(checked)
+    wanted = named.groupBy(F.col("refers_record").alias("record_id")).agg(F.count("*").alias("_asked"))
+    targets = found.where("record_type = 'response'").select(
+        "record_id", F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("_digest"),
+        F.col("payload_bytes").alias("_bytes"))
+    # One row per record named, whether it is there or not: a join by it loses no revisit.
+    resolved = (wanted.join(targets, "record_id", "left").groupBy("record_id")
+                .agg(F.max("_asked").alias("_rows"), F.count("_digest").alias("_found"),
+                     *[F.max(c).alias(c) for c in ("refers_to", "_digest", "_bytes")])
+                .withColumnRenamed("record_id", "refers_record"))
+    right = (F.col("_found") == 1) & (F.col("_digest") == F.col("payload_digest"))
+    checked = join_groups(named.drop("payload_bytes"), resolved, ["refers_record"], heavy).withColumn(
+        "payload_bytes", F.when(right, F.col("_bytes")).otherwise(F.raise_error(
+            F.lit("a revisit names no response with its digest")).cast("long")))
+    responses = found.where("record_type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long"))
+    return responses.select(own).unionByName(checked.select(own))

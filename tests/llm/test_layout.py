@@ -111,11 +111,15 @@ PAGES = [(1, "http://a/\r\nx y", "p" * 1000), (2, None, "p" * 1000), (3, "u", No
          (9, "u", "p" * 1000), (9, "u", "p" * 1000), (None, "u", "without an id"), (10, "u", "0\r\n\r\n")]
 
 
-def test_archives_round_trip(spark):
-    pages = spark.createDataFrame([(i, u, h, "x") for i, u, h in PAGES],
-                                  "page_id long, url string, html string, payload string")
+def pages_table(spark):
+    return spark.createDataFrame([(i, u, h, "x") for i, u, h in PAGES],
+                                 "page_id long, url string, html string, payload string")
+
+
+@pytest.mark.parametrize("heavy", [1, 100_000])
+def test_archives_round_trip(spark, heavy):
     path = scratch_path(spark, "archives")
-    warc.write_archives(pages, path)
+    warc.write_archives(pages_table(spark), path)
     found = warc.read_pages(spark, path)
     stored = [(r.page_id or -1, bytes(r.payload).decode()) for r in found.collect() if r.record_type == "response"]
     assert sorted(stored) == sorted((i or -1, h or "") for i, _, h in PAGES if i not in (1, 2))
@@ -123,12 +127,46 @@ def test_archives_round_trip(spark):
     assert records.where("kind = 'continuation'").count() > 20
     assert records.agg(F.max(F.octet_length("block"))).first()[0] <= warc.SEGMENT + 3
     digests = sorted((r.page_id or -1, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)
-                     for r in warc.page_digests(found.drop("payload")).collect())
+                     for r in warc.page_digests(found.drop("payload"), heavy).collect())
     assert digests == sorted(
         (i or -1, len((h or "").encode()), hashlib.sha1((h or "").encode()).hexdigest(),
          "revisit" if i in (1, 2) else "response", 9 if i in (1, 2) else None) for i, _, h in PAGES)
 
 
+@pytest.mark.parametrize("heavy", [1, 100_000])
+def test_copies_are_told_whether_groups_are_heavy_or_not(spark, heavy):
+    rows = warc.with_roles(pages_table(spark), heavy=heavy).select("page_id", "refers_to", "place").collect()
+    assert sorted((r.page_id or -1, r.refers_to, r.place) for r in rows) == sorted(
+        (i or -1, 9 if i in (1, 2) else None, k) for i, k in
+        [*((i, 1) for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, None)), (9, 2)])
+
+
+def test_a_strict_reader_resolves_every_revisit(spark):
+    path = scratch_path(spark, "archives")
+    warc.write_archives(pages_table(spark), path)
+    records = warc.read_records(spark, path).collect()
+    names = [r.record_id for r in records]
+    assert len(names) == len(set(names))
+    by_name = {r.record_id: r for r in records}
+    revisits = [r for r in records if r.kind == "revisit"]
+    assert len(revisits) == 2
+    for r in revisits:
+        named = by_name[r.refers_record]
+        assert named.kind == "response" and named.digest == r.digest and named.page_id == 9
+    assert all(by_name[r.origin].segment == 1 for r in records if r.kind == "continuation")
+
+
+def test_a_revisit_of_nothing_raises(spark):
+    path = scratch_path(spark, "archives")
+    warc.write_archives(pages_table(spark), path)
+    found = warc.read_pages(spark, path).drop("payload")
+    for broken in (found.where("page_id <> 9"), found.withColumn("payload_digest", F.lit("0")).where(
+            "record_type = 'response'").unionByName(found.where("record_type = 'revisit'")),
+            found.unionByName(found.where("page_id = 9"))):
+        with pytest.raises(Exception, match="names no response"):
+            warc.page_digests(broken).collect()
+
+
 def test_no_pages(spark):
     path = scratch_path(spark, "archives")
     warc.write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
