@@ -5,6 +5,7 @@ import random
 
 import oracle
 import pytest
+from pyspark.sql import functions as F
 
 from postlift.llm import components, decontaminate, ngram_join, queries
 from tables import EDGE, documents, shingles
@@ -39,7 +40,9 @@ def test_items_are_found_whatever_the_block(spark, block):
     assert sorted((named(r.doc_id), r.item_id, r.n_item, r.n_shared) for r in found) == held_pairs(EDGE, ITEMS)
 
 
-def test_random_items_in_long_documents(spark):
+@pytest.mark.parametrize("block", [1, 1_000_000])
+def test_random_items_in_long_documents(spark, block, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ROW_ITEMS", 2)
     r = random.Random(9)
     vocabulary = [f"w{i}" for i in range(40)]
     docs = [(i, " ".join(r.choices(vocabulary, k=r.choice([30, 300, 3000])))) for i in range(30)]
@@ -51,22 +54,36 @@ def test_random_items_in_long_documents(spark):
         for _ in range(r.randint(0, 2)):
             part[r.randrange(len(part))] = "changed"
         items.append((i, " ".join(part)))
-    found = decontaminate.find_items(documents(spark, docs), items_table(spark, items)).collect()
+    found = decontaminate.find_items(documents(spark, docs), items_table(spark, items), block=block).collect()
     assert sorted((named(x.doc_id), x.item_id, x.n_item, x.n_shared) for x in found) == held_pairs(docs, items)
 
 
-def test_documents_with_items_are_dropped(spark):
-    docs, items = documents(spark), items_table(spark, ITEMS)
-    kept = decontaminate.drop_holders(docs, items, block=1)
+@pytest.mark.parametrize("block, few", [(1, 0), (1, 1_000), (1_000, 1_000)])
+def test_documents_with_items_are_dropped(spark, block, few, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_KEYS", few)
+    docs, items = documents(spark).withColumns({"doc_key": F.lit(1), "_whole": F.lit("a")}), items_table(spark, ITEMS)
+    kept = decontaminate.drop_holders(docs, items, block=block)
     assert kept.schema == docs.schema
     bad = {d for d, *_ in held_pairs(EDGE, ITEMS)}
     assert sorted(named(r.doc_id) for r in kept.collect()) == sorted(
         named(i) for i, _ in EDGE if named(i) not in bad)
 
 
+def test_many_items_stay_a_table(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "ItemIndex", None)  # no index is built anywhere
+    n = 200_000
+    items = spark.range(n).select(F.col("id").alias("item_id"), F.concat_ws(
+        " ", *[F.concat(F.lit(f"w{k}x"), F.col("id")) for k in range(7)]).alias("text"))
+    docs = [(i, f"before it w0x{i} w1x{i} w2x{i} w3x{i} W4x{i}\tw5x{i} w6x{i} and behind") for i in range(0, n, 20_000)]
+    found = decontaminate.find_items(documents(spark, docs + docs[:1]), items).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_item, r.n_shared) for r in found) == sorted(
+        (i, i, 3, 3) for i in [0, *range(0, n, 20_000)])
+
+
 def test_empty_sides(spark):
     docs, items = documents(spark), items_table(spark, ITEMS)
     assert decontaminate.find_items(documents(spark, []), items).count() == 0
+    assert decontaminate.find_items(documents(spark, []), items, block=1).count() == 0
     assert decontaminate.find_items(docs, items_table(spark, [])).count() == 0
     assert decontaminate.drop_holders(docs, items_table(spark, [])).count() == len(EDGE)
 
