@@ -28,12 +28,14 @@ from pyspark.sql.types import LongType, StructField, StructType
 from ..session import materialize
 from .components import connected_components
 from .exchange import KeySpace, into_chunks, packed
-from .textops import (distinct_per_row, leave_nothing, mix, pieces_of, shingle_hashes, spread,
+from .textops import (distinct_per_row, join_groups, leave_nothing, mix, pieces_of, shingle_hashes, spread,
                       text_bytes, whole_texts, word_hashes)
 
 WIDTH, PERCENT = 5, 80
 #: Rows of one row block; nodes of small groups that share a task; ids that may be broadcast.
 BLOCK_ROWS, TASK_NODES, BROADCAST_IDS = 512, 1_500, 400_000
+#: Groups of copies, or components, that are sent to all tasks at most: the largest ones.
+HEAVY_GROUPS = 1_000
 _COLUMNS = 2_048
 
 
@@ -332,15 +334,20 @@ def _labelled(docs: DataFrame, width: int, percent: int) -> DataFrame:
              .withColumn("root", F.coalesce("root", "node")))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     label = named.join(ids, "root").select(
-        "node", "root", "component_id",
+        "node", "root", "component_id", F.col("copies").alias("_rows"),
         (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    full = rows.where("n > 0").join(label, "node").select(
+    full = join_groups(rows.where("n > 0"), label, ["node"], _heavy(rows)).select(
         "doc_id", "node", "n", "root", "component_id", "n_links")
     blank = rows.where("n = 0").selectExpr(
         "doc_id", "node", "n", "CAST(NULL AS BIGINT) AS root", "doc_id AS component_id", "0L AS n_links")
     return full.unionByName(blank)
 
 
+def _heavy(rows: DataFrame) -> int:
+    """A size that at most ``HEAVY_GROUPS`` groups of the rows exceed."""
+    return rows.count() // HEAVY_GROUPS + 1
+
+
 def _verified(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """(u, v, links) for members (node, root, rows, least, copies): v reaches u by links."""
     wanted = members.select(F.col("least").alias("_id")).distinct()
@@ -380,12 +387,14 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     and rows without an id where their component has no id.  No rows give none.
     """
     found = materialize(_labelled(docs, width, percent), "components")
-    heads = found.where("n > 0 AND doc_id IS NOT NULL").groupBy("root").agg(
-        F.min(F.struct("doc_id", "node")).alias("_head"))
     own = F.struct("doc_id", "node")
-    stays = F.col("root").isNull() | F.col("_head").isNull() | (own == F.col("_head"))
-    judged = materialize(found.join(heads, "root", "left").select(
-        F.col("doc_id").alias("_id"), F.col("node").alias("_node"), stays.alias("_stays")), "judged")
+    filled, blank = found.where("root IS NOT NULL"), found.where("root IS NULL")
+    heads = filled.groupBy("root").agg(
+        F.min(F.when(F.col("doc_id").isNotNull(), own)).alias("_head"), F.count("*").alias("_rows"))
+    stays = F.col("_head").isNull() | (own == F.col("_head"))
+    names = [F.col("doc_id").alias("_id"), F.col("node").alias("_node")]
+    judged = materialize(join_groups(filled, heads, ["root"], _heavy(found)).select(*names, stays.alias("_stays"))
+                         .unionByName(blank.select(*names, F.lit(True).alias("_stays"))), "judged")
     state = materialize(judged.groupBy("_id").agg(
         F.count("*").alias("_rows"), F.max(F.col("_stays").cast("int")).alias("_any")), "state")
     gone, several = state.where("_any = 0"), state.where("_any = 1 AND _rows > 1")

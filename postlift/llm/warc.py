@@ -21,26 +21,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .textops import HEAVY, join_groups
+
 #: Bytes of a segment and of a chunk; records per file, which bound a file; least shared payload.
 SEGMENT, CHUNK, FILE_RECORDS, LEAST_SHARED = 16_384, 4_096, 4_096, 1_000
-#: Rows of a group that is joined by broadcast; there are at most rows / HEAVY such groups.
-HEAVY = 100_000
 _END = "\r\n\r\n"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], heavy: int = HEAVY) -> DataFrame:
-    """Rows with their group's columns; ``groups`` has one row per key, its row count in ``_rows``.
-
-    Groups of over ``heavy`` rows are so few that they are sent to all tasks; their rows
-    never meet in one task.  Rows without a group are left out.
-    """
-    few = groups.where(F.col("_rows") > heavy)
-    rest = rows.join(F.broadcast(few.select(keys)), keys, "left_anti")
-    return (rest.join(groups.where(F.col("_rows") <= heavy), keys)
-            .unionByName(rows.join(F.broadcast(few), keys))).drop("_rows")
-
-
 def with_roles(pages: DataFrame, least: int = LEAST_SHARED, heavy: int = HEAVY) -> DataFrame:
     """Rows with payload, its SHA-1, ``refers_to`` (the response's page_id for revisits) and ``place``.
 

@@ -177,3 +177,14 @@ def test_components_of_a_path_and_a_star(spark):
     found = components.connected_components(spark.createDataFrame(edges, "u long, v long"))
     got = {r.node: r.root for r in found.collect()}
     assert got == {**{i: 0 for i in range(21)}, **{100 + i: 100 for i in range(30)}}
+
+
+@pytest.mark.parametrize("groups", [1, 5])
+def test_heavy_groups_are_joined_alike(spark, groups, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAVY_GROUPS", groups)
+    rows = EDGE + [(100 + i, "one text that very many rows hold word for word") for i in range(60)]
+    rows += [(200 + i, f"number {i} stands alone here with words of its own w{i} x{i}") for i in range(20)]
+    docs = documents(spark, rows)
+    assert components_of(docs) == brute_components(rows)
+    kept = sorted(named(r.doc_id) for r in ngram_join.keep_one(docs).collect())
+    assert kept.count(100) == 1 and not any(100 < i < 160 for i in kept) and all(i in kept for i in range(200, 220))
