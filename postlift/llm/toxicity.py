@@ -31,10 +31,21 @@ MOST_ROWS, MOST_FEATURES = 6_000, 2_000
 #: Bytes of the word beginnings, and the deviations from chance that select a feature.
 WIDTHS, LEAST_Z = (3, 4, 5, 6, 7, 8, 10), 4.0
 CF, L2, STEPS, RATE = 4.0, 1e-4, 300, 0.1
-#: Group terms that are swapped for one another.
-IDENTITY = ("asian", "black", "buddhist", "christian", "disabled", "elderly", "female", "gay",
-            "hindu", "immigrant", "jewish", "latino", "lesbian", "male", "man", "men", "muslim",
-            "native", "refugee", "transgender", "white", "woman", "women", "young")
+#: Group terms, by language; a term is swapped for others of its own.
+IDENTITY = {
+    "en": ("asian", "black", "buddhist", "christian", "disabled", "elderly", "female", "gay",
+           "hindu", "immigrant", "jewish", "latino", "lesbian", "male", "man", "men", "muslim",
+           "native", "refugee", "transgender", "white", "woman", "women", "young"),
+    "de": ("ausländer", "asiaten", "behinderte", "buddhisten", "christen", "einwanderer", "flüchtlinge",
+           "frau", "frauen", "hindus", "juden", "lesben", "mann", "männer", "muslime", "schwarze",
+           "schwule", "senioren", "transsexuelle", "weiße"),
+    "es": ("ancianos", "asiáticos", "blancos", "budistas", "cristianos", "discapacitados", "extranjeros",
+           "hindúes", "hombre", "hombres", "homosexuales", "inmigrantes", "judíos", "lesbianas", "mujer",
+           "mujeres", "musulmanes", "negros", "refugiados", "transexuales"),
+    "fr": ("asiatiques", "blancs", "bouddhistes", "chrétiens", "femme", "femmes", "handicapés", "hindous",
+           "homme", "hommes", "homosexuels", "immigrés", "juifs", "lesbiennes", "musulmans", "noirs",
+           "réfugiés", "retraités", "transgenres", "étrangers"),
+}
 _EDGE = ".,;:!?\"'()"
 
 
@@ -62,15 +73,16 @@ def swapped(text: str, seed: int) -> str:
     own = [w.strip(_EDGE).lower() for w in words]
     found = [i for i, w in enumerate(own) if w in _TERMS]
     for i in found:
-        step = 1 + int(rng.integers(len(IDENTITY) - 1))
-        other = IDENTITY[(_TERMS[own[i]] + step) % len(IDENTITY)]
+        language, place = _TERMS[own[i]]
+        step = 1 + int(rng.integers(len(IDENTITY[language]) - 1))
+        other = IDENTITY[language][(place + step) % len(IDENTITY[language])]
         words[i] = words[i].lower().replace(own[i], other)
     if not found:
-        words.insert(int(rng.integers(len(words) + 1)), IDENTITY[int(rng.integers(len(IDENTITY)))])
+        words.insert(int(rng.integers(len(words) + 1)), list(_TERMS)[int(rng.integers(len(_TERMS)))])
     return " ".join(words)
 
 
-_TERMS = {w: i for i, w in enumerate(IDENTITY)}
+_TERMS = {w: (language, i) for language, terms in IDENTITY.items() for i, w in enumerate(terms)}
 
 
 class Rows:
@@ -118,17 +130,22 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def loss_slope(w: np.ndarray, x: Rows, y: Rows, toxic: np.ndarray, cf: float, l2: float) -> np.ndarray:
+    """The loss's slope at weights and bias ``w``."""
+    n, wide = len(toxic), len(w) - 1
+    balance = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
+    p, q = _sigmoid(x.times(w[:-1]) + w[-1]), _sigmoid(y.times(w[:-1]) + w[-1])
+    gap = 2 * cf / n * (p - q)
+    gp, gq = balance * (p - toxic) + gap * p * (1 - p), -gap * q * (1 - q)
+    return np.append(x.back(gp, wide) + y.back(gq, wide) + l2 * w[:-1], (gp + gq).sum())
+
+
 def fit(x: Rows, y: Rows, toxic: np.ndarray, features: np.ndarray, cf: float = CF, l2: float = L2,
         steps: int = STEPS, rate: float = RATE) -> Model:
     """Weights from rows, their counterfactuals and labels (1: toxic), classes weighted alike."""
-    n, wide = len(toxic), len(features)
-    balance = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
-    w, m, v = (np.zeros(wide + 1) for _ in range(3))
+    w, m, v = (np.zeros(len(features) + 1) for _ in range(3))
     for step in range(1, steps + 1):
-        p, q = _sigmoid(x.times(w[:-1]) + w[-1]), _sigmoid(y.times(w[:-1]) + w[-1])
-        gap = 2 * cf / n * (p - q)
-        gp, gq = balance * (p - toxic) + gap * p * (1 - p), -gap * q * (1 - q)
-        slope = np.append(x.back(gp, wide) + y.back(gq, wide) + l2 * w[:-1], (gp + gq).sum())
+        slope = loss_slope(w, x, y, toxic, cf, l2)
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Model(features, w[:-1], float(w[-1]))
@@ -146,7 +163,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = No
 
     ``usable`` restricts the rows of ``labels`` that may be learnt from.  Feature counts
     and sparse rows come from the workers; the driver holds the selected features'
-    entries alone.  Rows without id, text or label are not learnt from.
+    entries alone.  Rows without id, text or label are not learnt from; of texts under one
+    id the least is.
     """
     known = labels.where("doc_id is not null and toxic is not null")
     chosen = (known.where(usable) if usable is not None else known).select(
@@ -154,7 +172,8 @@ def fit_documents(docs: DataFrame, labels: DataFrame, usable: Column | None = No
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
     # At most ``most_rows`` ids and labels.
     rows = materialize(docs.where("text is not null").select("doc_id", "text")
-                       .join(F.broadcast(chosen), "doc_id"), "labelled")
+                       .join(F.broadcast(chosen), "doc_id")
+                       .groupBy("doc_id", "toxic").agg(F.min("text").alias("text")), "labelled")
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in pieces_of(batches):
@@ -230,7 +249,10 @@ def score_documents(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The documents that score below ``threshold``, with all their columns."""
+    """The documents that score below ``threshold``, with all their columns.
+
+    Repeated rows are judged alike, null and blank texts by the bias; an empty table gives no rows.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leave_nothing()
         for piece in pieces_of(batches, "_whole"):

@@ -349,10 +349,69 @@ def test_swapping():
     text = "These Women, and the men"
     for seed in range(20):
         other = toxicity.swapped(text, seed).split(" ")
-        assert other[1].strip(",") in toxicity.IDENTITY and other[1] != "women," and other[4] != "men"
+        assert other[1].strip(",") in toxicity.IDENTITY["en"] and other[1] != "women," and other[4] != "men"
         assert len(toxicity.swapped("no such term", seed).split(" ")) == 4
 
 
+@pytest.mark.parametrize("language, text", [
+    ("de", "Die Männer kamen"), ("es", "Las Mujeres, ayer"), ("fr", "les Étrangers. ici")])
+def test_terms_are_swapped_within_their_language(language, text):
+    for seed in range(20):
+        other = toxicity.swapped(text, seed).split(" ")
+        word = other[1].strip(",.")
+        assert word in toxicity.IDENTITY[language] and word != text.split(" ")[1].strip(",.").lower()
+        assert [other[0], other[2]] == [text.split(" ")[0], text.split(" ")[2]]
+
+
+def test_terms_belong_to_one_language():
+    terms = [w for own in toxicity.IDENTITY.values() for w in own]
+    assert len(terms) == len(set(terms)) and all(w == w.lower() for w in terms)
+
+
+def test_slope_equals_differences_of_the_loss():
+    r, wide, rows = random.Random(4), 5, 9
+    x, y = (sparse_rows(r, rows, wide) for _ in range(2))
+    toxic = np.array([1.0, 0, 0, 1, 0, 0, 1, 0, 0])
+    dense = [np.zeros((rows, wide)) for _ in range(2)]
+    for d, s in zip(dense, (x, y)):
+        d[s.row, s.at] = s.value
+
+    def loss(w, cf, l2):
+        p, q = (1 / (1 + np.exp(-(d @ w[:-1] + w[-1]))) for d in dense)
+        entropy = -(toxic * np.log(p) / toxic.sum() + (1 - toxic) * np.log(1 - p) / (rows - toxic.sum())).sum() / 2
+        return entropy + l2 / 2 * (w[:-1]**2).sum() + cf * ((p - q)**2).mean()
+
+    for cf, l2 in ((0.0, 0.0), (4.0, 0.0), (4.0, 0.3)):
+        w = np.array([r.uniform(-1, 1) for _ in range(wide + 1)])
+        steps = np.eye(wide + 1) * 1e-6
+        by_hand = [(loss(w + e, cf, l2) - loss(w - e, cf, l2)) / 2e-6 for e in steps]
+        assert toxicity.loss_slope(w, x, y, toxic, cf, l2) == pytest.approx(by_hand, abs=1e-7)
+
+
+def sparse_rows(r, rows, wide):
+    at = [[k for k in range(wide) if r.random() < 0.6] for _ in range(rows)]
+    return toxicity._joined(pa.chunked_array([at], pa.list_(pa.int32())),
+                            pa.chunked_array([[[r.uniform(0, 2) for _ in a] for a in at]], pa.list_(pa.float64())))
+
+
+def test_edge_rows_under_a_model_with_features(spark):
+    model = toxicity.fit_documents(*labelled(spark, biased_rows(120)))
+    assert len(model.features)
+    scores = toxicity.score_documents(documents(spark), model).collect()
+    assert len(scores) == len(EDGE) and all(0 <= r.score <= 1 for r in scores)
+    empty = [r.score for r in scores if r.doc_id in (1, 2, 3)]
+    assert empty == pytest.approx([1 / (1 + np.exp(-model.bias))] * 3)
+
+
+def test_texts_of_a_repeated_id_do_not_exceed_the_sample(spark):
+    rows = biased_rows(60)
+    docs, labels = labelled(spark, rows)
+    one = toxicity.fit_documents(docs, labels)
+    more = docs.unionByName(docs.withColumn("text", F.concat(F.lit("zz later text "), "text")))
+    two = toxicity.fit_documents(more, labels)
+    assert (one.features == two.features).all() and two.weights == pytest.approx(one.weights)
+
+
 def test_held_out_accuracy(spark):
     rows = queries.QUERIES["op10_toxicity"](spark, "/root/testdata/sf0.1")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
