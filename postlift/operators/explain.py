@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import FEATURE_NAMES, SETTINGS
@@ -9,9 +15,15 @@ from ..functions.scores import logistic
 from ..functions.text import caption_head
 from ..session import materialize
 from .metrics import evaluate
-from .ranking import hash_order, permuted
+from .ranking import hash_order, permuted_numbers
 from .scoring import variant_logits
 
+# Worker functions travel with their code, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Most ranks that meet in one group of a shuffle, and rows sent out at once.
+BLOCK, SENT = 1 << 16, 1 << 15
+
 
 def ablate(df: DataFrame, conditions: dict[str, Column], truth: str,
            threshold: float = SETTINGS.analysis_confidence) -> DataFrame:
@@ -35,27 +47,72 @@ def shuffled(df: DataFrame, key: str, slots: list[str], carry: list[str],
     """Rows with ``slots``, ``carry`` and donor values ``_d1`` … of an independent shuffle per feature.
 
     Rows have ranks in a seeded random order of a unique ``key``, and feature j of the row at
-    rank r goes to the row at rank ``permuted(r, j)``.  Every row sends its values there and
-    its own columns to itself, in one shuffle, so a row's shuffled values meet without a
-    sort per feature.  Any number of rows will do; none give none.
+    rank r goes to the row at rank ``permuted(r, j)``.  Rows travel to the block of ``BLOCK``
+    ranks that holds their own, and their values, packed by block, to those they are sent to, so
+    a row's shuffled values meet without a sort per feature or a record per value.  Any
+    number of rows will do; none give none.
     """
     stored = materialize(df.select(key, *slots, *carry), "shuffled")
     n = stored.count()
-    ranked = hash_order(stored, key, seed)
+    # Small tables are spread over some tasks too.
+    size = max(1, min(BLOCK, -(-n // 64)))
+    ranked = hash_order(stored, key, seed).withColumn("rank", F.col("rank").cast("long"))
     kind = ranked.schema[slots[0]].dataType.simpleString()
-    own = F.struct(*slots, *carry)
-    none = F.lit(None).cast(ranked.select(own.alias("o")).schema["o"].dataType)
-    # A value travels in a struct, so that a null one is still there.
-    sent = [F.struct(F.lit(0).alias("j"), F.lit(None).cast(f"struct<v:{kind}>").alias("value"), own.alias("own"))]
-    sent += [F.struct(F.lit(j).alias("j"), F.struct(F.col(c).cast(kind).alias("v")).alias("value"), none.alias("own"))
-             for j, c in enumerate(slots, 1)]
-    rows = ranked.select("rank", F.explode(F.array(*sent)).alias("s")).select("rank", "s.*")
-    to = F.when(F.col("j") == 0, F.col("rank")).otherwise(permuted(F.col("rank"), n, F.col("j"), seed))
-    met = rows.select(to.alias("to"), "j", "value", "own").groupBy("to").agg(
-        F.first("own", ignorenulls=True).alias("own"),
-        F.map_from_entries(F.collect_list(F.when(F.col("j") > 0, F.struct("j", "value")))).alias("_d"))
-    return met.select(*[F.col("own")[c].alias(c) for c in (*carry, *slots)],
-                      *[F.col("_d")[j]["v"].alias(f"_d{j}") for j in range(1, len(slots) + 1)])
+    sent = ranked.select("rank", *[F.col(c).cast(kind).alias(f"_d{j}") for j, c in enumerate(slots, 1)]).mapInArrow(
+        _send(n, size, seed), f"block long, at array<int>, j array<int>, value array<{kind}>")
+    own = ranked.select(F.floor(F.col("rank") / size).cast("long").alias("block"), "rank", *carry, *slots)
+    kinds = dict(own.dtypes)
+    schema = ", ".join([f"`{c}` {kinds[c]}" for c in (*carry, *slots)]
+                       + [f"_d{j} {kind}" for j in range(1, len(slots) + 1)])
+    return own.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(
+        _receive([*carry, *slots], len(slots), size), schema)
+
+
+def _send(n: int, size: int, seed: int):
+    """A task function: rows' values, a record per block of ranks that they are sent to."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= SENT:
+                yield packed(pa.Table.from_batches(held))
+                held = []
+        if sum(b.num_rows for b in held):
+            yield packed(pa.Table.from_batches(held))
+
+    def packed(rows: pa.Table) -> pa.RecordBatch:
+        rank = rows.column("rank").to_numpy()
+        names = rows.column_names[1:]
+        to = np.concatenate([permuted_numbers(rank, n, j, seed) for j in range(1, len(names) + 1)])
+        block = to // size
+        order = np.argsort(block, kind="stable")
+        blocks, first = np.unique(block[order], return_index=True)
+        ends = pa.array(np.append(first, len(order)).astype(np.int32))
+        value = pa.concat_arrays([c for name in names for c in rows.column(name).chunks])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(blocks), pa.ListArray.from_arrays(ends, pa.array((to - block * size)[order].astype(np.int32))),
+             pa.ListArray.from_arrays(ends, pa.array((order // len(rank)).astype(np.int32))),
+             pa.ListArray.from_arrays(ends, value.take(pa.array(order)))], names=["block", "at", "j", "value"])
+
+    return run
+
+
+def _receive(keep: list[str], features: int, size: int):
+    """A group function: a block's rows by rank, beside the values that were sent to them."""
+    def run(own: pa.Table, sent: pa.Table) -> pa.Table:
+        own = own.take(pa.array(np.argsort(own.column("rank").to_numpy())))
+
+        def flat(name: str) -> pa.Array:
+            return pa.concat_arrays([c.flatten() for c in sent.column(name).chunks])
+
+        # Every place is met once, so the values only need sorting by feature and rank.
+        order = np.argsort(flat("j").to_numpy().astype(np.int64) * size + flat("at").to_numpy())
+        value = flat("value").take(pa.array(order))
+        return pa.table([own.column(c) for c in keep]
+                        + [value.slice(j * own.num_rows, own.num_rows) for j in range(features)],
+                        names=[*keep, *[f"_d{j}" for j in range(1, features + 1)]])
+
+    return run
 
 
 def permutation_importance(df: DataFrame, key: str, slots: list[str], weights: list[float],

@@ -8,11 +8,17 @@ sorted on its own task.
 from __future__ import annotations
 
 import math
+import sys
 
+import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import materialize
 
+# Worker functions travel with their code, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def running_sums(df: DataFrame, cell: Column, order: list[Column], sums: dict[str, str],
                  by: tuple[str, ...] = (), inclusive: bool = True) -> DataFrame:
@@ -100,6 +106,35 @@ def permuted(rank: Column, n: int, key: Column | int, seed: int, rounds: int = 4
         x < n, x).otherwise(sent(x)))
 
 
+def permuted_numbers(rank: np.ndarray, n: int, key: int, seed: int, rounds: int = 4) -> np.ndarray:
+    """``permuted`` over an array of ranks inside a task; numbers beyond n - 1 are sent on to the end."""
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    start = key * _KEY + seed * _SEED
+
+    def rest(x: np.ndarray, m: int) -> np.ndarray:
+        # Division by one number is several times faster than the remainder.
+        return x - x // m * m
+
+    def word(k: int, v: np.ndarray) -> np.ndarray:
+        return rest(rest(v * _A + (start + k * _ROUND), _P) * _B + 12_345, _Q)
+
+    def sent(x: np.ndarray) -> np.ndarray:
+        row = x // b
+        column = x - row * b
+        for k in range(0, 2 * rounds, 2):
+            row = rest(row + word(k, column), a)
+            column = rest(column + word(k + 1, row), b)
+        return row * b + column
+
+    out = sent(rank.astype(np.int64))
+    beyond = np.flatnonzero(out >= n)
+    while len(beyond):
+        out[beyond] = sent(out[beyond])
+        beyond = beyond[out[beyond] >= n]
+    return out
+
+
 def global_rank(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
     """0-based rank over unique ``order`` columns (the last one breaks ties).
 

@@ -272,6 +272,27 @@ def test_shuffles_keep_nulls_and_take_empty_tables(spark):
     assert explain.shuffled(spark.createDataFrame([], schema), "id", ["z01", "z02"], ["y"]).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 97, 5_000])
+def test_permutations_in_tasks_equal_those_of_columns(n):
+    for j in (1, 19):
+        assert ranking.permuted_numbers(np.arange(n), n, j, 7).tolist() == sent_to(n, j, 7)
+
+
+def test_shuffled_values_travel_packed(spark, monkeypatch):
+    """No record per value, no map per row, and blocks and batches of any size give the same rows."""
+    schema = "id bigint, z01 double, z02 double, own string"
+    df = spark.createDataFrame([(i, None if i % 3 else float(i), -i * 1.0, f"x{i}") for i in range(300)], schema)
+    found = []
+    for block, sent in ((1 << 16, 1 << 15), (7, 10), (1, 1)):
+        monkeypatch.setattr(explain, "BLOCK", block)
+        monkeypatch.setattr(explain, "SENT", sent)
+        got = explain.shuffled(df, "id", ["z01", "z02"], ["own"])
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and "collect_list" not in plan
+        found.append(sorted(map(tuple, got.collect()), key=str))
+    assert found[0] == found[1] == found[2] and len(found[0]) == 300
+
+
 def test_ablation_of_an_unused_branch_changes_nothing(spark):
     df = scored(spark, [0.1, 0.6, 0.8, 0.9], [0, 1, 0, 1]).withColumn("z", F.col("prob") * 4 - 2)
     rows = {r.condition: tuple(r)[1:] for r in explain.ablate(
