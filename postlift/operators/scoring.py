@@ -142,13 +142,38 @@ def fuse_mlp(df: DataFrame, weights: dict[str, np.ndarray], key: str = "id") ->
     return df.select(key, "text", "video", "tabular").mapInArrow(run, schema)
 
 
+def branch_share(df: DataFrame, weights: dict[str, np.ndarray], keep: list[str], out: str) -> DataFrame:
+    """``keep`` and what bias, text and video add to the fused layer, an array as wide as that layer."""
+    shared = df.sparkSession.sparkContext.broadcast({k: weights[k] for k in ("fuse", "fuse_b", "tab_out")})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = shared.value
+        split = len(w["fuse"]) - w["tab_out"].shape[1]
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            text, video = (np.asarray(batch.column(c).flatten(), dtype=float).reshape(batch.num_rows, -1)
+                           for c in ("text", "video"))
+            share = (w["fuse_b"] + text @ w["fuse"][:text.shape[1]]
+                     + video @ w["fuse"][split - video.shape[1]:split])
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * share.shape[1])
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(k) for k in keep], pa.ListArray.from_arrays(ends, pa.array(share.ravel()))],
+                names=[*keep, out])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + f", {out} array<double>"
+    return df.select(*keep, "text", "video").mapInArrow(run, schema)
+
+
 def variant_logits(df: DataFrame, weights: dict[str, np.ndarray], keep: list[str],
                    variants: Callable[[dict[str, np.ndarray]], list[tuple]],
-                   columns: list[str]) -> DataFrame:
+                   columns: list[str], share: str | None = None) -> DataFrame:
     """``keep`` and an array of class logits, one per variant of a row's branches.
 
     ``variants`` gets the named array ``columns`` as matrices and returns (text, video,
     tabular branch input) triples; None leaves a branch out (its fused part is zero).
+    ``share`` may name a ``branch_share`` that stands in for the bias and the branches left out.
     All variants are scored in one pass over the rows.
     """
     shared = df.sparkSession.sparkContext.broadcast(weights)
@@ -160,12 +185,12 @@ def variant_logits(df: DataFrame, weights: dict[str, np.ndarray], keep: list[str
             if batch.num_rows == 0:
                 continue
             inputs = {}
-            for name in columns:
+            for name in (*columns, *([share] if share else [])):
                 column = batch.column(name)
                 inputs[name] = np.asarray(column.flatten(), dtype=float).reshape(len(column), -1)
             logits = []
             for text, video, tabular in variants(inputs):
-                fused = np.tile(w["fuse_b"], (batch.num_rows, 1))
+                fused = inputs[share] if share else np.tile(w["fuse_b"], (batch.num_rows, 1))
                 if text is not None:
                     fused = fused + text @ w["fuse"][:text.shape[1]]
                 if video is not None:
@@ -181,7 +206,8 @@ def variant_logits(df: DataFrame, weights: dict[str, np.ndarray], keep: list[str
 
     kinds = dict(df.dtypes)
     schema = ", ".join(f"{k} {kinds[k]}" for k in keep) + ", logits array<double>"
-    return df.select(*dict.fromkeys([*keep, *columns])).mapInArrow(run, schema)
+    read = dict.fromkeys([*keep, *columns, *([share] if share else [])])
+    return df.select(*read).mapInArrow(run, schema)
 
 
 def mlp_weights(text_dim: int, video_dim: int, tab_dim: int, d_model: int, seed: int

@@ -293,6 +293,25 @@ def test_shuffled_values_travel_packed(spark, monkeypatch):
     assert found[0] == found[1] == found[2] and len(found[0]) == 300
 
 
+def test_vectors_do_not_travel_with_shuffled_values(spark, monkeypatch):
+    """What text and video add is taken first; the logits are those of the whole network."""
+    w = scoring.mlp_weights(6, 5, 2, 4, 3)
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(size=2)), i % 2, rng.normal(size=6).tolist(), rng.normal(size=5).tolist())
+            for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, z01 double, z02 double, y int, text array<double>, video array<double>")
+    tabular = df.withColumn("tabular", F.array("z01", "z02"))
+    whole = scoring.variant_logits(tabular, w, ["id"], lambda v: [(v["text"], v["video"], v["tabular"])],
+                                   ["text", "video", "tabular"]).collect()
+    shares = scoring.branch_share(tabular, w, ["id", "tabular"], "share")
+    parts = scoring.variant_logits(shares, w, ["id"], lambda v: [(None, None, v["tabular"])], ["tabular"], "share")
+    assert {r.id: r.logits for r in parts.collect()} == {r.id: pytest.approx(r.logits, abs=1e-12) for r in whole}
+    carried, real = [], explain.shuffled
+    monkeypatch.setattr(explain, "shuffled", lambda d, k, s, c, seed: carried.extend(c) or real(d, k, s, c, seed))
+    found = explain.network_importance(df, "id", ["z01", "z02"], w, "y", names=("a", "b")).collect()
+    assert carried == ["share", "y"] and len(found) == 2
+
+
 def test_ablation_of_an_unused_branch_changes_nothing(spark):
     df = scored(spark, [0.1, 0.6, 0.8, 0.9], [0, 1, 0, 1]).withColumn("z", F.col("prob") * 4 - 2)
     rows = {r.condition: tuple(r)[1:] for r in explain.ablate(
