@@ -73,6 +73,41 @@ def test_jobs_do_not_grow_with_fits(spark):
     assert many / more == pytest.approx(one / steps, rel=0.5) and more <= steps + 3
 
 
+def test_a_sampled_start_saves_steps_and_changes_no_fit(spark, monkeypatch):
+    months, y, x = data(4_000, 5)
+    rows = materialize(rows_of(spark, months, y, x), "rows")
+    fits = [newton.Fit(i, 0, i, 11, (0, 1, 2), i * 0.1) for i in range(3)]
+    plain = newton.fit_logistic(rows, fits)
+    monkeypatch.setattr(newton, "START_ROWS", 1_000)
+    begun = newton.fit_logistic(rows, fits)
+    for a, b in zip(plain, begun):
+        assert a.converged and b.converged and a.n == b.n and b.steps < a.steps
+        assert np.allclose(a.weights, b.weights, atol=1e-8)
+
+
+def test_a_start_worse_than_none_is_dropped(spark):
+    months, y, x = data(500, 5)
+    rows = materialize(rows_of(spark, months, y, x), "rows")
+    fit = newton.Fit(0, 0, 0, 11, (0, 1))
+    best = newton.fit_logistic(rows, [fit])[0]
+    far = newton.Fitted(fit, np.array([0.0, 500.0, -500.0]))
+    found = newton._newton(rows, {0: far}, newton.STEPS, newton.SLOPE)[0]
+    assert found.converged and np.allclose(found.weights, best.weights, atol=1e-8)
+
+
+def test_tasks_that_make_matrices_follow_the_panel(spark, monkeypatch):
+    """However large the panel, a task makes a bounded part of its matrices and no sort takes them all."""
+    stored = []
+    monkeypatch.setattr(experiment, "materialize", lambda df, name: stored.append(df) or materialize(df, name))
+    parts = []
+    for most in (1 << 18, 50):
+        monkeypatch.setattr(experiment, "TASK_ROWS", most)
+        experiment.run_experiment(panel(spark)[1], "user", "month", "label", ["x"], SPECS, {"m0": experiment.MEAN})
+        parts.append(stored[-1].rdd.getNumPartitions())
+        assert "rangepartitioning" not in stored[-1]._jdf.queryExecution().executedPlan().toString().lower()
+    assert parts[1] > 2 * parts[0]
+
+
 def panel(spark, entities=30, months=40, seed=1):
     r = np.random.default_rng(seed)
     pdf = pd.DataFrame([(e, 24_000 + m, float(r.integers(0, 9)), int(r.random() < 0.1 + 0.4 * (e % 3 == 0)))
