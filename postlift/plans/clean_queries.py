@@ -681,11 +681,17 @@ def compose_posts(spark, sf):
         compose.detected_labels(fx.detections(spark, sf))))
 
 
+#: Rows of an arriving file.
+_ARRIVING = 1 << 18
+
+
 @query("q_stream_compose", _COMPOSE_SQL)
 def stream_compose(spark, sf):
     from ..streaming.incremental import compose_stream, read_shards
     stored = materialize(fx.posts(spark, sf), "posts")
-    arrived = materialize(fx.raw_posts(spark, sf, stored).repartition(4), "arrived")
+    # Files of a bounded size, as many as keep all cores busy; either trigger takes one half.
+    half = max(2, spark.sparkContext.defaultParallelism, -(-stored.count() // (2 * _ARRIVING)))
+    arrived = materialize(fx.raw_posts(spark, sf, stored).repartition(2 * half), "arrived")
     # Static sides are stored once, else every micro-batch would derive them again.
     gate = materialize(compose.asset_gate(fx.manifest(spark, sf)), "gate")
     users = materialize(fx.user_meta(stored), "users")
@@ -694,7 +700,7 @@ def stream_compose(spark, sf):
     sink = scratch_path(spark, "composed")
     compose_stream(spark, arrived.inputFiles()[0].rsplit("/", 1)[0], arrived.schema,
                    lambda batch: compose.compose(batch, gate, users, details, objects),
-                   sink, scratch_path(spark, "composed-state"), files_per_trigger=2)
+                   sink, scratch_path(spark, "composed-state"), files_per_trigger=half)
     return _shown(read_shards(spark, sink))
 
 

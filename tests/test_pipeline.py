@@ -415,3 +415,22 @@ def test_cluster_without_shared_folder_is_refused():
         scratch_root(Session())
     Session.conf.folder = "hdfs:///shared/"
     assert scratch_root(Session()) == "hdfs:///shared"
+
+
+def test_arriving_files_follow_the_rows(spark, monkeypatch):
+    """Two triggers of one half of the files each, however many rows arrive."""
+    from postlift.plans import clean_queries
+    from postlift.streaming import incremental
+
+    class Seen(Exception):
+        pass
+
+    def stop(session, source, schema, transform, sink, state, files_per_trigger):
+        raise Seen(len(session.read.schema(schema).parquet(source).inputFiles()), files_per_trigger)
+
+    monkeypatch.setattr(incremental, "compose_stream", stop)
+    for most, half in ((1 << 18, 4), (100, 8)):
+        monkeypatch.setattr(clean_queries, "_ARRIVING", most)
+        with pytest.raises(Seen) as found:
+            clean_queries.stream_compose(spark, "/root/testdata/sf0.001")
+        assert found.value.args == (2 * half, half)
