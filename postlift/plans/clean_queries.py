@@ -747,15 +747,17 @@ def build_labelled(spark, sf):
     """
     stored = materialize(fx.posts(spark, sf), "posts")
     i = F.col("id")
-    raw = fx.raw_posts(spark, sf, stored).drop("create_time").join(
-        stored.select("id", clean.epoch_seconds(F.col("create_time")).alias("_made")), "id")
-    base = raw.withColumn("create_time", F.when(i % 97 != 0, F.col("_made")).otherwise(0)).drop("_made")
+    base = fx.raw_posts(spark, sf, stored, F.when(
+        i % 97 != 0, clean.epoch_seconds(F.col("create_time"))).otherwise(0))
     composed = compose.compose(base, compose.asset_gate(fx.manifest(spark, sf)), fx.user_meta(stored),
                                fx.video_meta(stored), compose.detected_labels(fx.detections(spark, sf)))
-    kept = compose.required_gate(composed)
+    # Read twice, by the media and by the rows that they are attached to.
+    kept = materialize(compose.required_gate(composed), "kept")
     pages = fx.table(spark, sf, "pages").select(
         F.col("page_id").alias("_page"), F.encode("html", "UTF-8").alias("video_bytes"))
-    media = kept.select("id", (i % fx.count_of(spark, sf, "pages")).alias("_page")).join(pages, "_page")
+    # Dealt by id before the bytes are there: they need not move again to be attached.
+    media = kept.select("id", (i % fx.count_of(spark, sf, "pages")).alias("_page")).repartition("id").join(
+        pages, "_page")
     path = scratch_path(spark, "dataset")
     sinks.write_shards(compose.attach_media(kept, media), path)
     dataset = published.read_published(spark, path)

@@ -182,3 +182,9 @@ def test_day_first(spark):
     assert str(one(spark, read, "1/5/2024")) == "2024-05-01 00:00:00"
     assert str(one(spark, read, "1/25/2024")) == "2024-01-25 00:00:00"
     assert str(one(spark, read, "2024-01-05")) == "2024-01-05 00:00:00"
+
+
+def test_missing_times_are_not_parsed(spark):
+    plan = spark.range(1).select(clean.parse_any_time(F.lit(None).cast("string")).alias("t"))
+    assert plan.first()[0] is None
+    assert "regexp" not in plan._jdf.queryExecution().optimizedPlan().toString().lower()

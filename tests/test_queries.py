@@ -84,3 +84,15 @@ def test_entry_names_faults_of_the_optional_package(tmp_path):
     (tmp_path / "postlift" / "llm" / "__init__.py").write_text("")
     (tmp_path / "postlift" / "llm" / "queries.py").write_text("import no_such_module")
     assert "no_such_module" in run().stderr
+
+
+def test_labelled_rows_are_composed_once(spark, monkeypatch):
+    """The media and the rows that they are attached to read stored rows, which no join makes again."""
+    from postlift.plans import clean_queries
+    written, write = [], clean_queries.sinks.write_shards
+    monkeypatch.setattr(clean_queries.sinks, "write_shards",
+                        lambda df, path: (written.append(df), write(df, path)))
+    catalog.QUERIES["q_build_labelled"](spark, SF)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and plan.count("Join") == 2
+    assert "REPARTITION_BY_COL" in plan  # by id, ahead of the bytes
