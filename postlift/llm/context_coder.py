@@ -10,7 +10,8 @@ An id that does not come as the candidate is coded by its order-0 frequency amon
 ids so far, and one without a frequency yet by its bits.
 
 Blocks advance side by side, one id of each at a time, so every step is a handful of array
-operations over many blocks; all arithmetic is on integers, so readers repeat it exactly.
+operations over many blocks; all arithmetic is on integers, which wrap where they go over,
+so readers repeat it exactly.  Words have 32 bits: at most one leaves or enters at a time.
 """
 
 from __future__ import annotations
@@ -27,10 +28,9 @@ _T_BITS = 14  # total of the order-0 frequencies
 _T, _ESCAPE = 1 << _T_BITS, 48
 _H1, _H2 = 11, 13  # bits of the order-1 and order-2 context tables
 _CONTEXTS = (1 << _H1) + (1 << _H2)
-_TOP, _BOT = np.uint64(1 << 48), np.uint64(1 << 40)
-_LOWEST = np.uint64((1 << 40) - 1)
-_ZERO, _ONE, _STEP, _TWELVE = np.uint64(0), np.uint64(1), np.uint64(16), np.uint64(12)
-_T_SHIFT, _T_WHOLE = np.uint64(_T_BITS), np.uint64(_T)
+_LAST, _PAIR, _BEFORE = np.uint32(2_654_435_761), np.uint32(2_246_822_519), np.uint32(3_266_489_917)
+_LEAST = np.uint64(1 << 32)  # a shorter span takes in the next word
+_WORD, _TWELVE, _T_SHIFT = np.uint64(32), np.uint64(12), np.uint64(_T_BITS)
 _REBUILDS = frozenset([32, 64, 128, 256, 512, 1024, 2048, 3072, 4096, 6144, *range(8192, 1 << 20, 4096)])
 _LIMIT = 1 << 18  # bound of a weight, which has 16 binary places
 
@@ -38,13 +38,13 @@ _LIMIT = 1 << 18  # bound of a weight, which has 16 binary places
 def _squash_table() -> np.ndarray:
     """Probability of 4,096, within 32 … 4064, for every log-odds of -2048 … 2047 (256 to one nat)."""
     return np.array([min(4064, max(32, round(4096 / (1 + math.exp(-x / 256)))))
-                     for x in range(-2048, 2048)], np.int64)
+                     for x in range(-2048, 2048)], np.int32)
 
 
 def _stretch_table() -> np.ndarray:
     """Log-odds of every probability of 4,096."""
     return np.array([min(2047, max(-2047, round(256 * math.log((p + 0.5) / (4095.5 - p)))))
-                     for p in range(4096)], np.int64)
+                     for p in range(4096)], np.int32)
 
 
 _SQUASH, _STRETCH = _squash_table(), _stretch_table()
@@ -63,16 +63,18 @@ class _Lanes:
         # A context's entry: the id that came last, and in four bits how often in a row.
         self.follows = np.zeros(lanes * _CONTEXTS, np.uint32)
         self.odds = np.full(lanes * 64, 1 << 15, np.int32)
-        self.weight = np.full((3, lanes), 26_000, np.int64)
+        self.weight = np.full((3, lanes), 26_000, np.int32)
         self.symbol = np.zeros(lanes << id_bits, np.uint16)
         self.id_of = np.zeros(lanes * self.width, np.uint32)
-        self.count = np.zeros(lanes * self.width, np.uint16)
+        # Symbols met since the ranges were made, step by step, and how often they came before that.
+        self.met: list[np.ndarray] = []
+        self.count = np.zeros(lanes * self.width, np.int32)
         # Of a symbol: where its range begins, and in the lower 16 bits how long it is; symbol 0 is the escape.
         self.ranges = np.zeros(lanes * self.width, np.uint32)
         self.ranges[self.at_symbol] = _T
         self.symbols = np.zeros(lanes, np.int64)
-        self.low, self.span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
+        self.span = np.full(lanes, 2**64 - 1, np.uint64)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.recent = np.zeros(lanes, np.int64)
         self.pos = np.zeros(lanes, np.int64)
         self.place = np.zeros((2, lanes), np.int64)
@@ -81,40 +83,45 @@ class _Lanes:
     def predict(self, m: int):
         """Candidates, their probabilities, and what the update needs."""
         last, place, record = self.last[:m], self.place[:, :m], self.record[:, :m]
-        place[0] = (last * 40_503 >> 4) & ((1 << _H1) - 1)
-        place[1] = (last * 44_027 + self.before[:m] * 60_493 >> 3) & ((1 << _H2) - 1)
-        place += self.at_context[:, :m]
+        np.add(self.at_context[0, :m], last * _LAST >> np.uint32(32 - _H1), out=place[0])
+        np.add(self.at_context[1, :m], last * _PAIR + self.before[:m] >> np.uint32(32 - _H2), out=place[1])
         entry = self.follows.take(place)
-        held, guess = entry & 15, entry >> 4
+        held, guess = entry & np.uint32(15), entry >> np.uint32(4)
         candidate = np.where(held[1] > 0, guess[1], guess[0])
-        record[:2] = held
+        np.add(self.at_odds[:2, :m], held, out=record[:2])
         record[0] += (guess[0] == candidate) * 16
-        record[2] = self.recent[:m]
-        record += self.at_odds[:, :m]
+        np.add(self.at_odds[2, :m], self.recent[:m], out=record[2])
         odds = self.odds.take(record)
         inputs = _STRETCH.take(odds >> 4)
-        mixed = np.einsum("ij,ij->j", self.weight[:, :m], inputs) >> 16
-        mixed = np.maximum(np.minimum(mixed, 2047), -2048)
-        return candidate, _SQUASH.take(mixed + 2048), (entry, held, guess, odds, inputs)
+        terms = self.weight[:, :m] * inputs
+        mixed = terms[0] + terms[1]
+        mixed += terms[2]
+        mixed >>= 16
+        np.minimum(mixed, 2047, out=mixed)
+        np.maximum(mixed, -2048, out=mixed)
+        mixed += 2048
+        return candidate, _SQUASH.take(mixed), (entry, held, guess, odds, inputs)
 
     def learn(self, m: int, ids: np.ndarray, hit: np.ndarray, p: np.ndarray, memo) -> None:
         entry, held, guess, odds, inputs = memo
-        inputs *= (hit * 4096 - p) * 10
+        came = hit.astype(np.int32)
+        inputs *= (came * 4096 - p) * 10
         inputs += 32_768
         inputs >>= 16
         self.weight[:, :m] += inputs
-        odds += ((hit * np.int32(65_535)) - odds) >> 5
+        odds += (came * 65_535 - odds) >> 5
         self.odds[self.record[:, :m]] = odds
         recent = self.recent[:m]
         recent <<= 1
         recent &= 7
-        recent |= hit
+        recent |= came
         # A right guess adds one, a wrong one halves; at nought the new id moves in.
         same = guess == ids
-        kept = np.where(same, np.minimum(held + 1, 15), held >> 1)
+        kept = np.where(same, np.minimum(held + np.uint32(1), np.uint32(15)), held >> np.uint32(1))
         kept += entry - held
-        self.follows[self.place[:, :m]] = np.where(same | (held > 1), kept, (ids << 4) + 1)
-        self.before[:m] = self.last[:m]
+        np.copyto(kept, (ids << np.uint32(4)) + np.uint32(1), where=~(same | (held > 1)))
+        self.follows[self.place[:, :m]] = kept
+        np.multiply(self.last[:m], _BEFORE, out=self.before[:m])
         self.last[:m] = ids
 
     def meet(self, lanes: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -123,10 +130,10 @@ class _Lanes:
         symbol = self.symbol.take(at).astype(np.int64)
         fresh = np.flatnonzero(symbol == 0)
         new = lanes[fresh]
-        self.symbols[new] += 1
-        symbol[fresh] = self.symbols[new]
-        self.symbol[at[fresh]] = symbol[fresh]
-        self.id_of[self.at_symbol[new] + symbol[fresh]] = ids[fresh]
+        symbol[fresh] = given = self.symbols[new] + 1
+        self.symbols[new] = given
+        self.symbol[at[fresh]] = given
+        self.id_of[self.at_symbol[new] + given] = ids[fresh]
         return self.at_symbol[lanes] + symbol
 
     def rebuild(self, m: int) -> tuple[np.ndarray, int]:
@@ -136,8 +143,11 @@ class _Lanes:
         """
         np.minimum(self.weight, _LIMIT, out=self.weight)
         np.maximum(self.weight, -_LIMIT, out=self.weight)
+        np.add.at(self.count, np.concatenate(self.met or [self.at_symbol]), np.int32(1))
+        self.count[self.at_symbol] = 0
+        self.met = []
         width = int(self.symbols[:m].max()) + 1
-        count = self.count.reshape(-1, self.width)[:m, :width].astype(np.int32)
+        count = self.count.reshape(-1, self.width)[:m, :width]
         met = count > 0
         kinds, total = met.sum(1, dtype=np.int32)[:, None], np.maximum(count.sum(1, dtype=np.int32), 1)[:, None]
         share = ((_T - _ESCAPE - kinds) << 14) // total
@@ -147,140 +157,151 @@ class _Lanes:
         self.ranges.reshape(-1, self.width)[:m, :width] = (first << 16) | freq
         return freq, width
 
-    def narrow(self, m: int, hit: np.ndarray, ranges: np.ndarray) -> None:
-        """Take the symbol's range, the whole one where the candidate came."""
-        size = np.where(hit, _T_WHOLE, ranges & 0xFFFF)
-        start = np.where(hit, _ZERO, ranges >> 16)
-        share = self.span[:m] >> _T_SHIFT
-        self.low[:m] += share * start
-        np.multiply(share, size, out=self.span[:m])
-
-    def settle(self, lanes: np.ndarray | None, m: int) -> None:
-        """Move 16 bits on wherever the upper ones are settled or the span has run out."""
-        whole = lanes is None
-        low, span = (self.low[:m], self.span[:m]) if whole else (self.low[lanes], self.span[lanes])
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            go = np.flatnonzero(settled | (span < _BOT))
-            if not len(go):
-                return
-            lanes = go if whole else lanes[go]
-            whole = False
-            low, span, settled = low[go], span[go], settled[go]
-            if not settled.all():
-                span = np.where(settled, span, (~low + _ONE) & _LOWEST)
-            self.shift(lanes, low)
-            low <<= _STEP
-            span <<= _STEP
-            self.low[lanes], self.span[lanes] = low, span
+    def remember(self, m: int, at: np.ndarray, hit: np.ndarray) -> None:
+        """Symbols to be counted for the next ranges; a foretold id counts as the escape, which has no count."""
+        np.copyto(at, self.at_symbol[:m], where=hit)
+        self.met.append(at)
 
 
 class _Writer(_Lanes):
+    """The words so far and ``low`` behind them are one number, the lower end of the span."""
+
     def __init__(self, lanes: int, id_bits: int, longest: int):
         super().__init__(lanes, id_bits, longest)
-        self.room = 3 * longest + 8
-        self.words = np.empty(lanes * self.room, np.uint16)
+        self.low = np.zeros(lanes, np.uint64)
+        self.room = 2 * longest + 4
+        self.words = np.empty(lanes * self.room, np.uint32)
         self.pos = np.arange(lanes) * self.room
 
-    def shift(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        pos = self.pos[lanes]
-        self.words[pos] = low >> np.uint64(48)
+    def carry(self, lanes: np.ndarray) -> None:
+        """Add one to the words of lanes whose ``low`` went over."""
+        at = self.pos[lanes] - 1
+        while len(at):
+            raised = self.words[at] + np.uint32(1)
+            self.words[at] = raised
+            at = at[raised == 0] - 1
+
+    def settle(self, lanes: np.ndarray) -> None:
+        """Move a word on where the span has become short."""
+        low, pos = self.low[lanes], self.pos[lanes]
+        self.words[pos] = low >> _WORD
         self.pos[lanes] = pos + 1
+        self.low[lanes] = low << _WORD
+        self.span[lanes] <<= _WORD
 
-    def run(self, ids: np.ndarray, offs: np.ndarray) -> list[bytes]:
-        sizes = np.diff(offs)
+    def run(self, steps: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """``steps`` holds a row of ids per step, one of each lane."""
         for t in range(int(sizes.max(initial=0))):
             m = int(np.searchsorted(-sizes, -t, "left"))
             if t in _REBUILDS:
                 self.rebuild(m)
-            now = ids[offs[:m] + t]
+            now = steps[t, :m]
             candidate, p, memo = self.predict(m)
             hit = candidate == now
             low, span = self.low[:m], self.span[:m]
-            bound = (span >> _TWELVE) * p.astype(np.uint64)
-            low += np.where(hit, _ZERO, bound)
-            np.subtract(span, bound, out=span, where=~hit)
-            np.copyto(span, bound, where=hit)
-            at = self.at_symbol[:m] + self.symbol.take(self.at_id[:m] + now)
+            symbol = self.symbol.take(self.at_id[:m] + now)
+            at = self.at_symbol[:m] + symbol
             ranges = self.ranges.take(at)
-            lost = np.flatnonzero(((ranges & 0xFFFF == 0) | (at == self.at_symbol[:m])) & ~hit)
+            lost = np.flatnonzero(((symbol == 0) | (ranges & np.uint32(0xFFFF) == 0)) & ~hit)
             if len(lost):
                 at[lost] = self.at_symbol[lost]
                 ranges[lost] = self.ranges[at[lost]]
-            self.narrow(m, hit, ranges)
-            self.settle(None, m)
+            # The candidate has the span's first part; the symbols share the rest.
+            bound = (span >> _TWELVE) * p.astype(np.uint64)
+            share = (span - bound) >> _T_SHIFT
+            ahead = share * (ranges >> np.uint32(16)) + bound
+            np.copyto(ahead, np.uint64(0), where=hit)
+            np.multiply(share, ranges & np.uint32(0xFFFF), out=span)
+            np.copyto(span, bound, where=hit)
+            low += ahead
+            over = low < ahead
+            if over.any():
+                self.carry(np.flatnonzero(over))
+            self.settle(np.flatnonzero(span < _LEAST))
             if len(lost):
                 own = now[lost]
                 share = self.span[lost] >> self.id_bits
-                self.low[lost] += share * own.astype(np.uint64)
+                ahead = share * own
+                self.low[lost] += ahead
                 self.span[lost] = share
-                self.settle(lost, m)
+                self.carry(lost[self.low[lost] < ahead])
+                self.settle(lost[share < _LEAST])
                 at[lost] = self.meet(lost, own)
-            self.count[at] += ~hit
+            self.remember(m, at, hit)
             self.learn(m, now, hit, p, memo)
         begin = np.arange(len(sizes)) * self.room
-        for shift in (48, 32, 16, 0):
-            self.words[self.pos] = (self.low >> np.uint64(shift)) & np.uint64(0xFFFF)
+        for shift in (_WORD, np.uint64(0)):
+            self.words[self.pos] = (self.low >> shift) & np.uint64(0xFFFFFFFF)
             self.pos += 1
-        words = self.words.astype("<u2", copy=False)
+        words = self.words.astype("<u4", copy=False)
         return [words[a:b].tobytes() for a, b in zip(begin.tolist(), self.pos.tolist())]
 
 
 class _Reader(_Lanes):
+    """``code`` is how far the words lie above the span's lower end."""
+
     def __init__(self, lanes: int, id_bits: int, longest: int, packed: list[bytes]):
         super().__init__(lanes, id_bits, longest)
-        # Four words beyond the end, so that a damaged block is read to its end and found out.
+        # Two words beyond the end, so that a damaged block is read to its end and found out.
         spare = b"\0" * 8
-        lengths = np.array([len(x) // 2 + 4 for x in packed], np.int64)
-        self.words = np.frombuffer(b"".join(x[:len(x) & ~1] + spare for x in packed), "<u2")
+        lengths = np.array([len(x) // 4 + 2 for x in packed], np.int64)
+        self.words = np.frombuffer(b"".join(x[:len(x) & ~3] + spare for x in packed), "<u4")
         self.pos = np.cumsum(lengths) - lengths
         self.end = self.pos + lengths - 1
         self.code = np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self.shift(np.arange(lanes), None)
+        for _ in range(2):
+            self.shift(np.arange(lanes))
         self.slots = np.zeros(lanes << _T_BITS, np.uint16)
 
-    def shift(self, lanes: np.ndarray, low) -> None:
+    def shift(self, lanes: np.ndarray) -> None:
         pos = self.pos[lanes]
-        self.code[lanes] = (self.code[lanes] << _STEP) | self.words.take(pos)
+        self.code[lanes] = (self.code[lanes] << _WORD) | self.words.take(pos)
         self.pos[lanes] = np.minimum(pos + 1, self.end[lanes])
 
+    def settle(self, lanes: np.ndarray) -> None:
+        """Take in a word where the span has become short."""
+        self.shift(lanes)
+        self.span[lanes] <<= _WORD
+
     def run(self, sizes: np.ndarray) -> np.ndarray:
-        offs = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.zeros(int(offs[-1]), np.int64)
-        for t in range(int(sizes.max(initial=0))):
+        """A row of ids per step, one of each lane."""
+        steps = np.zeros((int(sizes.max(initial=0)), len(sizes)), np.uint32)
+        for t in range(len(steps)):
             m = int(np.searchsorted(-sizes, -t, "left"))
             if t in _REBUILDS:
                 freq, width = self.rebuild(m)
                 names = np.broadcast_to(np.arange(width, dtype=np.uint16), freq.shape)
                 self.slots = np.repeat(names.ravel(), freq.ravel())
             candidate, p, memo = self.predict(m)
-            low, span = self.low[:m], self.span[:m]
+            code, span = self.code[:m], self.span[:m]
             bound = (span >> _TWELVE) * p.astype(np.uint64)
-            hit = (self.code[:m] - low) < bound
-            low += np.where(hit, _ZERO, bound)
-            np.subtract(span, bound, out=span, where=~hit)
-            np.copyto(span, bound, where=hit)
-            slot = ((self.code[:m] - low) // np.maximum(span >> _T_SHIFT, _ONE)).astype(np.int64)
-            symbol = self.slots.take(self.at_slot[:m] + np.minimum(slot, _T - 1))
+            hit = code < bound
+            rest = code - bound
+            share = (span - bound) >> _T_SHIFT
+            # Where the candidate came, the slot says nothing.
+            slot = np.minimum(rest // share, np.uint64(_T - 1)).astype(np.int64)
+            symbol = self.slots.take(self.at_slot[:m] + slot)
             at = self.at_symbol[:m] + symbol
-            self.narrow(m, hit, self.ranges.take(at))
-            self.settle(None, m)
-            now = np.where(hit, candidate, self.id_of.take(at)).astype(np.int64)
+            ranges = self.ranges.take(at)
+            rest -= share * (ranges >> np.uint32(16))
+            np.copyto(code, rest, where=~hit)
+            np.multiply(share, ranges & np.uint32(0xFFFF), out=span)
+            np.copyto(span, bound, where=hit)
+            self.settle(np.flatnonzero(span < _LEAST))
+            now = np.where(hit, candidate, self.id_of.take(at))
             lost = np.flatnonzero((symbol == 0) & ~hit)
             if len(lost):
-                share = np.maximum(self.span[lost] >> self.id_bits, _ONE)
-                own = np.minimum((self.code[lost] - self.low[lost]) // share,
-                                 np.uint64((1 << int(self.id_bits)) - 1))
-                self.low[lost] += share * own
+                share = self.span[lost] >> self.id_bits
+                own = np.minimum(self.code[lost] // share, np.uint64((1 << int(self.id_bits)) - 1))
+                self.code[lost] -= share * own
                 self.span[lost] = share
-                self.settle(lost, m)
-                now[lost] = own.astype(np.int64)
+                self.settle(lost[share < _LEAST])
+                now[lost] = own
                 at[lost] = self.meet(lost, now[lost])
-            self.count[at] += ~hit
+            self.remember(m, at, hit)
             self.learn(m, now, hit, p, memo)
-            ids[offs[:m] + t] = now
-        return ids
+            steps[t, :m] = now
+        return steps
 
 
 def _grouped(sizes: np.ndarray, id_bits: int):
@@ -306,10 +327,11 @@ def encode_blocks(ids: np.ndarray, sizes: np.ndarray, id_bits: int = 16) -> list
     out: list[bytes] = [b""] * len(sizes)
     for group in _grouped(sizes, id_bits):
         own = sizes[group]
-        flat = np.concatenate([ids[offs[g]:offs[g + 1]] for g in group]).astype(np.int64)
-        writer = _Writer(len(group), id_bits, int(own.max()))
-        words = writer.run(flat, np.concatenate([[0], np.cumsum(own)]))
-        for g, w in zip(group.tolist(), words):
+        steps = np.zeros((int(own.max()), len(group)), np.uint32)
+        for k, g in enumerate(group.tolist()):
+            steps[:own[k], k] = ids[offs[g]:offs[g + 1]]
+        writer = _Writer(len(group), id_bits, len(steps))
+        for g, w in zip(group.tolist(), writer.run(steps, own)):
             out[g] = w
     return out
 
@@ -320,10 +342,9 @@ def decode_blocks(packed: list[bytes], sizes: np.ndarray, crcs: list[int], id_bi
     out = np.zeros(int(offs[-1]), np.int64)
     for group in _grouped(sizes, id_bits):
         own = sizes[group]
-        ids = _Reader(len(group), id_bits, int(own.max()), [packed[g] for g in group]).run(own)
-        bounds = np.concatenate([[0], np.cumsum(own)])
+        steps = _Reader(len(group), id_bits, int(own.max()), [packed[g] for g in group]).run(own)
         for k, g in enumerate(group.tolist()):
-            block = ids[bounds[k]:bounds[k + 1]]
+            block = steps[:own[k], k]
             if checksum(block) != crcs[g]:
                 raise ValueError("a block of ids does not have its checksum")
             out[offs[g]:offs[g + 1]] = block

@@ -4,7 +4,7 @@ Documents lie in ascending order of their ids over the files, and in every file
 stream of token ids with an end id after each.  The stream is cut into blocks of ``BLOCK`` ids
 whatever document they belong to.  A file is a run of block records, little-endian:
 
-    4 bytes "IDB1"; number of ids, coded bytes, crc32 of the ids, and pieces of documents
+    4 bytes "IDB2"; number of ids, coded bytes, crc32 of the ids, and pieces of documents
     (unsigned 32 bits each); bits of an id (8 bits);
     for every piece: the document's id (signed 64 bits), its ids in this block (unsigned
     32 bits), flags (8 bits: 1 the document ends here, 2 its id is null);
@@ -27,30 +27,18 @@ from tokenizers import Tokenizer
 
 from ..session import materialize
 from .context_coder import BLOCK, checksum, decode_blocks, encode_blocks
-from .textops import UnitTable, pieces_of, pretokens, spread, whole_texts, worker_latest
+from .textops import UnitTable, pieces_of, pretokens, spread, text_bytes, whole_texts, worker_latest
 from .token_counts import byte_letters
 
 #: Text bytes of a file, and the least number of files.
 FILE_BYTES, LEAST_FILES = 20 << 20, 12
 
-_MAGIC = b"IDB1"
+_MAGIC = b"IDB2"
 _HEAD, _PIECE = "<4sIIIIB", "<qIB"
-_UNITS = 300_000
+_UNITS = 600_000
 _ENDS, _NULL = 1, 2
 
 
-class _Letters(dict):
-    """``str.translate`` table from characters to the letters that stand for their bytes."""
-
-    def __init__(self):
-        super().__init__()
-        self.letters = byte_letters()
-
-    def __missing__(self, code: int) -> str:
-        self[code] = "".join(self.letters[b] for b in chr(code).encode())
-        return self[code]
-
-
 class IdEncoder:
     """Token ids by the tokenizers library, with a table of the units a worker has met.
 
@@ -65,13 +53,17 @@ class IdEncoder:
         self.cut = (regex.compile("(" + "|".join(map(regex.escape, sorted(
             self.special, key=len, reverse=True))) + ")") if self.special else None)
         self.id_bits = max(16, (tokenizer.get_vocab_size() - 1).bit_length())
-        self.letters, self.units = _Letters(), UnitTable(_UNITS)
+        # The letters that stand for the bytes, as code points.
+        self.letters = np.array([ord(letter) for letter in byte_letters()], "<u4")
+        self.units = UnitTable(_UNITS)
         self.ids, self.starts, self.sizes = (np.zeros(0, np.int32), np.zeros(0, np.int64),
                                              np.zeros(0, np.int64))
 
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        tokenize, letters = self.model.tokenize, self.letters
-        found = [tokenize(w.translate(letters)) for w in words]
+        data, offs = text_bytes(pa.array(words, pa.large_string()))
+        letters, bounds = self.letters[data].tobytes().decode("utf-32-le"), offs.tolist()
+        tokenize = self.model.tokenize
+        found = [tokenize(letters[a:b]) for a, b in zip(bounds, bounds[1:])]
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         return np.fromiter((t.id for f in found for t in f), np.int32, int(sizes.sum())), sizes
 

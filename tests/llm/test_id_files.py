@@ -58,6 +58,27 @@ def test_blocks_are_read_alone():
     assert (found == np.r_[ids[3500:], ids[3000:3500]]).all()
 
 
+def test_a_carry_runs_through_full_words():
+    """What goes over is added to the words already written, however many of them are full."""
+    writer = context_coder._Writer(3, 16, 8)
+    full = 2**32 - 1
+    for lane, words in enumerate(([7, full, full], [7, 8, 9], [full - 1, full, 1])):
+        writer.words[writer.pos[lane]:writer.pos[lane] + 3] = words
+    writer.pos += 3
+    writer.carry(np.array([0, 2]))
+    held = writer.words.reshape(3, -1)[:, :3].tolist()
+    assert held == [[8, 0, 0], [7, 8, 9], [full - 1, full, 2]]
+
+
+def test_many_blocks_of_many_lengths():
+    r = np.random.default_rng(10)
+    sizes = r.integers(0, 400, 700)
+    ids = r.choice([0, 1, 2, 65_535, *r.integers(0, 65_536, 40)], sizes.sum()).astype(np.int64)
+    words, crcs = blocks(ids, sizes)
+    assert (context_coder.decode_blocks(words, sizes, crcs) == ids).all()
+    assert not any(len(w) % 4 for w in words)  # whole words of 32 bits
+
+
 def test_context_helps():
     """Text of repeated phrases takes fewer bits than its order-0 entropy."""
     r = np.random.default_rng(8)
