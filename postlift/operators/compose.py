@@ -18,12 +18,14 @@ def asset_gate(manifest: DataFrame, path: str = "path") -> DataFrame:
     goes by folder alone, and is left to the skew-join split.
     """
     name = F.substring_index(path, "/", -1)
+    stem = F.substring_index(name, ".", 1)
     files = materialize(manifest.select(
         F.substring_index(F.substring_index(path, "/", -2), "/", 1).alias("folder"),
         name.alias("name"),
         F.when(F.contains(name, F.lit(".mp4")), F.regexp_extract(name, r"(\d+)\.mp4", 1))
         .try_cast("bigint").alias("media_id"),
-        F.when(F.endswith(name, F.lit(".json")), F.substring_index(name, ".", 1))
+        # Names that are no numbers are not cast: a failed cast costs many times a row.
+        F.when(F.endswith(name, F.lit(".json")) & F.regexp_like(stem, F.lit(r"^-?\d+$")), stem)
         .try_cast("bigint").alias("detail_id")), "manifest")
     exact = F.concat(F.col("detail_id").cast("string"), F.lit(".json")) == F.col("name")
     parts = files.select("folder", F.coalesce("media_id", F.when(exact, F.col("detail_id")))
@@ -40,12 +42,12 @@ def detected_labels(detections: DataFrame, threshold: float = SETTINGS.detection
                     ) -> DataFrame:
     """Confident labels per post: distinct, sorted, comma-joined.
 
-    Pairs are made distinct before they are gathered, so a list is no longer than
-    the detector's label set.
+    Labels are gathered as sets, on the map side as well, so neither a list nor what is
+    shuffled of a post is longer than the detector's label set; one shuffle.
     """
-    pairs = detections.where(F.col("score") > threshold).select("id", "label").distinct()
+    pairs = detections.where(F.col("score") > threshold).select("id", "label")
     return pairs.groupBy("id").agg(
-        F.array_join(F.array_sort(F.collect_list("label")), ",").alias("detected_objects"))
+        F.array_join(F.array_sort(F.collect_set("label")), ",").alias("detected_objects"))
 
 
 def aspect_ratio(stored: Column, width: Column, height: Column) -> Column:
@@ -145,9 +147,10 @@ def compose(base: DataFrame, assets: DataFrame, users: DataFrame, details: DataF
 def attach_media(df: DataFrame, media: DataFrame) -> DataFrame:
     """Add the media bytes, null where missing.
 
-    Joined after all filters, so as few large values as possible are shuffled.
+    Joined after all filters, so as few large values as possible are shuffled.  The rows
+    without their bytes are what a task holds; the bytes stream past and are never sorted.
     """
-    return df.join(media.select("id", "video_bytes"), "id", "left")
+    return df.hint("shuffle_hash").join(media.select("id", "video_bytes"), "id", "left")
 
 
 def required_gate(df: DataFrame, required=REQUIRED) -> DataFrame:

@@ -434,3 +434,19 @@ def test_arriving_files_follow_the_rows(spark, monkeypatch):
         with pytest.raises(Seen) as found:
             clean_queries.stream_compose(spark, "/root/testdata/sf0.001")
         assert found.value.args == (2 * half, half)
+
+
+def test_gate_casts_numbers_only(spark):
+    """Names that are no plain number make no post; a creator's file is never cast."""
+    names = ["1.mp4", "1.json", "2.mp4", "02.json", "+3.json", "3.mp4", "-4.json", "x-4.mp4", "5.mp4", "5.info.json",
+             "user.json", "99999999999999999999.json"]
+    paths = spark.createDataFrame([(f"assets/a/{n}",) for n in names], "path string")
+    assert [tuple(r) for r in compose.asset_gate(paths).collect()] == [(1, "a")]
+
+
+def test_labels_are_gathered_in_one_shuffle(spark):
+    rows = spark.createDataFrame([(1, "b", 0.9), (1, "a", 0.95), (1, "b", 0.99), (2, "c", 0.1), (3, "d", 0.9)],
+                                 "id bigint, label string, score double")
+    found = compose.detected_labels(rows)
+    assert sorted(map(tuple, found.collect())) == [(1, "a,b"), (3, "d")]
+    assert found._jdf.queryExecution().sparkPlan().toString().count("Aggregate") == 2
