@@ -22,6 +22,8 @@ from .textops import (UnitTable, pieces_of, pretokens, ragged, spread, text_byte
 
 _NONE = np.int32(2**31 - 1)
 _UNITS = 300_000
+#: Text bytes of a piece: each costs a step for every merge that occurs in it.
+_PIECE = 6 << 20
 
 
 class RankQueue:
@@ -203,7 +205,7 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_latest(("byte bpe", hash(rank_file), pattern),
                                 lambda: _Encoder(rank_file, pattern))
-        for piece in pieces_of(batches):
+        for piece in pieces_of(batches, limit=_PIECE):
             ids, offs = encoder.encode(piece.column("text").to_pylist())
             out = [piece.column("doc_id"), ragged(pa.array(ids), offs)]
             names = ["doc_id", "ids"]

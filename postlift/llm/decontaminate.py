@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .textops import (distinct_per_row, leave_nothing, pieces_of, shingle_hashes, spread, text_bytes,
+from .textops import (distinct_per_row, filled, leave_nothing, pieces_of, shingle_hashes, spread, text_bytes,
                       whole_texts, word_hashes)
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -249,20 +249,18 @@ def _searcher(index: ItemIndex):
 def drop_holders(docs: DataFrame, items: DataFrame, width: int = WIDTH,
                  threshold: float = THRESHOLD, block: int = BLOCK_SHINGLES) -> DataFrame:
     """The documents that hold no item, with all their columns; edge cases as ``find_items``."""
-    text = _free(docs, "_whole")
-    whole = docs.withColumn(text, F.coalesce("text", F.lit("")))
     index = small_index(items, width, threshold, block)
     if index is None:
         found = search_tables(whole_texts(docs), _wanted(items), width, threshold)
-        own = _free(docs, "doc_key")
+        text, own = _free(docs, "_whole"), _free(docs, "doc_key")
+        whole = docs.withColumn(text, F.coalesce("text", F.lit("")))
         return _holding(whole.withColumn(own, _key(text)), found, "left_anti", own).select(docs.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leave_nothing()
-        for piece in pieces_of(batches, text):
+        for piece in pieces_of(batches):
             keep = np.ones(piece.num_rows, bool)
-            keep[[row for row, _, _ in index.matches(piece.column(text))]] = False
-            kept = piece.filter(pa.array(keep))
-            yield kept.select([c for c in kept.schema.names if c != text])
+            keep[[row for row, _, _ in index.matches(filled(piece.column("text")))]] = False
+            yield piece.filter(pa.array(keep))
 
-    return whole.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -224,7 +224,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         leave_nothing()
         held = None
         for batch in batches:
-            for piece in pieces_of(iter([batch])):
+            for piece in pieces_of(iter([batch]), limit=6 << 20):
                 out = []
                 for doc_id, text, tail, ran in zip(*(piece.column(c).to_pylist() for c in (
                         "doc_id", "text", "_tail", "_range"))):

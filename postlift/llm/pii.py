@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .char_tagger import CharTagger
-from .textops import leave_nothing, pieces_of, text_bytes, whole_texts
+from .textops import filled, leave_nothing, pieces_of, text_bytes, whole_texts
 
 KINDS = ("email", "ip", "card", "phone")
 #: Network sizes; window, step and margin in characters; most sampled documents and windows.
@@ -390,19 +390,19 @@ def redact_documents(docs: DataFrame, tagger: CharTagger | None, least: float =
     """``docs`` with personal data replaced in ``text``; null texts stay null, ``n_chars`` follows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leave_nothing()
-        for piece in pieces_of(batches, "_whole"):
+        for piece in pieces_of(batches):
             at = piece.schema.get_field_index("text")
-            texts = None
-            for i in np.flatnonzero(_rows_with_triggers(piece.column("_whole"))).tolist():
-                text = piece.column("_whole")[i].as_py()
+            whole, texts = filled(piece.column(at)), None
+            for i in np.flatnonzero(_rows_with_triggers(whole)).tolist():
+                text = whole[i].as_py()
                 spans = find_spans(tagger, text, least)[1]
                 if spans:
                     texts = texts if texts is not None else piece.column(at).to_pylist()
                     texts[i] = redacted(text, spans)
             if texts is not None:
                 piece = piece.set_column(at, piece.schema.field(at), pa.array(texts, piece.column(at).type))
-            yield piece.select([c for c in piece.schema.names if c != "_whole"])
+            yield piece
 
-    found = docs.withColumn("_whole", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    found = docs.mapInArrow(run, docs.schema)
     return found.withColumn("n_chars", F.char_length("text").cast(found.schema["n_chars"].dataType)) \
         if "n_chars" in docs.columns else found

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterator
@@ -17,7 +19,7 @@ _UNIT_GAP = regex.compile(r"(?<=\S)(?= \S)")
 # Odd multipliers of the wrapping polynomial and of the mixing steps (arbitrary constants).
 _BASE = 0x9E3779B97F4A7C15
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_STEP = 1 << 21
+_STEP = 1 << 18
 
 #: Rows of a group that is joined by broadcast; there are at most rows / HEAVY such groups.
 HEAVY = 100_000
@@ -52,14 +54,29 @@ def worker_latest(key, build: Callable):
     """As ``worker_cache`` for large tables: a worker holds only the one used last."""
     held = worker_cache("latest", dict)
     if key not in held:
-        held.clear()
+        leave_nothing()
         held[key] = build()
     return held[key]
 
 
 def leave_nothing() -> None:
-    """Drop the large table that another operator has left in this worker."""
+    """Drop the large table that another operator has left in this worker, and what else is free in it."""
     worker_cache("latest", dict).clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system; a worker, kept for later tasks, else holds the most it ever used."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = worker_cache("trim", lambda: getattr(ctypes.CDLL(None), "malloc_trim", None))
+    if trim is not None:  # the C library of other systems has none
+        trim(0)
+
+
+def filled(column: pa.Array) -> pa.Array:
+    """A string column with its nulls as empty texts."""
+    return column.fill_null("") if column.null_count else column
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +92,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], column: str = "text",
-              limit: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+              limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of about ``limit`` text bytes, one row at least."""
     for batch in batches:
         if not batch.num_rows:

@@ -149,7 +149,7 @@ def count_tokens(docs: DataFrame, description: bytes, pattern: str) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_latest(("token counts", hash(description), pattern),
                                 lambda: _Counter(description, pattern))
-        for piece in pieces_of(batches):
+        for piece in pieces_of(batches, limit=6 << 20):
             tokens = counter.count(piece.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [piece.column("doc_id"), piece.column("n_bytes"), pa.array(tokens)],

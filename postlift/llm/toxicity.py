@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..session import materialize
-from .textops import leave_nothing, pieces_of, text_bytes, whole_texts, word_hashes
+from .textops import filled, leave_nothing, pieces_of, text_bytes, whole_texts, word_hashes
 
 #: At most so many labelled rows are fitted on (the least hashes of their ids), and features kept.
 MOST_ROWS, MOST_FEATURES = 6_000, 2_000
@@ -255,8 +255,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leave_nothing()
-        for piece in pieces_of(batches, "_whole"):
-            kept = piece.filter(pa.array(model.score(piece.column("_whole")) < threshold))
-            yield kept.select([c for c in kept.schema.names if c != "_whole"])
+        for piece in pieces_of(batches):
+            yield piece.filter(pa.array(model.score(filled(piece.column("text"))) < threshold))
 
-    return docs.withColumn("_whole", F.coalesce("text", F.lit(""))).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,12 +1,15 @@
 """The stages in a row, each against what it must keep or change."""
 
 import re
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from postlift.llm import ngram_join, toxicity
+from postlift.llm import ngram_join, textops, toxicity
 from postlift.session import materialize
 from tables import EDGE, documents, shingles, words
 
@@ -99,3 +102,41 @@ def test_repeated_ids_keep_one_row(spark):
 
 def test_words_helper_is_the_contract():
     assert words("A b\tC\x0bé") == [b"a", b"b", b"c", "é".encode()]
+
+
+def test_batches_to_python_are_bounded_by_their_bytes(spark, sf):
+    """Long texts pass to and from Python in batches of some MB, not ten thousand rows at a time."""
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    docs = spark.range(0, 400, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text")
+    corpus_pipeline.encode(spark, docs, sf)
+    found = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+    assert sum(found) > 40_000_000 and max(found) < 8_000_000
+
+
+def test_a_worker_gives_its_table_and_freed_memory_back():
+    """The table of another operator is gone before the next is built, and its memory returned."""
+    released = []
+    textops.worker_latest("first", lambda: np.ones(10))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(textops, "give_back", lambda: released.append(textops.worker_cache("latest", dict).copy()))
+        textops.worker_latest("second", lambda: np.ones(10))
+    assert released == [{}]
+    textops.give_back()
+    textops.leave_nothing()
+
+
+def test_hashing_takes_scratch_in_proportion_to_a_step():
+    """Tables and scratch arrays of the word hashes stay at some MB; rows longer than a step hash alike."""
+    text = "some words and more of them " * 70_000
+    data, offs = textops.text_bytes(pa.array([text]))
+    textops.worker_cache("word tables", textops._tables)
+    tracemalloc.start()
+    hashes, row = textops.word_hashes(data, offs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32_000_000 and sum(t.nbytes for t in textops._tables()) < 8_000_000
+    assert len(hashes) == 6 * 70_000 and (hashes.reshape(-1, 6) == hashes[:6]).all() and not row.any()
