@@ -16,6 +16,7 @@ A record can be read without the others.
 from __future__ import annotations
 
 import math
+import os
 import struct
 from collections.abc import Iterator
 
@@ -23,11 +24,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from ..session import materialize
 from .context_coder import BLOCK, checksum, decode_blocks, encode_blocks
-from .textops import UnitTable, pieces_of, pretokens, spread, text_bytes, whole_texts, worker_latest
+from .spans import Growing, SpanTable, pretoken_spans, unit_spans
+from .textops import pieces_of, spread, text_bytes, whole_texts, worker_latest
 from .token_counts import byte_letters
 
 #: Text bytes of a file, and the least number of files.
@@ -36,53 +38,97 @@ FILE_BYTES, LEAST_FILES = 20 << 20, 12
 _MAGIC = b"IDB2"
 _HEAD, _PIECE = "<4sIIIIB", "<qIB"
 _UNITS = 600_000
+_LINE = 1000  # pre-tokens of one call to the library
 _ENDS, _NULL = 1, 2
 
 
+class _Runs:
+    """Ids of the spans of a table, by the spans' numbers."""
+
+    def __init__(self):
+        self.ids, self.starts, self.sizes = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.starts.add(self.ids.size + np.cumsum(sizes) - sizes)
+        self.sizes.add(sizes)
+        self.ids.add(ids)
+
+    def keep(self, kept: np.ndarray) -> None:
+        ids, sizes = self.take(kept)
+        self.__init__()
+        self.add(ids, sizes)
+
+    def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.sizes.held[numbers].astype(np.int64)
+        return self.ids.held[spread(self.starts.held[numbers], sizes)], sizes
+
+
 class IdEncoder:
-    """Token ids by the tokenizers library, with a table of the units a worker has met.
+    """Token ids by the tokenizers library, with tables of the units and pre-tokens a worker has met.
 
     Special strings are cut out as the library cuts them; new pre-tokens go to the
     library's merge model in the byte letters it expects.
     """
 
     def __init__(self, description: bytes, pattern: str):
+        # Spark gives the cores to tasks; the library's own threads would share them.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizer = Tokenizer.from_str(description.decode())
         self.model, self.pattern = tokenizer.model, regex.compile(pattern)
+        self.library = Tokenizer(self.model)
+        self.library.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.cut = (regex.compile("(" + "|".join(map(regex.escape, sorted(
             self.special, key=len, reverse=True))) + ")") if self.special else None)
         self.id_bits = max(16, (tokenizer.get_vocab_size() - 1).bit_length())
-        # The letters that stand for the bytes, as code points.
+        # The letters that stand for the bytes, as code points; none is blank.
         self.letters = np.array([ord(letter) for letter in byte_letters()], "<u4")
-        self.units = UnitTable(_UNITS)
-        self.ids, self.starts, self.sizes = (np.zeros(0, np.int32), np.zeros(0, np.int64),
-                                             np.zeros(0, np.int64))
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        data, offs = text_bytes(pa.array(words, pa.large_string()))
-        letters, bounds = self.letters[data].tobytes().decode("utf-32-le"), offs.tolist()
-        tokenize = self.model.tokenize
-        found = [tokenize(letters[a:b]) for a, b in zip(bounds, bounds[1:])]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        return np.fromiter((t.id for f in found for t in f), np.int32, int(sizes.sum())), sizes
+        vocabulary = tokenizer.get_vocab()
+        self.id_letters = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        self.id_letters[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.units, self.words = SpanTable(_UNITS), SpanTable(_UNITS)
+        self.unit_ids, self.word_ids = _Runs(), _Runs()
+
+    def _words(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens, which go to the library in lines parted by blanks, and how many each has."""
+        ends = np.cumsum(sizes + 1)
+        letters = np.full(int(ends[-1]), 32, "<u4")
+        letters[spread(ends - sizes - 1, sizes)] = self.letters[data[spread(starts, sizes)]]
+        line = letters.tobytes().decode("utf-32-le")
+        begins, stops = (ends - sizes - 1).tolist(), (ends - 1).tolist()
+        counts, ids = [], []
+        for i in range(0, len(ends), _LINE):
+            stop = min(i + _LINE, len(ends))
+            found, = self.library.encode_batch_fast([line[begins[i]:stops[stop - 1]]], add_special_tokens=False)
+            own = np.array(found.ids, np.int64)
+            # Ids end where pre-tokens do, as their letters are those of the pre-token.
+            after = np.cumsum(self.id_letters[own])
+            wanted = np.cumsum(sizes[i:stop])
+            at = np.searchsorted(after, wanted)
+            if not len(own) or after[-1] != wanted[-1] or (after[at] != wanted).any():
+                each = [self.model.tokenize(line[a:b]) for a, b in zip(begins[i:stop], stops[i:stop])]
+                own, at = np.array([t.id for e in each for t in e], np.int64), np.cumsum([len(e) for e in each]) - 1
+            counts.append(np.diff(at, prepend=-1))
+            ids.append(own.astype(np.int32))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        number, offs, fresh, kept = self.units.number(texts)
-        if kept is not None:
-            sizes = self.sizes[kept]
-            self.ids = self.ids[spread(self.starts[kept], sizes)]
-            self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
-        if fresh:
-            words, flat, parts = pretokens(fresh, self.pattern)
-            ids, sizes = self._words(words)
-            begins, own = (np.cumsum(sizes) - sizes)[flat], sizes[flat]
-            bounds = np.r_[0, np.cumsum(own)][np.r_[0, np.cumsum(parts)]]
-            self.starts = np.concatenate([self.starts, len(self.ids) + bounds[:-1]])
-            self.sizes = np.concatenate([self.sizes, np.diff(bounds)])
-            self.ids = np.concatenate([self.ids, ids[spread(begins, own)]])
-        sizes = self.sizes[number]
-        return self.ids[spread(self.starts[number], sizes)], np.r_[0, np.cumsum(sizes)][offs]
+        for table, runs in ((self.units, self.unit_ids), (self.words, self.word_ids)):
+            kept = table.shrink()
+            if kept is not None:
+                runs.keep(kept)
+        data, offs = text_bytes(pa.array(texts, pa.large_string()))
+        starts, lengths, offs = unit_spans(data, offs)
+        number, fresh = self.units.number(data, starts, lengths)
+        if len(fresh):
+            data, starts, lengths, parts = pretoken_spans(data, starts[fresh], lengths[fresh], self.pattern)
+            words, fresh = self.words.number(data, starts, lengths)
+            if len(fresh):
+                self.word_ids.add(*self._words(data, starts[fresh], lengths[fresh]))
+            ids, sizes = self.word_ids.take(words)
+            self.unit_ids.add(ids, np.diff(np.r_[0, np.cumsum(sizes)][np.r_[0, np.cumsum(parts)]]))
+        ids, sizes = self.unit_ids.take(number)
+        return ids, np.r_[0, np.cumsum(sizes)][offs]
 
     def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each closed by ``end_id``, and the texts' offsets."""

@@ -152,3 +152,18 @@ def test_query(spark, sf, tok):
     got = [tuple(r) for r in queries.QUERIES["op13_id_files"](spark, sf).collect()]
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted(got, key=str) == expected(tok, rows)
+
+
+def test_a_block_takes_as_many_steps_as_a_segment_has_ids(monkeypatch):
+    """Segments of a block learn together: steps, each a handful of array calls, follow the segment and not the block."""
+    steps, predict = [], context_coder._Lanes.predict
+
+    def counted(self, m):
+        steps.append(m)
+        return predict(self, m)
+
+    monkeypatch.setattr(context_coder._Lanes, "predict", counted)
+    ids = np.random.default_rng(11).integers(0, 3_000, 8_192)
+    words, crcs = blocks(ids, np.array([8_192]))
+    assert sum(steps) == 8_192 and len(steps) <= 256
+    assert (context_coder.decode_blocks(words, np.array([8_192]), crcs) == ids).all()
