@@ -15,7 +15,7 @@ side by side, one id of each at a time, so every step is a handful of array oper
 thousands of lanes, while the tables are those of some tens of blocks; all arithmetic is on
 integers, which wrap where they go over, so readers repeat it exactly.  Words have 32 bits: at
 most one leaves or enters at a time.  A coded block is how many words each segment has (8 bits
-each, filled up to a whole word; 64 ids have less), then the segments' words.
+each, filled up to a whole word; a segment has less than two an id), then the segments' words.
 """
 
 from __future__ import annotations
@@ -37,13 +37,14 @@ _H1, _H2 = 11, 13  # bits of the order-1 and order-2 context tables
 _CONTEXTS = (1 << _H1) + (1 << _H2)
 _LAST, _PAIR, _BEFORE = np.uint32(2_654_435_761), np.uint32(2_246_822_519), np.uint32(3_266_489_917)
 _LEAST = np.uint64(1 << 32)  # a shorter span takes in the next word
-_WORD, _TWELVE, _T_SHIFT = np.uint64(32), np.uint64(12), np.uint64(_T_BITS)
+_WORD, _HALF, _TWELVE, _T_SHIFT = np.uint64(32), np.uint64(16), np.uint64(12), np.uint64(_T_BITS)
+_LOWER = np.uint64(0xFFFF)
 #: Steps before which the ranges, and the weights and estimates, are made anew.
-_REBUILDS = frozenset([1, 2, 4, 8, 16, 32, 64, 128, 192])
+_REBUILDS = frozenset([1, 3, 8, 24])
 _RENEWAL = 8
 _RENEWALS = frozenset([1, 2, 4, *range(_RENEWAL, SEGMENT, _RENEWAL)])
 _LIMIT = 1 << 18  # bound of a weight, which has 16 binary places
-_RATE, _MOST_SEEN = 10, 1023
+_RATE, _MOST_SEEN = 3, 1023
 # A block's records: 32 of order 1; of order 2 (16) and order 0 (8) every pair, as they are looked up together.
 _CELLS, _ORDER_1, _ORDER_2, _ORDER_0 = 160, 32, 16, 8
 
@@ -61,6 +62,7 @@ def _stretch_table() -> np.ndarray:
 
 
 _SQUASH, _STRETCH = _squash_table().astype(np.uint64), _stretch_table().astype(np.int64)
+_CHANCE = _SQUASH + 2.0**42  # with one decision, for the sums by records
 #: How a context's entry changes, by how often its id came in a row, 16 more where another came: a right
 #: guess adds one, a wrong one halves; at nought the new id moves in.
 _CHANGE = np.array([*[1] * 15, 0, *((held >> 1) - held for held in range(16))], np.int64).astype(np.uint32)
@@ -94,9 +96,9 @@ class _Lanes:
         self.seen, self.came = np.zeros((2, blocks, _ORDER_1 + _ORDER_2 + _ORDER_0), np.int64)
         self.weight = np.full((blocks, 3), 26_000, np.int64)
         # Records, probabilities and hits of the steps since these were made; lanes that have ended share a cell.
-        self.records = self.zeros("records", 2 * _RENEWAL * lanes, np.int64).reshape(2, _RENEWAL, lanes)
-        self.chance = self.zeros("chance", _RENEWAL * lanes, np.uint64).reshape(_RENEWAL, lanes)
-        self.hits = self.zeros("hits", _RENEWAL * lanes, bool).reshape(_RENEWAL, lanes)
+        self.records = self.zeros("records", 2 * _RENEWAL * lanes, np.int64, False).reshape(2, _RENEWAL, lanes)
+        self.chance = self.zeros("chance", _RENEWAL * lanes, np.float64, False).reshape(_RENEWAL, lanes)
+        self.hits = self.zeros("hits", _RENEWAL * lanes, bool, False).reshape(_RENEWAL, lanes)
         self.kept_steps = 0
         self.estimate()
         self.symbol = self.zeros("symbol", blocks * kinds, np.uint16)
@@ -104,24 +106,28 @@ class _Lanes:
         # Symbols met since the ranges were made, step by step, and how often they came before that.
         self.met: list[np.ndarray] = []
         self.count = self.zeros("count", blocks * self.width, np.int32)
-        # Of a symbol: where its range begins, and in the lower 16 bits how long it is; nought if it has none.
-        # Symbol 0 is the escape, whose range comes first.
+        # Of a symbol, 16 bits each from the lowest: how long its range is, and where it begins; nought if it has
+        # none.  A reader has its id above them.  Symbol 0 is the escape, whose range comes first.
         self.first_symbols = np.arange(blocks) * self.width
-        self.ranges = self.zeros("ranges", blocks * self.width, np.uint32)
+        self.ranges = self.zeros("ranges", blocks * self.width, np.uint64)
         self.ranges[self.first_symbols] = _T
         self.symbols = np.zeros(blocks, np.int64)
+        self.kinds, self.total = np.zeros((2, blocks, 1), np.int32)
         self.span = np.full(lanes, 2**64 - 1, np.uint64)
         self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         self.recent = np.zeros(lanes, np.uint32)
         self.pos = np.zeros(lanes, np.int64)
         self.place = np.zeros((2, lanes), np.int64)
 
-    def zeros(self, name: str, n: int, kind) -> np.ndarray:
-        """An array of nought, in memory used before if there is enough."""
+    #: Whether symbols must give back ids.
+    named = True
+
+    def zeros(self, name: str, n: int, kind, clean: bool = True) -> np.ndarray:
+        """An array of nought (``clean``) or of anything, in memory used before if there is enough."""
         held = self.kept.get(name)
         if held is None or len(held) < n:
             self.kept[name] = held = np.zeros(n, kind)
-        else:
+        elif clean:
             held[:n] = 0
         return held[:n]
 
@@ -139,7 +145,6 @@ class _Lanes:
         # Three sums in one: decisions, candidates that came, and their probabilities.
         value = self.hits[:k] * 2.0**26
         value += self.chance[:k]
-        value += 2.0**42
         value = value.ravel()
         sums = sum(np.bincount(r[:k].ravel(), value, self.cells + 1) for r in self.records)[:-1].astype(np.int64)
         sums = sums.reshape(-1, _CELLS)
@@ -179,7 +184,7 @@ class _Lanes:
         terms = self.term.take(record)
         mixed = terms[0] + terms[1]
         p = _SQUASH.take(mixed, mode="clip")
-        self.chance[self.kept_steps, :m] = p
+        _CHANCE.take(mixed, mode="clip", out=self.chance[self.kept_steps, :m])
         return candidate, p, (entry, held, guess)
 
     def learn(self, m: int, ids: np.ndarray, hit: np.ndarray, memo) -> None:
@@ -233,11 +238,18 @@ class _Lanes:
         count = self.count.reshape(-1, self.width)[:, :width]
         met = count > 0
         kinds, total = met.sum(1, dtype=np.int32)[:, None], np.maximum(count.sum(1, dtype=np.int32), 1)[:, None]
-        share = ((_T - _ESCAPE - kinds) << 14) // total
+        # The escape comes as often as half of the ids new since the last time say, among those not foretold.
+        escape = (_T - _ESCAPE - kinds) * (kinds - self.kinds) // (2 * np.maximum(total - self.total, 1))
+        self.kinds, self.total = kinds, total
+        share = ((_T - _ESCAPE - kinds - escape) << 14) // total
         freq = (count * share >> 14) + met
         freq[:, 0] = _T - freq[:, 1:].sum(1)
         first = np.cumsum(freq, 1, dtype=np.int32) - freq
-        self.ranges.reshape(-1, self.width)[:, :width] = ((first << 16) | freq) * (freq > 0)
+        ranges = self.ranges.reshape(-1, self.width)[:, :width]
+        ranges[:] = (first << 16) | freq
+        if self.named:
+            ranges |= self.id_of.reshape(-1, self.width)[:, :width].astype(np.uint64) << _WORD
+        ranges *= freq > 0
         return freq, width
 
     def remember(self, m: int, symbol: np.ndarray, miss: np.ndarray) -> np.ndarray:
@@ -250,12 +262,14 @@ class _Lanes:
 class _Writer(_Lanes):
     """The words so far and ``low`` behind them are one number, the lower end of the span."""
 
+    named = False
+
     def __init__(self, lanes: int, id_bits: int, longest: int, block: np.ndarray | None = None,
                  most: int | None = None, kinds: int | None = None, kept: dict | None = None):
         super().__init__(lanes, id_bits, longest, block, most, kinds, kept)
         self.low = np.zeros(lanes, np.uint64)
         self.room = 2 * longest + 4
-        self.words = self.zeros("words", lanes * self.room, np.uint32)
+        self.words = self.zeros("words", lanes * self.room, np.uint32, False)
         self.pos = np.arange(lanes) * self.room
 
     def carry(self, lanes: np.ndarray) -> None:
@@ -291,17 +305,18 @@ class _Writer(_Lanes):
             at = self.remember(m, symbol, miss)
             ranges = self.ranges.take(at)
             # An id without a range so far takes the escape's, which begins at nought.
-            lost = np.flatnonzero((np.minimum(symbol, ranges) == 0) & miss)
+            lost = np.flatnonzero(((symbol == 0) | (ranges == 0)) & miss)
             if len(lost):
                 ranges[lost] = self.ranges[self.at_symbol[lost]]
             # The candidate has the span's first part; the symbols share the rest.
             bound = (span >> _TWELVE) * p
             share = (span - bound) >> _T_SHIFT
+            miss = miss.astype(np.uint64)
             ranges *= miss
             missed = bound * miss
-            ahead = share * (ranges >> np.uint32(16))
+            ahead = share * (ranges >> _HALF)
             ahead += missed
-            np.multiply(share, ranges & np.uint32(0xFFFF), out=span)
+            np.multiply(share, ranges & _LOWER, out=span)
             bound -= missed
             span += bound
             low += ahead
@@ -375,16 +390,16 @@ class _Reader(_Lanes):
             lost = np.flatnonzero((symbol == 0) & miss)
             at = self.remember(m, symbol, miss)
             ranges = self.ranges.take(at)
+            miss = miss.astype(np.uint64)
             ranges *= miss
             missed = bound * miss
             code -= missed
-            code -= share * (ranges >> np.uint32(16))
-            np.multiply(share, ranges & np.uint32(0xFFFF), out=span)
+            code -= share * (ranges >> _HALF & _LOWER)
+            np.multiply(share, ranges & _LOWER, out=span)
             bound -= missed
             span += bound
             self.settle(np.flatnonzero(span < _LEAST))
-            # The escape, which is all that a foretold id leaves, has no id.
-            now = self.id_of.take(at)
+            now = (ranges >> _WORD).astype(np.uint32)
             now += candidate * hit
             if len(lost):
                 share = self.span[lost] >> self.id_bits
@@ -436,14 +451,22 @@ class _Cut:
 
     def steps(self, ids: np.ndarray, kept: dict) -> np.ndarray:
         """The group's ids, a row per step and a column per lane."""
-        shape = len(self.length), self.longest
-        if kept.get("steps") is None or kept["steps"].shape != shape[::-1]:
-            kept["rows"], kept["steps"] = np.zeros(shape, np.uint32), np.zeros(shape[::-1], np.uint32)
-        kept["rows"][self.used] = ids
-        kept["steps"][:] = kept["rows"][self.order].T
+        if kept.get("steps") is None or kept["steps"].shape != (self.longest, len(self.length)):
+            kept["steps"] = np.zeros((self.longest, len(self.length)), np.uint32)
+        kept["steps"][:] = self.rows(ids).T
         return kept["steps"]
 
+    def rows(self, ids: np.ndarray) -> np.ndarray:
+        """A row per lane; without its ids' copying where all lanes are equally long."""
+        if self.length.min(initial=self.longest) == self.longest:
+            return ids.reshape(len(self.length), self.longest)
+        rows = np.zeros((len(self.length), self.longest), np.uint32)
+        rows[self.used] = ids
+        return rows[self.order]
+
     def ids(self, steps: np.ndarray) -> np.ndarray:
+        if self.length.min(initial=self.longest) == self.longest:
+            return steps.T.ravel()
         rows = np.empty((len(self.length), self.longest), np.uint32)
         rows[self.order] = steps.T
         return rows[self.used]
@@ -451,7 +474,7 @@ class _Cut:
 
 def checksum(ids: np.ndarray, value: int = 0) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers, continued from ``value``."""
-    return zlib.crc32(ids.astype("<u4").tobytes(), value)
+    return zlib.crc32(np.ascontiguousarray(ids, "<u4"), value)
 
 
 def encode_blocks(ids: np.ndarray, sizes: np.ndarray, id_bits: int = 16) -> list[bytes]:

@@ -37,30 +37,54 @@ FILE_BYTES, LEAST_FILES = 20 << 20, 12
 
 _MAGIC = b"IDB2"
 _HEAD, _PIECE = "<4sIIIIB", "<qIB"
-_UNITS = 600_000
-_LINE = 1000  # pre-tokens of one call to the library
+_UNITS, _PRETOKENS = 600_000, 1_000_000
+_LINE = 300  # pre-tokens of one call to the library
+_TOGETHER = 256  # blocks that are coded or read in one call
 _ENDS, _NULL = 1, 2
 
 
 class _Runs:
-    """Ids of the spans of a table, by the spans' numbers."""
+    """Ids of the spans of a table, by the spans' numbers, in cells of 64 bits with as many ids as fit."""
 
-    def __init__(self):
-        self.ids, self.starts, self.sizes = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+    def __init__(self, id_bits: int):
+        self.kind = np.uint16 if id_bits <= 16 else np.uint32
+        self.most = 8 // np.dtype(self.kind).itemsize
+        self.cells, self.first, self.sizes = Growing(np.uint64), Growing(np.int64), Growing(np.int32)
+        #: Which places of a cell are filled, by their number.
+        self.filled = np.arange(self.most) < np.arange(self.most + 1)[:, None]
 
     def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
-        self.starts.add(self.ids.size + np.cumsum(sizes) - sizes)
+        count = self._cells_of(sizes)
+        ends = np.cumsum(count)
+        cells = np.zeros((int(ends[-1]) if len(ends) else 0, self.most), self.kind)
+        cells.ravel()[spread((ends - count) * self.most, sizes)] = ids
+        self.first.add(self.cells.size + ends - count)
         self.sizes.add(sizes)
-        self.ids.add(ids)
+        self.cells.add(cells.view(np.uint64).ravel())
+
+    def _cells_of(self, sizes: np.ndarray) -> np.ndarray:
+        return np.maximum((sizes + (self.most - 1)) // self.most, 1).astype(np.int64)
 
     def keep(self, kept: np.ndarray) -> None:
         ids, sizes = self.take(kept)
-        self.__init__()
+        for column in (self.cells, self.first, self.sizes):
+            column.size = 0
         self.add(ids, sizes)
 
     def take(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = self.sizes.held[numbers].astype(np.int64)
-        return self.ids.held[spread(self.starts.held[numbers], sizes)], sizes
+        sizes = self.sizes.room.take(numbers)
+        at = self.first.room.take(numbers)
+        if sizes.max(initial=0) > self.most:
+            count = self._cells_of(sizes)
+            ends = np.cumsum(count)
+            filled = np.full(int(ends[-1]), self.most, np.int32)
+            filled[ends - 1] = sizes - (count - 1) * self.most
+            at = np.repeat(at - ends + count, count)
+            at += np.arange(len(at))
+        else:
+            filled = sizes
+        cells = self.cells.room.take(at).view(self.kind).reshape(-1, self.most)
+        return cells[self.filled.take(filled, axis=0)].astype(np.int32), sizes
 
 
 class IdEncoder:
@@ -86,8 +110,8 @@ class IdEncoder:
         vocabulary = tokenizer.get_vocab()
         self.id_letters = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
         self.id_letters[list(vocabulary.values())] = [len(token) for token in vocabulary]
-        self.units, self.words = SpanTable(_UNITS), SpanTable(_UNITS)
-        self.unit_ids, self.word_ids = _Runs(), _Runs()
+        self.units, self.words = SpanTable(_UNITS), SpanTable(_PRETOKENS)
+        self.unit_ids, self.word_ids = _Runs(self.id_bits), _Runs(self.id_bits)
 
     def _words(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of pre-tokens, which go to the library in lines parted by blanks, and how many each has."""
@@ -112,12 +136,11 @@ class IdEncoder:
             ids.append(own.astype(np.int32))
         return np.concatenate(ids), np.concatenate(counts)
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for table, runs in ((self.units, self.unit_ids), (self.words, self.word_ids)):
             kept = table.shrink()
             if kept is not None:
                 runs.keep(kept)
-        data, offs = text_bytes(pa.array(texts, pa.large_string()))
         starts, lengths, offs = unit_spans(data, offs)
         number, fresh = self.units.number(data, starts, lengths)
         if len(fresh):
@@ -130,24 +153,33 @@ class IdEncoder:
         ids, sizes = self.unit_ids.take(number)
         return ids, np.r_[0, np.cumsum(sizes)][offs]
 
-    def encode(self, texts: list[str], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts end to end, each closed by ``end_id``, and the texts' offsets."""
-        plain, after, first = [], [], [0]
-        tail = [] if end_id is None else [end_id]
-        for text in texts:
-            parts = self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
-            plain += parts[::2]
-            after += [[self.special[s]] for s in parts[1::2]] + [tail]
-            first.append(len(plain))
-        ids, offs = self._plain(plain)
-        added = np.fromiter(map(len, after), np.int64, len(after))
+        column = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts
+        data, offs = text_bytes(column)
+        whole = data.tobytes()
+        after, first = None, np.arange(len(column) + 1)
+        if any(s.encode() in whole for s in self.special):
+            plain, after, count = [], [], []
+            for text in column.to_pylist():
+                parts = self.cut.split(text)
+                plain += parts[::2]
+                after += [*(self.special[s] for s in parts[1::2]), end_id]
+                count.append(len(parts[::2]))
+            first = np.r_[0, np.cumsum(count)]
+            data, offs = text_bytes(pa.array(plain, pa.large_string()))
+        ids, offs = self._plain(data, offs)
+        if after is None and end_id is None:
+            return ids, offs
+        after = np.full(len(offs) - 1, end_id) if after is None else np.array([-1 if a is None else a for a in after])
+        added = after >= 0
         ends = np.cumsum(np.diff(offs) + added)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
-        closing = np.zeros(len(out), bool)
-        closing[ends[added > 0] - 1] = True
-        out[closing] = [a[0] for a in after if a]
-        out[~closing] = ids
-        return out, np.r_[0, ends][np.array(first)]
+        own = np.ones(len(out), bool)
+        own[ends[added] - 1] = False
+        out[~own] = after[added]
+        out[own] = ids
+        return out, np.r_[0, ends][first]
 
 
 def pack_records(doc_ids: list, ids: np.ndarray, offs: np.ndarray, open_at_end: bool, id_bits: int
@@ -214,7 +246,7 @@ def write_ids(docs: DataFrame, path: str, description: bytes, pattern: str, end_
         encoder = worker_latest(("id files", hash(description), pattern),
                                 lambda: IdEncoder(description, pattern))
         keys, parts, lengths, held = [], [], [], 0
-        most = BLOCK * 1024
+        most = BLOCK * _TOGETHER
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             """Records of whole blocks, of all ids if nothing follows; the rest stays held."""
@@ -234,7 +266,7 @@ def write_ids(docs: DataFrame, path: str, description: bytes, pattern: str, end_
             held = len(ids) - cut
 
         for piece in pieces_of(batches, limit=2 << 20):
-            ids, offs = encoder.encode(piece.column("text").to_pylist(), end_id)
+            ids, offs = encoder.encode(piece.column("text"), end_id)
             keys += piece.column("doc_id").to_pylist()
             parts.append(ids)
             lengths += np.diff(offs).tolist()
@@ -257,7 +289,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
     ``part`` is the file's number, ``place`` the number of ids before the document in its
     file; the checksum is of all the document's ids; with ``ids`` also the ids themselves.
-    A file is read by one task, a thousand blocks at a time.  Damaged blocks raise.
+    A file is read by one task, some hundred blocks at a time.  Damaged blocks raise.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,7 +329,7 @@ def read_ids(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
         for block in parse_records(data.to_pybytes()):
             group.append(block)
-            if len(group) == 1024:
+            if len(group) == _TOGETHER:
                 yield rows_of(group)
                 group = []
         if group:

@@ -14,6 +14,7 @@ from .textops import mix, spread
 _WORDS = 4
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 _ODD_LENGTH = np.uint64(0xA24BAED4963EE407)
+_HALF = np.uint64(32)
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
@@ -44,17 +45,49 @@ class Growing:
 class SpanTable:
     """Numbers for the distinct spans of bytes of a worker, with room for a bounded number.
 
-    Spans are found by their hashes and compared byte by byte; one that shares its
-    hash with another lies in a dictionary, as the long ones do.
+    Spans are found by their hashes, in slots of which half stay free, and compared
+    byte by byte; one that shares its hash with another lies in a dictionary, as the long ones do.
     """
 
     def __init__(self, limit: int):
         self.limit = limit
-        # By hash: the hashes and their spans' numbers.  By number: bytes, length, how often met.
-        self.hashes, self.order = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.words, self.lengths = Growing(np.uint64, _WORDS), Growing(np.int32)
-        self.hits = Growing(np.int32)
+        # By number: the hash, bytes, length, how often met, and whether the slots or the dictionary hold it.
+        self.hashes, self.words = Growing(np.uint64), [Growing(np.uint64) for _ in range(_WORDS)]
+        self.lengths, self.hits, self.slotted = Growing(np.int32), Growing(np.int32), Growing(bool)
         self.others: dict[bytes, int] = {}
+        self._deal()
+
+    def _deal(self) -> None:
+        """Slots anew, over twice as many as spans."""
+        bits = max(16, (2 * self.hashes.size).bit_length())
+        self.slots, self.marks = np.full(1 << bits, -1, np.int32), np.zeros(1 << bits, np.uint64)
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        held = np.flatnonzero(self.slotted.held)
+        self._insert(self.hashes.held[held], held.astype(np.int32))
+
+    def _insert(self, hashes: np.ndarray, numbers: np.ndarray) -> None:
+        slot = (hashes >> self.shift).view(np.int64)
+        while len(hashes):
+            # Of those that find a slot free the last one has it; the others go on to the next.
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = numbers[free]
+            mine = free & (self.slots[slot] == numbers)
+            self.marks[slot[mine]] = hashes[mine]
+            left = ~mine
+            hashes, numbers, slot = hashes[left], numbers[left], slot[left] + 1 & self.last
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of the span that has each hash, or -1."""
+        slot = (hashes >> self.shift).view(np.int64)
+        numbers = self.slots.take(slot)
+        left = np.flatnonzero((self.marks.take(slot) != hashes) & (numbers >= 0))
+        slot = slot[left]
+        while len(left):
+            slot = slot + 1 & self.last
+            numbers[left] = found = self.slots[slot]
+            on = (self.marks[slot] != hashes[left]) & (found >= 0)
+            left, slot = left[on], slot[on]
+        return numbers
 
     def shrink(self) -> np.ndarray | None:
         """After the table was full: the old numbers of the spans that stay, those met three times or more."""
@@ -63,70 +96,64 @@ class SpanTable:
         stay = self.hits.held >= 3
         if stay.sum() > self.limit // 2:
             stay[:] = False
-        kept, place = np.flatnonzero(stay), (np.cumsum(stay) - 1).astype(np.int32)
-        here = stay[self.order]
-        self.hashes, self.order = self.hashes[here], place[self.order[here]]
-        self.words.replace(self.words.held[kept])
-        self.lengths.replace(self.lengths.held[kept])
+        kept, place = np.flatnonzero(stay), np.cumsum(stay) - 1
+        for column in (self.hashes, *self.words, self.lengths, self.slotted):
+            column.replace(column.held[kept])
         self.hits.replace(np.zeros(len(kept), np.int32))
         self.others = {s: int(place[k]) for s, k in self.others.items() if stay[k]}
+        self._deal()
         return kept
 
     def number(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray
                ) -> tuple[np.ndarray, np.ndarray]:
         """The number of every span, and which spans are the first of theirs, in order of their numbers."""
-        n = len(starts)
-        if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         words, hashes = _words_of(data, starts, lengths)
-        order = np.argsort(hashes)
-        ranked = hashes[order]
-        head = np.ones(n, bool)
-        np.not_equal(ranked[1:], ranked[:-1], out=head[1:])
-        groups = np.empty(n, np.int64)
-        groups[order] = np.cumsum(head) - 1
-        firsts, distinct = order[head], ranked[head]
-        at = np.searchsorted(self.hashes, distinct)
-        near = np.minimum(at, max(0, len(self.hashes) - 1))
-        known = self.hashes[near] == distinct if len(self.hashes) else np.zeros(len(distinct), bool)
-        numbers = np.full(len(distinct), -1, np.int64)
-        numbers[known] = held = self.order[near[known]]
-        # A group whose hash is another span's, and spans that differ from the first of their group.
-        own = firsts[known]
-        other = np.zeros(len(distinct), bool)
-        other[known] = (self.lengths.held[held] != lengths[own]) | (
-            self.words.held[held] != words[:, own].T).any(1)
-        beyond = lengths > 8 * _WORDS
-        same = firsts[groups]
-        differs = lengths != lengths[same]
-        differs |= words[0] != words[0, same]
-        longer = np.flatnonzero(lengths > 8)
-        differs[longer] |= (words[1:, longer] != words[1:, same[longer]]).any(0)
-        beyond |= differs | other[groups]
-        new = np.flatnonzero(~known & ~beyond[firsts])
-        base = self.hits.size
-        numbers[new] = base + np.arange(len(new))
-        out = numbers[groups]
-        fresh = firsts[new]
-        self.words.add(words[:, fresh].T)
-        self.lengths.add(lengths[fresh])
-        place = at[new]
-        self.hashes = np.insert(self.hashes, place, distinct[new])
-        self.order = np.insert(self.order, place, numbers[new])
+        numbers = self._find(hashes)
+        differs = self.lengths.room.take(numbers, mode="clip") != lengths
+        differs |= self.words[0].room.take(numbers, mode="clip") != words[0]
+        for k in range(1, _WORDS):
+            longer = np.flatnonzero(lengths > 8 * k)
+            held = self.words[k].room.take(numbers[longer], mode="clip")
+            differs[longer] |= held != words[k].take(longer)
+        known = numbers >= 0
+        beyond = (lengths > 8 * _WORDS) | differs & known
+        new = np.flatnonzero(~(known | beyond))
+        order = new[np.argsort(hashes[new])]
+        head = np.ones(len(order), bool)
+        np.not_equal(hashes[order[1:]], hashes[order[:-1]], out=head[1:])
+        group, fresh = np.cumsum(head) - 1, order[head]
+        same = fresh[group]
+        numbers[order] = self.hits.size + group
+        differs = lengths[order] != lengths[same]
+        for word in words:
+            differs |= word.take(order) != word.take(same)
+        beyond[order] = differs
+        held = np.arange(self.hits.size, self.hits.size + len(fresh), dtype=np.int32)
+        self._add(hashes[fresh], words[:, fresh], lengths[fresh], True)
         late = []
         for i in np.flatnonzero(beyond).tolist():
             key = data[starts[i]:starts[i] + lengths[i]].tobytes()
             if key not in self.others:
-                self.others[key] = base + len(new) + len(late)
+                self.others[key] = self.hits.size + len(late)
                 late.append(i)
-            out[i] = self.others[key]
+            numbers[i] = self.others[key]
         if late:
-            fresh = np.concatenate([fresh, np.array(late, np.int64)])
-            self.words.add(np.zeros((len(late), _WORDS), np.uint64))
-            self.lengths.add(lengths[late])
-        self.hits.add(np.zeros(len(fresh), np.int32))
-        self.hits.held[:] += np.bincount(out, minlength=self.hits.size).astype(np.int32)
-        return out, fresh
+            self._add(hashes[late], words[:, late], lengths[late], False)
+        if 2 * self.hashes.size > len(self.slots):
+            self._deal()
+        else:
+            self._insert(hashes[fresh], held)
+        numbers = numbers.astype(np.int64)
+        np.add.at(self.hits.room, numbers, np.int32(1))
+        return numbers, np.concatenate([fresh, np.array(late, np.int64)])
+
+    def _add(self, hashes: np.ndarray, words: np.ndarray, lengths: np.ndarray, slotted: bool) -> None:
+        self.hashes.add(hashes)
+        for column, word in zip(self.words, words):
+            column.add(word)
+        self.lengths.add(lengths)
+        self.hits.add(np.zeros(len(hashes), np.int32))
+        self.slotted.add(np.full(len(hashes), slotted))
 
 
 def _words_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,16 +162,22 @@ def _words_of(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
     padded[:len(data)] = data
     eight = np.ndarray((len(data) + 8 * (_WORDS - 1) + 1,), "<u8", padded, strides=(1,))
     words = np.zeros((_WORDS, len(starts)), np.uint64)
-    hashes = lengths.astype(np.uint64) * _ODD_LENGTH
-    longer = np.arange(len(starts))
-    for k in range(_WORDS):
-        longer = longer[lengths[longer] > 8 * k]
+    np.bitwise_and(eight[starts], _MASK[np.minimum(lengths, 8)], out=words[0])
+    hashes = words[0] * _ODD[0]
+    hashes ^= hashes >> _HALF
+    longer = np.flatnonzero(lengths > 8)
+    for k in range(1, _WORDS):
         found = eight[starts[longer] + 8 * k]
         found &= _MASK[np.minimum(lengths[longer] - 8 * k, 8)]
         words[k, longer] = found
         found *= _ODD[k]
         hashes[longer] += mix(found)
-    return words, mix(hashes)
+        longer = longer[lengths[longer] > 8 * (k + 1)]
+    hashes += lengths.astype(np.uint64)
+    hashes *= _ODD_LENGTH
+    hashes ^= hashes >> _HALF
+    hashes *= _ODD[0]
+    return words, hashes
 
 
 def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
