@@ -305,7 +305,7 @@ class _Writer(_Lanes):
             at = self.remember(m, symbol, miss)
             ranges = self.ranges.take(at)
             # An id without a range so far takes the escape's, which begins at nought.
-            lost = np.flatnonzero(((symbol == 0) | (ranges == 0)) & miss)
+            lost = np.flatnonzero(((symbol == 0) | (ranges == 0)) > hit)
             if len(lost):
                 ranges[lost] = self.ranges[self.at_symbol[lost]]
             # The candidate has the span's first part; the symbols share the rest.
@@ -387,7 +387,7 @@ class _Reader(_Lanes):
             slot = np.minimum(rest // share, np.uint64(_T - 1)).view(np.int64)
             slot += self.at_slot[:m]
             symbol = self.slots.take(slot)
-            lost = np.flatnonzero((symbol == 0) & miss)
+            lost = np.flatnonzero((symbol == 0) > hit)
             at = self.remember(m, symbol, miss)
             ranges = self.ranges.take(at)
             miss = miss.astype(np.uint64)

@@ -257,8 +257,9 @@ def write_ids(docs: DataFrame, path: str, description: bytes, pattern: str, end_
             docs_in = int(np.searchsorted(offs, cut, "left"))
             open_at_end = docs_in < len(offs) and offs[docs_in] > cut
             here = np.minimum(offs[:docs_in + 1], cut)
-            for record in pack_records(keys[:docs_in], ids[:cut], here, open_at_end, encoder.id_bits):
-                yield pa.RecordBatch.from_arrays([pa.array([record], pa.binary())], names=["record"])
+            records = pack_records(keys[:docs_in], ids[:cut], here, open_at_end, encoder.id_bits)
+            if records:
+                yield pa.RecordBatch.from_arrays([pa.array(records, pa.binary())], names=["record"])
             first = docs_in - 1 if open_at_end else docs_in
             rest = offs[docs_in] - cut if open_at_end else 0
             keys, parts = keys[first:], [ids[cut:]]
