@@ -8,6 +8,10 @@ from ..config import CONTRACT, REQUIRED, SETTINGS
 from ..functions import clean, scores
 from ..session import materialize
 
+#: Bytes of media, and what a row takes besides, up to which a table of them goes to all tasks; posts up to
+#: which their ids do.
+FEW_BYTES, ROW_BYTES, FEW_POSTS = 64 << 20, 64, 1 << 20
+
 
 def asset_gate(manifest: DataFrame, path: str = "path") -> DataFrame:
     """(id, folder) of posts whose media, own JSON and creator JSON all exist.
@@ -144,13 +148,32 @@ def compose(base: DataFrame, assets: DataFrame, users: DataFrame, details: DataF
     return joined.select(*columns, F.lit(True).alias("has_media"))
 
 
-def attach_media(df: DataFrame, media: DataFrame) -> DataFrame:
+def find_media(posts: DataFrame, store: DataFrame, key: str) -> DataFrame:
+    """(id, video_bytes) of posts (id, key) whose media lie in ``store`` (key, video_bytes).
+
+    Bytes move as seldom as can be.  A store counted to have ``FEW_BYTES`` at most goes to all
+    tasks, and posts are dealt by id before the bytes are there.  Of a larger one only found media
+    move on if the posts are counted to be ``FEW_POSTS`` at most, as all tasks know them.  Else the
+    store is dealt once, by its key, and the posts go to where their media lie; then the key is
+    a column too, for ``attach_media``.
+    """
+    held = store.agg(F.sum(F.coalesce(F.octet_length("video_bytes"), F.lit(0)) + ROW_BYTES)).first()[0] or 0
+    if held <= FEW_BYTES:
+        return posts.repartition("id").join(F.broadcast(store), key).select("id", "video_bytes")
+    if posts.limit(FEW_POSTS + 1).count() <= FEW_POSTS:
+        return F.broadcast(posts).join(store, key).select("id", "video_bytes")
+    return posts.hint("shuffle_hash").join(store, key).select("id", key, "video_bytes")
+
+
+def attach_media(df: DataFrame, media: DataFrame, by: tuple[str, ...] = ("id",)) -> DataFrame:
     """Add the media bytes, null where missing.
 
     Joined after all filters, so as few large values as possible are shuffled.  The rows
     without their bytes are what a task holds; the bytes stream past and are never sorted.
+    Media that have the key under which they lie are attached ``by`` the id and that key: under
+    ``session.TOGETHER`` the rows are then dealt by it, and the bytes stay.
     """
-    return df.hint("shuffle_hash").join(media.select("id", "video_bytes"), "id", "left")
+    return df.hint("shuffle_hash").join(media.select(*by, "video_bytes"), list(by), "left")
 
 
 def required_gate(df: DataFrame, required=REQUIRED) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..config import SETTINGS
 from ..functions import clean, features, media, scores, text
 from ..operators import compose, labels, reshape, tokens
-from ..session import materialize, scratch_path
+from ..session import TOGETHER, holding, materialize, passing, scratch_path
 from ..sources import documents, frames, grid, packs, published, sinks, tables
 from . import fixtures as fx
 from .oracle_ctes import sql
@@ -745,23 +745,28 @@ def build_labelled(spark, sf):
 
     Creation times are numbers here, 0 where missing.
     """
-    stored = materialize(fx.posts(spark, sf), "posts")
-    i = F.col("id")
-    base = fx.raw_posts(spark, sf, stored, F.when(
-        i % 97 != 0, clean.epoch_seconds(F.col("create_time"))).otherwise(0))
-    composed = compose.compose(base, compose.asset_gate(fx.manifest(spark, sf)), fx.user_meta(stored),
-                               fx.video_meta(stored), compose.detected_labels(fx.detections(spark, sf)))
-    # Read twice, by the media and by the rows that they are attached to.
-    kept = materialize(compose.required_gate(composed), "kept")
-    pages = fx.table(spark, sf, "pages").select(
-        F.col("page_id").alias("_page"), F.encode("html", "UTF-8").alias("video_bytes"))
-    # Dealt by id before the bytes are there: they need not move again to be attached.
-    media = kept.select("id", (i % fx.count_of(spark, sf, "pages")).alias("_page")).repartition("id").join(
-        pages, "_page")
-    path = scratch_path(spark, "dataset")
-    sinks.write_shards(compose.attach_media(kept, media), path)
-    dataset = published.read_published(spark, path)
-    labelled = labels.label_tail(dataset, labels.tail_stats(dataset))
+    i, path = F.col("id"), scratch_path(spark, "dataset")
+    with passing(spark):
+        place = scratch_path(spark, "kept")
+        with passing(spark):
+            stored = materialize(fx.posts(spark, sf), "posts")
+            base = fx.raw_posts(spark, sf, stored, F.when(
+                i % 97 != 0, clean.epoch_seconds(F.col("create_time"))).otherwise(0))
+            composed = compose.compose(
+                base, compose.asset_gate(fx.manifest(spark, sf)), fx.user_meta(stored),
+                fx.video_meta(stored), compose.detected_labels(fx.detections(spark, sf)))
+            # Read twice, by the media and by the rows that they are attached to.
+            kept = materialize(compose.required_gate(composed), "kept", place)
+        pages = fx.table(spark, sf, "pages").select(
+            F.col("page_id").alias("_page"), F.encode("html", "UTF-8").alias("video_bytes"))
+        posts = kept.withColumn("_page", i % fx.count_of(spark, sf, "pages"))
+        media = compose.find_media(posts.select("id", "_page"), pages, "_page")
+        by = tuple(c for c in ("id", "_page") if c in media.columns)
+        with holding(spark, TOGETHER):
+            sinks.write_shards(compose.attach_media(posts, media, by).drop("_page"), path)
+    with passing(spark):
+        dataset = published.read_published(spark, path)
+        labelled = labels.label_tail(dataset, labels.tail_stats(dataset))
     return labelled.select(
         "id", F.col("day_of_week"), F.round("engagement_score", 6).alias("engagement_score"),
         F.round("view_velocity_score", 6).alias("view_velocity_score"),

@@ -77,7 +77,8 @@ def publish(df: DataFrame, path: str, append: bool = False, token: str | None =
             rows: int = SETTINGS.shard_rows, by: tuple[str, ...] = ()) -> int:
     """Write ``df`` beside the table's present files and then make it count; returns the manifest's number.
 
-    Files have at most ``rows`` records each.  Without ``append`` the new files take the
+    Files have at most ``rows`` records each, packed by zstd: tables may hold media, which are all they
+    take on disk.  Without ``append`` the new files take the
     place of all others.  A ``token`` that the table has seen makes the call do nothing, so
     a retried write adds nothing.  Appends of several writers follow each other; a
     replacement that meets another writer raises ``Conflict``.  What a killed write leaves is
@@ -88,7 +89,7 @@ def publish(df: DataFrame, path: str, append: bool = False, token: str | None =
     if token is not None and token in (held or {}).get("tokens", ()):
         return number
     folder = f"data/{uuid.uuid4().hex}"
-    writer = df.write.option("maxRecordsPerFile", rows)
+    writer = df.write.option("maxRecordsPerFile", rows).option("compression", "zstd")
     (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{folder}")
     while True:
         document = {"folders": [*(held or {}).get("folders", ()), folder] if append else [folder],

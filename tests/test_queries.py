@@ -97,3 +97,86 @@ def test_labelled_rows_are_composed_once(spark, monkeypatch):
     assert "collect_" not in plan and plan.count("Join") == 2
     assert "REPARTITION_BY_COL" in plan  # by id, ahead of the bytes
     assert "ShuffledHashJoin" in plan and "Sort [" not in plan  # no task sorts the bytes
+
+
+def scratch_tables(spark):
+    from postlift.session import scratch_root
+    root = scratch_root(spark).removeprefix("file:")
+    return {f"{root}/{n}" for n in os.listdir(root) if re.search(r"-[0-9a-f]{32}$", n)} if os.path.isdir(root) else set()
+
+
+def test_labelled_dataset_is_what_stays_on_disk(spark, monkeypatch):
+    """Rows that led to the kept ones are gone when the bytes are written, and the kept ones afterwards; shuffle
+    files go with their steps, and the bytes lie packed."""
+    import glob
+    import pyarrow.parquet as pq
+    from postlift.plans import clean_queries
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirsString()[0]
+    shuffled = lambda: set(glob.glob(f"{local}/**/shuffle_*.data", recursive=True))
+    tables, before, seen, write = scratch_tables(spark), shuffled(), [], clean_queries.sinks.write_shards
+
+    def made():
+        return sorted(os.path.basename(t).rsplit("-", 1)[0] for t in scratch_tables(spark) - tables)
+
+    def watched(df, path):
+        seen.append((made(), shuffled() - before))
+        return write(df, path)
+
+    monkeypatch.setattr(clean_queries.sinks, "write_shards", watched)
+    labelled = catalog.QUERIES["q_build_labelled"](spark, SF)
+    assert seen == [(["kept"], set())]
+    assert made() == ["dataset"] and not shuffled() - before
+    files = glob.glob(f"{(scratch_tables(spark) - tables).pop()}/data/*/*.parquet")
+    columns = {c["path_in_schema"]: c["compression"] for f in files for g in pq.read_metadata(f).to_dict()["row_groups"]
+               for c in g["columns"]}
+    assert columns["video_bytes"] == "ZSTD" and len(columns) > 50
+    assert labelled.where("n_bytes > 0").count() == labelled.count() > 0
+
+
+@pytest.mark.parametrize("few_posts, moved", [(0, ["_page"]), (1 << 20, ["id"])])
+def test_bytes_of_a_large_media_table_move_once(spark, duck, monkeypatch, few_posts, moved):
+    from postlift.operators import compose
+    from postlift.plans import clean_queries
+    plans, write = [], clean_queries.sinks.write_shards
+
+    def watched(df, path):
+        plans.append(df._jdf.queryExecution().executedPlan())
+        return write(df, path)
+
+    monkeypatch.setattr(clean_queries.sinks, "write_shards", watched)
+    monkeypatch.setattr(compose, "FEW_BYTES", 0, raising=False)
+    monkeypatch.setattr(compose, "FEW_POSTS", few_posts, raising=False)
+    wide, threshold = [], "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        found = catalog.QUERIES["q_build_labelled"](spark, SF)
+        assert oracle.compare(found, duck, catalog.ORACLES["q_build_labelled"]) is None
+    finally:
+        spark.conf.unset(threshold)
+    nodes = [plans[0].initialPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        output = node.output().mkString(" ")
+        if "ShuffleExchange" in node.getClass().getName() and re.search(r"video_bytes|html", output):
+            wide.append(re.search(r"hashpartitioning\((\w+)#", node.toString()).group(1))
+    assert wide == moved
+
+
+def test_media_are_found_whole_in_every_way(spark, monkeypatch):
+    """Repeated keys, keys without media and media without bytes, however large tables are taken to be."""
+    from postlift.operators import compose
+    from postlift.session import TOGETHER, holding
+    posts = spark.createDataFrame([(i, i % 7 if i % 5 else None) for i in range(200)], "id long, k long")
+    store = spark.createDataFrame([(k, None if k == 3 else bytes([k]) * k) for k in range(6)], "k long, video_bytes binary")
+    want = sorted((i, None if i % 5 == 0 or i % 7 in (3, 6) else bytes([i % 7]) * (i % 7)) for i in range(200))
+    for few_bytes, few_posts in ((1 << 20, 1), (0, 1 << 20), (0, 0)):
+        monkeypatch.setattr(compose, "FEW_BYTES", few_bytes)
+        monkeypatch.setattr(compose, "FEW_POSTS", few_posts)
+        media = compose.find_media(posts, store, "k")
+        by = tuple(c for c in ("id", "k") if c in media.columns)
+        with holding(spark, TOGETHER):
+            found = compose.attach_media(posts, media, by).collect()
+        assert sorted((r.id, r.video_bytes and bytes(r.video_bytes)) if r.video_bytes is not None else (r.id, None)
+                      for r in found) == want
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
